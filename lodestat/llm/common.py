@@ -86,3 +86,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def key_col(name: str) -> F.Column:
     """A null key as a value of its own that no real key takes part with: joins by it keep null rows apart."""
     return F.coalesce(F.col(name), F.lit(-(2**63)))
+
+
+def id_of_key(name: str = "_key") -> F.Column:
+    return F.when(F.col(name) != -(2**63), F.col(name))
