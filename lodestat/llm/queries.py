@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import doubling, fingerprint, mixing, packing, quality, simhash, toxicity
+from lodestat.llm import doubling, fingerprint, mixing, packing, quality, simhash, suffixes, toxicity
 from lodestat.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.substring_dedup(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.byte_dedup(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
