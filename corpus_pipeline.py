@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import mixing, packing, quality, queries
+from lodestat.llm import doubling, mixing, packing, quality, queries, simhash
 from lodestat.llm.common import documents, written
 
 
@@ -12,6 +12,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Groups by fingerprints of five-word shingles; the document with the least id of each stays, as one row."""
+    return simhash.one_of_each(docs, k=5)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return doubling.without_repeats(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_texts(docs)
 
@@ -20,7 +29,13 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, queries.tokenizer_path())
 
 
-STAGES = [("quality rules", quality_stage), ("source mix", mix_stage), ("best-fit packing", packing_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("source mix", mix_stage),
+    ("best-fit packing", packing_stage),
+]
 
 #: SimHash, tokenizer ids and the fitted vote model are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None

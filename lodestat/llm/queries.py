@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import doubling, fingerprint, mixing, packing, quality, simhash, suffixes, toxicity
+from lodestat.llm import doubling, fingerprint, mixing, packing, quality, quotes, sharding, simhash, suffixes, toxicity
 from lodestat.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
@@ -32,6 +36,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.substring_dedup(documents(spark, sf_dir))
 
 
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.byte_dedup(documents(spark, sf_dir))
 
@@ -54,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_extendible_shards": sharding.SQL.format(limit=sharding.LIMIT)}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import raw_texts, word_runs, written
+from lodestat.llm.common import key_col, raw_texts, word_runs, written
 
 SEED = 42
 RADIUS = 4
@@ -161,3 +161,13 @@ def near_groups(docs: DataFrame, k: int = 4, radius: int = RADIUS) -> DataFrame:
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     table = of.join(least, "root").select("fp", "component_id")
     return prints.join(table, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 4, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs with the least doc_id of their group, all columns as they were.
+
+    Of rows that share that id one stays. Only ids go through the grouping; the texts are shuffled once, to meet it.
+    """
+    groups = near_groups(docs, k, radius)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key_col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", key_col("doc_id")).join(first, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
