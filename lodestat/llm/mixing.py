@@ -121,10 +121,13 @@ class Mix:
         self.seed = seed
 
     def slots(self) -> DataFrame:
-        """One row a slot: shard, src, block (index within the source) and turn (how often the block was taken before)."""
+        """One row a slot: shard, src, block (index within the source) and turn (how often the block was taken before).
+
+        The planner knows the few rows the slots are made from, not how many they become: join with a merge hint.
+        """
         start = np.cumsum(self.shards, axis=0) - self.shards
         rows = [(int(i), s, int(start[i, s]), int(n), self.blocks[s]) for i, each in enumerate(self.shards) for s, n in enumerate(each) if n]
-        todo = self.spark.createDataFrame(rows, "shard int, src int, first long, n long, blocks long").repartition(max(1, min(len(rows), 4096)))
+        todo = self.spark.createDataFrame(rows, "shard int, src int, first long, n long, blocks long").repartition(max(1, min(len(self.shards) // 4, 4096)))
         seed = self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +152,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """One row a document of docs with the words the mix takes from it."""
         times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"))
-        words = self.spans().join(times, ["src", "block"]).groupBy(*ROW).agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
+        words = self.spans().join(times.hint("merge"), ["src", "block"]).groupBy(*ROW).agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
         return self.placed.join(words, ROW, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -172,7 +175,7 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """
     names = docs.columns
     mix = Mix(docs, **how)
-    spans = mix.spans().join(mix.slots(), ["src", "block"])
+    spans = mix.spans().join(mix.slots().hint("merge"), ["src", "block"])
     runs = spans.groupBy("_key", "_mark").agg(F.collect_list(F.struct("_nth", "turn", "lo", "hi")).alias("_runs"))
     same = Window.partitionBy("_key", "_mark").orderBy(F.lit(0))
     texts = docs.select("*", key_col("doc_id").alias("_key"), MARK().alias("_mark")).withColumn("_own", F.row_number().over(same))
