@@ -162,7 +162,7 @@ def option_scores(labels: DataFrame, temperature: float = 1.0) -> DataFrame:
 def decided(scores: DataFrame) -> DataFrame:
     """The option with the greatest score of each item and that score; the lesser name on ties."""
     w = Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "option")
-    return scores.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("id", F.col("option").alias("pred"), F.round("score", 6).alias("conf"))
+    return scores.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("id", F.col("option").alias("pred"), F.round("score", 4).alias("conf"))
 
 
 def position_bias(labels: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from lodestat.plans import score_queries  # noqa: F401
+from lodestat.plans import decision_queries  # noqa: F401
