@@ -62,11 +62,11 @@ def question_types(spark, d):
     return docs(spark, d).groupBy(F.coalesce(texts.first_pattern(F.col("text"), kinds), F.lit("plain")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("clause_references", r"""with r as (select doc_id, list_distinct(regexp_extract_all(text, '[0-9]+')) as g from documents), p as (select doc_id, list_distinct(regexp_extract_all(substr(text, 1, 2000), '[0-9]+')) as p from documents)
+@query("clause_references", r"""with r as (select doc_id, list_distinct(regexp_extract_all(text, '[0-9]+')) as g from documents), p as (select doc_id, list_distinct(regexp_extract_all(replace(text, '7', ' '), '[0-9]+')) as p from documents)
 select doc_id, len(g)::int as n, len(list_filter(g, lambda x: not list_contains(p, x))) = 0 as matches from r join p using (doc_id)""")
 def clause_references(spark, d):
     refs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("([0-9]+)"), F.lit(1)))
-    g, p = refs(F.col("text")), refs(F.substring("text", 1, 2000))
+    g, p = refs(F.col("text")), refs(F.replace("text", F.lit("7"), F.lit(" ")))
     return docs(spark, d).select("doc_id", F.size(g).alias("n"), (F.size(F.array_except(g, p)) == 0).alias("matches"))
 
 
@@ -308,11 +308,11 @@ def reachability(spark, d):
     return own.join(seen, "w", "left").groupBy("item_id").agg(F.count("*").alias("words"), F.count("s").alias("seen"), (F.count("s") == 0).alias("unreachable"))
 
 
-@query("tagged_entities", """with w as (select doc_id, unnest(range(0, len(string_split(text, ' '))))::int as pos, unnest(string_split(text, ' ')) as token from documents where n_chars < 600), t as (select *, case when length(token) % 5 = 0 then 'B-X' when length(token) % 5 = 1 then 'I-X' when length(token) % 5 = 2 then 'B-Y' else 'O' end as tag from w),
+@query("tagged_entities", """with w as (select doc_id, unnest(range(0, len(string_split(text, ' '))))::int as pos, unnest(string_split(text, ' ')) as token from documents), t as (select *, case when length(token) % 5 = 0 then 'B-X' when length(token) % 5 = 1 then 'I-X' when length(token) % 5 = 2 then 'B-Y' else 'O' end as tag from w),
 p as (select *, substr(tag, 3) as kind, count(*) filter (tag = 'O' or starts_with(tag, 'B-')) over (partition by doc_id order by pos rows unbounded preceding) as part from t), i as (select *, first_value(tag) over (partition by doc_id, part order by pos) as ft from p where tag <> 'O')
 select doc_id, min(pos) as start, max(kind) as kind, string_agg(token, ' ' order by pos) as text from i where starts_with(ft, 'B-') and kind = substr(ft, 3) group by doc_id, part""")
 def tagged_entities(spark, d):
-    w = docs(spark, d).where("n_chars < 600").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
+    w = docs(spark, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
     n = F.length("token") % 5
     return texts.tagged_entities(w.withColumn("tag", F.when(n == 0, "B-X").when(n == 1, "I-X").when(n == 2, "B-Y").otherwise("O")), "doc_id")
 
