@@ -44,6 +44,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def numbered(docs: DataFrame, prefix: str = "k") -> list[F.Column]:
+    """All columns of docs under names that clash with none of ours: k0, k1, ..."""
+    return [F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(docs.columns)]
+
+
+def renamed(rows: DataFrame, names: list[str], prefix: str = "k") -> DataFrame:
+    """The columns k0, k1, ... under their own names again."""
+    return rows.select(*(F.col(f"{prefix}{i}").alias(c) for i, c in enumerate(names)))
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 of every text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.anchors import candidates, chosen, covered, ranges, window_hashes, word_units
-from lodestat.llm.common import id_of_key, key_col, raw_texts, word_spans, written
+from lodestat.llm.common import id_of_key, key_col, raw_texts, renamed, word_spans, written
 
 WINDOW = 20
 
@@ -130,7 +130,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names = docs.columns
     gram = max(1, window // 2)
     others = [c for c in names if c != "text"]
-    rows = joined(docs, [F.col(c).alias(f"k{i}") for i, c in enumerate(others)], window, gram)
+    rows = joined(docs, [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)], window, gram)
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,5 +151,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 cols["n_chars"] = pa.array(now, cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else cols[c] for c in names], names=[f"c{i}" for i in range(len(names))])
 
-    out = rows.mapInArrow(run, ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names)))
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    return renamed(rows.mapInArrow(run, ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names))), names, "c")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import key_col, raw_texts, word_spans, written
+from lodestat.llm.common import key_col, numbered, raw_texts, renamed, word_spans, written
 
 ROW = ["_key", "_mark", "_nth"]
 
@@ -178,9 +178,9 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     spans = mix.spans().join(mix.slots().hint("merge"), ["src", "block"])
     runs = spans.groupBy("_key", "_mark").agg(F.collect_list(F.struct("_nth", "turn", "lo", "hi")).alias("_runs"))
     same = Window.partitionBy("_key", "_mark").orderBy(F.lit(0))
-    texts = docs.select("*", key_col("doc_id").alias("_key"), MARK().alias("_mark")).withColumn("_own", F.row_number().over(same))
+    texts = docs.select(*numbered(docs), key_col("doc_id").alias("_key"), MARK().alias("_mark")).withColumn("_own", F.row_number().over(same))
     own = F.filter("_runs", lambda r: r["_nth"] == F.col("_own"))
-    rows = texts.join(runs, ["_key", "_mark"]).select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(names)), F.array_sort(F.transform(own, lambda r: F.struct(r["turn"].alias("turn"), r["lo"].alias("lo"), r["hi"].alias("hi")))).alias("_runs"))
+    rows = texts.join(runs, ["_key", "_mark"]).select(*(f"k{i}" for i in range(len(names))), F.array_sort(F.transform(own, lambda r: F.struct(r["turn"].alias("turn"), r["lo"].alias("lo"), r["hi"].alias("hi")))).alias("_runs"))
     kinds = [f"k{i} {t}" for i, (_, t) in enumerate(docs.dtypes)]
     at = names.index("text")
 
@@ -205,5 +205,4 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
                 cols[names.index("n_chars")] = pa.array(map(len, texts), pa.int64()).cast(cols[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(cols, names=[f"k{i}" for i in range(len(names))])
 
-    out = rows.mapInArrow(run, ", ".join(kinds))
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)))
+    return renamed(rows.mapInArrow(run, ", ".join(kinds)), names)

@@ -132,7 +132,7 @@ def plan(counts: dict[int, int], capacity: tuple[float, float, float], rule: str
 
     Returns for each length its runs (first rank, first sequence, offset): the pieces from that rank on go to
     consecutive sequences at that offset. Open bins that hold the same lengths are one class, split where only some of
-    its bins take another piece. Among the classes in which a piece fits in every dimension, "dot" takes the one with the greatest weighted dot product of demand and what would stay free, turned so that
+    its bins take another piece. A piece that is over a capacity by itself has a bin of its own. Among the classes in which a piece fits in every dimension, "dot" takes the one with the greatest weighted dot product of demand and what would stay free, turned so that
     the tightest wins (weights: total demand over capacity), "norm" the one with the least norm of what stays free.
     """
     cap = np.asarray(capacity, float)
@@ -170,7 +170,7 @@ def plan(counts: dict[int, int], capacity: tuple[float, float, float], rule: str
                 per = 1
                 n = left
                 if left > 1:  # a new bin takes as many of this length as fit, before another is opened
-                    per = int(min(cap // demand))
+                    per = max(1, int(min(cap // demand)))
                     n = left // per if left >= per else 1
                     per = min(per, left)
                 for j in range(per):

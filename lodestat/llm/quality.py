@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import raw_texts, word_runs, written
+from lodestat.llm.common import raw_texts, renamed, word_runs, written
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper_words long, n_distinct_words long, n_alpha long"
+#: Most that a rule may vote bad on good texts. The rules are written to be precise; without this bound, a rule that
+#: is alone in its bad vote would be explained as its own mistake.
+FALSE_ALARMS = 0.003
 SYMBOLS = b"#*$%&|<>"
 _DROP_SPACE = bytes(range(256)), b" \t\n\r\x0b\x0c"
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -72,7 +75,7 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
             cols = list(zip(*map(text_stats, raw_texts(b.column(0))), strict=True)) or [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, pa.int64()) for c in cols)], names=[*(f"k{i}" for i in range(len(keep))), *(f[0] for f in fields)])
 
-    rows = docs.select(F.col("text").alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    rows = docs.select(F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
     schema = ", ".join([f"k{i} {dict(rows.dtypes)[f'k{i}']}" for i in range(len(keep))] + [STATS])
     return rows.mapInArrow(run, schema)
 
@@ -99,21 +102,21 @@ def rules() -> dict[str, tuple[Column, Column]]:
 def fit(patterns: dict[str, int], n_rules: int, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over pattern counts (one letter a rule: b, g or a). Returns the share of good texts and P(bad vote | good), P(bad vote | bad) of each rule.
 
-    Pseudo-counts keep a rule that never votes at its start values; a rule may not vote bad more often on good texts than on bad ones.
+    Pseudo-counts keep a rule that never votes at its start values.
     """
     votes = np.array([list(p) for p in patterns]).reshape(len(patterns), n_rules)
     n = np.array(list(patterns.values()), float)
     bad, good = (votes == "b").astype(float), (votes == "g").astype(float)
-    share, on_good, on_bad = 0.9, np.full(n_rules, 0.02), np.full(n_rules, 0.4)
+    share, on_good, on_bad = 0.9, np.full(n_rules, FALSE_ALARMS), np.full(n_rules, 0.4)
     strength = 10.0
     for _ in range(rounds):
         p = posterior(bad, good, share, on_good, on_bad)
         before = share
         share = min(0.99, max(0.5, (p @ n + 9) / (n.sum() + 10)))
-        for own, which, start in ((on_good, p * n, 0.02), (on_bad, (1 - p) * n, 0.4)):
+        for own, which, start in ((on_good, p * n, FALSE_ALARMS), (on_bad, (1 - p) * n, 0.4)):
             own[:] = (which @ bad + strength * start) / (which @ (bad + good) + strength)
-        on_good[:] = np.clip(np.minimum(on_good, on_bad / 2), 1e-4, 0.4)
-        on_bad[:] = np.clip(on_bad, 0.02, 0.99)
+        on_good[:] = np.clip(on_good, 1e-4, FALSE_ALARMS)
+        on_bad[:] = np.clip(on_bad, 0.05, 0.99)
         if abs(share - before) < 1e-10:
             break
     return share, on_good, on_bad
@@ -168,4 +171,4 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     names = docs.columns
     table = verdicts(written(with_stats(docs, []), "quality-stats"))
     rows = judged(with_stats(docs, names), table).where("kept")
-    return rows.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)))
+    return renamed(rows, names)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import key_col, raw_texts, word_runs, written
+from lodestat.llm.common import key_col, numbered, raw_texts, renamed, word_runs, written
 
 SEED = 42
 RADIUS = 4
@@ -170,4 +170,5 @@ def one_of_each(docs: DataFrame, k: int = 4, radius: int = RADIUS) -> DataFrame:
     """
     groups = near_groups(docs, k, radius)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key_col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key_col("doc_id")).join(first, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    rows = docs.select(*numbered(docs), key_col("doc_id").alias("_key"))
+    return renamed(rows.join(first, "_key", "left_semi").dropDuplicates(["_key"]), docs.columns)

@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; every other training text counts as unlabelled, whatever else its label
-says. A linear classifier over the presence of words is trained with the non-negative risk estimator
+Confirmed toxic texts are the positives; the unlabelled texts are drawn from all training texts, whatever their
+label says, so that they follow the corpus and the class prior holds for them. A linear classifier over the presence of words is trained with the non-negative risk estimator
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
@@ -9,7 +9,7 @@ with the logistic loss l: the unlabelled texts stand for negatives once the shar
 from the class prior, is taken off, and that estimate is not let below zero. The prior is the share of toxic
 labels in all training labels.
 
-The classifier is fitted on a bounded sample: at most POSITIVES confirmed and UNLABELLED other texts, those with
+The classifier is fitted on a bounded sample: at most POSITIVES confirmed and UNLABELLED unlabelled texts, those with
 the least hashes of their ids. Scoring reads every whole text.
 """
 
@@ -45,7 +45,7 @@ def sampled_words(docs: DataFrame, labels: DataFrame, n_pos: int, n_unl: int) ->
     seen = ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
     order = F.xxhash64("doc_id", F.lit(11))
     pos = labels.where(seen & (F.col("toxic") == 1)).select("doc_id").distinct().orderBy(order, "doc_id").limit(n_pos).withColumn("positive", F.lit(1))
-    unl = docs.where(seen).select("doc_id").join(F.broadcast(pos.select("doc_id")), "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(n_unl).withColumn("positive", F.lit(0))
+    unl = docs.where(seen).select("doc_id").distinct().orderBy(order, "doc_id").limit(n_unl).withColumn("positive", F.lit(0))
     picked = F.broadcast(pos.unionByName(unl))  # at most n_pos + n_unl ids
     kind = pa.list_(pa.string())
 
