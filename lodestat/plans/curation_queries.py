@@ -55,9 +55,9 @@ def shared_text_across_splits(spark, d):
     return curating.shared_text(t.where("id % 10 <> 0"), t.where("id % 10 = 0"))
 
 
-@query("groups_in_several_splits", "select source, count(distinct doc_id % 4) as splits, count(*) as rows from documents group by 1 having count(distinct doc_id % 4) > 1")
+@query("groups_in_several_splits", "select source, count(distinct doc_id % 3) as splits, count(*) as rows from documents group by 1 having count(distinct doc_id % 3) > 1")
 def groups_in_several_splits(spark, d):
-    return curating.groups_in_several(docs(spark, d).withColumn("split", F.col("doc_id") % 4), "source", "split")
+    return curating.groups_in_several(docs(spark, d).withColumn("split", F.col("doc_id") % 3), "source", "split")
 
 
 SPLIT = "case when b < 10 then 'val' when b < 20 then 'test' else 'train' end as split"
