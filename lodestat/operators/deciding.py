@@ -39,14 +39,19 @@ def aurc(rows: DataFrame, *by: str) -> DataFrame:
     return out.select(*by, "rows", "right", F.round("a", 6).alias("aurc"), F.round(best, 6).alias("best"), F.round(F.col("a") - best, 6).alias("excess"))
 
 
+def least_cut(rows: DataFrame, ok: DataFrame, *by: str) -> DataFrame:
+    """tau of every group of rows: its least confidence in ok, or null."""
+    tau = ok.groupBy(*by).agg(F.min("conf").alias("tau"))
+    return rows.select(*by).distinct().join(tau, list(by), "left") if by else tau
+
+
 def choose_threshold(rows: DataFrame, kmin: DataFrame, *by: str) -> DataFrame:
     """Smallest confidence at which the right rows above reach kmin(n, kmin); no such cut: null.
 
     kmin holds, for each number of accepted rows, how many must be right for the bound wanted.
     """
     ok = steps(rows, *by).join(kmin, F.col("nn") == kmin["n"], "left").where(F.col("kk") >= F.col("kmin"))
-    arms = rows.select(*by).distinct()
-    return arms.join(ok.groupBy(*by).agg(F.min("conf").alias("tau")), list(by), "left")
+    return least_cut(rows, ok, *by)
 
 
 def wilson_threshold(rows: DataFrame, target: float, least: int, *by: str, z: float = 1.6448536269514722) -> DataFrame:
@@ -55,7 +60,7 @@ def wilson_threshold(rows: DataFrame, target: float, least: int, *by: str, z: fl
     p = k / n
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     ok = steps(rows, *by).where((n >= least) & (low >= target))
-    return rows.select(*by).distinct().join(ok.groupBy(*by).agg(F.min("conf").alias("tau")), list(by), "left")
+    return least_cut(rows, ok, *by)
 
 
 def empirical_threshold(rows: DataFrame, most_errors: float, *by: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestat.functions.values import binomial_two_sided
 
@@ -23,6 +27,18 @@ def mcnemar(pairs: DataFrame, *by: str, exact_below: int | None = None) -> DataF
     return out if exact_below is None else out.withColumn("exact", n10 + n01 < exact_below)
 
 
+@F.pandas_udf(T.DoubleType())
+def chi2_tail(x: pd.Series) -> pd.Series:
+    """Upper tail of chi squared with one degree of freedom; for a few result rows."""
+    return x.map(lambda v: math.erfc(math.sqrt(max(v, 0.0) / 2)))
+
+
+def mcnemar_p(pairs: DataFrame, *by: str, exact_below: int = 25) -> DataFrame:
+    """mcnemar with p: exact below so many discordant pairs, else from chi squared."""
+    out = mcnemar(pairs, *by, exact_below=exact_below)
+    return out.withColumn("p", F.when(F.col("exact"), F.col("p_exact")).otherwise(F.round(chi2_tail("chi2"), 6)))
+
+
 def rate_difference(pairs: DataFrame, margin: float, z: float = 1.959963984540054) -> DataFrame:
     """(b - a) / n with a Wald interval from discordant pairs, and what it says against a non-inferiority margin."""
     a, b = F.col("a"), F.col("b")
