@@ -10,11 +10,12 @@ import xxhash
 from lodestat.llm import doubling, fingerprint, mixing, packing, quality, queries, quotes, sharding, simhash, suffixes, toxicity
 
 SPACE = " \t\n\r\x0b\x0c"
-LOREM = [" ".join(f"w{(i * 7 + j * j) % 97}x{(i + j) % 13}" for j in range(120)) for i in range(12)]
+spelled = lambda n: chr(97 + n % 26) + (spelled(n // 26) if n >= 26 else "")
+LOREM = [" ".join(spelled((i * 7 + j * j) % 97 + 700 * ((i + j) % 13) + 700) for j in range(120)) for i in range(12)]
 SHARED = " ".join(f"shared{j}" for j in range(60))
 TEXTS = [
     LOREM[0], LOREM[0], None, "", "   \n", "one", LOREM[1] + "\n" + SHARED, SHARED + " " + LOREM[2], "a b c d", "A B C D",
-    "é" * 300 + " " + LOREM[3], ("ab " * 400), LOREM[4] + " " + LOREM[4], "x" * 5000, "\x85\xa0 \x1c odd spaces", LOREM[5].replace("x1", "x2", 1), LOREM[5],
+    "é" * 300 + " " + LOREM[3], ("ab " * 400), LOREM[4] + " " + LOREM[4], "x" * 5000, "\x85\xa0 \x1c odd spaces", LOREM[5].replace(" ", " zz ", 1), LOREM[5],
     "# $ % & | < > " * 30, "same line here\n" * 40, "a<|endoftext|>b  c\n\n d ", LOREM[6] + " idiot " + LOREM[7], " ".join(LOREM) * 3,
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, starts int, size long, h long"
