@@ -91,7 +91,7 @@ def tokens(text: Column) -> Column:
 
 
 def shingles(words: Column, n: int) -> Column:
-    """All runs of n words as texts; none if there are fewer words."""
+    """All runs of n words as texts; none if there are fewer words. words should be a column: an expression would be worked out anew for every run."""
     at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
 

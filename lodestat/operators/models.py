@@ -22,12 +22,13 @@ def platt(rows: DataFrame) -> DataFrame:
 
 def text_features(rows: DataFrame) -> DataFrame:
     """rows(text) with word 1- and 2-grams and character 3-grams as terms."""
-    w = tokens(F.col("text"))
+    rows = rows.withColumn("_w", tokens(F.col("text")))
+    w = F.col("_w")
     # letters as an array first: substring() would walk the text from its start for every place
     rows = rows.withColumn("_letters", F.split("text", ""))
     at = F.sequence(F.lit(1), F.greatest(F.size("_letters") - 2, F.lit(1)))
     chars = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("_letters", i, 3), "")))
-    return rows.withColumn("terms", F.concat(F.array_distinct(w), F.array_distinct(shingles(w, 2)), chars)).drop("_letters")
+    return rows.withColumn("terms", F.concat(F.array_distinct(w), F.array_distinct(shingles(w, 2)), chars)).drop("_letters", "_w")
 
 
 def style_model(size: int = 1 << 14) -> Pipeline:

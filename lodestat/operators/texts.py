@@ -60,7 +60,7 @@ def diversity(rows: DataFrame, key: str) -> DataFrame:
 
 def loops(rows: DataFrame, key: str, n: int = 5, ratio: float = 0.5, most: int = 5) -> DataFrame:
     """Texts that loop: so many of their n-grams are repeats, or one n-gram comes so often."""
-    each = rows.select(key, F.explode(shingles(tokens(F.col("text")), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("c"))
+    each = rows.select(key, tokens(F.col("text")).alias("w")).select(key, F.explode(shingles(F.col("w"), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("c"))
     out = each.groupBy(key).agg(F.round(1 - F.count("*") / F.sum("c"), 6).alias("ratio"), F.max("c").alias("most"))
     return out.withColumn("degenerate", (F.col("ratio") >= ratio) | (F.col("most") >= most))
 
@@ -70,8 +70,8 @@ def memorised(rows: DataFrame, reference: DataFrame, key: str, n: int = 8) -> Da
 
     Runs are found as islands: places of consecutive hits keep their distance to their own row number.
     """
-    own = rows.select(key, F.posexplode(shingles(tokens(F.col("text")), n)).alias("pos", "gram"))
-    seen = reference.select(F.explode(shingles(tokens(F.col("text")), n)).alias("gram")).distinct()
+    own = rows.select(key, tokens(F.col("text")).alias("w")).select(key, F.posexplode(shingles(F.col("w"), n)).alias("pos", "gram"))
+    seen = reference.select(tokens(F.col("text")).alias("w")).select(F.explode(shingles(F.col("w"), n)).alias("gram")).distinct()
     hit = own.join(seen, "gram", "left_semi")
     island = F.col("pos") - F.row_number().over(Window.partitionBy(key).orderBy("pos"))
     runs = hit.withColumn("island", island).groupBy(key, "island").agg((F.count("*") + n - 1).alias("words"))
