@@ -5,7 +5,7 @@ their bytes, are the documents of the construction: a few hundred bytes each, so
 every document each - are few, while whole documents would need as many rounds as the longest has bytes. All runs
 of one anchor meet in one task; equal runs are one. The task gathers them into collections of about COLLECTION bytes,
 builds each collection's Burrows-Wheeler transform and common prefixes column by column, and reads off the strings
-with a common prefix of WINDOW or more.
+with a common prefix of WINDOW or more. A run that is the only one of its anchor has nothing to be compared with.
 
 An anchor with more runs than a collection holds is taken in several; the strings of its runs that come first
 in their own collection are then compared by a hash of 128 bits over all of them.
@@ -32,7 +32,7 @@ from lodestat.llm.common import id_of_key, key_col, raw_texts, written
 
 WINDOW = 100
 GRAM = 32
-COLLECTION = 128 << 10
+COLLECTION = 64 << 10
 _MARK = "h long, content binary, _key long, s int"
 _FOUND = "slot long, check long, _key long, mark long, n int, flags binary"
 
@@ -84,6 +84,15 @@ class Collection:
         self.anchors.append(h)
         self.size += len(content)
 
+    def unjoined(self) -> pa.RecordBatch:
+        """A row a run, when each is the only one of its anchor and so no window of it comes twice."""
+        return batch_of([(*self.named(i), len(c) - self.window + 1, b"") for i, c in enumerate(self.contents)])
+
+    def named(self, i: int) -> tuple[int, int, int, int]:
+        key, s = self.places[i]
+        mark = mark_of(s, self.contents[i])
+        return signed(xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True) + mark.to_bytes(8, "little"))), 0, key, mark
+
     def result(self, split: set[int]) -> pa.RecordBatch:
         """A row a run: which of its windows come later than an equal one of this collection. For anchors in split also a row for each other window."""
         group, string, offset = collection_bwt.repeats(self.contents, self.window)
@@ -92,20 +101,28 @@ class Collection:
         order = np.lexsort((starts[string] + offset, keys[string], group)) if len(group) else np.zeros(0, np.int64)
         g, string, offset = group[order], string[order], offset[order]
         later = np.append(False, g[1:] == g[:-1]) if len(g) else np.zeros(0, bool)
-        flags = [np.zeros(len(c) - self.window + 1, bool) for c in self.contents]
+        flags: dict[int, np.ndarray] = {}
         for i, o in zip(string[later].tolist(), offset[later].tolist(), strict=True):
+            if i not in flags:
+                flags[i] = np.zeros(len(self.contents[i]) - self.window + 1, bool)
             flags[i][o] = True
         out = []
-        for c, (key, s), h, f in zip(self.contents, self.places, self.anchors, flags, strict=True):
-            mark = mark_of(s, c)
-            out.append((signed(xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True) + mark.to_bytes(8, "little"))), 0, key, mark, len(f), np.packbits(f).tobytes()))
-            if h in split:
-                for o in np.flatnonzero(~f).tolist():
-                    d = xxhash.xxh3_128_digest(c[o : o + self.window])
-                    out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), key, s + o, 0, None))
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["slot", "check", "_key", "mark", "n", "flags"])
+        for i, c in enumerate(self.contents):
+            key, s = self.places[i]
+            n = len(c) - self.window + 1
+            out.append((*self.named(i), n, np.packbits(flags[i]).tobytes() if i in flags else b""))
+            if self.anchors[i] in split:
+                for o in range(n):
+                    if i not in flags or not flags[i][o]:
+                        d = xxhash.xxh3_128_digest(c[o : o + self.window])
+                        out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), key, s + o, 0, None))
+        return batch_of(out)
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["slot", "check", "_key", "mark", "n", "flags"])
 
 
 def signed(x: int) -> int:
@@ -116,27 +133,42 @@ def judged_runs(rows: DataFrame, window: int, limit: int) -> DataFrame:
     """_FOUND: for the first of equal runs its windows that come later than an equal one, as bits; and single windows still open."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last, anchor = Collection(window), None, None
+        now, alone, last, anchor = Collection(window), Collection(window), None, None
+        first: tuple | None = None  # the one run of the open anchor so far
         split: set[int] = set()
         own = 0  # bytes of the anchor that is open
         for b in batches:
-            for h, content, key, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h, content = row[:2]
                 if content == last and h == anchor:
                     continue
                 if h != anchor:
+                    if first:
+                        alone.add(*first)
                     if now.size >= limit:
                         yield now.result(split)
                         now, split = Collection(window), set()
-                    own = 0
-                elif own + len(content) > 4 * limit:  # one anchor alone is too much for a collection
-                    split.add(h)
-                    yield now.result(split)
-                    now, split, own = Collection(window), {h}, 0
-                now.add(h, content, key, s)
-                own += len(content)
+                    if alone.size >= 16 * limit:
+                        yield alone.unjoined()
+                        alone = Collection(window)
+                    first, own = row, 0
+                else:
+                    if first:
+                        now.add(*first)
+                        own, first = len(first[1]), None
+                    if own + len(content) > 4 * limit:  # one anchor alone is too much for a collection
+                        split.add(h)
+                        yield now.result(split)
+                        now, split, own = Collection(window), {h}, 0
+                    now.add(*row)
+                    own += len(content)
                 last, anchor = content, h
+        if first:
+            alone.add(*first)
         if now.contents:
             yield now.result(split)
+        if alone.contents:
+            yield alone.unjoined()
 
     dealt = rows.repartition("h").sortWithinPartitions("h", "content", "_key", "s")
     return dealt.mapInArrow(build, _FOUND)
@@ -174,7 +206,10 @@ def removed_bytes(raw: bytes, starts: np.ndarray | None, known: pa.Scalar, windo
     gone = []
     for c, at, k in zip(contents, s.tolist(), n.tolist(), strict=True):
         flags = first.get(mark_of(at, c))
-        gone.append(np.arange(at, at + k) if flags is None else at + np.flatnonzero(np.unpackbits(np.frombuffer(flags, np.uint8), count=k)))
+        if flags is None:
+            gone.append(np.arange(at, at + k))
+        elif flags:
+            gone.append(at + np.flatnonzero(np.unpackbits(np.frombuffer(flags, np.uint8), count=k)))
     at = np.concatenate([*gone, np.array(late, np.int64)]) if gone or late else np.zeros(0, np.int64)
     return covered(len(raw), np.unique(at.astype(np.int64)), window)
 
