@@ -228,7 +228,7 @@ def item_validation(spark, d):
 
 
 @query("audit_summary", f"""with {LAB}, c as (select lang, count(*) as pool, count(*) filter (doc_id % 3 = 0) as reviewed, count(*) filter (doc_id % 3 = 0 and flag) as wrong from lab group by 1)
-select lang, pool, reviewed, wrong, round(wrong / reviewed, 6)::double as rate, round(wrong / reviewed * pool / (select sum(pool) from c), 6)::double as weighted from c""")
+select lang, pool, reviewed, wrong, round(wrong / nullif(reviewed, 0), 6)::double as rate, round(wrong / nullif(reviewed, 0) * pool / (select sum(pool) from c), 6)::double as weighted from c""")
 def audit_summary(spark, d):
     rows = labelled(spark, d).select("lang", (F.col("doc_id") % 3 == 0).alias("reviewed"), (F.col("toxic") == 1).alias("wrong"))
     return curating.audit_summary(rows, "lang")
