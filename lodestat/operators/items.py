@@ -137,3 +137,51 @@ def grouped_statistic(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.round(mad("value"), 6).alias("mad"))
 
 
+
+
+def minimal_pairs(variants: DataFrame, marker: str, least: float = 1 / 3) -> DataFrame:
+    """variants(unit, text, cue): a variant holds if a sentence has the marker and the cue's stems are covered both inside and outside of it; one that fails takes its whole unit along."""
+    sentences = F.split("text", r"(?<=[.!?])\s+")
+    inside = F.filter("_s", lambda s: s.rlike(marker))
+    outside = F.filter("_s", lambda s: ~s.rlike(marker))
+    stems = F.transform(F.split(F.lower("cue"), " "), lambda w: F.substring(w, 1, 4))
+    cover = lambda part: F.size(F.filter("_stems", lambda w: F.lower(F.array_join(part, " ")).contains(w))) / F.greatest(F.size("_stems"), F.lit(1))
+    each = variants.withColumn("_s", sentences).withColumn("_stems", stems)
+    each = each.withColumn("_in", inside).withColumn("_out", outside)
+    ok = (F.size("_in") > 0) & (cover(F.col("_in")) >= least) & (cover(F.col("_out")) >= least)
+    judged = each.withColumn("ok", ok)
+    bad = judged.where(~F.col("ok")).select("unit").distinct()
+    return judged.join(bad, "unit", "left_anti").drop("_s", "_stems", "_in", "_out", "ok")
+
+
+def indistinguishable(pairs: DataFrame, least: float = 0.5) -> DataFrame:
+    """pairs(a, b): names with equal quantities, a word overlap of at least so much; and names that differ in their quantities alone."""
+    nums = lambda c: F.array_sort(F.regexp_extract_all(F.col(c), F.lit(r"([0-9]+(?:[.,][0-9]+)?)"), F.lit(1)))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"([\p{L}]+)"), F.lit(1)))
+    each = pairs.withColumn("_qa", nums("a")).withColumn("_qb", nums("b")).withColumn("_wa", words("a")).withColumn("_wb", words("b"))
+    share = F.size(F.array_intersect("_wa", "_wb")) / F.greatest(F.size(F.array_union("_wa", "_wb")), F.lit(1))
+    same = F.col("_qa") == F.col("_qb")
+    kind = F.when(same & (share >= least), "indistinguishable").when(~same & (F.size(F.array_except("_wa", "_wb")) + F.size(F.array_except("_wb", "_wa")) == 0), "size variant")
+    return each.withColumn("kind", kind).drop("_qa", "_qb", "_wa", "_wb")
+
+
+def distinguishing(rows: DataFrame) -> DataFrame:
+    """rows(text, gold map, other map): whether the text tells gold from the other option by an attribute in which they differ: yes, contradicts or no."""
+    low = F.lower("text")
+    differ = lambda m, o: F.map_filter(F.col(m), lambda k, v: ~v.eqNullSafe(F.element_at(F.col(o), k)))
+    has = lambda m: F.size(F.map_filter(m, lambda k, v: low.contains(F.lower(v)))) > 0
+    return rows.withColumn("verdict", F.when(has(differ("gold", "other")), "yes").when(has(differ("other", "gold")), "contradicts").otherwise("no"))
+
+
+def rebalanced(rows: DataFrame, kind: str, family: str, share: float, seed: str) -> DataFrame:
+    """rows(id, kind, family): of each kind at most its share of all rows stays, first in hash order; for what goes, unused rows of the same family without a kind (spare) come in."""
+    total = F.broadcast(rows.where(~F.col("spare")).agg(F.count("*").alias("_all")))
+    w = Window.partitionBy(kind).orderBy(seeded(seed, F.col("id")), "id")
+    used = rows.where(~F.col("spare"))
+    kinded = used.where(F.col(kind).isNotNull()).crossJoin(total).withColumn("_rn", F.row_number().over(w)).withColumn("_gone", F.col("_rn") > F.floor(F.col("_all") * share))
+    plain = used.where(F.col(kind).isNull()).withColumn("_gone", F.lit(False))
+    chosen = kinded.select("id", kind, family, "_gone").unionAll(plain.select("id", kind, family, "_gone"))
+    need = chosen.where("_gone").groupBy(family).agg(F.count("*").alias("_need"))
+    v = Window.partitionBy(family).orderBy(seeded(seed, F.col("id")), "id")
+    fresh = rows.where(F.col("spare") & F.col(kind).isNull()).join(need, family).withColumn("_rn", F.row_number().over(v)).where("_rn <= _need")
+    return chosen.where("not _gone").select("id", kind, family).unionAll(fresh.select("id", kind, family))

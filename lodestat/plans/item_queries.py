@@ -223,3 +223,41 @@ def band_contrast(spark, d):
 @query("pattern_gate", "select source, round(avg(regexp_matches(text, '[0-9]')::int), 6)::double as digits, count(*) as n, quantile_cont(length(text), 0.5)::double as median_length from documents group by 1")
 def pattern_gate(spark, d):
     return texts.pattern_rates(docs(spark, d), {"digits": "[0-9]"}, "source")
+
+
+@query("minimal_pairs")
+def minimal_pairs(spark, d):
+    rows = docs(spark, d).select(F.floor(F.col("doc_id") / 2).alias("unit"), "doc_id", "text", F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("cue"))
+    return items.minimal_pairs(rows, r"(?i)\b(the|de|der|la)\b").select("unit", "doc_id")
+
+
+@query("indistinguishable_names", """with p as (select p_brand, p_name || ' ' || p_size as a, lead(p_name || ' ' || p_size) over (partition by p_brand order by p_partkey) as b from part), q as (select a, b, list_sort(regexp_extract_all(a, '[0-9]+')) as qa, list_sort(regexp_extract_all(b, '[0-9]+')) as qb,
+list_distinct(regexp_extract_all(lower(a), '[\\p{L}]+')) as wa, list_distinct(regexp_extract_all(lower(b), '[\\p{L}]+')) as wb from p where b is not null)
+select case when qa = qb and len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) >= 0.5 then 'indistinguishable' when qa <> qb and len(list_filter(wa, lambda x: not list_contains(wb, x))) + len(list_filter(wb, lambda x: not list_contains(wa, x))) = 0 then 'size variant' end as kind, count(*) as n from q group by 1""")
+def indistinguishable_names(spark, d):
+    name = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    pairs = table(spark, d, "part").select(name.alias("a"), F.lead(name).over(w).alias("b")).where("b is not null")
+    return items.indistinguishable(pairs).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("distinguishing_attributes", """with p as (select p_partkey, p_name, p_brand, p_type, lead(p_brand) over w as ob, lead(p_type) over w as ot from part window w as (order by p_partkey)), t as (select *, lower(p_name || ' ' || case when p_partkey % 2 = 0 then p_brand else ot end) as t from p where ob is not null)
+select p_partkey, case when (p_brand <> ob and contains(t, lower(p_brand))) or (p_type <> ot and contains(t, lower(p_type))) then 'yes' when (p_brand <> ob and contains(t, lower(ob))) or (p_type <> ot and contains(t, lower(ot))) then 'contradicts' else 'no' end as verdict from t""")
+def distinguishing_attributes(spark, d):
+    p = table(spark, d, "part")
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_brand").alias("ob"), F.col("p_type").alias("ot"))
+    both = p.join(after, "p_partkey")
+    text = F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("ot")))
+    as_map = lambda b, t: F.create_map(F.lit("brand"), F.col(b), F.lit("type"), F.col(t))
+    rows = both.select("p_partkey", text.alias("text"), as_map("p_brand", "p_type").alias("gold"), as_map("ob", "ot").alias("other"))
+    return items.distinguishing(rows).select("p_partkey", "verdict")
+
+
+@query("kind_rebalancing", """with x as (select doc_id as id, case when doc_id % 4 = 0 then 'a' when doc_id % 4 = 1 and toxic = 1 then 'b' end as kind, lang as family, doc_id % 3 = 2 as spare from documents join labels using (doc_id)), n as (select count(*) as n from x where not spare),
+c as (select x.*, kind is not null and row_number() over (partition by kind order by sha256('k:' || id), id) > floor(n * 0.1) as gone from x, n where not spare), need as (select family, count(*) as need from c where gone group by 1),
+f as (select x.id, kind, x.family, row_number() over (partition by x.family order by sha256('k:' || id), id) as rn, need from x join need using (family) where spare and kind is null)
+select id, kind, family from c where not gone union all select id, kind, family from f where rn <= need""")
+def kind_rebalancing(spark, d):
+    k = F.col("doc_id")
+    rows = labelled(spark, d).select(k.alias("id"), F.when(k % 4 == 0, "a").when((k % 4 == 1) & (F.col("toxic") == 1), "b").alias("kind"), F.col("lang").alias("family"), (k % 3 == 2).alias("spare"))
+    return items.rebalanced(rows, "kind", "family", 0.1, "k")
