@@ -185,3 +185,22 @@ def rebalanced(rows: DataFrame, kind: str, family: str, share: float, seed: str)
     v = Window.partitionBy(family).orderBy(seeded(seed, F.col("id")), "id")
     fresh = rows.where(F.col("spare") & F.col(kind).isNull()).join(need, family).withColumn("_rn", F.row_number().over(v)).where("_rn <= _need")
     return chosen.where("not _gone").select("id", kind, family).unionAll(fresh.select("id", kind, family))
+
+
+def section_items(lines: DataFrame, key: str, is_heading: Column, k: int, seed: str) -> DataFrame:
+    """lines(key, pos, line): each line below a heading with it as gold and up to k other headings of the text as options, in an order of hashes."""
+    from lodestat.operators.texts import headings_carried
+
+    carried = headings_carried(lines, key, is_heading, F.lit(False)).where(F.col("top").isNotNull() & ~is_heading)
+    heads = lines.where(is_heading).groupBy(key).agg(F.collect_set("line").alias("_heads"))
+    other = F.filter("_heads", lambda h: h != F.col("top"))
+    order = F.array_sort(F.transform(other, lambda h: F.struct(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string"), h), 256).alias("s"), h.alias("h"))))
+    return carried.join(heads, key).select(key, "pos", F.col("top").alias("gold"), F.slice(F.transform(order, lambda x: x["h"]), 1, k).alias("options"))
+
+
+def own_distractors(rows: DataFrame, k: int) -> DataFrame:
+    """rows(id, text, gold): capitalised spans of the text that are not related to gold by containment or a common stem, the first k."""
+    spans = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"), F.lit(1)))
+    low = F.lower("gold")
+    related = lambda s: F.lower(s).contains(low) | low.contains(F.lower(s)) | (F.substring(F.lower(s), 1, 4) == F.substring(low, 1, 4))
+    return rows.select("id", F.slice(F.filter(spans, lambda s: ~related(s)), 1, k).alias("options"))

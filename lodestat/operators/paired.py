@@ -200,3 +200,20 @@ def first_divergence(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
     y = b.select(item, "pos", F.col("token").alias("tb"))
     both = x.join(y, [item, "pos"], "full_outer")
     return both.groupBy(item).agg(F.min(F.when(~F.col("ta").eqNullSafe(F.col("tb")), F.col("pos"))).alias("first_pos"))
+
+
+def mode_groups(labels: DataFrame, most: float) -> DataFrame:
+    """labels(run, id, label): runs whose labels differ on at most the share of their common items form one mode; its least run names it.
+
+    The counts are aggregated over all items in Spark; what is then grouped is a row for each pair of runs, of which
+    there are a few dozen whatever the number of items.
+    """
+    a = labels.select(F.col("run").alias("a"), "id", F.col("label").alias("la"))
+    b = labels.select(F.col("run").alias("b"), "id", F.col("label").alias("lb"))
+    flips = a.join(b, "id").where("a < b").groupBy("a", "b").agg(F.avg((F.col("la") != F.col("lb")).cast("double")).alias("flips"))
+    mode = {r["run"]: r["run"] for r in labels.select("run").distinct().collect()}
+    for r in flips.where(F.col("flips") <= most).collect():
+        x, y = sorted((mode[r["a"]], mode[r["b"]]))
+        mode = {k: x if v == y else v for k, v in mode.items()}
+    kind = dict(labels.dtypes)["run"]
+    return labels.sparkSession.createDataFrame(sorted(mode.items()), f"run {kind}, mode {kind}")

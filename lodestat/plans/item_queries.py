@@ -261,3 +261,22 @@ def kind_rebalancing(spark, d):
     k = F.col("doc_id")
     rows = labelled(spark, d).select(k.alias("id"), F.when(k % 4 == 0, "a").when((k % 4 == 1) & (F.col("toxic") == 1), "b").alias("kind"), F.col("lang").alias("family"), (k % 3 == 2).alias("spare"))
     return items.rebalanced(rows, "kind", "family", 0.1, "k")
+
+
+@query("mode_groups", """with recursive l as (select event_id % 10 as run, event_id // 10 as id, cast(json_extract_string(props, '$.k') as int) > 10 * (event_id % 10 + 1) as label from events), p as (select a.run as a, b.run as b, avg((a.label <> b.label)::int) as f from l a join l b on a.id = b.id and a.run < b.run group by all),
+n as (select a, b from p where f <= 0.31 union all select b, a from p where f <= 0.31), r as (select distinct run, run as m from l union select n.a, r.m from r join n on n.b = r.run) select run, min(m) as mode from r group by 1""")
+def mode_groups(spark, d):
+    i = F.col("event_id")
+    rows = table(spark, d, "events").select((i % 10).alias("run"), F.floor(i / 10).alias("id"), (F.get_json_object("props", "$.k").cast("int") > 10 * (i % 10 + 1)).alias("label"))
+    return paired.mode_groups(rows, 0.31)
+
+
+@query("section_items")
+def section_items(spark, d):
+    return items.section_items(doc_lines(spark, d), "doc_id", F.length("line") < 20, 4, "h")
+
+
+@query("own_distractors", r"""with s as (select doc_id as id, lower(lang || source) as g, list_distinct(regexp_extract_all(text, '\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*')) as s from documents) select id, least(len(list_filter(s, lambda x: not (contains(lower(x), g) or contains(g, lower(x)) or substr(lower(x), 1, 4) = substr(g, 1, 4)))), 5)::int as n from s""")
+def own_distractors(spark, d):
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), "text", F.concat("lang", "source").alias("gold"))
+    return items.own_distractors(rows, 5).select("id", F.size("options").alias("n"))
