@@ -163,12 +163,34 @@ def near_groups(docs: DataFrame, k: int = 4, radius: int = RADIUS) -> DataFrame:
     return prints.join(table, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_key(name: str) -> Column:
+    """A hash of a whole text that stands for it; null counts as empty."""
+    return F.md5(F.coalesce(F.col(name), F.lit("")).cast("binary"))
+
+
+def least_rows(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of every component of texts, all columns as they were.
+
+    roots has the root of every node (text_key of a text) that is not its own. The row with the least doc_id stays,
+    null ids last; among rows of one id that with the least text_key, then the least of the other columns. Only rows
+    of one component ever give way to each other, whatever their ids. The texts are shuffled once, to meet the choice.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.md5(F.to_json(F.struct(*others)).cast("binary")) if others else F.lit("")
+    rows = docs.select(*numbered(docs), F.col("doc_id").isNull().alias("_none"), key_col("doc_id").alias("_key"), text_key("text").alias("_node"), rest.alias("_rest"))
+    choice = rows.select("_none", "_key", "_node", "_rest").join(roots, F.col("_node") == F.col("node"), "left")
+    first = choice.groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min(F.struct("_none", "_key", "_node", "_rest")).alias("first")).select("first.*")
+    by = ["_none", "_key", "_node", "_rest"]
+    return renamed(rows.join(first, by, "left_semi").dropDuplicates(by), docs.columns)
+
+
 def one_of_each(docs: DataFrame, k: int = 4, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs with the least doc_id of their group, all columns as they were.
+    """One row of every group of texts whose fingerprints are linked, all columns as they were; see least_rows.
 
-    Of rows that share that id one stays. Only ids go through the grouping; the texts are shuffled once, to meet it.
+    Only keys go through the grouping.
     """
-    groups = near_groups(docs, k, radius)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key_col("doc_id").alias("_key")).distinct()
-    rows = docs.select(*numbered(docs), key_col("doc_id").alias("_key"))
-    return renamed(rows.join(first, "_key", "left_semi").dropDuplicates(["_key"]), docs.columns)
+    prints = written(with_simhash(docs.select(text_key("text").alias("node"), "text"), k, "node").distinct(), "simhash")
+    distinct = written(prints.select("fp").distinct(), "simhash-distinct")
+    root = components(written(links(distinct, radius), "simhash-links"))
+    of = prints.join(root, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("fp"))
+    return least_rows(docs, of.select(F.col("id").alias("node"), F.col("fp").cast("string").alias("root")))
