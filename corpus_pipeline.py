@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import doubling, mixing, packing, quality, queries, simhash
+from lodestat.llm import doubling, jaccard, mixing, packing, quality, queries
 from lodestat.llm.common import documents, written
 
 
@@ -13,8 +13,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups by fingerprints of five-word shingles; the document with the least id of each stays, as one row."""
-    return simhash.one_of_each(docs, k=5)
+    """Groups by links of Jaccard similarity 0.8 or more between sets of five-word shingles; one row of each stays."""
+    return jaccard.one_of_each(docs, k=5)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: SimHash, tokenizer ids and the fitted vote model are beyond SQL; tests hold the stages against plain versions.
+#: Jaccard links, tokenizer ids and the fitted vote model are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
