@@ -61,9 +61,13 @@ def retrieval_margin(spark, d):
 
 @query("candidate_union")
 def candidate_union(spark, d):
-    lexical = bm25_top_k(spark, d)
-    dense = dense_top_k(spark, d)
-    return retrieval.candidate_union(lexical, dense.withColumn("query", F.col("query") % 50))
+    """Queries are the benchmark items that have a vector; both lists are of the ids with a text and a vector, without the query's own."""
+    v, t, q = vectors(spark, d), texts(spark, d), bench(spark, d)
+    both = v.select("id").join(t.select("id"), "id", "left_semi")
+    asked = v.join(q.select("id"), "id", "left_semi")
+    lexical = retrieval.bm25(t.join(both, "id", "left_semi"), q.join(asked.select("id"), "id", "left_semi").withColumnRenamed("id", "query"), 6).where("query <> id").drop("rank")
+    dense = retrieval.nearest(v.join(both, "id", "left_semi"), asked, 5)
+    return retrieval.candidate_union(retrieval.top_k(lexical, "query", "id", 5), dense)
 
 
 @query("new_options", f"""with {UNIT}, c as (select a.id, max(round(list_dot_product(a.v, b.v), 6)) as m from u a join u b on a.id <> b.id and a.id % 50 = 0 group by 1) select id, m < 0.85 as new from c""")
