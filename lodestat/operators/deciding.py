@@ -6,6 +6,8 @@ sorts as many rows as there are confidence values in an arm, not as many as ther
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,12 @@ def choose_threshold(rows: DataFrame, kmin: DataFrame, *by: str) -> DataFrame:
     return least_cut(rows, ok, *by)
 
 
+def needed_threshold(rows: DataFrame, needed: Callable[[Column], Column], *by: str) -> DataFrame:
+    """As choose_threshold, with the count that must be right as an expression of the number of accepted rows, however many."""
+    ok = steps(rows, *by).where(F.col("kk") >= needed(F.col("nn")))
+    return least_cut(rows, ok, *by)
+
+
 def wilson_threshold(rows: DataFrame, target: float, least: int, *by: str, z: float = 1.6448536269514722) -> DataFrame:
     """Smallest confidence whose accepted rows have a one-sided Wilson bound at the target, from a least number on."""
     k, n = F.col("kk"), F.col("nn")
