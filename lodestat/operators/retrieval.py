@@ -36,16 +36,16 @@ def top_k(scores: DataFrame, query: str, item: str, k: int, score: str = "score"
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, exclude: str | None = None, block: int = 2048) -> DataFrame:
-    """(id, v[, family]) the k items of greatest cosine for each query.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, exclude: str | None = None, block: int = 2048, slab: int = 4096) -> DataFrame:
+    """(id, v[, family]) the k items of greatest cosine (to six places) for each query, ties by id.
 
-    Queries are cut into blocks of bounded size. Every block meets every batch of vectors as one matrix product,
-    which keeps the k best of the batch; so what is shuffled is k rows a query and batch, never a pair each.
+    Queries are cut into blocks and vectors into slabs of bounded size. Every block meets every slab of vectors as one matrix product,
+    which keeps the k best of the slab; so what is shuffled is k rows a query and slab, never a pair each.
     """
     fam = [exclude] if exclude else []
     packed = queries.select("id", "v", *fam).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block)))))
     blocks = packed.groupBy("part").agg(F.collect_list(F.struct("id", "v", *fam)).alias("q"))
-    rows = vectors.select("id", "v", *fam).withColumn("slab", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(64)))
+    rows = vectors.select("id", "v", *fam).withColumn("slab", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(64, -(-vectors.count() // slab)))))
     slabs = rows.groupBy("slab").agg(F.collect_list(F.struct("id", "v", *fam)).alias("x"))
 
     def unit(structs: list[dict]) -> np.ndarray:
@@ -55,14 +55,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, exclude: str | None
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sim = unit(q) @ unit(x).T
+                x.sort(key=lambda s: s["id"])  # the stable cut below then leaves the least ids of a tie
+                sim = np.round(unit(q) @ unit(x).T, 6)
                 ids = np.array([s["id"] for s in x])
                 own = np.array([s["id"] for s in q])
                 sim[own[:, None] == ids[None, :]] = -2
                 if exclude:
                     sim[np.array([s[exclude] for s in q])[:, None] == np.array([s[exclude] for s in x])[None, :]] = -2
                 n = min(k, len(ids))
-                at = np.argsort(-np.round(sim, 6), axis=1, kind="stable")[:, :n]
+                at = np.argsort(-sim, axis=1, kind="stable")[:, :n]
                 keep = np.take_along_axis(sim, at, 1)
                 real = keep > -2
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)[real.ravel()]), pa.array(ids[at].ravel()[real.ravel()]), pa.array(keep.ravel()[real.ravel()])], names=["query", "id", "cosine"])
