@@ -125,7 +125,7 @@ def number_mentions(spark, d):
 
 @query("scheme_distribution")
 def scheme_distribution(spark, d):
-    lines = docs(spark, d).select("doc_id", F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 100000).alias("lines"))
+    lines = docs(spark, d).select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
     parts = lines.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("lines") / 4)), lambda i: F.slice("lines", (i * 4 + 1).cast("int"), 4))).alias("lines")).where(F.size("lines") == 4)
     return items.schemes(parts, "doc_id").groupBy("scheme").agg(F.count("*").alias("n"))
 
