@@ -37,7 +37,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for t in tables:
+        there = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        there.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def text_key(name: str) -> F.Column:
+    """A hash of a whole text that stands for it; null counts as empty."""
+    return F.md5(F.coalesce(F.col(name), F.lit("")).cast("binary"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of their sets of word shingles.
-
-Two sets are linked from LEAST on. All shingles stand in one order; a set of n shingles that shares at least the
-LEAST-th part of its union with another one shares one of the first n - ceil(LEAST * n) + 1 with the first ones of
-that (the prefix filter), so sets meet by a join on these few. The order puts the shingles that a sample holds often
-last: whatever the sample is, no link is lost, but a common passage then brings few unrelated texts together.
-
-Texts that meet are compared by size and by a bitmap whose differing bits are at most the shingles in which two
-sets differ; who passes both is verified on the whole sets. First each shingle's texts meet the least of them only.
-Only texts that are not in one component by then meet each other, which is all that components need.
-"""
+"""The exact Jaccard similarity of two texts' sets of word shingles, for pairs that are candidates already."""
 
 from __future__ import annotations
 
@@ -17,18 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.common import raw_texts, word_runs, written
-from lodestat.llm.simhash import SEED, components, least_rows, text_key
 
+SEED = 42
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
-#: One in so many texts is looked at for common shingles; those of at least COMMON of them count as such, at most MOST_COMMON.
-SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000
-#: Longs of a bitmap.
-WORDS = 32
 
 
 def shingles(raw: bytes, k: int = 5) -> np.ndarray:
@@ -52,67 +38,13 @@ def shingles(raw: bytes, k: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles, of which two sets that are to be linked share one; common is sorted."""
-    n = len(found)
-    size = n - -(-n * LEAST[0] // LEAST[1]) + 1
-    if not len(common):
-        return found[:size]
-    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-    last = common[at] == found
-    return np.concatenate([found[~last], found[last]])[:size]
-
-
-def bitmap(found: np.ndarray) -> np.ndarray:
-    """Of each bit whether an odd number of shingles falls on it."""
-    ones = np.bincount((found % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
 
 
-def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
-    """The shingles that a sample of texts(node, text) holds most often."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in raw_texts(b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, k).view(np.int64))], names=["s"])
-
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).dropDuplicates(["node"]).select("text")
-    n = some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    found = [r["s"] for r in n.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()]
-    return np.sort(np.array(found, np.int64).view(np.uint64))
-
-
-def shingled(texts: DataFrame, k: int, common: np.ndarray) -> DataFrame:
-    """node, n (size of the set), bits (its bitmap) and first (its prefix) of texts(node, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, k) for t in raw_texts(b.column(1))]
-            sizes = pa.array([len(s) for s in sets], pa.int32())
-            bits = pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))
-            first = pa.array([prefix(s, common).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), sizes, bits, first], names=["node", "n", "bits", "first"])
-
-    return texts.select("node", "text").mapInArrow(run, "node string, n int, bits array<long>, first array<long>")
-
-
-def may_be_similar(a: str, b: str) -> Column:
-    """By sizes and bitmaps; true for all sets that are to be linked."""
-    c = lambda x, y: F.col(f"{x}.{y}")
-    low, high = F.least(c(a, "n"), c(b, "n")), F.greatest(c(a, "n"), c(b, "n"))
-    differ = sum((F.bit_count(c(a, "bits")[i].bitwiseXOR(c(b, "bits")[i])) for i in range(1, WORDS)), F.bit_count(c(a, "bits")[0].bitwiseXOR(c(b, "bits")[0])))
-    most = (low + high) * (LEAST[1] - LEAST[0])
-    return (low * LEAST[1] >= high * LEAST[0]) & (differ * (LEAST[0] + LEAST[1]) <= most)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, k: int) -> DataFrame:
-    """The pairs(a, b) of numbers whose whole sets are similar; texts(node, text) and names(i, node) give their texts."""
+def similar_pairs(pairs: DataFrame, texts: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
+    """The pairs(a, b) of numbers whose whole sets are similar; texts(name, text) and names(node, name) give their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -124,41 +56,7 @@ def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, k: int) -> Da
                 keep.append(similar(held, shingles(t, k)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = names.join(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "i", "left_semi")
-    one = written(texts.join(asked, "node").dropDuplicates(["i"]), "jaccard-texts")
-    a, b = one.select(F.col("i").alias("a"), F.col("text").alias("ta")), one.select(F.col("i").alias("b"), F.col("text").alias("tb"))
+    asked = names.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    one = written(texts.join(asked, "name").dropDuplicates(["node"]), "jaccard-texts")
+    a, b = one.select(F.col("node").alias("a"), F.col("text").alias("ta")), one.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def roots(docs: DataFrame, k: int = 5) -> DataFrame:
-    """node (text_key) and root of every text that is not alone and not the root of its component."""
-    texts = docs.select(text_key("text").alias("node"), "text")
-    sets = written(shingled(texts, k, common_shingles(texts, k)).dropDuplicates(["node"]).withColumn("i", F.monotonically_increasing_id()), "jaccard-sets")
-    names = sets.select("i", "node")
-    each = sets.select("i", F.explode("first").alias("s"))
-    met = each.groupBy("s").agg(F.count("*").alias("c"), F.min("i").alias("least")).where("c > 1").select("s", "least")
-    shared = written(each.join(met, "s"), "jaccard-shared")
-    facts = sets.select("i", "n", "bits")
-
-    stars = shared.where("least <> i").select(F.col("least").alias("a"), F.col("i").alias("b")).distinct()
-    x, y = facts.alias("x"), facts.alias("y")
-    stars = stars.join(x, F.col("a") == F.col("x.i")).join(y, F.col("b") == F.col("y.i")).where(may_be_similar("x", "y")).select("a", "b")
-    found = written(verified(written(stars, "jaccard-stars"), texts, names, k), "jaccard-links")
-
-    root = components(found).withColumnRenamed("node", "i")
-    at = shared.select("s", "i").join(root, "i", "left").select("s", "i", F.coalesce("root", "i").alias("root"))
-    at = written(at, "jaccard-rooted")
-    mixed = at.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    rest = written(at.join(mixed, "s", "left_semi").join(facts, "i"), "jaccard-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.i") < F.col("y.i")) & (F.col("x.root") != F.col("y.root")) & may_be_similar("x", "y"))
-    pairs = met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct().join(found, ["a", "b"], "left_anti")
-    more = written(verified(written(pairs, "jaccard-pairs"), texts, names, k), "jaccard-links")
-    root = components(found.unionByName(more)).withColumnRenamed("node", "i")
-    of = names.select(F.col("i").alias("root"), F.col("node").alias("root_node"))
-    return root.join(names, "i").join(of, "root").select("node", F.col("root_node").alias("root"))
-
-
-def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
-    """One row of every component of texts that are linked, all columns as they were; the least by simhash.least_rows."""
-    return least_rows(docs, roots(docs, k))

@@ -1,21 +1,29 @@
 """SimHash near-duplicate groups by pivot distance tables.
 
-Every distinct fingerprint gets its Hamming distances to PIVOTS reference fingerprints. By the triangle inequality
-two fingerprints within RADIUS bits differ by at most RADIUS in each of these coordinates, so a pair with a greater
-difference in any coordinate is discarded without a look at its bits; the survivors are verified.
+Every fingerprint gets its Hamming distances to many reference fingerprints, the pivots, once. They serve three times:
 
-Which pairs are looked at all: the 64 bits are cut into BLOCKS blocks; RADIUS differing bits leave at least
-BLOCKS - RADIUS blocks alone, so two fingerprints that are to be linked meet under at least one choice of that many
-blocks. This loses no link.
+Candidates. The 64 bits are cut into groups; inside a group every two neighbouring bits are a pivot with only these
+two bits set. From the distances to zero and to such a pivot follows how many of the two bits are set: their relative
+coordinate. A bit that differs changes coordinates of its own group only, so fingerprints within RADIUS bits agree in
+all coordinates of at least GROUPS - RADIUS groups: they meet in the bucket of one choice of that many groups. No
+link is lost.
 
-Equal fingerprints are one before any pair is made. Links are made between distinct fingerprints only, and each
-once. Components come from star contraction over written tables.
+Discarding. By the triangle inequality two fingerprints within the radius differ by at most the radius in their
+distance to any pivot. Of pairs that meet, those with a greater difference from one of SCATTERED pivots, which cut
+across the groups, are discarded without a look at their bits.
+
+Verifying. The survivors' bits are counted (and their texts compared, where a likeness of texts is asked for).
+
+In each bucket all members first meet the least of them only. Buckets whose members lie in one component by then are
+done; only in the others members of different components meet each other. So a dense group makes a star, not all
+pairs, and no link between components is lost. Equal fingerprints are one before. Components come from star
+contraction over written tables.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import key_col, numbered, raw_texts, renamed, word_runs, written
+from lodestat.llm import jaccard
+from lodestat.llm.common import discard, key_col, numbered, raw_texts, renamed, text_key, word_runs, written
 
 SEED = 42
 RADIUS = 4
-BLOCKS = 7
-PIVOTS = 16
+GROUPS = 7
+SCATTERED = 16
 
 
 def simhash(raw: bytes, k: int = 4) -> int:
@@ -56,74 +65,127 @@ def simhash(raw: bytes, k: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def with_simhash(docs: DataFrame, k: int = 4, id_col: str = "doc_id") -> DataFrame:
+def word_set_simhash(raw: bytes) -> int:
+    """Of the distinct words of a whole text, A-Z lowered: changes of a few words move few bits. Without words 0."""
+    digest = xxhash.xxh64_intdigest
+    found: set[bytes] = set()
+    for words in word_runs(raw.lower()):
+        found.update(words)
+    if not found:
+        return 0
+    each = np.fromiter((digest(w, SEED) for w in found), "<u8", len(found))
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(each), 1 << 16):
+        ones += np.unpackbits(each[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(each), bitorder="little").view("<u8")[0])
+
+
+def with_simhash(docs: DataFrame, of: Callable[[bytes], int] = simhash, id_col: str = "doc_id") -> DataFrame:
     """id and fp (the fingerprint as a signed long) of every row."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([simhash(t, k) for t in raw_texts(b.column(1))], np.uint64)
+            found = np.array([of(t) for t in raw_texts(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"id {kind}, fp long")
 
 
-def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
-    """One mask for each block, as signed longs; they share out the 64 bits."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    return [signed(((1 << b) - (1 << a)) & (2**64 - 1)) for a, b in itertools.pairwise(edges)]
-
-
 def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def pivots(n: int = PIVOTS) -> list[int]:
-    """Reference fingerprints: hashes of the numbers from 0, fixed for all data."""
+def grouped_pivots(groups: int = GROUPS) -> list[list[int]]:
+    """For each group of bits its pivots: every two neighbouring bits of it."""
+    edges = [round(64 * i / groups) for i in range(groups + 1)]
+    return [[signed(3 << k) for k in range(a, b - 1)] for a, b in itertools.pairwise(edges)]
+
+
+def scattered_pivots(n: int = SCATTERED) -> list[int]:
+    """Hashes of the numbers from 0, fixed for all data."""
     return [signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED)) for i in range(n)]
 
 
-def distance_table(fp: Column, n: int = PIVOTS) -> Column:
-    """The coordinates of fp, a byte each, eight to a long."""
-    packed = []
-    for lo in range(0, n, 8):
-        each = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"), 8 * i) for i, p in enumerate(pivots(n)[lo : lo + 8])]
-        packed.append(sum(each[1:], each[0]))
-    return F.array(*packed)
+def distance(fp: Column, pivot: int) -> Column:
+    return F.bit_count(fp.bitwiseXOR(F.lit(pivot)))
+
 
+def distance_table(nodes: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """nodes(node, fp) with g, the relative coordinates of each group, and d, the distances to the scattered pivots.
 
-def near_in_table(a: Column, b: Column, radius: int, n: int = PIVOTS) -> Column:
-    """No coordinate differs by more than radius."""
-    at = lambda x, i: F.shiftright(x[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(127))
+    Both are packed into longs: two bits a relative coordinate, a byte a distance.
+    """
+    fp = F.col("fp")
+    packed = lambda parts, bits: sum((F.shiftleft(x.cast("long"), bits * i) for i, x in enumerate(parts)), F.lit(0).cast("long"))
+    relative = lambda p: F.shiftright(distance(fp, 0) + 2 - distance(fp, p), 1)
+    g = F.array(*(packed(map(relative, own), 2) for own in grouped_pivots(groups)))
+    far = [distance(fp, p) for p in scattered_pivots()]
+    return nodes.select("node", "fp", g.alias("g"), F.array(*(packed(far[i : i + 8], 8) for i in range(0, len(far), 8))).alias("d"))
+
+
+def buckets(table: DataFrame, groups: int = GROUPS, alike: int = GROUPS - RADIUS) -> DataFrame:
+    """b, node: a row for each choice of groups that are to be alike. A chance meeting in b costs a look, no more."""
+    chosen = itertools.combinations(range(groups), alike)
+    return table.select("node", F.explode(F.array(*(F.xxhash64(F.lit(t), *(F.col("g")[i] for i in c)) for t, c in enumerate(chosen)))).alias("b"))
+
+
+def not_discarded(a: str, b: str, radius: int) -> Column:
+    """No distance to a scattered pivot differs by more than the radius."""
+    at = lambda x, i: F.shiftright(F.col(f"{x}.d")[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(127))
     out = F.lit(True)
-    for i in range(n):
+    for i in range(SCATTERED):
         out = out & (F.abs(at(a, i) - at(b, i)) <= radius)
     return out
 
 
-def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """a < b: all pairs of the distinct fingerprints in prints.fp that differ in at most radius bits."""
-    masks = block_masks(radius, blocks)
-    chosen = list(itertools.combinations(range(blocks), blocks - radius))
-    unions = [signed(sum(masks[i] & (2**64 - 1) for i in c)) for c in chosen]
-    keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in unions))).alias("t", "key")
-    rows = prints.select("fp", distance_table(F.col("fp")).alias("d")).select("fp", "d", keys)
-    a, b = rows.alias("a"), rows.alias("b")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    # the first choice of blocks under which the two meet, so that a pair comes once
-    first = F.array_position(F.array(*(x.bitwiseAND(F.lit(m)) == 0 for m in unions)), True) - 1
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near_in_table(F.col("a.d"), F.col("b.d"), radius) & (F.bit_count(x) <= radius))
-    return met.where(F.col("a.t") == first).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+def verified(a: str, b: str, radius: int) -> Column:
+    return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius
+
 
+def near(pairs: DataFrame, table: DataFrame, radius: int) -> DataFrame:
+    """The pairs(a, b) of nodes that the pivots don't discard and that are within the radius."""
+    x, y = table.alias("x"), table.alias("y")
+    met = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+    return met.where(not_discarded("x", "y", radius) & verified("x", "y", radius)).select("a", "b")
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def linked(nodes: DataFrame, radius: int = RADIUS, groups: int = GROUPS, alike: int | None = None, same: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """node, root for every node of nodes(node, fp) that is not alone and not the root (least node) of its component.
+
+    alike: groups in which a pair agrees to become a candidate; by default as many as lose none. same: keeps of
+    pairs(a, b) those that are links; by default all within the radius are.
+    """
+    same = same or (lambda pairs: pairs)
+    table = written(distance_table(nodes, groups), "simhash-table")
+    each = buckets(table, groups, alike or groups - radius)
+    met = each.groupBy("b").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1").select("b", "least")
+    shared = written(each.join(met, "b"), "simhash-buckets")
+
+    stars = shared.where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    stars = written(same(written(near(stars, table, radius), "simhash-stars")), "simhash-links")
+    root = components(stars).withColumnRenamed("root", "own")
+    at = shared.join(root, "node", "left").select("b", "node", F.coalesce("own", "node").alias("root"))
+    at = written(at, "simhash-rooted")
+    mixed = at.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
+    rest = written(at.join(mixed, "b", "left_semi").join(table.select("node", "fp", "d"), "node"), "simhash-rest")
+    x, y = rest.alias("x"), rest.alias("y")
+    on = (F.col("x.b") == F.col("y.b")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    pairs = x.join(y, on & not_discarded("x", "y", radius) & verified("x", "y", radius)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    more = written(same(written(pairs, "simhash-pairs")), "simhash-links")
+    return components(stars.unionByName(more))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of edges(a, b) that is not its own root.
 
     Alternates large-star and small-star steps: every node hands its greater, then its smaller neighbours to the
-    least of its neighbourhood, until nothing changes. Minima are aggregated before they are shuffled.
+    least of its neighbourhood, until nothing changes. Minima are aggregated before they are shuffled. A round's
+    table is dropped once the next is written.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(rounds):
+    was = fixed(now)
+    while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -132,10 +194,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         joined = large.join(least, F.col("u") == F.col("w"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         small = written(small, "edges")
-        if fixed(small) == fixed(now):
-            break
-        now = small
-    return small.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+        discard(now, large)
+        now, before, was = small, was, fixed(small)
+        if was == before:
+            return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
 def fixed(edges: DataFrame) -> tuple:
@@ -152,10 +214,9 @@ def near_groups(docs: DataFrame, k: int = 4, radius: int = RADIUS) -> DataFrame:
     greatest of all; a component of them alone has a null id. An empty table gives an empty result. Other columns
     are not read.
     """
-    prints = written(with_simhash(docs, k), "simhash")
+    prints = written(with_simhash(docs, lambda raw: simhash(raw, k)), "simhash")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
-    found = written(links(distinct, radius), "simhash-links")
-    root = components(found)
+    root = linked(distinct.select(F.col("fp").alias("node"), "fp"), radius, radius + GROUPS - RADIUS)
     # the roots of fingerprints, then the least id of each root
     of = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -163,11 +224,6 @@ def near_groups(docs: DataFrame, k: int = 4, radius: int = RADIUS) -> DataFrame:
     return prints.join(table, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def text_key(name: str) -> Column:
-    """A hash of a whole text that stands for it; null counts as empty."""
-    return F.md5(F.coalesce(F.col(name), F.lit("")).cast("binary"))
-
-
 def least_rows(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """One row of every component of texts, all columns as they were.
 
@@ -184,13 +240,19 @@ def least_rows(docs: DataFrame, roots: DataFrame) -> DataFrame:
     return renamed(rows.join(first, by, "left_semi").dropDuplicates(by), docs.columns)
 
 
-def one_of_each(docs: DataFrame, k: int = 4, radius: int = RADIUS) -> DataFrame:
-    """One row of every group of texts whose fingerprints are linked, all columns as they were; see least_rows.
+def one_of_each(docs: DataFrame, radius: int = 10, groups: int = 8, alike: int = 3, k: int = 5) -> DataFrame:
+    """One row of every group of texts that are linked, all columns as they were; see least_rows.
 
-    Only keys go through the grouping.
+    Texts are linked whose sets of k-word shingles have a Jaccard similarity of at least jaccard.LEAST, verified on
+    the whole sets, among those whose word_set_simhash lies within the radius and agrees in so many groups. Within
+    groups - alike bits no pair is missed; beyond, a pair agrees in that many groups with a probability that falls with
+    its distance. Texts that are equal up to the case of A-Z and white space are candidates always. A null text counts
+    as empty; empty texts are alike. An empty table gives an empty result.
     """
-    prints = written(with_simhash(docs.select(text_key("text").alias("node"), "text"), k, "node").distinct(), "simhash")
-    distinct = written(prints.select("fp").distinct(), "simhash-distinct")
-    root = components(written(links(distinct, radius), "simhash-links"))
-    of = prints.join(root, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("fp"))
-    return least_rows(docs, of.select(F.col("id").alias("node"), F.col("fp").cast("string").alias("root")))
+    texts = docs.select(text_key("text").alias("name"), "text")
+    prints = with_simhash(texts, word_set_simhash, "name").dropDuplicates(["id"])
+    prints = written(prints.select(F.monotonically_increasing_id().alias("node"), F.col("id").alias("name"), "fp"), "simhash")
+    names = prints.select("node", "name")
+    root = linked(prints.select("node", "fp"), radius, groups, alike, lambda pairs: jaccard.similar_pairs(pairs, texts, names, k))
+    of = names.select(F.col("node").alias("root"), F.col("name").alias("root_name"))
+    return least_rows(docs, root.join(names, "node").join(of, "root").select(F.col("name").alias("node"), F.col("root_name").alias("root")))

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestat.llm import doubling, fingerprint, mixing, packing, quality, queries, quotes, sharding, simhash, suffixes, toxicity
 
@@ -197,11 +198,36 @@ def test_op4_random_prints(spark):
             prints[len(prints)] = x
             for b in rng.choice(64, int(rng.integers(0, 6)), replace=False):
                 x ^= 1 << int(b)
-    df = spark.createDataFrame([(simhash.signed(v),) for v in set(prints.values())], "fp long")
-    got = {(r["a"], r["b"]) for r in simhash.links(df).collect()}
     vals = sorted({simhash.signed(v) for v in prints.values()})
-    want = {(a, b) for i, a in enumerate(vals) for b in vals[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
-    assert got == want
+    df = spark.createDataFrame([(v, v) for v in vals], "node long, fp long")
+    near = {(a, b) for i, a in enumerate(vals) for b in vals[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    root = {r["node"]: r["root"] for r in simhash.linked(df).collect()}
+    want = plain_components({v: v & (2**64 - 1) for v in vals}, 4)
+    by_least = {}
+    for v, g in want.items():
+        by_least.setdefault(g, []).append(v)
+    assert {v: root.get(v, v) for v in vals} == {v: min(g) for g in by_least.values() for v in g}
+
+    # what each of the three steps leaves: all links meet, and the pivots discard nearly all that meets by chance
+    other = spark.createDataFrame([(int(v), int(v)) for v in rng.integers(-(2**63), 2**63, 1500)], "node long, fp long")
+    table = simhash.distance_table(df.union(other)).cache()
+    each = simhash.buckets(table, 7, 1)
+    met = each.alias("p").join(each.alias("q"), "b").where("p.node < q.node").selectExpr("p.node a", "q.node b").distinct()
+    pairs = met.join(table.alias("x"), F.col("a") == F.col("x.node")).join(table.alias("y"), F.col("b") == F.col("y.node")).cache()
+    kept = pairs.where(simhash.not_discarded("x", "y", 4)).cache()
+    good = {(r["a"], r["b"]) for r in kept.where(simhash.verified("x", "y", 4)).select("a", "b").collect()}
+    full = {(r["a"], r["b"]) for r in simhash.buckets(table).alias("p").join(simhash.buckets(table).alias("q"), "b").where("p.node < q.node").selectExpr("p.node a", "q.node b").collect()}
+    assert good == near and near <= full
+    assert pairs.count() > 10_000 and kept.count() < 0.1 * pairs.count()
+
+
+def test_op4_many_in_one_bucket(spark):
+    """Fingerprints that all share a bucket, some far from the least of it but near each other."""
+    rng = np.random.default_rng(5)
+    vals = sorted({simhash.signed(int.from_bytes(bytes(rng.integers(0, 256, 4, np.uint8)), "little") & 0x0F0F00FF) for _ in range(400)})
+    df = spark.createDataFrame([(v, v) for v in vals], "node long, fp long")
+    root = {r["node"]: r["root"] for r in simhash.linked(df).collect()}
+    assert {v: root.get(v, v) for v in vals} == plain_components({v: v for v in vals}, 4)
 
 
 def test_op4_chain_components(spark):

