@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import doubling, jaccard, mixing, packing, quality, queries
+from lodestat.llm import doubling, mixing, packing, quality, queries, simhash
 from lodestat.llm.common import documents, written
 
 
@@ -14,7 +14,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Groups by links of Jaccard similarity 0.8 or more between sets of five-word shingles; one row of each stays."""
-    return jaccard.one_of_each(docs, k=5)
+    return simhash.one_of_each(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
