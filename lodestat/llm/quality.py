@@ -1,10 +1,16 @@
 """Quality rules under weak supervision.
 
-Rules vote good or bad or abstain; expectation-maximisation over the counts of the vote patterns finds how
-often each rule votes bad on good and on bad texts and how common bad texts are; the posterior probability of
-a good text decides, in place of a filter that every rule must pass.
+Rules vote good or bad or abstain. A text is good or of one of a few kinds of bad; within each of these classes the
+rules err independently. Expectation-maximisation over the counts of the vote patterns estimates how common each
+class is and how often each rule votes bad in it: on good texts that is the rule's false alarms, on the others what
+it detects. Rules that go together are explained by a kind of their own rather than counted twice. The number
+of kinds, from 1 to KINDS, is the one with the least Bayesian information criterion. Good is the class of the
+majority; its posterior probability decides, in place of a filter that every rule must pass.
 
-Counts of patterns are gathered over all documents. There are at most 3 ** len(RULES) patterns, whatever the
+Nothing bounds the estimates: half a vote for and half a vote against in each rate (Jeffreys' prior) and one text
+in each class only keep them off 0 and 1.
+
+Counts of patterns are gathered over all documents. There are at most 3 ** len(rules()) patterns, whatever the
 size of the corpus; only they reach the driver.
 """
 
@@ -19,13 +25,13 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.common import raw_texts, renamed, word_runs, written
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper_words long, n_distinct_words long, n_alpha long"
-#: Most that a rule may vote bad on good texts. The rules are written to be precise; without this bound, a rule that
-#: is alone in its bad vote would be explained as its own mistake.
-FALSE_ALARMS = 0.003
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper_words long, n_distinct_words long, n_alpha long, n_letter_words long"
+#: Most kinds of bad texts.
+KINDS = 4
 SYMBOLS = b"#*$%&|<>"
 _DROP_SPACE = bytes(range(256)), b" \t\n\r\x0b\x0c"
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
+_OTHERS = bytes(set(range(256)) - set(_LETTERS))
 
 
 def trigram_repeats(ids: np.ndarray, n_ids: int) -> int:
@@ -57,12 +63,15 @@ def text_stats(raw: bytes) -> tuple[int, ...]:
         ids.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words)))
         upper += sum(map(bytes.isupper, words))
     all_ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    times = np.bincount(all_ids, minlength=len(seen))
+    plain = sum(times[i] for w, i in seen.items() if w[0] not in _LETTERS and not w.translate(None, _OTHERS))
     packed = raw.translate(None, _DROP_SPACE[1])
     chars = len(packed) - len(packed.translate(None, bytes(range(0x80, 0xC0)))) if not packed.isascii() else 0
     lines = [x for x in raw.split(b"\n") if x.strip()]
     return (
         len(all_ids), len(packed) - chars, len(packed) - len(packed.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
         trigram_repeats(all_ids, len(seen) + 1), len(lines), upper, len(seen), len(packed) - len(packed.translate(None, _LETTERS)) - chars,
+        len(all_ids) - int(plain),
     )
 
 
@@ -94,38 +103,66 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "shouting": (ratio("n_upper_words", "n_words") > 0.3, ratio("n_upper_words", "n_words") < 0.1),
         "word_length": ((ratio("word_chars", "n_words") > 15) | (ratio("word_chars", "n_words") < 2.5), ratio("word_chars", "n_words").between(3, 12)),
         "letters": (ratio("n_alpha", "word_chars") < 0.7, ratio("n_alpha", "word_chars") > 0.85),
+        "wordlike": (ratio("n_letter_words", "n_words") < 0.8, ratio("n_letter_words", "n_words") > 0.9),
         "variety": (ratio("n_distinct_words", "n_words") < 0.1, ratio("n_distinct_words", "n_words") > 0.3),
         "length": (few, F.col("n_words") >= 100),
     }
 
 
-def fit(patterns: dict[str, int], n_rules: int, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
-    """EM over pattern counts (one letter a rule: b, g or a). Returns the share of good texts and P(bad vote | good), P(bad vote | bad) of each rule.
+class Model:
+    """share of each class (good is 0) and rate[class, rule] of bad votes among votes."""
+
+    def __init__(self, share: np.ndarray, rate: np.ndarray):
+        self.share, self.rate = share, rate
+
+    def joint(self, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+        return np.log(self.share) + bad @ np.log(self.rate).T + good @ np.log1p(-self.rate).T
+
+    def posterior(self, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Probability of each class for texts with these votes."""
+        log = self.joint(bad, good)
+        p = np.exp(log - log.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def likelihood(self, bad: np.ndarray, good: np.ndarray, n: np.ndarray) -> float:
+        return float(n @ np.logaddexp.reduce(self.joint(bad, good), axis=1))
 
-    Pseudo-counts keep a rule that never votes at its start values.
-    """
-    votes = np.array([list(p) for p in patterns]).reshape(len(patterns), n_rules)
-    n = np.array(list(patterns.values()), float)
-    bad, good = (votes == "b").astype(float), (votes == "g").astype(float)
-    share, on_good, on_bad = 0.9, np.full(n_rules, FALSE_ALARMS), np.full(n_rules, 0.4)
-    strength = 10.0
-    for _ in range(rounds):
-        p = posterior(bad, good, share, on_good, on_bad)
-        before = share
-        share = min(0.99, max(0.5, (p @ n + 9) / (n.sum() + 10)))
-        for own, which, start in ((on_good, p * n, FALSE_ALARMS), (on_bad, (1 - p) * n, 0.4)):
-            own[:] = (which @ bad + strength * start) / (which @ (bad + good) + strength)
-        on_good[:] = np.clip(on_good, 1e-4, FALSE_ALARMS)
-        on_bad[:] = np.clip(on_bad, 0.05, 0.99)
-        if abs(share - before) < 1e-10:
-            break
-    return share, on_good, on_bad
-
-
-def posterior(bad: np.ndarray, good: np.ndarray, share: float, on_good: np.ndarray, on_bad: np.ndarray) -> np.ndarray:
-    """Probability that a text with these votes is good."""
-    logit = np.log(share / (1 - share)) + bad @ np.log(on_good / on_bad) + good @ np.log((1 - on_good) / (1 - on_bad))
-    return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+
+def matrices(patterns: dict[str, int], n_rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bad votes, good votes and count of each pattern (one letter a rule: b, g or a)."""
+    v = np.array([list(p) for p in patterns]).reshape(len(patterns), n_rules)
+    return (v == "b").astype(float), (v == "g").astype(float), np.array(list(patterns.values()), float)
+
+
+def started(bad: np.ndarray, n: np.ndarray, kinds: int) -> np.ndarray:
+    """First guess at the classes: without a bad vote good; else by the rule that votes bad most often among those left, the last kind has the rest."""
+    left = bad.any(axis=1)
+    p = np.zeros((len(bad), kinds + 1))
+    p[:, 0] = np.where(left, 0.1, 1.0)
+    for k in range(1, kinds + 1):
+        own = left & (bad[:, int(np.argmax((n * left) @ bad))] > 0) if k < kinds else left
+        p[own, k], left = 0.9, left & ~own
+    return p
+
+
+def fit(patterns: dict[str, int], n_rules: int, kinds: int = KINDS, rounds: int = 2000) -> Model:
+    """EM over pattern counts, for each number of kinds; the class with the greatest share comes first."""
+    bad, good, n = matrices(patterns, n_rules)
+    best, least = None, np.inf
+    for k in range(1, kinds + 1):
+        p, last = started(bad, n, k), -np.inf
+        for _ in range(rounds):
+            w = p * n[:, None]
+            m = Model((w.sum(axis=0) + 1) / (n.sum() + k + 1), (w.T @ bad + 0.5) / (w.T @ (bad + good) + 1))
+            p, now = m.posterior(bad, good), m.likelihood(bad, good, n)
+            if now - last < 1e-10 * abs(now):
+                break
+            last = now
+        criterion = (k + (k + 1) * n_rules) * np.log(n.sum()) - 2 * now
+        if criterion < least:
+            best, least = m, criterion
+    order = np.argsort(-best.share, kind="stable")
+    return Model(best.share[order], best.rate[order])
 
 
 def votes() -> Column:
@@ -138,9 +175,8 @@ def verdicts(stats: DataFrame) -> DataFrame:
     found = {r["_votes"]: r["count"] for r in stats.groupBy(votes().alias("_votes")).count().collect()}
     rows = []
     if found:
-        share, on_good, on_bad = fit(found, len(rules()))
-        v = np.array([list(p) for p in found])
-        p = posterior((v == "b").astype(float), (v == "g").astype(float), share, on_good, on_bad)
+        bad, good, _ = matrices(found, len(rules()))
+        p = fit(found, len(rules())).posterior(bad, good)[:, 0]
         rows = [(k, float(x)) for k, x in zip(found, p, strict=True)]
     return stats.sparkSession.createDataFrame(rows, "_votes string, p_good double")
 
@@ -165,6 +201,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows that are kept, with all their columns as they were.
 
+    A row with a null or empty text goes. Repeated rows stay or go together; ties at the threshold stay. Columns may
+    have any names. An empty table gives an empty result.
+
     The texts are read and counted twice, which costs less than sending them through a shuffle to meet their
     verdicts; only the verdicts by vote pattern go to every task.
     """
