@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestat.llm import doubling, fingerprint, mixing, packing, quality, quotes, sharding, simhash, suffixes, toxicity
 from lodestat.llm.common import documents
 
+#: Bytes of a shard of documents: small enough that tables of any size split over several levels.
+SHARD_BYTES = 128 << 10
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -37,7 +40,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(documents(spark, sf_dir))
+    return sharding.shards(documents(spark, sf_dir), SHARD_BYTES)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_extendible_shards": sharding.SQL.format(limit=sharding.LIMIT)}
+    return {"op6_extendible_shards": sharding.SQL.format(limit=SHARD_BYTES)}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import written
+from lodestat.llm.common import numbered, written
 
 LIMIT = 32 << 20
 STEP = 8
@@ -25,8 +25,8 @@ def hash_bits(digest: Column) -> Column:
     return F.lpad(F.conv(F.substring(digest, 1, 16), 16, 2), 64, "0")
 
 
-def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, shard (the hash bits it shares), depth, shard_bytes, shard_docs and oversize of every row.
+def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, further columns to keep, n_bytes, shard (the hash bits it shares), depth, shard_bytes, shard_docs and oversize of every row.
 
     A null or empty text has no bytes but a shard all the same. Rows of one id share 64 bits; past these they are
     told apart by a hash of their text and their place in the input, so that repeated rows split like any others.
@@ -35,12 +35,12 @@ def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id") -> DataF
     """
     own = hash_bits(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
     more = hash_bits(F.md5(F.concat_ws(":", F.xxhash64("text").cast("string"), F.monotonically_increasing_id().cast("string")).cast("binary")))
-    rows = docs.select(F.col(id_col), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.concat(own, more).alias("bits"))
+    rows = docs.select(id_col, *keep, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.concat(own, more).alias("bits"))
     rows = written(rows, "shard-rows")
     whole = rows.agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).first()
     if (whole["b"] or 0) <= limit or whole["n"] == 1:
         flat = [F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(whole["b"] or 0).cast("long").alias("shard_bytes"), F.lit(whole["n"]).cast("long").alias("shard_docs")]
-        return marked(rows.select(id_col, "n_bytes", *flat), limit)
+        return marked(rows.select(id_col, *keep, "n_bytes", *flat), limit)
     done, left = [], rows
     for depth in range(0, BITS, STEP):
         to = depth + STEP
@@ -52,7 +52,7 @@ def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id") -> DataF
         page = each.select("slot", "depth", "shard").join(nodes, "shard").where(fit)
         page = page.groupBy("slot").agg(F.min(F.struct("depth", "shard", "shard_bytes", "shard_docs")).alias("leaf")).select("slot", "leaf.*")
         page = written(page, "shard-page")
-        done.append(left.join(page, "slot").select(id_col, "n_bytes", "shard", "depth", "shard_bytes", "shard_docs"))
+        done.append(left.join(page, "slot").select(id_col, *keep, "n_bytes", "shard", "depth", "shard_bytes", "shard_docs"))
         left = written(left.join(page.select("slot"), "slot", "left_anti").drop("slot"), "shard-rows")
         if left.isEmpty():
             break
@@ -67,10 +67,16 @@ def marked(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id") -> None:
-    """The documents as Parquet, a folder a shard. A shard is written by one task: it fits the limit."""
-    where = shards(docs, limit, id_col).select(F.col(id_col).alias("_id"), "shard").distinct()
-    rows = docs.join(where, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id")
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+    """The documents as Parquet, a folder a shard (shard=b<bits>, `b` alone for an undivided table). A shard is written by one task: it fits the limit.
+
+    Every row is written once, repeated rows as often as they occur. An empty table writes no shard.
+    """
+    rows = written(docs.select(*numbered(docs), F.monotonically_increasing_id().alias("_row")), "shard-input")
+    own = rows.select(F.col(f"k{docs.columns.index(id_col)}").alias("id"), F.col(f"k{docs.columns.index('text')}").alias("text"), "_row")
+    where = shards(own, limit, "id", ("_row",)).select("_row", "shard")
+    placed = rows.join(where, "_row")
+    out = placed.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)), F.concat(F.lit("b"), "shard").alias("shard"))
+    out.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 #: The same in SQL, for ids that are not repeated.
