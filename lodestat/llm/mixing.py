@@ -2,11 +2,14 @@
 
 The words of a source are laid out in blocks of fixed length. Every output shard draws from each source a
 multinomial number of slots; the draws are conditioned on the source's total, so that the sum over shards meets
-the target. Slot j of a source stands for block perm(j mod n) of its n blocks, with a keyed permutation that needs
+the target. They are drawn down a binary tree of chunks of shards, with a generator seeded by the node, so a task that
+has a chunk draws along one path and no task or driver ever lists all shards. Slot j of a source stands for block perm(j mod n) of its n blocks, with a keyed permutation that needs
 no table, so any task can map any slot. Blocks and slots then meet in a join by index.
 
-A source is laid out in lanes of a bounded number of documents each (by hash of the id), so that a hot source is
-never ordered in one task.
+A source is laid out in lanes of a bounded number of documents each (by hash of the id and the text), so that a hot
+source, null ids or a repeated id are never ordered in one task.
+
+The sources themselves - a name and a few numbers each - are the one table that the driver holds.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import key_col, numbered, raw_texts, renamed, word_spans, written
+from lodestat.llm.common import code_points, key_col, numbered, raw_texts, renamed, strings, word_spans, written
 
 ROW = ["_key", "_mark", "_nth"]
 
@@ -29,6 +32,8 @@ def MARK() -> Column:
 
 BLOCK_WORDS = 32
 SLOTS_PER_SHARD = 1 << 15
+#: Shards whose slots are drawn together.
+CHUNK_SHARDS = 4
 #: Documents a lane holds on average.
 LANE_DOCS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -61,16 +66,40 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return {s: float(t) for (s, _), t in zip(order, target, strict=True)}
 
 
-def shard_counts(slots: np.ndarray, per_shard: int, seed: int) -> np.ndarray:
-    """Slots of each shard by source: a multinomial draw for each shard, conditioned on the totals."""
-    rng = np.random.default_rng(seed)
-    left = slots.astype(np.int64).copy()
-    out = []
-    while (n := left.sum()) > 0:
-        take = left.copy() if n <= per_shard else rng.multivariate_hypergeometric(left, per_shard, method="marginals")
-        out.append(take)
-        left -= take
-    return np.array(out, np.int64).reshape(len(out), len(slots))
+def share_of(slots: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source's slots are among n of all, drawn without replacement.
+
+    Beyond a thousand million slots the draw is the normal law with the same mean and variance.
+    """
+    out, rest = np.zeros(len(slots), np.int64), int(slots.sum())
+    for i, own in enumerate(slots.tolist()):
+        others = rest - own
+        if rest < 10**9:
+            k = int(rng.hypergeometric(own, others, n)) if n and own else 0
+        else:
+            mean = n * (own / rest)
+            k = round(rng.normal(mean, np.sqrt(max(0.0, mean * (others / rest) * ((rest - n) / (rest - 1))))))
+        out[i] = min(max(k, n - others, 0), own, n)
+        n, rest = n - int(out[i]), others
+    return out
+
+
+def chunk_counts(slots: np.ndarray, per_shard: int, chunk: int, n_chunks: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each source in earlier chunks, and in each shard (row) of this chunk."""
+    before, left = np.zeros(len(slots), np.int64), slots.astype(np.int64)
+    lo, hi = 0, n_chunks
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        first = share_of(left, (mid - lo) * CHUNK_SHARDS * per_shard, np.random.default_rng([seed, lo, hi]))
+        if chunk < mid:
+            left, hi = first, mid
+        else:
+            before, left, lo = before + first, left - first, mid
+    rng, out = np.random.default_rng([seed, lo, hi]), []
+    while (n := int(left.sum())) > 0:
+        out.append(share_of(left, min(n, per_shard), rng))
+        left = left - out[-1]
+    return before, np.array(out, np.int64).reshape(len(out), len(slots))
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -103,8 +132,8 @@ class Mix:
         goal = targets([(r["source"], r["size"]) for r in found], weights, share, most)
         self.sources = [(i, r["source"], r["size"], -(-r["n"] // lane_docs), goal[r["source"]]) for i, r in enumerate(sorted(found, key=lambda r: (r["source"] is None, r["source"] or "")))]
         kinds = self.spark.createDataFrame(self.sources, "src int, source string, source_size long, lanes long, target double")
-        rows = rows.join(F.broadcast(kinds), rows["source"].eqNullSafe(kinds["source"])).drop(kinds["source"])
-        rows = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("lanes")))
+        rows = rows.join(kinds, rows["source"].eqNullSafe(kinds["source"])).drop(kinds["source"])
+        rows = rows.withColumn("lane", F.pmod(F.xxhash64("_mark", F.lit(seed)), F.col("lanes")))
         order = Window.partitionBy("src", "lane").orderBy("doc_id", "_mark").rowsBetween(Window.unboundedPreceding, -1)
         placed = rows.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0)))
         #: _key, _mark and _nth (among rows that are the same) name a row.
@@ -117,27 +146,32 @@ class Mix:
         self.blocks = [int(blocks.get(s[0]) or 0) for s in self.sources]
         #: A block's mean length turns a target of words into one of slots; no source takes its blocks more than `most` times.
         slots = [min(int(most * b), round(s[4] * b / s[2])) if s[2] else 0 for s, b in zip(self.sources, self.blocks, strict=True)]
-        self.shards = shard_counts(np.array(slots, np.int64), per_shard, seed)
-        self.seed = seed
+        self.drawn = np.array(slots, np.int64)
+        self.per_shard, self.seed = per_shard, seed
 
     def slots(self) -> DataFrame:
         """One row a slot: shard, src, block (index within the source) and turn (how often the block was taken before).
 
         The planner knows the few rows the slots are made from, not how many they become: join with a merge hint.
         """
-        start = np.cumsum(self.shards, axis=0) - self.shards
-        rows = [(int(i), s, int(start[i, s]), int(n), self.blocks[s]) for i, each in enumerate(self.shards) for s, n in enumerate(each) if n]
-        todo = self.spark.createDataFrame(rows, "shard int, src int, first long, n long, blocks long").repartition(max(1, min(len(self.shards) // 4, 4096)))
-        seed = self.seed
+        drawn, per_shard, seed = self.drawn, self.per_shard, self.seed
+        blocks = self.blocks
+        n = -(-int(drawn.sum()) // (CHUNK_SHARDS * per_shard))
+        todo = self.spark.range(0, n, 1, max(1, min(n, 16 * self.spark.sparkContext.defaultParallelism)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for r in b.to_pylist():
-                    j = np.arange(r["first"], r["first"] + r["n"])
-                    block = permuted(j % r["blocks"], r["blocks"], seed * 1000003 + r["src"])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), r["shard"], np.int32)), pa.array(np.full(len(j), r["src"], np.int32)), pa.array(block), pa.array((j // r["blocks"]).astype(np.int32))], names=["shard", "src", "block", "turn"])
-
-        return todo.mapInArrow(run, "shard int, src int, block long, turn int")
+                for chunk in b.column(0).to_pylist():
+                    first, counts = chunk_counts(drawn, per_shard, chunk, n, seed)
+                    for i, each in enumerate(counts):
+                        for s in np.flatnonzero(each).tolist():
+                            j = np.arange(first[s], first[s] + each[s])
+                            block = permuted(j % blocks[s], blocks[s], seed * 1000003 + s)
+                            shard = np.full(len(j), chunk * CHUNK_SHARDS + i, np.int64)
+                            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(j), s, np.int32)), pa.array(block), pa.array((j // blocks[s]).astype(np.int32))], names=["shard", "src", "block", "turn"])
+                        first = first + each
+
+        return todo.mapInArrow(run, "shard long, src int, block long, turn int")
 
     def spans(self) -> DataFrame:
         """One row for each document and block that share words: ROW, src, block, lo and hi (words of the document)."""
@@ -169,7 +203,8 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix: for each turn the part of a text that was taken then, with all columns of docs.
 
-    A document can come twice, once for each turn. White space within a taken run of words stays as it is; runs
+    A null text is never taken, nor is an empty one; a null source is one of its own. Repeated rows each count. An empty
+    table gives an empty result. A document can come twice, once for each turn. White space within a taken run of words stays as it is; runs
     that were apart are joined by a line break. n_chars, where there is such a column, is counted anew. The texts
     are shuffled once.
     """
@@ -198,11 +233,11 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
                             else:
                                 joined.append([r["lo"], r["hi"]])
                     back.append(i)
-                    texts.append(b"\n".join(raw[starts[lo] : ends[hi - 1]] for lo, hi in joined).decode())
+                    texts.append(b"\n".join(raw[starts[lo] : ends[hi - 1]] for lo, hi in joined))
             cols = [c.take(pa.array(back, pa.int64())) for c in b.columns[:-1]]
-            cols[at] = pa.array(texts, pa.string())
+            cols[at] = strings(texts)
             if "n_chars" in names:
-                cols[names.index("n_chars")] = pa.array(map(len, texts), pa.int64()).cast(cols[names.index("n_chars")].type)
+                cols[names.index("n_chars")] = pa.array(map(code_points, texts), pa.int64()).cast(cols[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(cols, names=[f"k{i}" for i in range(len(names))])
 
     return renamed(rows.mapInArrow(run, ", ".join(kinds)), names)
