@@ -4,6 +4,9 @@ A text is a sequence of units (words or bytes). In every window of `window` unit
 anchor: the one with the least scrambled hash, the leftmost of equals. Equal windows have equal anchors at equal
 places in them, so a window can only repeat if its anchor does. Windows in a row that share their anchor form a
 piece. Only pieces whose anchor occurs twice in the collection are looked at again.
+
+A document is told apart by _row, a hash of its id and text; documents stand in order of _key, the id (null as the
+least), then of _row. Rows that are alike in both id and text are one document.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import key_col, mixed, raw_texts, word_runs
+from lodestat.llm.common import key_col, mixed, raw_texts, word_runs, written
 
 #: Units that are hashed at a time; a longer text is taken in overlapping blocks.
 BLOCK = 1 << 20
@@ -50,22 +53,33 @@ def _power(which: int, n: int, inverse: bool) -> np.ndarray:
     return held[:n]
 
 
+def prefix_sums(units: np.ndarray, which: int = 0) -> np.ndarray:
+    """From these sums the hash of any span follows by one subtraction; see span_hashes."""
+    u = _OF_BYTE[units] if units.dtype == np.uint8 else units
+    if which:
+        u = mixed(u + np.uint64(0xA0761D6478BD642F))
+    prefix = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(u * _power(which, len(units), False), out=prefix[1:])
+    return prefix
+
+
+def span_hashes(prefix: np.ndarray, start: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """Polynomial hashes modulo 2**64 of the spans of size units from start."""
+    return (prefix[start + size] - prefix[start]) * _power(which, len(prefix), True)[start]
+
+
 def window_hashes(units: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of every window of size units, from one array of prefix sums."""
+    """span_hashes of every window of size units."""
     n = len(units)
     if n < size:
         return np.zeros(0, np.uint64)
-    u = _OF_BYTE[units] if units.dtype == np.uint8 else units
-    if which:
-        u = mixed(u + np.uint64(0xA0761D6478BD642F))
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(u * _power(which, n, False), out=prefix[1:])
+    prefix = prefix_sums(units, which)
     return (prefix[size:] - prefix[: n - size + 1]) * _power(which, n - size + 1, True)
 
 
-def pieces(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of the first window, number of windows and anchor hash of each piece of a text."""
-    starts, counts, hashes = [], [], []
+def pieces(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start of the first window, number of windows, anchor hash and anchor place of each piece of a text."""
+    starts, counts, hashes, places = [], [], [], []
     n = len(units)
     for at in range(0, max(1, n - window + 1), BLOCK):
         part = units[at : at + BLOCK + window - 1]
@@ -87,81 +101,130 @@ def pieces(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nd
         starts.append(s + at)
         counts.append(np.diff(np.append(s, m)))
         hashes.append(h[place[s]])
+        places.append(place[s] + at)
     if not starts:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(hashes)
+        return none, none, np.zeros(0, np.uint64), none
+    return np.concatenate(starts), np.concatenate(counts), np.concatenate(hashes), np.concatenate(places)
+
+
+def row_key(id_col: str = "doc_id") -> F.Column:
+    return F.xxhash64(F.col(id_col), F.col("text"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """_key (the id; null as the least number) and text."""
-    return docs.select(key_col(id_col).alias("_key"), F.col("text"))
+    """_row, _key and text."""
+    return docs.select(row_key(id_col).alias("_row"), key_col(id_col).alias("_key"), F.col("text"))
 
 
-def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
-    """h, _key, s, n: a row a piece, from the scan itself.
+def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int = 0) -> DataFrame:
+    """h, _row, s, n: a row a piece, from the scan itself.
 
     Within a batch of documents the rows of one anchor are summed up before they are shuffled: the first stands
     for all (n is 2), the others are known to repeat (n is 0) and need not meet it. So a hot anchor sends a row a batch.
+
+    With a step, one in so many anchors (by hash, so the same ones in equal texts) is a rung: it also has its place p,
+    the _key and, of the windows from there of one, two, four, ... times the length, as far as the text goes, the hashes
+    hs and cs (32 bits more).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [pieces(units(t), window, gram) for t in raw_texts(b.column(1))]
-            h = np.concatenate([g[2] for g in got]) if got else np.zeros(0, np.uint64)
-            s = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
-            key = np.repeat(b.column(0).to_numpy(), [len(g[0]) for g in got]) if got else np.zeros(0, np.int64)
+            got, longer, held = [], [], []
+            for t in raw_texts(b.column(2)):
+                u = units(t)
+                got.append(pieces(u, window, gram))
+                if step:
+                    hs, cs, size = rungs(u, got[-1], window, step)
+                    longer.append((hs, cs))
+                    held.append(size)
+            h, s, p = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in ((2, np.uint64), (0, np.int64), (3, np.int64)))
+            sizes = [len(g[0]) for g in got]
+            row = np.repeat(b.column(0).to_numpy(), sizes)
             order = np.argsort(h, kind="stable")
-            h, s, key = h[order], s[order], key[order]
+            h, s, row = h[order], s[order], row[order]
             first = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
             size = np.diff(np.append(np.flatnonzero(first), len(h)))
             n = np.zeros(len(h), np.int8)
             n[first] = np.minimum(size, 2)
-            slot = np.where(n > 0, h, mixed(key.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(slot.view(np.int64)), pa.array(key), pa.array(s.astype(np.int32)), pa.array(n)], names=["h", "slot", "_key", "s", "n"])
-
-    return keyed(docs).mapInArrow(run, "h long, slot long, _key long, s int, n byte")
+            slot = np.where(n > 0, h, mixed(row.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)))
+            cols = {"h": pa.array(h.view(np.int64)), "slot": pa.array(slot.view(np.int64)), "_row": pa.array(row), "s": pa.array(s.astype(np.int32)), "n": pa.array(n)}
+            if step:
+                rung = np.concatenate(held) >= 0 if held else np.zeros(0, bool)
+                size = np.where(rung, np.concatenate(held), 0) if held else np.zeros(0, np.int64)
+                ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+                take = pa.array(order)
+                for name, i, kind in (("hs", 0, np.int64), ("cs", 1, np.int32)):
+                    values = np.concatenate([x[i] for x in longer]) if longer else np.zeros(0, kind)
+                    cols[name] = pa.ListArray.from_arrays(ends, pa.array(values.view(kind))).take(take)
+                cols["p"] = pa.array(p[order].astype(np.int32), mask=~rung[order])
+                cols["_key"] = pa.array(np.repeat(b.column(1).to_numpy(), sizes)[order], mask=~rung[order])
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return keyed(docs).mapInArrow(run, "h long, slot long, _row long, s int, n byte" + (RUNG if step else ""))
+
+
+RUNG = ", hs array<long>, cs array<int>, p int, _key long"
+
+
+def rungs(units: np.ndarray, got: tuple, window: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (two parts) of the longer windows of one anchor after the other; how many each anchor has, -1 where it is no rung."""
+    _, _, h, p = got
+    size = np.full(len(p), -1, np.int64)
+    own = np.flatnonzero(h % np.uint64(step) == 0)
+    if not len(own):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), size
+    left = (len(units) - p[own]) // window
+    size[own] = np.where(left > 0, np.frexp(left.astype(float))[1], -1)
+    own = own[left > 0]
+    hs, cs, at = [], [], []
+    prefix, other = prefix_sums(units), prefix_sums(units, 1)
+    for k in range(int(size.max(initial=0))):
+        i = own[size[own] > k]
+        hs.append(span_hashes(prefix, p[i], window << k))
+        cs.append((span_hashes(other, p[i], window << k, 1) >> np.uint64(32)).astype(np.uint32))
+        at.append(i)
+    if not hs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), size
+    order = np.argsort(np.concatenate(at), kind="stable")
+    return np.concatenate(hs)[order], np.concatenate(cs)[order], size
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """_key, s of the rows whose hash has a sum of n of two or more, or that were known to repeat."""
+    """The rows (without slot and n) whose hash has a sum of n of two or more, or that were known to repeat."""
+    names = [c for c in rows.columns if c not in ("slot", "n")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None  # the group that is open, and its one row if its sum is 1 so far
+        last, held = None, None  # the group that is open and repeats; the one row of the open group if its sum is 1 so far
         for b in batches:
-            h, key, s, n = (b.column(i).to_numpy() for i in range(4))
-            if not len(h):
+            if not b.num_rows:
                 continue
-            more = 0
-            if held is not None and h[0] == held[0]:
-                h, key, s, n = (np.concatenate(([x], y)) for x, y in zip(held, (h, key, s, n), strict=True))
-            elif held is None and last is not None and h[0] == last:
-                more = 2
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            h, n = b.column("h").to_numpy(), b.column("n").to_numpy()
             at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             total = np.add.reduceat(n.astype(np.int64), at)
-            total[0] += more
-            size = np.diff(np.append(at, len(h)))
-            keep = (np.repeat(total, size) >= 2) | (n == 0)
-            last, held = h[-1], None
+            if h[0] == last:
+                total[0] += 2
+            keep = (np.repeat(total, np.diff(np.append(at, len(h)))) >= 2) | (n == 0)
+            last, held = h[-1] if total[-1] >= 2 else None, None
             if total[-1] == 1:
-                i = at[-1] + int(np.argmax(n[at[-1] :] == 1))
-                held = (h[i], key[i], s[i], n[i])
-            elif total[-1] == 0:
-                last = None
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(s[keep].astype(np.int32))], names=["_key", "s"])
+                held = b.slice(at[-1] + int(np.argmax(n[at[-1] :] == 1)), 1)
+            yield b.filter(pa.array(keep)).select(names)
 
-    dealt = rows.repartition("slot").select("h", "_key", "s", "n").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "_key long, s int")
+    kinds = dict(rows.dtypes)
+    dealt = rows.repartition("slot").select("n", *names).sortWithinPartitions("h")
+    return dealt.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
-def candidates(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
-    """_key, starts: the pieces of each document whose anchor occurs twice or more."""
-    return repeated(anchor_rows(docs, units, window, gram)).groupBy("_key").agg(F.collect_list("s").alias("starts"))
+def candidates(docs: DataFrame, units: Units, window: int, gram: int, step: int = 0) -> DataFrame:
+    """A written table of the pieces whose anchor occurs twice or more: h, _row, s, and with a step the columns of RUNG."""
+    return written(repeated(anchor_rows(docs, units, window, gram, step)), "repeated-pieces")
 
 
 def chosen(units: np.ndarray, starts: list[int] | np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pieces of a text that are among starts."""
-    s, n, h = pieces(units, window, gram)
+    s, n, h, _ = pieces(units, window, gram)
     own = np.isin(s, np.asarray(starts, np.int64))
     return s[own], n[own], h[own]
 

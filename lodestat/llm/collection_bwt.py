@@ -10,63 +10,65 @@ from __future__ import annotations
 
 import numpy as np
 
-MOST = 255  # common prefixes are counted up to here
 
-
-def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def build(strings: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
     """(bwt, lcp) of all suffixes, the empty ones first in the order of the strings.
 
-    A symbol is a byte plus one; 0 marks the start of a string. lcp is that of a row with the row above.
+    A symbol is a byte plus one; 0 marks the start of a string. lcp is that of a row with the row above, counted up
+    to most.
     """
     m = len(strings)
     size = np.fromiter(map(len, strings), np.int64, m)
     ends = np.cumsum(size)
-    text = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)  # no byte of UTF-8 is 255
-    before = lambda i, k: np.where(size[i] > k, text[np.maximum(ends[i] - 1 - k, 0)], 0).astype(np.uint8)
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    text = text.astype(np.uint16) + 1 if (text == 255).any() else text + np.uint8(1)
+    kind = np.min_scalar_type(most + 1)
+    padded = np.append(text, np.zeros(1, text.dtype))  # its last is the mark of a start
+
+    def before(i: np.ndarray, k: int) -> np.ndarray:
+        return padded[np.where(size[i] > k, ends[i] - 1 - k, len(text))]
+
     active = np.arange(m)
     row = np.arange(m)
-    bwt, lcp = before(active, 0) if m and len(text) else np.zeros(m, np.uint8), np.zeros(m, np.uint8)
+    bwt, lcp = before(active, 0), np.zeros(m, kind)
     for k in range(1, int(size.max(initial=0)) + 1):
         more = size[active] >= k
-        active, row = active[more], row[more]
-        n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        ended = int(np.count_nonzero(bwt == 0))
-        by_rank = np.argsort(rank[row])
-        active, row = active[by_rank], row[by_rank]
+        if not more.all():
+            active, row = active[more], row[more]
+        n, new = len(bwt), len(active)
+        order = np.argsort(bwt, kind="stable").astype(np.int32)
+        rank = np.empty(n, np.int32)
+        rank[order] = np.arange(n, dtype=np.int32)
         q = rank[row]
-        place = q + m - ended
+        by_rank = np.argsort(q)
+        active, row, q = active[by_rank], row[by_rank], q[by_rank]
+        place = q + (m - int(np.count_nonzero(bwt == 0)))
         symbol = bwt[row]
         # neighbours with the same first symbol, and the least common prefix on the way to them
-        up = order[np.maximum(q - 1, 0)]
+        up, down = order[np.maximum(q - 1, 0)], order[np.minimum(q + 1, n - 1)]
         has_up = (q > 0) & (bwt[up] == symbol)
-        down = order[np.minimum(q + 1, n - 1)]
         has_down = (q < n - 1) & (bwt[down] == symbol)
-        new_n = n + len(active)
-        old = np.ones(new_n, bool)
+        old = np.ones(n + new, bool)
         old[place] = False
-        next_bwt, next_lcp = np.empty(new_n, np.uint8), np.empty(new_n, np.uint8)
-        next_bwt[old], next_lcp[old] = bwt, lcp
+        at = np.flatnonzero(old)
+        next_bwt, next_lcp = np.empty(n + new, text.dtype), np.empty(n + new, kind)
+        next_bwt[at], next_lcp[at] = bwt, lcp
         next_bwt[place] = before(active, k)
-        below = _least(lcp, row[has_down] + 1, down[has_down] + 1)
-        next_lcp[place[has_down] + 1] = np.minimum(below, MOST - 1) + 1
-        own = np.zeros(len(active), np.uint8)
-        own[has_up] = np.minimum(_least(lcp, up[has_up] + 1, row[has_up] + 1), MOST - 1) + 1
+        next_lcp[place[has_down] + 1] = np.minimum(_least(lcp, row[has_down] + 1, down[has_down] + 1, most), most - 1) + 1
+        own = np.zeros(new, kind)
+        own[has_up] = np.minimum(_least(lcp, up[has_up] + 1, row[has_up] + 1, most), most - 1) + 1
         next_lcp[place] = own
         ends_segment = place[~has_down] + 1
-        ends_segment = ends_segment[ends_segment < new_n]
-        next_lcp[ends_segment] = 0  # another first symbol
+        next_lcp[ends_segment[ends_segment < n + new]] = 0  # another first symbol
         bwt, lcp, row = next_bwt, next_lcp, place
     return bwt, lcp
 
 
-def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> np.ndarray:
     """min(x[lo:hi]) for each pair, lo < hi."""
     if not len(lo):
-        return np.zeros(0, np.uint8)
-    padded = np.append(x, np.uint8(MOST))
+        return np.zeros(0, x.dtype)
+    padded = np.append(x, x.dtype.type(most))
     return np.minimum.reduceat(padded, np.stack([lo, hi], axis=1).ravel())[::2]
 
 
@@ -87,10 +89,10 @@ def rows_of(bwt: np.ndarray, m: int, rounds: int) -> tuple[np.ndarray, np.ndarra
 
 def repeats(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """group, string, offset of every window of a length that occurs twice or more in the collection."""
-    bwt, lcp = build(strings)
+    bwt, lcp = build(strings, window)
     string, length = rows_of(bwt, len(strings), max(map(len, strings), default=0))
     joins = lcp >= window
-    inside = joins | np.append(joins[1:], False)
+    inside = joins | np.append(joins[1:], False) if len(joins) else joins
     group = np.cumsum(~joins)[inside]
     string, length = string[inside], length[inside]
     size = np.fromiter(map(len, strings), np.int64, len(strings))

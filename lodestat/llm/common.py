@@ -108,9 +108,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def key_col(name: str) -> F.Column:
-    """A null key as a value of its own that no real key takes part with: joins by it keep null rows apart."""
+    """The id for comparison; null is as the least of all."""
     return F.coalesce(F.col(name), F.lit(-(2**63)))
 
 
-def id_of_key(name: str = "_key") -> F.Column:
-    return F.when(F.col(name) != -(2**63), F.col(name))
+def decoded(column: pa.Array) -> list[str]:
+    """The texts; null counts as empty, bytes that are no UTF-8 as U+FFFD."""
+    return [x.decode("utf-8", "replace") for x in raw_texts(column)]
+
+
+def strings(raw: list[bytes | None]) -> pa.Array:
+    """Texts from their bytes, valid UTF-8 or not."""
+    return pa.array(raw, pa.binary()).view(pa.string())
+
+
+def code_points(raw: bytes) -> int:
+    return len(raw.translate(None, _CONTINUED))
+
+
+_CONTINUED = bytes(range(0x80, 0xC0))

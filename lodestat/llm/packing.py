@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import raw_texts, written
+from lodestat.llm.common import decoded, written
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 END_ID = 2
@@ -112,8 +112,8 @@ def tokenized(docs: DataFrame, path: str, size: int = 1024, id_col: str = "doc_i
         end = np.asarray([END_ID], "<u4").tobytes()
         for b in batches:
             own, rows = [], []
-            for i, raw in enumerate(raw_texts(b.column(1))):
-                doc = ids(raw.decode()) + end
+            for i, raw in enumerate(decoded(b.column(1))):
+                doc = ids(raw) + end
                 n, at = len(doc) // 4, 0
                 for k in range(-(-n // size)):
                     length = (n - 1) % size + 1 if k == 0 else size

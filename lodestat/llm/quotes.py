@@ -19,12 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import id_of_key, key_col, written
+from lodestat.llm.common import decoded, key_col, written
 
 MARKS = re.compile(r"^(?:[ \t]{0,3}>)+[ \t]?")
 _UNITS = "conv long, turn long, level int, h long, chars int"
 
 
+def turn_of(key: str) -> F.Column:
+    return F.when(F.col(key) != -(2**63), F.col(key))
+
+
 def split_levels(text: str) -> list[tuple[int, str]]:
     """(depth of quotation, line without marks) of every line."""
     out = []
@@ -64,8 +68,8 @@ def unit_rows(messages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for conv, turn, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for level, unit in dict.fromkeys(units(text or "")):
+            for conv, turn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), decoded(b.column(2)), strict=True):
+                for level, unit in dict.fromkeys(units(text)):
                     h = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"))
                     rows.append((conv, turn, level, h - 2**64 if h >= 2**63 else h, len(unit)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -112,14 +116,16 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            quoted = [sum(level > 0 for level, _ in split_levels(t or "")) for t in texts]
-            own = [None if t is None else unquoted(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("conv"), b.column("turn"), b.column("role"), pa.array(own, pa.string()), pa.array(quoted, pa.int32())], names=["conv", "turn", "role", "text", "n_quoted_lines"])
-
-    rows = messages.select(key_col("conv_id").alias("conv"), key_col("turn").alias("turn"), "role", "text").mapInArrow(run, "conv long, turn long, role string, text string, n_quoted_lines int")
+            texts = decoded(b.column("text"))
+            quoted = [sum(level > 0 for level, _ in split_levels(t)) for t in texts]
+            own = [unquoted(t) if ok else None for t, ok in zip(texts, b.column("text").is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.string()), pa.array(quoted, pa.int32())], names=[*b.schema.names, "n_quoted_lines"])
+
+    kinds = dict(messages.dtypes)
+    rows = messages.select("conv_id", F.col("turn").alias("own_turn"), key_col("conv_id").alias("conv"), key_col("turn").alias("turn"), "role", "text")
+    rows = rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, own_turn {kinds['turn']}, conv long, turn long, role string, text string, n_quoted_lines int")
     out = rows.join(tree, ["conv", "turn"], "left")
     return out.select(
-        id_of_key("conv").alias("conv_id"), id_of_key("turn").alias("turn"), "role", "text", id_of_key("parent").alias("reply_to"),
-        id_of_key("root").alias("root_linked"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "n_quoted_lines",
+        "conv_id", F.col("own_turn").alias("turn"), "role", "text", turn_of("parent").alias("reply_to"),
+        turn_of("root").alias("root_linked"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "n_quoted_lines",
     ).withColumn("root", F.coalesce("root_linked", "turn")).drop("root_linked")

@@ -7,8 +7,9 @@ of one anchor meet in one task; equal runs are one. The task gathers them into c
 builds each collection's Burrows-Wheeler transform and common prefixes column by column, and reads off the strings
 with a common prefix of WINDOW or more. A run that is the only one of its anchor has nothing to be compared with.
 
-An anchor with more runs than a collection holds is taken in several; the strings of its runs that come first
-in their own collection are then compared by a hash of 128 bits over all of them.
+An anchor that occurs HOT times or more would gather too much in one task. Its runs are cut finer before they are
+dealt: windows in a row that share their DEEP least grams form a run of their own, dealt by all of these. Equal
+windows share them too, so they still meet, and the same construction judges them.
 
 The collections stand in for the sequential external files of the method: they are read and rewritten in sequence
 each round, but small enough for memory.
@@ -22,209 +23,167 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm import collection_bwt
-from lodestat.llm.anchors import byte_units, candidates, chosen, covered, ranges
-from lodestat.llm.common import id_of_key, key_col, raw_texts, written
+from lodestat.llm.anchors import byte_units, candidates, chosen, covered, row_key, window_hashes
+from lodestat.llm.common import discard, key_col, mixed, raw_texts, written
 
 WINDOW = 100
 GRAM = 32
 COLLECTION = 64 << 10
-_MARK = "h long, content binary, _key long, s int"
-_FOUND = "slot long, check long, _key long, mark long, n int, flags binary"
-
-
-def runs_of(raw: bytes, starts: np.ndarray, window: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Content, start, number of windows and anchor hash of the runs of a text that may repeat."""
-    s, n, h = chosen(byte_units(raw), starts, window, gram)
-    return [raw[a : a + k - 1 + window] for a, k in zip(s.tolist(), n.tolist(), strict=True)], s, n, h
+HOT = 512
+DEEP = 8
+Run = tuple[int, bytes, int]  # hash by which it is dealt, content, start in the text
+
+
+def finer(h: int, content: bytes, start: int, window: int, gram: int) -> list[Run]:
+    """The windows of a run cut wherever their DEEP least grams change."""
+    grams = mixed(window_hashes(byte_units(content), gram))
+    rows = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
+    deep = min(DEEP, rows.shape[1])
+    least = np.sort(np.partition(rows, deep - 1, axis=1)[:, :deep], axis=1)
+    cut = np.append(0, np.flatnonzero((least[1:] != least[:-1]).any(axis=1)) + 1)
+    ends = np.append(cut[1:], len(rows))
+    keys = np.full(len(cut), h, np.uint64)
+    for j in range(deep):
+        keys = mixed(keys * np.uint64(31) + least[cut, j])
+    return [(k, content[a : b - 1 + window], start + a) for k, a, b in zip(keys.tolist(), cut.tolist(), ends.tolist(), strict=True)]
+
+
+def runs_of(raw: bytes, starts: np.ndarray, window: int, gram: int) -> list[Run]:
+    """The runs of a text that may repeat; starts: place << 1, and a bit for those of a hot anchor."""
+    s, n, h = chosen(byte_units(raw), starts >> 1, window, gram)
+    hot = np.isin(s, starts[starts & 1 == 1] >> 1)
+    out: list[Run] = []
+    for a, k, x, deep in zip(s.tolist(), n.tolist(), h.tolist(), hot.tolist(), strict=True):
+        content = raw[a : a + k - 1 + window]
+        if deep:
+            out += finer(x, content, a, window, gram)
+        else:
+            out.append((x, content, a))
+    return out
 
 
 def mark_of(s: int, content: bytes) -> int:
-    """Place and a check of the content, so that rows of one id but other texts are told apart."""
+    """Place and a check of the content."""
     return s << 32 | zlib.crc32(content)
 
 
 def run_rows(texts: DataFrame, found: DataFrame, window: int, gram: int) -> DataFrame:
-    """h, content, _key, s of the runs; equal runs of a batch are one before the shuffle, the first of them."""
+    """h, content, _key, _row, s of the runs; equal runs of a batch are one before the shuffle, the first of them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least: dict[bytes, tuple[int, int, int]] = {}
-            for key, raw, starts in zip(b.column("_key").to_pylist(), raw_texts(b.column("text")), b.column("starts"), strict=True):
-                contents, s, _, h = runs_of(raw, starts.values.to_numpy(), window, gram)
-                for c, at, x in zip(contents, s.tolist(), h.view(np.int64).tolist(), strict=True):
+            least: dict[bytes, tuple[int, int, int, int]] = {}
+            for key, row, raw, starts in zip(b.column("_key").to_pylist(), b.column("_row").to_pylist(), raw_texts(b.column("text")), b.column("starts"), strict=True):
+                for h, c, at in runs_of(raw, starts.values.to_numpy(), window, gram):
                     was = least.get(c)
-                    if was is None or (key, at) < was[:2]:
-                        least[c] = (key, at, x)
+                    if was is None or (key, row, at) < was[:3]:
+                        least[c] = (key, row, at, h)
+            key, row, s, h = zip(*least.values(), strict=True) if least else [()] * 4
             yield pa.RecordBatch.from_arrays([
-                pa.array([v[2] for v in least.values()], pa.int64()), pa.array(list(least), pa.binary()),
-                pa.array([v[0] for v in least.values()], pa.int64()), pa.array([v[1] for v in least.values()], pa.int32()),
-            ], names=["h", "content", "_key", "s"])
-
-    return texts.join(found, "_key").mapInArrow(emit, _MARK)
-
-
-class Collection:
-    """Distinct runs that are built together, with the place where each comes first."""
-
-    def __init__(self, window: int):
-        self.window = window
-        self.contents: list[bytes] = []
-        self.places: list[tuple[int, int]] = []
-        self.anchors: list[int] = []
-        self.size = 0
-
-    def add(self, h: int, content: bytes, key: int, s: int) -> None:
-        self.contents.append(content)
-        self.places.append((key, s))
-        self.anchors.append(h)
-        self.size += len(content)
-
-    def unjoined(self) -> pa.RecordBatch:
-        """A row a run, when each is the only one of its anchor and so no window of it comes twice."""
-        return batch_of([(*self.named(i), len(c) - self.window + 1, b"") for i, c in enumerate(self.contents)])
-
-    def named(self, i: int) -> tuple[int, int, int, int]:
-        key, s = self.places[i]
-        mark = mark_of(s, self.contents[i])
-        return signed(xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True) + mark.to_bytes(8, "little"))), 0, key, mark
-
-    def result(self, split: set[int]) -> pa.RecordBatch:
-        """A row a run: which of its windows come later than an equal one of this collection. For anchors in split also a row for each other window."""
-        group, string, offset = collection_bwt.repeats(self.contents, self.window)
-        keys = np.array([p[0] for p in self.places], np.int64)
-        starts = np.array([p[1] for p in self.places], np.int64)
-        order = np.lexsort((starts[string] + offset, keys[string], group)) if len(group) else np.zeros(0, np.int64)
-        g, string, offset = group[order], string[order], offset[order]
-        later = np.append(False, g[1:] == g[:-1]) if len(g) else np.zeros(0, bool)
-        flags: dict[int, np.ndarray] = {}
-        for i, o in zip(string[later].tolist(), offset[later].tolist(), strict=True):
-            if i not in flags:
-                flags[i] = np.zeros(len(self.contents[i]) - self.window + 1, bool)
-            flags[i][o] = True
-        out = []
-        for i, c in enumerate(self.contents):
-            key, s = self.places[i]
-            n = len(c) - self.window + 1
-            out.append((*self.named(i), n, np.packbits(flags[i]).tobytes() if i in flags else b""))
-            if self.anchors[i] in split:
-                for o in range(n):
-                    if i not in flags or not flags[i][o]:
-                        d = xxhash.xxh3_128_digest(c[o : o + self.window])
-                        out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), key, s + o, 0, None))
-        return batch_of(out)
-
-
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 6
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["slot", "check", "_key", "mark", "n", "flags"])
-
-
-def signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+                pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(list(least), pa.binary()),
+                pa.array(key, pa.int64()), pa.array(row, pa.int64()), pa.array(s, pa.int32()),
+            ], names=["h", "content", "_key", "_row", "s"])
+
+    return texts.join(found, "_row").mapInArrow(emit, "h long, content binary, _key long, _row long, s int")
+
+
+def judged(runs: list[tuple], window: int) -> pa.RecordBatch:
+    """_row, mark, n and flags of distinct runs (h, content, _key, _row, s): which of their windows come later than an equal one, as bits."""
+    contents = [r[1] for r in runs]
+    group, string, offset = collection_bwt.repeats(contents, window)
+    keys, rows, starts = (np.array([r[i] for r in runs], np.int64) for i in (2, 3, 4))
+    order = np.lexsort((starts[string] + offset, rows[string], keys[string], group))
+    group, string, offset = group[order], string[order], offset[order]
+    later = np.append(False, group[1:] == group[:-1]) if len(group) else np.zeros(0, bool)
+    n = np.fromiter((len(c) - window + 1 for c in contents), np.int64, len(contents))
+    base = np.cumsum(n) - n
+    every = np.zeros(int(n.sum()), bool)
+    every[base[string[later]] + offset[later]] = True
+    some = np.bincount(string[later], minlength=len(runs)) > 0
+    flags = [np.packbits(every[a : a + k]).tobytes() if x else b"" for a, k, x in zip(base.tolist(), n.tolist(), some.tolist(), strict=True)]
+    return batch_of(runs, window, flags)
+
+
+def batch_of(runs: list[tuple], window: int, flags: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([r[3] for r in runs], pa.int64()), pa.array([mark_of(r[4], r[1]) for r in runs], pa.int64()), pa.array(flags, pa.binary()),
+    ], names=["_row", "mark", "flags"])
 
 
 def judged_runs(rows: DataFrame, window: int, limit: int) -> DataFrame:
-    """_FOUND: for the first of equal runs its windows that come later than an equal one, as bits; and single windows still open."""
+    """_row, mark, flags: for the first of equal runs its windows that come later than an equal one, as bits."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, alone, last, anchor = Collection(window), Collection(window), None, None
-        first: tuple | None = None  # the one run of the open anchor so far
-        split: set[int] = set()
-        own = 0  # bytes of the anchor that is open
+        now: list[tuple] = []  # runs of anchors that have several
+        alone: list[tuple] = []
+        size, last, first = 0, None, None  # first: the one run of the open anchor so far
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, content = row[:2]
-                if content == last and h == anchor:
-                    continue
-                if h != anchor:
-                    if first:
-                        alone.add(*first)
-                    if now.size >= limit:
-                        yield now.result(split)
-                        now, split = Collection(window), set()
-                    if alone.size >= 16 * limit:
-                        yield alone.unjoined()
-                        alone = Collection(window)
-                    first, own = row, 0
+                if last is not None and row[0] == last[0]:
+                    if row[1] == last[1]:
+                        continue
+                    if first is not None:
+                        now.append(first)
+                        size, first = size + len(first[1]), None
+                    now.append(row)
+                    size += len(row[1])
                 else:
-                    if first:
-                        now.add(*first)
-                        own, first = len(first[1]), None
-                    if own + len(content) > 4 * limit:  # one anchor alone is too much for a collection
-                        split.add(h)
-                        yield now.result(split)
-                        now, split, own = Collection(window), {h}, 0
-                    now.add(*row)
-                    own += len(content)
-                last, anchor = content, h
-        if first:
-            alone.add(*first)
-        if now.contents:
-            yield now.result(split)
-        if alone.contents:
-            yield alone.unjoined()
-
-    dealt = rows.repartition("h").sortWithinPartitions("h", "content", "_key", "s")
-    return dealt.mapInArrow(build, _FOUND)
-
-
-def settled(found: DataFrame) -> DataFrame:
-    """_key, runs: for each document its runs that come first (n over 0) and single windows that come later after all (n is 0)."""
-
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            if b.num_rows:
-                slot, check, n = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(4).to_numpy()
-                again = np.append((slot[0], check[0]) == last, (slot[1:] == slot[:-1]) & (check[1:] == check[:-1]))
-                last = (slot[-1], check[-1])
-                keep = pa.array((n > 0) | again)
-                yield b.filter(keep).select(["_key", "mark", "n", "flags"])
-
-    dealt = found.repartition("slot").sortWithinPartitions("slot", "check", "_key", "mark")
-    return dealt.mapInArrow(later, "_key long, mark long, n int, flags binary").groupBy("_key").agg(F.collect_list(F.struct("mark", "n", "flags")).alias("runs"))
+                    if first is not None:
+                        alone.append(first)
+                    if size >= limit:
+                        yield judged(now, window)
+                        now, size = [], 0
+                    if len(alone) >= 1 << 13:
+                        yield batch_of(alone, window, [b""] * len(alone))
+                        alone = []
+                    first = row
+                last = row
+        if first is not None:
+            alone.append(first)
+        if now:
+            yield judged(now, window)
+        yield batch_of(alone, window, [b""] * len(alone))
+
+    dealt = rows.repartition("h").sortWithinPartitions("h", "content", "_key", "_row", "s")
+    return dealt.mapInArrow(build, "_row long, mark long, flags binary")
 
 
 def removed_bytes(raw: bytes, starts: np.ndarray | None, known: pa.Scalar, window: int, gram: int) -> np.ndarray | None:
     """Which bytes of a text go; None: no candidates, so none."""
     if starts is None:
         return None
-    contents, s, n, _ = runs_of(raw, starts, window, gram)
-    first: dict[int, bytes] = {}
-    late: list[int] = []
-    for r in known.as_py() or []:
-        if r["n"]:
-            first[r["mark"]] = r["flags"]
-        else:
-            late.append(r["mark"])
+    first = {r["mark"]: r["flags"] for r in known.as_py() or []}
     gone = []
-    for c, at, k in zip(contents, s.tolist(), n.tolist(), strict=True):
-        flags = first.get(mark_of(at, c))
-        if flags is None:
+    for _, content, at in runs_of(raw, starts, window, gram):
+        flags = first.get(mark_of(at, content))
+        k = len(content) - window + 1
+        if flags is None:  # an equal run comes earlier
             gone.append(np.arange(at, at + k))
         elif flags:
             gone.append(at + np.flatnonzero(np.unpackbits(np.frombuffer(flags, np.uint8), count=k)))
-    at = np.concatenate([*gone, np.array(late, np.int64)]) if gone or late else np.zeros(0, np.int64)
-    return covered(len(raw), np.unique(at.astype(np.int64)), window)
+    return covered(len(raw), np.concatenate(gone) if gone else np.zeros(0, np.int64), window)
 
 
-def byte_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = COLLECTION) -> DataFrame:
+def byte_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = COLLECTION, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
-    A null or empty text has no bytes. Order is by doc_id, null first; rows of one doc_id are one document in this
-    order, so of rows repeated with their id none removes the other. Texts shorter than a window stay whole. An
-    empty table gives an empty result. Other columns are not read. The texts are shuffled once.
+    A null or empty text has no bytes; bytes that are no UTF-8 are bytes like any others. Order is by doc_id, null with
+    the least; different rows of one doc_id stand in the order of a hash of them. Rows alike in both id and text are
+    one document, none of which removes another. Texts shorter than a window stay whole. An empty table gives an
+    empty result. Other columns are not read. The texts are shuffled once. A window may have any length above gram.
     """
-    found = written(candidates(docs, byte_units, window, gram), "repeated-runs")
-    texts = docs.select(key_col("doc_id").alias("_key"), "text").repartition("_key")
-    runs = settled(judged_runs(run_rows(texts, found, window, gram), window, limit))
-    rows = texts.join(found.join(runs, "_key", "left"), "_key", "left")
+    each = candidates(docs, byte_units, window, gram)
+    often = each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= hot).select("h", F.lit(1).alias("often"))
+    starts = F.shiftleft(F.col("s").cast("long"), 1).bitwiseOR(F.coalesce("often", F.lit(0)))
+    found = written(each.join(often, "h", "left").groupBy("_row").agg(F.collect_list(starts).alias("starts")), "repeated-runs")
+    discard(each)
+    texts = docs.select(row_key().alias("_row"), key_col("doc_id").alias("_key"), "text", F.col("doc_id").alias("_id")).repartition("_row")
+    runs = judged_runs(run_rows(texts, found, window, gram), window, limit)
+    rows = texts.join(found.join(runs.groupBy("_row").agg(F.collect_list(F.struct("mark", "flags")).alias("runs")), "_row", "left"), "_row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,7 +197,6 @@ def byte_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: i
                     spans = int(np.count_nonzero(np.diff(gone, prepend=False) & gone))
                     out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column("_key"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = rows.mapInArrow(run, "_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(id_of_key().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,6 +1,7 @@
 """Every corpus operator against a plain version on a small, awkward corpus."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -264,6 +265,44 @@ def test_op5_stage_and_messy(docs, empty, messy):
     assert doubling.substring_dedup(empty).count() == 0 and doubling.substring_dedup(messy).count() == 12
 
 
+def test_op5_levels(spark, monkeypatch):
+    """Runs of 25 to 1300 words that documents share, also with themselves; every level looks only at what is left of the one before."""
+    rng = np.random.default_rng(4)
+    long = [f"w{x}" for x in rng.integers(0, 400, 1300)]
+    texts = []
+    for i in range(40):
+        at, n = int(rng.integers(0, 700)), int(rng.choice([25, 60, 200, 600]))
+        own = [f"o{x}" for x in rng.integers(0, 10**6, 30)]
+        texts.append(" ".join([*own, *long[at : at + n], *own[:7], *long[at : at + n // 2]]))
+    texts += [" ".join(long), " ".join(long), "same words again " * 300]
+    seen = []
+    monkeypatch.setattr(doubling, "inside", lambda n, covers, window, f=doubling.inside: (seen.append(covers is not None), f(n, covers, window))[1])
+    got = {r["doc_id"]: r for r in doubling.substring_dedup(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    gone = plain_repeats([(i, words(t)) for i, t in enumerate(texts)], 20, tuple)
+    for i, t in enumerate(texts):
+        kept = [w for w, g in zip(words(t), gone[i], strict=True) if not g]
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (sum(gone[i]), hashlib.sha256(b" ".join(kept)).hexdigest())
+
+    each = doubling.candidates(spark.createDataFrame(rows_of(texts), SCHEMA), doubling.word_units, 20, 10, 1)
+    found = doubling.levels(each.where("p is not null").select("_row", "_key", "p", "hs", "cs")).collect()
+    sizes = {x & 0xFFFFFFFF for r in found for x in r["covers"]}
+    assert sizes == {20 << k for k in range(7)}
+
+
+def test_op5_op7_ids_at_the_edge(spark):
+    """Null and repeated ids and the least id there is: rows are told apart, none is merged with another."""
+    least, twice = -(2**63), LOREM[5] + " and some more"
+    rows = [(least, LOREM[1]), (None, LOREM[2]), (None, LOREM[3] + " " + LOREM[4]), (5, LOREM[4]), (5, twice), (5, twice), (6, twice + " x"), (7, LOREM[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for f, whole in ((doubling.substring_dedup, "n_words"), (suffixes.byte_dedup, "n_bytes")):
+        got = sorted(((r["doc_id"], r[whole], r["n_removed"]) for r in f(df).collect()), key=repr)
+        assert sorted((i for i, _, _ in got), key=repr) == sorted((i for i, _ in rows), key=repr)
+        gone = {(i, n): r for i, n, r in got}
+        size = (lambda t: len(words(t))) if whole == "n_words" else (lambda t: len(t.encode()))
+        assert gone[least, size(LOREM[1])] == 0 and gone[None, size(LOREM[2])] == 0 and gone[5, size(twice)] == 0
+        assert gone[5, size(LOREM[4])] == size(LOREM[4]) and gone[6, size(twice + " x")] == size(twice) and gone[7, size(LOREM[2])] == size(LOREM[2])
+
+
 def test_op6_shards(spark, docs, empty, messy):
     got = sharding.shards(docs, limit=2000).collect()
     assert len(got) == len(TEXTS)
@@ -283,8 +322,18 @@ def test_op6_shards(spark, docs, empty, messy):
     assert sharding.shards(messy, limit=500).count() == 12
 
 
-def plain_bytes(texts):
-    gone = plain_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)], 100, bytes)
+def test_op6_written_shards(spark, messy, empty, tmp_path):
+    sharding.write_shards(messy, f"file://{tmp_path}/out", limit=900)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    plain = lambda df: sorted(map(repr, df.select(*messy.columns).collect()))
+    assert plain(back) == plain(messy)
+    each = back.selectExpr("shard", "coalesce(octet_length(text), 0) n").groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()
+    assert len(each) > 3 and all(r["n"] <= 900 or r["c"] == 1 for r in each)
+    sharding.write_shards(empty, f"file://{tmp_path}/none")
+
+
+def plain_bytes(texts, window=100):
+    gone = plain_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)], window, bytes)
     out = {}
     for i, t in enumerate(texts):
         raw, g = (t or "").encode(), gone[i]
@@ -306,6 +355,28 @@ def test_op7_hot_anchor_in_several_collections(spark):
     assert got == plain_bytes(texts) and sum(v[1] for v in got.values()) > 0
 
 
+@pytest.mark.parametrize(("window", "gram"), [(20, 8), (256, 32), (1000, 32)])
+def test_op7_windows_of_any_length(spark, window, gram):
+    rng = np.random.default_rng(6)
+    base = "".join(chr(97 + int(x)) for x in rng.integers(0, 4, 2600))
+    texts = [base, "start" + base[:1500] + "end", base[700:2500] * 2, "é" * 400, "é" * 300, "zz" * 900]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.byte_dedup(df, window=window, gram=gram).collect()}
+    assert got == plain_bytes(texts, window)
+
+
+def test_op7_hot_anchors_and_any_bytes(spark):
+    """An anchor of ten thousand different runs is cut finer, with the same outcome; bytes that are no UTF-8 stay as they are."""
+    core = "the passage that many documents share, with some more words"
+    texts = [f"{hashlib.md5(str(i // 2).encode()).hexdigest()} {core} {hashlib.sha1(str(i // 3).encode()).hexdigest()}" for i in range(5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffixes.byte_dedup(df, hot=50).collect()} == plain_bytes(texts)
+    raw = [bytes(range(256)) * 2, b"x" + bytes(range(256)), b"\xff" * 250]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) text")
+    gone = plain_repeats(list(enumerate(raw)), 100, bytes)
+    assert {r["doc_id"]: r["n_removed"] for r in suffixes.byte_dedup(df).collect()} == {i: sum(g) for i, g in gone.items()}
+
+
 def test_op7_messy(empty, messy):
     assert suffixes.byte_dedup(empty).count() == 0 and suffixes.byte_dedup(messy).count() == 12
 
@@ -412,6 +483,22 @@ def test_op9_texts_match_counts(spark, docs, messy):
         assert sum(len(words(r["text"])) for r in out.collect()) == taken
 
 
+def test_op9_draws_by_chunk():
+    """Chunks drawn apart fit together: every slot of every source once, and the mix of each shard near that of all."""
+    slots = np.array([70_000, 0, 20_000, 9_999])
+    n = -(-int(slots.sum()) // (mixing.CHUNK_SHARDS * 1000))
+    at, counts = np.zeros(4, np.int64), []
+    for c in range(n):
+        before, own = mixing.chunk_counts(slots, 1000, c, n, 3)
+        assert (before == at).all()
+        at = at + own.sum(axis=0)
+        counts.extend(own)
+    assert (at == slots).all() and all(x.sum() == 1000 for x in counts[:-1])
+    assert abs(np.std([x[0] for x in counts[:-1]]) - np.sqrt(1000 * 0.7 * 0.3)) < 3
+    huge = mixing.share_of(np.array([3 * 10**12, 10**12]), 2 * 10**12, np.random.default_rng(1))
+    assert huge.sum() == 2 * 10**12 and abs(huge[0] - 1.5e12) < 1e8
+
+
 def test_op9_permutation():
     for n in (1, 2, 3, 17, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
@@ -443,15 +530,49 @@ def test_op10_quality(docs, empty, messy):
     assert quality.quality(empty).count() == 0 and quality.quality(messy).count() == 12
 
 
-def test_op10_em_separates():
+def test_op10_em_recovers_rates():
+    """False alarms from 0.001 to 0.05 are found within 20 %, with no estimate on a bound, whatever kinds are tried."""
     rng = np.random.default_rng(0)
+    alarms, found = np.array([0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.003]), np.array([0.5, 0.3, 0.6, 0.4, 0.2, 0.5, 0.7])
+    patterns = {}
+    for p in itertools.product("bga", repeat=7):
+        of = lambda rate: np.prod([0.15 if x == "a" else 0.85 * (r if x == "b" else 1 - r) for x, r in zip(p, rate, strict=True)])  # noqa: B023, E731
+        patterns["".join(p)] = 0.9 * of(alarms) + 0.1 * of(found)
+    patterns = dict(zip(patterns, rng.multinomial(5_000_000, list(patterns.values())).tolist(), strict=True))
+    m = quality.fit(patterns, 7)
+    assert len(m.share) == 2 and abs(m.share[0] - 0.9) < 0.01
+    assert (abs(m.rate[0] / alarms - 1) < 0.2).all() and (abs(m.rate[1] / found - 1) < 0.1).all()
+
+
+def test_op10_kinds_and_posterior():
+    """Two kinds of bad texts, each with rules of its own; the posterior is Bayes' formula written out."""
+    rng = np.random.default_rng(1)
+    rates = {0: [0.01] * 5, 1: [0.9, 0.8, 0.01, 0.01, 0.01], 2: [0.01, 0.01, 0.9, 0.9, 0.01]}
     patterns = {}
-    for _ in range(5000):
-        bad = rng.random() < 0.15
-        p = "".join("b" if rng.random() < (0.5 if bad else 0.002) else "g" for _ in range(6))
+    for _ in range(20_000):
+        kind = int(rng.choice(3, p=[0.8, 0.12, 0.08]))
+        p = "".join("a" if rng.random() < 0.1 else "b" if rng.random() < x else "g" for x in rates[kind])
         patterns[p] = patterns.get(p, 0) + 1
-    share, on_good, on_bad = quality.fit(patterns, 6)
-    assert abs(share - 0.85) < 0.03 and on_good.max() <= 0.003 and abs(on_bad.mean() - 0.5) < 0.08
+    m = quality.fit(patterns, 5)
+    assert len(m.share) == 3 and np.allclose(m.share, [0.8, 0.12, 0.08], atol=0.01)
+    bad, good, _ = quality.matrices(patterns, 5)
+    got = m.posterior(bad, good)
+    for i, p in enumerate(patterns):
+        each = [m.share[c] * np.prod([m.rate[c][j] if x == "b" else 1 - m.rate[c][j] if x == "g" else 1.0 for j, x in enumerate(p)]) for c in range(3)]
+        assert np.allclose(got[i], np.array(each) / sum(each))
+
+
+def test_op10_false_alarms_are_inside(spark):
+    """On the given documents nothing is estimated at a bound; labelled bad texts go, labelled good ones stay."""
+    d = "/root/testdata/sf0.1"
+    stats = quality.with_stats(spark.read.parquet(f"{d}/documents.parquet"), ["doc_id"]).withColumnRenamed("k0", "doc_id").cache()
+    found = {r["v"]: r["count"] for r in stats.groupBy(quality.votes().alias("v")).count().collect()}
+    m = quality.fit(found, len(quality.rules()))
+    n = sum(found.values())
+    assert (m.rate > 0.4 / n).all() and (m.rate < 1).all() and m.share[0] > 0.8
+    rows = quality.judged(stats, quality.verdicts(stats)).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
+    got = {(r["quality"], r["kept"]): r["count"] for r in rows.groupBy("quality", "kept").count().collect()}
+    assert got.get((0, True), 0) <= 0.02 * got[0, False] and got.get((1, False), 0) <= 0.005 * got[1, True]
 
 
 def test_long_text_in_runs(monkeypatch):
