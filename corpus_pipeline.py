@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestat.llm import doubling, mixing, packing, quality, queries, simhash
 from lodestat.llm.common import documents, written
 
+#: Pieces of one packed sequence, and its sum of squared lengths. A longer piece than ATTENTION allows has a sequence of its own.
+MOST_DOCS, ATTENTION = 6, 0.9 * 1024**2
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs)
@@ -26,7 +29,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, queries.tokenizer_path())
+    """At most MOST_DOCS pieces and ATTENTION of squared lengths in a sequence, beside its 1024 tokens."""
+    return packing.pack_documents(docs, queries.tokenizer_path(), max_docs=MOST_DOCS, max_attention=ATTENTION)
 
 
 STAGES = [
