@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,38 +88,105 @@ def wilcoxon(diffs: DataFrame, *by: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), side(F.col("d") > 0).alias("w_plus"), side(F.col("d") < 0).alias("w_minus"))
 
 
-def draw(replica: Column, unit: Column, seed: int) -> Column:
-    """A uniform number in [0, 1) for a replica and a unit, the same in every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), replica, unit), F.lit(1 << 53)) / float(1 << 53)
+#: Distribution function of Poisson(1) at 0, 1, ..., 8.
+POISSON = tuple(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(9)))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) from a uniform number: how often a unit is drawn in a bootstrap replica. Steps of the distribution function."""
-    steps, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(9):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    return sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+def drawn(key: str, reps: int) -> np.ndarray:
+    """A number from 0 to 65535 for each replica: 16 bits each of md5(key:0), md5(key:1), ..., eight to a digest."""
+    raw = b"".join(hashlib.md5(f"{key}:{j}".encode()).digest() for j in range(-(-reps // 8)))
+    return np.frombuffer(raw, ">u2")[:reps]
+
+
+def poisson_weights(key: str, reps: int) -> np.ndarray:
+    """How often a unit is drawn in each replica."""
+    return np.searchsorted(np.array(POISSON), drawn(key, reps) / 65536, side="right")
+
+
+def signs(key: str, reps: int) -> np.ndarray:
+    return np.where(drawn(key, reps) < 32768, 1, -1)
+
+
+def replica_sums(units: DataFrame, reps: int, keys: list[Column], *by: str, weights: Callable[[str, int], np.ndarray] = poisson_weights) -> DataFrame:
+    """by, replica, num, den: sums of units(num, den) in each replica, every unit with the product of the weights of its keys.
+
+    Weights of all replicas are drawn together and summed up within a task, so a task sends a row a group and replica,
+    and no replica has to see all units in one task.
+    """
+    kinds = dict(units.dtypes)
+    rows = units.select(*by, *(k.cast("string").alias(f"_k{i}") for i, k in enumerate(keys)), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
+    n, n_keys = len(by), len(keys)
+
+    def flushed(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for group, sums in held.items():
+            own = [pa.array([g] * reps) if g is not None else pa.nulls(reps) for g in group]
+            yield pa.RecordBatch.from_arrays([*(x.cast(t) for x, t in zip(own, types, strict=True)), pa.array(np.arange(reps, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], names=[*by, "replica", "num", "den"])
+
+    types: list[pa.DataType] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            types[:] = [b.column(i).type for i in range(n)]
+            groups = list(zip(*(b.column(i).to_pylist() for i in range(n)), strict=True)) if n else [()] * b.num_rows
+            own = [b.column(n + i).to_pylist() for i in range(n_keys)]
+            values = np.stack([b.column(n + n_keys + i).to_numpy() for i in range(2)])
+            known: dict[str, np.ndarray] = {}
+            rows: dict[tuple, list[int]] = {}
+            for i, g in enumerate(groups):
+                rows.setdefault(g, []).append(i)
+            for g, at in rows.items():
+                total = held.setdefault(g, np.zeros((2, reps)))
+                for lo in range(0, len(at), 256):
+                    part = at[lo : lo + 256]
+                    w = np.ones((len(part), reps))
+                    for column in own:
+                        for j, i in enumerate(part):
+                            key = column[i]
+                            if key not in known:
+                                if len(known) >= 4096:
+                                    known.clear()
+                                known[key] = weights(key, reps)
+                            w[j] *= known[key]
+                    total += values[:, part] @ w
+            if len(held) >= 2048:
+                yield from flushed(held)
+                held = {}
+        yield from flushed(held)
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["replica int, num double, den double"])
+    return rows.mapInArrow(run, schema).groupBy(*by, "replica").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
 def cluster_bootstrap(sums: DataFrame, reps: int, seed: int, *by: str) -> DataFrame:
     """sums(cluster, num, den): ratio of sums in each replica, clusters drawn with replacement.
 
-    Clusters are summed up first; every replica draws each cluster a Poisson(1) number of times, so no replica has
-    to see all clusters in one task.
+    Every replica draws each cluster a Poisson(1) number of times.
     """
-    each = sums.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    w = poisson_weight(draw(F.col("replica"), F.col("cluster"), seed))
-    out = each.withColumn("w", w).where("w > 0").groupBy(*by, "replica").agg(F.sum(F.col("num") * F.col("w")).alias("num"), F.sum(F.col("den") * F.col("w")).alias("den"))
-    return out.withColumn("value", F.col("num") / F.col("den"))
+    keys = [F.concat_ws(":", F.lit(str(seed)), F.col("cluster").cast("string"))]
+    return replica_sums(sums, reps, keys, *by).withColumn("value", F.try_divide("num", "den"))
 
 
 def summary(replicas: DataFrame, *by: str) -> DataFrame:
     """median, 95 % interval, standard deviation and two-sided p against zero of replicas(value)."""
     v = F.col("value")
     p = 2 * F.least(F.avg((v <= 0).cast("double")), F.avg((v >= 0).cast("double")))
-    return replicas.groupBy(*by).agg(F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.025)).alias("low"), F.percentile(v, F.lit(0.975)).alias("high"), F.stddev_samp(v).alias("sd"), F.least(F.lit(1.0), p).alias("p"))
+    at = lambda q: F.round(F.percentile(v, F.lit(q)), 6)
+    return replicas.groupBy(*by).agg(at(0.5).alias("median"), at(0.025).alias("low"), at(0.975).alias("high"), F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.least(F.lit(1.0), p), 6).alias("p"))
+
+
+def rethresholded(rows: DataFrame, cluster: str, most_risk: float, *by: str, reps: int = 2000, seed: int = 7) -> DataFrame:
+    """by, replica, tau, value: in each replica the least confidence whose accepted rows have at most the risk, and the share accepted by it.
+
+    Clusters of rows(conf, correct) are drawn with replacement; the threshold is chosen anew from the weighted counts, so
+    what it varies by is part of the interval. No such cut: tau is null, nothing is accepted.
+    """
+    sums = rows.groupBy(*by, "conf", F.col(cluster).alias("cluster")).agg(F.count_if("correct").alias("num"), F.count("*").alias("den"))
+    each = cluster_bootstrap(sums, reps, seed, *by, "conf").drop("value")
+    w = Window.partitionBy(*by, "replica").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
+    cuts = each.withColumn("kk", F.sum("num").over(w)).withColumn("nn", F.sum("den").over(w))
+    ok = F.coalesce(1 - F.try_divide("kk", "nn") <= most_risk, F.lit(False))
+    return cuts.groupBy(*by, "replica").agg(F.min(F.when(ok, F.col("conf"))).alias("tau"), F.try_divide(F.coalesce(F.max(F.when(ok, F.col("nn"))), F.lit(0.0)), F.sum("den")).alias("value"))
 
 
 def verdict(low: Column, high: Column, point: Column) -> Column:
@@ -126,35 +198,41 @@ def bootstrap_difference(pairs: DataFrame, cluster: str, reps: int = 2000, seed:
     """Mean of b - a over pairs(a, b) with its cluster bootstrap and verdict."""
     d = F.col("b").cast("double") - F.col("a").cast("double")
     sums = pairs.groupBy(F.col(cluster).alias("cluster")).agg(F.sum(d).alias("num"), F.count("*").alias("den"))
-    point = pairs.agg(F.avg(d).alias("point"))
+    point = pairs.agg(F.round(F.avg(d), 6).alias("point"))
     out = summary(cluster_bootstrap(sums, reps, seed)).crossJoin(F.broadcast(point))  # one row each
     return out.withColumn("verdict", verdict(F.col("low"), F.col("high"), F.col("point")))
 
 
-def hierarchical_bootstrap(rows: DataFrame, reps: int = 500, seed: int = 7) -> DataFrame:
+def hierarchical_bootstrap(rows: DataFrame, reps: int = 2000, seed: int = 7) -> DataFrame:
     """rows(family, case, num, den): families drawn, then cases within each; weights multiply."""
-    each = rows.groupBy("family", "case").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    outer = poisson_weight(draw(F.col("replica"), F.col("family"), seed))
-    inner = poisson_weight(draw(F.col("replica"), F.concat_ws(":", F.col("family").cast("string"), F.col("case").cast("string")), seed + 1))
-    out = each.withColumn("w", outer * inner).where("w > 0").groupBy("replica").agg((F.sum(F.col("num") * F.col("w")) / F.sum(F.col("den") * F.col("w"))).alias("value"))
-    return summary(out)
+    each = rows.groupBy("family", "case").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    family, case = F.col("family").cast("string"), F.col("case").cast("string")
+    keys = [F.concat_ws(":", F.lit(str(seed)), family), F.concat_ws(":", F.lit(str(seed + 1)), family, case)]
+    return summary(replica_sums(each, reps, keys).withColumn("value", F.try_divide("num", "den")))
 
 
-def sign_flip(diffs: DataFrame, reps: int = 2000, seed: int = 7) -> DataFrame:
+def sign_flip(diffs: DataFrame, *by: str, reps: int = 2000, seed: int = 7) -> DataFrame:
     """diffs(unit, d): share of sign-flipped sums at least as far from zero, with +1 correction."""
-    units = diffs.groupBy("unit").agg(F.sum("d").alias("d"))
-    point = F.broadcast(units.agg(F.sum("d").alias("observed")))
-    each = units.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    flipped = each.groupBy("replica").agg(F.sum(F.when(draw(F.col("replica"), F.col("unit"), seed) < 0.5, F.col("d")).otherwise(-F.col("d"))).alias("s"))
-    return flipped.crossJoin(point).groupBy("observed").agg(((F.count_if(F.abs("s") >= F.abs("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
-
-
-def power_table(sums: DataFrame, sizes: list[int], reps: int = 500, seed: int = 7) -> DataFrame:
-    """Smallest effect seen with 80 % power at several numbers of clusters: 2.80 standard errors, scaled from the full sample."""
-    base = cluster_bootstrap(sums, reps, seed).agg(F.stddev_samp("value").alias("sd"))
-    n = sums.agg(F.count("*").alias("clusters"))
-    each = base.crossJoin(n).withColumn("size", F.explode(F.array(*(F.lit(s) for s in sizes))))
-    return each.select("size", (2.80 * F.col("sd") * F.sqrt(F.col("clusters") / F.col("size"))).alias("detectable"))
+    units = diffs.groupBy(*by, "unit").agg(F.sum("d").alias("num"), F.count("*").alias("den"))
+    observed = F.abs(F.sum("num")).alias("observed")
+    point = units.groupBy(*by).agg(observed) if by else units.agg(observed)
+    flipped = replica_sums(units, reps, [F.concat_ws(":", F.lit(str(seed)), F.col("unit").cast("string"))], *by, weights=signs)
+    both = flipped.join(point, list(by)) if by else flipped.crossJoin(point)  # a row a group
+    return both.groupBy(*by, "observed").agg(F.round((F.count_if(F.abs("num") >= F.col("observed") - 1e-9) + 1) / (F.count("*") + 1), 6).alias("p"))
+
+
+def power_table(sums: DataFrame, sizes: list[int], reps: int = 2000, seed: int = 7, rule: float = 0.0) -> DataFrame:
+    """size, detectable, share for several numbers of clusters, from one bootstrap of all of them.
+
+    detectable: smallest effect seen with 80 % power, 2.80 standard errors. share: of the replicas, brought to the
+    spread of that many clusters, how many are above the rule.
+    """
+    each = cluster_bootstrap(sums, reps, seed).select("value")
+    whole = sums.agg(F.count("*").alias("clusters"), (F.sum("num") / F.sum("den")).alias("point"))  # one row
+    each = each.crossJoin(whole).withColumn("size", F.explode(F.array(*(F.lit(s) for s in sizes))))
+    wide = F.sqrt(F.col("clusters") / F.col("size"))
+    above = F.col("point") + (F.col("value") - F.col("point")) * wide > rule + 1e-12
+    return each.groupBy("size").agg(F.round(2.80 * F.stddev_samp("value") * F.first(wide), 6).alias("detectable"), F.round(F.avg(above.cast("double")), 6).alias("share"))
 
 
 def run_agreement(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestat.operators import deciding, paired
-from lodestat.plans.inputs import DECISIONS, decisions, table
+from lodestat.plans.inputs import DECISIONS, RUN_FIELDS, decisions, table
 from lodestat.plans.registry import query
+from lodestat.plans.score_queries import ITEMS
 
 STEPS = """c as (select arm, layer, conf, count(*) filter (correct) as k, count(*) as n from decisions group by all),
 s as (select *, sum(k) over w as kk, sum(n) over w as nn, sum(n) over (partition by arm, layer) as total from c window w as (partition by arm, layer order by conf desc rows unbounded preceding))"""
@@ -303,9 +304,26 @@ def sign_counts(spark, d):
     return paired.sign_test(diffs(spark, d), "arm").drop("p")
 
 
-@query("sign_flip_test")
+#: Replicas of every bootstrap, and in SQL the weight that replica r draws for a unit: 16 bits of an md5, eight replicas to a digest.
+REPS = 2000
+BITS = "('0x' || substr(md5({key} || ':' || (r // 8)), 1 + 4 * (r % 8), 4))::int"
+REPLICAS = f"replicas as (select unnest(range(0, {REPS})) as r)"
+
+
+def weight_sql(key: str) -> str:
+    return "(" + " + ".join(f"({BITS.format(key=key)} / 65536.0::double >= {c!r}::double)::int" for c in paired.POISSON) + ")"
+
+
+def summary_sql(by: str = "") -> str:
+    q = lambda p: f"round(quantile_cont(value, {p}), 6)::double"
+    return f"{by}{q(0.5)} as median, {q(0.025)} as low, {q(0.975)} as high, round(stddev_samp(value), 6)::double as sd, round(least(1, 2 * least(avg((value <= 0)::int), avg((value >= 0)::int))), 6)::double as p"
+
+
+@query("sign_flip_test", f"""with df as (select o_orderpriority as arm, o_custkey as unit, (o_orderkey * 7 % 13 - 6 + (o_orderkey % 5 = 0)::int) as d from orders), u as (select arm, unit, sum(d) as d from df group by all), {REPLICAS},
+f as (select arm, r, sum(case when {BITS.format(key="'7:' || unit")} < 32768 then d else -d end) as s from u, replicas group by all), o as (select arm, abs(sum(d)) as observed from u group by 1)
+select arm, observed::double as observed, round(((count(*) filter (abs(s) >= observed)) + 1) / (count(*) + 1), 6)::double as p from f join o using (arm) group by all""")
 def sign_flip_test(spark, d):
-    return paired.sign_flip(diffs(spark, d).where("arm = '1-URGENT'"), 500)
+    return paired.sign_flip(diffs(spark, d), "arm", reps=REPS)
 
 
 def _bootstrap_pairs(spark, d):
@@ -316,25 +334,46 @@ def _bootstrap_pairs(spark, d):
     return paired.paired(items.where("run = 1"), items.where("run = 2"), "doc").join(grp, "doc")
 
 
-@query("cluster_bootstrap")
+PAIRS = f"""{RUN_FIELDS}, {ITEMS}, grps as (select distinct doc, grp from run_fields),
+pairs as (select g.grp, x.passed::int as a, y.passed::int as b from items x join items y on x.doc = y.doc and x.run = 1 and y.run = 2 join grps g on g.doc = x.doc),
+sums as (select grp as cluster, sum(b - a) as num, count(*) as den from pairs group by 1), {REPLICAS},
+reps as (select r, sum(num * w) / nullif(sum(den * w), 0) as value from (select r, num, den, {weight_sql("'7:' || cluster")} as w from sums, replicas) group by 1)"""
+
+
+@query("cluster_bootstrap", f"""with {PAIRS}, s as (select {summary_sql()} from reps), p as (select round(avg(b - a), 6)::double as point from pairs)
+select *, case when low > 0 then 'improves' when high < 0 then 'worsens' when point > 0 then 'weakly improves' else 'undecided' end as verdict from s, p""")
 def cluster_bootstrap(spark, d):
-    return paired.bootstrap_difference(_bootstrap_pairs(spark, d), "grp", 500)
+    return paired.bootstrap_difference(_bootstrap_pairs(spark, d), "grp", REPS)
+
+
+@query("rethresholded_bootstrap", f"""with {DECISIONS}, {REPLICAS}, c as (select arm, conf, grp, count(*) filter (correct) as k, count(*) as n from decisions group by all),
+w as (select grp, r, {weight_sql("'7:' || grp")} as w from (select distinct grp from c), replicas),
+x as (select arm, r, conf, sum(k * w) as k, sum(n * w) as n from c join w using (grp) group by all),
+s as (select *, sum(k) over v as kk, sum(n) over v as nn from x window v as (partition by arm, r order by conf desc rows unbounded preceding)),
+t as (select arm, r, min(conf) filter (nn > 0 and 1 - kk / nn <= 0.2) as tau, coalesce(max(nn) filter (nn > 0 and 1 - kk / nn <= 0.2), 0) / sum(n) as value from s group by all)
+select {summary_sql("arm, ")}, round(avg((tau is null)::int), 6)::double as no_cut, round(quantile_cont(tau, 0.5), 6)::double as tau from t group by arm""")
+def rethresholded_bootstrap(spark, d):
+    each = paired.rethresholded(decisions(spark, d), "grp", 0.2, "arm", reps=REPS)
+    cuts = each.groupBy("arm").agg(F.round(F.avg(F.col("tau").isNull().cast("double")), 6).alias("no_cut"), F.round(F.percentile("tau", F.lit(0.5)), 6).alias("tau"))
+    return paired.summary(each, "arm").join(cuts, "arm")
 
 
-@query("hierarchical_bootstrap")
+@query("hierarchical_bootstrap", f"""with {DECISIONS}, {REPLICAS}, c as (select layer, grp, count(*) filter (correct) as num, count(*) as den from decisions group by all),
+reps as (select r, sum(num * w) / nullif(sum(den * w), 0) as value from (select r, num, den, {weight_sql("'7:' || layer")} * {weight_sql("'8:' || layer || ':' || grp")} as w from c, replicas) group by 1) select {summary_sql()} from reps""")
 def hierarchical_bootstrap(spark, d):
     rows = decisions(spark, d).select(F.col("layer").alias("family"), F.col("grp").alias("case"), F.col("correct").cast("int").alias("num"), F.lit(1).alias("den"))
-    return paired.hierarchical_bootstrap(rows, 300)
+    return paired.hierarchical_bootstrap(rows, REPS)
 
 
-@query("answer_bootstrap")
+@query("answer_bootstrap", f"""with {DECISIONS}, {REPLICAS}, reps as (select arm, r, sum(num * w) / nullif(sum(w), 0) as value from (select arm, r, correct::int as num, {weight_sql("'11:' || id")} as w from decisions, replicas) group by all) select {summary_sql("arm, ")} from reps group by arm""")
 def answer_bootstrap(spark, d):
-    rows = decisions(spark, d).groupBy("arm", F.col("id").alias("cluster")).agg(F.sum(F.col("correct").cast("int")).alias("num"), F.count("*").alias("den"))
-    return paired.summary(paired.cluster_bootstrap(rows, 100, 11, "arm"), "arm")
+    rows = decisions(spark, d).select("arm", F.col("id").alias("cluster"), F.col("correct").cast("int").alias("num"), F.lit(1).alias("den"))
+    return paired.summary(paired.cluster_bootstrap(rows, REPS, 11, "arm"), "arm")
 
 
-@query("detectable_effect")
+@query("detectable_effect", f"""with {PAIRS}, z as (select unnest([100, 500, 1000, 5000])::int as size), whole as (select count(*) as clusters, sum(num) / sum(den) as point from sums)
+select size, round(2.80 * stddev_samp(value) * sqrt(max(clusters) / size), 6)::double as detectable, round(avg((point + (value - point) * sqrt(clusters / size) > 1e-12)::int), 6)::double as share from reps, z, whole group by size""")
 def detectable_effect(spark, d):
     p = _bootstrap_pairs(spark, d)
     sums = p.groupBy(F.col("grp").alias("cluster")).agg(F.sum(F.col("b").cast("int") - F.col("a").cast("int")).alias("num"), F.count("*").alias("den"))
-    return paired.power_table(sums, [100, 500, 1000, 5000], 300)
+    return paired.power_table(sums, [100, 500, 1000, 5000], REPS)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lodestat.operators import retrieval, serving, verifying
 from lodestat.plans.curation_queries import TOK, bench, texts
 from lodestat.plans.inputs import table
 from lodestat.plans.registry import query
+from lodestat.sources.scratch import removed_at_exit, scratch_path
 from lodestat.streaming import jobs
 
 
@@ -201,15 +200,21 @@ def load_windows(spark, d):
     return serving.load_windows(table(spark, d, "events"), "ts", "6 hours", "value").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("gate_windows", """with a as (select time_bucket(interval 1 day, ts) as start, count(*) filter (event_type = 'error') as k, count(*) as n from events group by 1), z as (select 1.959963984540054 as z),
+GATE_SQL = """with a as (select time_bucket(interval 1 day, ts) as start, count(*) filter (event_type = 'error') as k, count(*) as n from events group by 1), z as (select 1.959963984540054 as z),
 b as (select start, k, n, round(greatest((k / n + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n)) / (1 + z * z / n), 0), 6)::double as low, round(least((k / n + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n)) / (1 + z * z / n), 1), 6)::double as high from a, z)
-select *, low > 0.15 as alarm from b""")
+select *, low > 0.15 as alarm from b"""
+
+
+@query("gate_windows", GATE_SQL)
 def gate_windows(spark, d):
     return serving.gate_windows(table(spark, d, "events"), "ts", "1 day", F.col("event_type") == "error", 0.15).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("session_sizes", """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hours then 0 else 1 end as s from events), h as (select *, sum(s) over (partition by user_id order by ts) as part from g)
-select user_id, min(ts) as start, count(*) as n, count(*) > 5 as over from h group by user_id, part""".replace(" as over ", ' as "over" '))
+SESSION_SQL = """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hours then 0 else 1 end as s from events), h as (select *, sum(s) over (partition by user_id order by ts) as part from g)
+select user_id, min(ts) as start, count(*) as n, count(*) > 5 as over from h group by user_id, part""".replace(" as over ", ' as "over" ')
+
+
+@query("session_sizes", SESSION_SQL)
 def session_sizes(spark, d):
     return serving.sessions(table(spark, d, "events"), "user_id", "ts", "12 hours", 5).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
@@ -228,43 +233,55 @@ def best_configuration(spark, d):
     return best_of_baseline(v)
 
 
-def _streamed(spark, d, make):
-    """Runs a stream over the events table to its end and gives what it wrote, as a table in a folder of the checkpoints."""
-    import os
-    import uuid
+def _streamed(spark, d, make, complete=False):
+    """Runs a stream over the events table to its end and gives what it wrote, as a table in the shared folder.
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    complete: for grouped windows. The result is written whole at the end of each batch, so the windows that are still
+    open at the end of the input are in it as well.
+    """
+    path = removed_at_exit(spark, scratch_path(spark, "stream"))
     e = table(spark, d, "events")
     source = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    q = make(source).writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    out = make(source).writeStream.option("checkpointLocation", path + "/state").trigger(availableNow=True)
+    if complete:
+        out = out.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path + "/out"))
+    else:
+        out = out.format("parquet").option("path", path + "/out")
+    out.start().awaitTermination()
     return spark.read.parquet(path + "/out")
 
 
-@query("stream_gate_monitor")
+def _local_start(rows):
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_gate_monitor", GATE_SQL)
 def stream_gate_monitor(spark, d):
-    return _streamed(spark, d, lambda s: jobs.gate_monitor(s, "ts", "1 hour", "1 day", F.col("event_type") == "error", 0.15))
+    return _local_start(_streamed(spark, d, lambda s: jobs.gate_monitor(s, "ts", "1 hour", "1 day", F.col("event_type") == "error", 0.15), complete=True))
 
 
-@query("stream_load_profile")
+@query("stream_load_profile", "select time_bucket(interval 6 hours, ts) as start, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events group by 1")
 def stream_load_profile(spark, d):
-    return _streamed(spark, d, lambda s: jobs.load_profile(s, "ts", "1 hour", "6 hours", "value"))
+    return _local_start(_streamed(spark, d, lambda s: jobs.load_profile(s, "ts", "1 hour", "6 hours", "value"), complete=True))
 
 
-@query("stream_sessions")
+@query("stream_sessions", SESSION_SQL)
 def stream_sessions(spark, d):
-    return _streamed(spark, d, lambda s: jobs.session_counts(s, "ts", "1 hour", "user_id", "12 hours", 5))
+    return _local_start(_streamed(spark, d, lambda s: jobs.session_counts(s, "ts", "1 hour", "user_id", "12 hours", 5), complete=True))
 
 
-@query("stream_counter_growth")
+@query("stream_counter_growth", """with s as (select user_id, value, lag(value) over (partition by user_id order by ts, value) as p from events)
+select user_id::varchar as key, count(*)::bigint as n, round(sum(case when p is null then 0 when value >= p then value - p else value end), 4)::double as growth from s group by 1""")
 def stream_counter_growth(spark, d):
-    return _streamed(spark, d, lambda s: jobs.counter_growth(s.withColumn("at", F.col("ts")), "user_id", "value"))
+    each = _streamed(spark, d, lambda s: jobs.counter_growth(s.withColumn("at", F.col("ts")), "user_id", "value"))
+    return each.groupBy("key").agg(F.sum("n").alias("n"), F.round(F.sum("growth"), 4).alias("growth"))
 
 
-@query("stream_hash_watch")
+@query("stream_hash_watch", """with f as (select user_id, event_type, first_value(event_type) over (partition by user_id order by ts, sha256(event_type)) as first from events)
+select user_id::varchar as key, (count(*) filter (event_type <> first))::bigint as changed from f group by 1 having count(*) filter (event_type <> first) > 0""")
 def stream_hash_watch(spark, d):
-    return _streamed(spark, d, lambda s: jobs.first_hash_watch(s.withColumn("at", F.col("ts")).withColumn("sha", F.sha2("event_type", 256)), "user_id", "sha"))
+    each = _streamed(spark, d, lambda s: jobs.first_hash_watch(s.withColumn("at", F.col("ts")).withColumn("sha", F.sha2("event_type", 256)), "user_id", "sha"))
+    return each.groupBy("key").agg(F.sum("changed").alias("changed"))
 
 
 @query("stream_once_each", "select event_id from events")

@@ -49,7 +49,7 @@ def counter_growth(rows: DataFrame, key: str, value: str) -> DataFrame:
     def step(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         total, n = 0.0, 0
-        for v in pd.concat(parts).sort_values("at")["value"]:
+        for v in pd.concat(parts).sort_values(["at", "value"])["value"]:
             total += 0.0 if last is None else (v - last if v >= last else v)
             last, n = float(v), n + 1
         state.update((last,))
@@ -63,7 +63,7 @@ def first_hash_watch(rows: DataFrame, key: str, sha: str) -> DataFrame:
     """Keys whose hash is not the one first seen."""
 
     def step(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(parts).sort_values("at")["sha"].tolist()
+        seen = pd.concat(parts).sort_values(["at", "sha"])["sha"].tolist()
         first = state.get[0] if state.exists else seen[0]
         state.update((first,))
         changed = [s for s in seen if s != first]
