@@ -68,6 +68,14 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, size: int, which: int = 0
     return (prefix[start + size] - prefix[start]) * _power(which, len(prefix), True)[start]
 
 
+def spans(units: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of spans of any sizes."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    prefix = prefix_sums(units)
+    return (prefix[start + size] - prefix[start]) * _power(0, len(prefix), True)[start]
+
+
 def window_hashes(units: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """span_hashes of every window of size units."""
     n = len(units)
@@ -118,7 +126,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int = 0) -> DataFrame:
-    """h, _row, s, n: a row a piece, from the scan itself.
+    """h, _row, s, c, n: a row a piece, from the scan itself; c is a check (16 bits) of all units of its windows.
 
     Within a batch of documents the rows of one anchor are summed up before they are shuffled: the first stands
     for all (n is 2), the others are known to repeat (n is 0) and need not meet it. So a hot anchor sends a row a batch.
@@ -130,15 +138,17 @@ def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got, longer, held = [], [], []
+            got, longer, held, checks = [], [], [], []
             for t in raw_texts(b.column(2)):
                 u = units(t)
                 got.append(pieces(u, window, gram))
+                checks.append(mixed(spans(u, got[-1][0], got[-1][1] + window - 1)) >> np.uint64(48))
                 if step:
                     hs, cs, size = rungs(u, got[-1], window, step)
                     longer.append((hs, cs))
                     held.append(size)
             h, s, p = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in ((2, np.uint64), (0, np.int64), (3, np.int64)))
+            c = np.concatenate(checks) if checks else np.zeros(0, np.uint64)
             sizes = [len(g[0]) for g in got]
             row = np.repeat(b.column(0).to_numpy(), sizes)
             order = np.argsort(h, kind="stable")
@@ -148,7 +158,7 @@ def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int
             n = np.zeros(len(h), np.int8)
             n[first] = np.minimum(size, 2)
             slot = np.where(n > 0, h, mixed(row.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)))
-            cols = {"h": pa.array(h.view(np.int64)), "slot": pa.array(slot.view(np.int64)), "_row": pa.array(row), "s": pa.array(s.astype(np.int32)), "n": pa.array(n)}
+            cols = {"h": pa.array(h.view(np.int64)), "slot": pa.array(slot.view(np.int64)), "_row": pa.array(row), "s": pa.array(s.astype(np.int32)), "c": pa.array(c[order].astype(np.uint16).view(np.int16)), "n": pa.array(n)}
             if step:
                 rung = np.concatenate(held) >= 0 if held else np.zeros(0, bool)
                 size = np.where(rung, np.concatenate(held), 0) if held else np.zeros(0, np.int64)
@@ -161,7 +171,7 @@ def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int
                 cols["_key"] = pa.array(np.repeat(b.column(1).to_numpy(), sizes)[order], mask=~rung[order])
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return keyed(docs).mapInArrow(run, "h long, slot long, _row long, s int, n byte" + (RUNG if step else ""))
+    return keyed(docs).mapInArrow(run, "h long, slot long, _row long, s int, c short, n byte" + (RUNG if step else ""))
 
 
 RUNG = ", hs array<long>, cs array<int>, p int, _key long"
@@ -218,7 +228,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, units: Units, window: int, gram: int, step: int = 0) -> DataFrame:
-    """A written table of the pieces whose anchor occurs twice or more: h, _row, s, and with a step the columns of RUNG."""
+    """A written table of the pieces whose anchor occurs twice or more: h, _row, s, c, and with a step the columns of RUNG."""
     return written(repeated(anchor_rows(docs, units, window, gram, step)), "repeated-pieces")
 
 

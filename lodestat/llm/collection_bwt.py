@@ -28,48 +28,42 @@ def build(strings: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
     def before(i: np.ndarray, k: int) -> np.ndarray:
         return padded[np.where(size[i] > k, ends[i] - 1 - k, len(text))]
 
-    active = np.arange(m)
-    row = np.arange(m)
+    active = row = np.arange(m)
     bwt, lcp = before(active, 0), np.zeros(m, kind)
     for k in range(1, int(size.max(initial=0)) + 1):
         more = size[active] >= k
-        if not more.all():
-            active, row = active[more], row[more]
+        active, row = active[more], row[more]
         n, new = len(bwt), len(active)
-        order = np.argsort(bwt, kind="stable").astype(np.int32)
-        rank = np.empty(n, np.int32)
-        rank[order] = np.arange(n, dtype=np.int32)
+        order = np.argsort(bwt, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
         q = rank[row]
         by_rank = np.argsort(q)
         active, row, q = active[by_rank], row[by_rank], q[by_rank]
-        place = q + (m - int(np.count_nonzero(bwt == 0)))
+        place = q + (m - (n - int(np.count_nonzero(bwt))))
         symbol = bwt[row]
         # neighbours with the same first symbol, and the least common prefix on the way to them
         up, down = order[np.maximum(q - 1, 0)], order[np.minimum(q + 1, n - 1)]
-        has_up = (q > 0) & (bwt[up] == symbol)
-        has_down = (q < n - 1) & (bwt[down] == symbol)
-        old = np.ones(n + new, bool)
-        old[place] = False
-        at = np.flatnonzero(old)
-        next_bwt, next_lcp = np.empty(n + new, text.dtype), np.empty(n + new, kind)
-        next_bwt[at], next_lcp[at] = bwt, lcp
-        next_bwt[place] = before(active, k)
-        next_lcp[place[has_down] + 1] = np.minimum(_least(lcp, row[has_down] + 1, down[has_down] + 1, most), most - 1) + 1
+        has_up, has_down = (q > 0) & (bwt[up] == symbol), (q < n - 1) & (bwt[down] == symbol)
         own = np.zeros(new, kind)
-        own[has_up] = np.minimum(_least(lcp, up[has_up] + 1, row[has_up] + 1, most), most - 1) + 1
-        next_lcp[place] = own
+        own[has_up] = np.minimum(_least(lcp, up[has_up] + 1, row[has_up] + 1), most - 1) + 1
+        under = np.minimum(_least(lcp, row[has_down] + 1, down[has_down] + 1), most - 1) + 1
+        at = place - np.arange(new)  # the new rows go before these old ones
+        bwt, lcp = np.insert(bwt, at, before(active, k)), np.insert(lcp, at, own)
+        lcp[place[has_down] + 1] = under
         ends_segment = place[~has_down] + 1
-        next_lcp[ends_segment[ends_segment < n + new]] = 0  # another first symbol
-        bwt, lcp, row = next_bwt, next_lcp, place
+        lcp[ends_segment[ends_segment < n + new]] = 0  # another first symbol
+        row = place
     return bwt, lcp
 
 
-def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> np.ndarray:
-    """min(x[lo:hi]) for each pair, lo < hi."""
+def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """min(x[lo:hi]) for each pair, lo < hi. Only these elements are read: rows of one symbol share out the column."""
     if not len(lo):
         return np.zeros(0, x.dtype)
-    padded = np.append(x, x.dtype.type(most))
-    return np.minimum.reduceat(padded, np.stack([lo, hi], axis=1).ravel())[::2]
+    size = hi - lo
+    start = np.cumsum(size) - size
+    return np.minimum.reduceat(x[np.arange(start[-1] + size[-1]) + np.repeat(lo - start, size)], start)
 
 
 def rows_of(bwt: np.ndarray, m: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:

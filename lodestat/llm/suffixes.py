@@ -7,7 +7,7 @@ of one anchor meet in one task; equal runs are one. The task gathers them into c
 builds each collection's Burrows-Wheeler transform and common prefixes column by column, and reads off the strings
 with a common prefix of WINDOW or more. A run that is the only one of its anchor has nothing to be compared with.
 
-An anchor that occurs HOT times or more would gather too much in one task. Its runs are cut finer before they are
+An anchor that has HOT different runs or more would gather too much in one task. Its runs are cut finer before they are
 dealt: windows in a row that share their DEEP least grams form a run of their own, dealt by all of these. Equal
 windows share them too, so they still meet, and the same construction judges them.
 
@@ -177,7 +177,7 @@ def byte_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: i
     empty result. Other columns are not read. The texts are shuffled once. A window may have any length above gram.
     """
     each = candidates(docs, byte_units, window, gram)
-    often = each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= hot).select("h", F.lit(1).alias("often"))
+    often = each.groupBy("h").agg(F.countDistinct("c").alias("n")).where(F.col("n") >= hot).select("h", F.lit(1).alias("often"))
     starts = F.shiftleft(F.col("s").cast("long"), 1).bitwiseOR(F.coalesce("often", F.lit(0)))
     found = written(each.join(often, "h", "left").groupBy("_row").agg(F.collect_list(starts).alias("starts")), "repeated-runs")
     discard(each)
