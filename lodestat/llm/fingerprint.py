@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import key_col, mixed
+from lodestat.llm.common import decoded, key_col, mixed, written
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -139,67 +139,79 @@ def edited(text: str, other: str) -> str:
 
 
 OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_with_next long, common_with_edited long"
-#: Documents of one range of ids.
-RANGE_DOCS = 2048
-
-
-def in_ranges(docs: DataFrame, id_col: str) -> tuple[DataFrame, list[int]]:
-    """Cuts the ids into ranges of about RANGE_DOCS documents. The cut ids are as many as the ranges."""
-    key = key_col(id_col)
-    n = docs.count()
-    parts = max(1, min(20000, -(-n // RANGE_DOCS)))
-    cuts = []
-    if parts > 1:
-        found = docs.select(key.alias("_key")).agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-        cuts = sorted(set(found or []))
-    return docs.select(key.alias("_key"), F.col(id_col).alias("_id"), F.col("text").alias("_text")), cuts
+#: Text that a range of documents holds at most, about; smaller ones, of RANGE_DOCS documents at least, where that keeps all cores busy.
+RANGE_BYTES = 128 << 20
+RANGE_DOCS = 256
+#: Documents looked at for each cut between ranges.
+LOOKS = 16
+ORDER = ["_some", "_key", "_hash"]
+
+
+def places(some: np.ndarray, key: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
+    """Fixed-width byte strings in the order of (some, key, hash): null ids first, then by id, rows of one id by a hash of their text."""
+    out = np.zeros((len(key), 17), np.uint8)
+    out[:, 0] = 1 + some
+    for at, x in ((1, key), (9, text_hash)):
+        out[:, at : at + 8] = (x.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
+
+
+def cuts_of(keys: DataFrame) -> np.ndarray:
+    """Where the ranges are cut (keys: ORDER and the bytes of each row), from a share of the rows that is chosen by hash; a cut never says more than an order."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    whole = keys.agg(F.count("*").alias("n"), F.sum("_bytes").alias("b")).first()
+    n, size = whole["n"], whole["b"] or 0
+    parts = max(-(-size // RANGE_BYTES), min(-(-n // RANGE_DOCS), 16 * cores))
+    every = max(1, n // (LOOKS * parts)) if parts else 1
+    looked = keys.where(F.pmod(F.xxhash64("_key", "_hash", F.lit(5)), F.lit(every)) == 0).select(*ORDER).toArrow()  # LOOKS rows a range
+    at = np.sort(places(*(looked[c].to_numpy() for c in ORDER)))
+    return np.unique(at[[i * len(at) // parts for i in range(1, parts)]]) if len(at) else at
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row a document: fingerprint, that of its edited text, and likeness to that and to the next document.
 
-    Next is by descending id; after the last comes the first. Rows of one id follow each other in order of their
-    text, null ids come last. Null counts as the empty text. A table of one row is its own next; an empty one gives
-    an empty result. Other columns are not read.
+    Next is by descending id; after the last comes the first. Rows of one id follow each other in order of a hash of
+    their text, null ids come last. Null counts as the empty text, bytes that are no UTF-8 as U+FFFD. A table of one
+    row is its own next; an empty one gives an empty result. Other columns are not read.
 
-    The ids are cut into ranges, each of which is sorted and walked in one task; the row that opens a range is
-    sent to the range before it too.
+    The rows are cut into ranges of this order, each of which is sorted and walked in one task; the row that opens a
+    range is sent to the range before it too. Null or repeated ids are cut like any others, by their text.
     """
-    rows, cuts = in_ranges(docs, id_col)
+    rows = docs.select(F.col(id_col).isNotNull().cast("int").alias("_some"), key_col(id_col).alias("_key"), F.xxhash64("text").alias("_hash"), F.col(id_col).alias("_id"), F.col("text").alias("_text"))
+    keys = written(rows.select(*ORDER, F.octet_length("_text").alias("_bytes")), "fingerprint-keys")
+    cuts = cuts_of(keys)
     n = len(cuts) + 1
-    spark = docs.sparkSession
-    edges = np.array(cuts, np.int64)
 
     @F.pandas_udf("int")
-    def part(key: pd.Series) -> pd.Series:
-        """Range 0 holds the greatest ids."""
-        return pd.Series(len(edges) - np.searchsorted(edges, key.to_numpy(np.int64)))
-
-    rows = rows.withColumn("_part", part("_key") if cuts else F.lit(0))
-    tops = [(r["_part"], r["k"]) for r in rows.groupBy("_part").agg(F.max("_key").alias("k")).collect()]  # one row a range
-    tops.sort()
-    order = [p for p, _ in tops]
-    previous = {p: order[i - 1] for i, p in enumerate(order)}  # before the first comes the last
-    heads = spark.createDataFrame([(p, k, previous[p]) for p, k in tops] or [], "_hp int, _hk long, _before int")
-    heads = F.broadcast(heads)
-    ordered = rows.select("_part", F.lit(0).alias("_guest"), "_key", "_id", "_text")
-    first = rows.join(heads, (F.col("_part") == F.col("_hp")) & (F.col("_key") == F.col("_hk"))).select(F.col("_before").alias("_part"), F.lit(1).alias("_guest"), "_key", "_id", "_text")
-    dealt = ordered.unionAll(first).repartition(max(1, min(n, 4096)), "_part").sortWithinPartitions("_part", "_guest", F.col("_key").desc(), "_text")
+    def part(some: pd.Series, key: pd.Series, text_hash: pd.Series) -> pd.Series:
+        """Range 0 holds the greatest."""
+        return pd.Series(len(cuts) - np.searchsorted(cuts, places(some.to_numpy(np.int64), key.to_numpy(np.int64), text_hash.to_numpy(np.int64))))
+
+    of = part(*ORDER) if n > 1 else F.lit(0)
+    tops = keys.select(of.alias("_part"), *ORDER).groupBy("_part").agg(F.max(F.struct(*ORDER)).alias("top")).select("_part", "top.*").toArrow().sort_by("_part")  # one row a range
+    before = np.roll(tops["_part"].to_numpy(), 1)  # before the first comes the last
+    heads = docs.sparkSession.createDataFrame(tops.append_column("_before", pa.array(before, pa.int32())))
+    rows = rows.withColumn("_part", of)
+    ordered = rows.select("_part", F.lit(0).alias("_guest"), *ORDER, "_id", "_text")
+    first = rows.join(heads, ["_part", *ORDER]).select(F.col("_before").alias("_part"), F.lit(1).alias("_guest"), *ORDER, "_id", "_text")
+    dealt = ordered.unionAll(first).repartition(n, "_part").sortWithinPartitions("_part", "_guest", *(F.col(c).desc() for c in ORDER), "_text")
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its next one
         for b in batches:
             ids, out = [], []
-            for part, guest, one, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                text = text or ""
+            for part, guest, one, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist(), decoded(b.column(6)), strict=True):
+                if held and held[0] == part and held[1]:
+                    continue  # a row like the one that opens the next range
                 row = (part, guest, one, text, fingerprint(text))
-                if held and held[0] == part and not held[1]:
+                if held and held[0] == part:
                     ids.append(held[2])
                     out.append(compared(held, row))
                 held = row
             cols = list(zip(*out, strict=True)) or [[]] * len(OUT.split(","))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(3).type), *(pa.array(c, t) for c, t in zip(cols, KINDS, strict=True))], names=["_id", *(x.split()[0] for x in OUT.split(", "))])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(5).type), *(pa.array(c, t) for c, t in zip(cols, KINDS, strict=True))], names=["_id", *(x.split()[0] for x in OUT.split(", "))])
 
     return dealt.mapInArrow(run, f"_id {kind}, {OUT}").withColumnRenamed("_id", id_col)
 

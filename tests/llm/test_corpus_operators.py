@@ -91,6 +91,42 @@ def test_op1_blocks_and_spans(monkeypatch):
     assert x[0] == x[1] != x[2]
 
 
+def test_op1_likeness_is_that_of_the_spans(docs):
+    """near_edited and near_next estimate the true share of common spans of 12 characters."""
+    spans = lambda t: {t[i : i + 12] for i in range(len(t) - 11)} or {t}
+    texts = [LOREM[0] + " " + " ".join(LOREM[i : i + 3]) for i in range(9)] + [t for t in TEXTS if t and len(t) > 100]
+    for a, b in itertools.product(texts, texts):
+        want = len(spans(a) & spans(b)) / len(spans(a) | spans(b))
+        got = fingerprint.likeness(fingerprint.fingerprint(a), fingerprint.fingerprint(b))
+        assert abs(got - want) < 0.2 or min(len(spans(a)), len(spans(b))) < 128
+        new = fingerprint.edited(a, b)
+        want = len(spans(a) & spans(new)) / len(spans(a) | spans(new))
+        assert abs(fingerprint.likeness(fingerprint.fingerprint(a), fingerprint.fingerprint(new)) - want) < 0.2 or min(len(spans(a)), len(spans(new))) < 128
+
+
+def test_op1_ranges(spark, monkeypatch):
+    """Null, repeated and least ids, cut into many ranges: every row meets the next one of the order, whatever the ranges."""
+    ids = [None] * 60 + [7] * 60 + [-(2**63)] * 3 + list(range(100, 160))
+    rows = [(i, f"{j % 50} text of row {j % 50} " + "xyz"[j % 3] * (j % 7)) for j, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.selectExpr("doc_id", "text", "xxhash64(text) h").collect()
+    order = sorted(keyed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]), reverse=True)
+    want = sorted((repr(r["doc_id"]), hashlib.sha256(fingerprint.edited(r["text"], order[(i + 1) % len(order)]["text"]).encode()).hexdigest()) for i, r in enumerate(order))
+    for docs_each in (1000, 20, 1):
+        monkeypatch.setattr(fingerprint, "RANGE_DOCS", docs_each)
+        got = sorted((repr(r["doc_id"]), r["edited_sha256"]) for r in fingerprint.fingerprints(df.repartition(3)).collect())
+        assert got == want
+
+
+def test_op1_op2_op8_bytes_that_are_no_utf8(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ab\xffcd")), (2, bytearray(b"\xc3"))], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) text")
+    assert {r["doc_id"]: r["n_chars"] for r in fingerprint.fingerprints(df).collect()} == {1: 5, 2: 1}
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.toxicity(df, none).count() == 2
+    assert packing.pack_documents(df, queries.tokenizer_path()).count() == 2
+    assert doubling.without_repeats(df).count() == 2
+
+
 def test_op1_messy(empty, messy):
     assert fingerprint.fingerprints(empty).count() == 0
     assert fingerprint.fingerprints(messy).count() == 12
@@ -118,6 +154,49 @@ def test_op2_learns_and_holds_out(spark):
     assert got[9000]["score"] == got[9001]["score"] < 0.5
 
 
+def test_op2_risk_is_the_formula():
+    """Risk and gradient against plain loops and finite differences, above and below zero."""
+    rng = np.random.default_rng(0)
+    x = (rng.random((30, 6)) < 0.4).astype(float)
+    positive = np.arange(30) < 8
+    rows, cols = np.nonzero(x)
+    for prior in (0.1, 0.6):
+        for scale in (0.1, 3.0):
+            w, b = rng.normal(0, scale, 6), float(rng.normal())
+
+            def parts(w, b, prior=prior):
+                g = [b + sum(w[j] for j in range(6) if x[i, j]) for i in range(30)]
+                mean = lambda keep, sign: sum(np.log1p(np.exp(-sign * g[i])) for i in range(30) if keep[i]) / sum(keep)  # noqa: B023, E731
+                return prior * mean(positive, 1), mean(~positive, -1) - prior * mean(positive, -1)
+
+            first, rest = parts(w, b)
+            value, grad, slope = toxicity.risk(w, b, rows, cols, positive, prior)
+            assert abs(value - (first + max(0.0, rest))) < 1e-9
+            of = (lambda w, b: sum(parts(w, b))) if rest >= 0 else (lambda w, b: -parts(w, b)[1])
+            for j in range(6):
+                e = np.eye(6)[j] * 1e-6
+                assert abs((of(w + e, b) - of(w - e, b)) / 2e-6 - grad[j]) < 1e-5
+            assert abs((of(w, b + 1e-6) - of(w, b - 1e-6)) / 2e-6 - slope) < 1e-5
+
+
+def test_op2_held_out(spark):
+    """On the given labels that were not learned from: ranking, catches and false alarms."""
+    d = "/root/testdata/sf0.1"
+    got = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    rows = got.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
+    score, toxic = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
+    wins = (score[toxic == 1][:, None] > score[toxic == 0]).mean() + 0.5 * (score[toxic == 1][:, None] == score[toxic == 0]).mean()
+    print("held out", wins, (score[toxic == 1] >= 0.5).mean(), (score[toxic == 0] >= 0.5).mean())
+    assert wins > 0.96 and (score[toxic == 1] >= 0.5).mean() > 0.8 and (score[toxic == 0] >= 0.5).mean() < 0.01
+
+
+def test_op2_long_and_clashing(spark, messy):
+    none = spark.createDataFrame([(0, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity(messy, none).count() == 12
+    words = toxicity.words_of("a b " * 300_000 + "最後の言葉は長い文です")
+    assert words.split()[:2] == [b"a", b"b"] and len(toxicity.features(words)) > 10
+
+
 def test_op2_without_positives(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, none).collect()
