@@ -54,7 +54,7 @@ def _power(which: int, n: int, inverse: bool) -> np.ndarray:
 
 
 def prefix_sums(units: np.ndarray, which: int = 0) -> np.ndarray:
-    """From these sums the hash of any span follows by one subtraction; see span_hashes."""
+    """From these sums the hash of any span follows by one subtraction; see spans."""
     u = _OF_BYTE[units] if units.dtype == np.uint8 else units
     if which:
         u = mixed(u + np.uint64(0xA0761D6478BD642F))
@@ -63,21 +63,16 @@ def prefix_sums(units: np.ndarray, which: int = 0) -> np.ndarray:
     return prefix
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """Polynomial hashes modulo 2**64 of the spans of size units from start."""
-    return (prefix[start + size] - prefix[start]) * _power(which, len(prefix), True)[start]
-
-
-def spans(units: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def spans(units: np.ndarray, start: np.ndarray, size: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of spans of any sizes."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    prefix = prefix_sums(units)
-    return (prefix[start + size] - prefix[start]) * _power(0, len(prefix), True)[start]
+    prefix = prefix_sums(units, which)
+    return (prefix[start + size] - prefix[start]) * _power(which, len(prefix), True)[start]
 
 
 def window_hashes(units: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """span_hashes of every window of size units."""
+    """Polynomial hashes modulo 2**64 of every window of size units."""
     n = len(units)
     if n < size:
         return np.zeros(0, np.uint64)
@@ -126,12 +121,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int = 0) -> DataFrame:
-    """h, _row, s, c, n: a row a piece, from the scan itself; c is a check (16 bits) of all units of its windows.
+    """h, _row, s, n: a row a piece, from the scan itself.
 
     Within a batch of documents the rows of one anchor are summed up before they are shuffled: the first stands
     for all (n is 2), the others are known to repeat (n is 0) and need not meet it. So a hot anchor sends a row a batch.
 
-    With a step, one in so many anchors (by hash, so the same ones in equal texts) is a rung: it also has its place p,
+    Without a step there is also c, a check (16 bits) of all units of the piece's windows. With a step, one in so many anchors (by hash, so the same ones in equal texts) is a rung: it also has its place p,
     the _key and, of the windows from there of one, two, four, ... times the length, as far as the text goes, the hashes
     hs and cs (32 bits more).
     """
@@ -142,13 +137,13 @@ def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int
             for t in raw_texts(b.column(2)):
                 u = units(t)
                 got.append(pieces(u, window, gram))
-                checks.append(mixed(spans(u, got[-1][0], got[-1][1] + window - 1)) >> np.uint64(48))
                 if step:
                     hs, cs, size = rungs(u, got[-1], window, step)
                     longer.append((hs, cs))
                     held.append(size)
+                else:
+                    checks.append(mixed(spans(u, got[-1][0], got[-1][1] + window - 1)) >> np.uint64(48))
             h, s, p = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in ((2, np.uint64), (0, np.int64), (3, np.int64)))
-            c = np.concatenate(checks) if checks else np.zeros(0, np.uint64)
             sizes = [len(g[0]) for g in got]
             row = np.repeat(b.column(0).to_numpy(), sizes)
             order = np.argsort(h, kind="stable")
@@ -158,46 +153,38 @@ def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int
             n = np.zeros(len(h), np.int8)
             n[first] = np.minimum(size, 2)
             slot = np.where(n > 0, h, mixed(row.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)))
-            cols = {"h": pa.array(h.view(np.int64)), "slot": pa.array(slot.view(np.int64)), "_row": pa.array(row), "s": pa.array(s.astype(np.int32)), "c": pa.array(c[order].astype(np.uint16).view(np.int16)), "n": pa.array(n)}
+            cols = {"h": pa.array(h.view(np.int64)), "slot": pa.array(slot.view(np.int64)), "_row": pa.array(row), "s": pa.array(s.astype(np.int32)), "n": pa.array(n)}
             if step:
-                rung = np.concatenate(held) >= 0 if held else np.zeros(0, bool)
-                size = np.where(rung, np.concatenate(held), 0) if held else np.zeros(0, np.int64)
-                ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
-                take = pa.array(order)
+                size = np.concatenate(held) if held else np.zeros(0, np.int64)
+                none = size == 0
+                ends, take = pa.array(np.append(0, np.cumsum(size)).astype(np.int32), mask=np.append(none, False)), pa.array(order)
                 for name, i, kind in (("hs", 0, np.int64), ("cs", 1, np.int32)):
                     values = np.concatenate([x[i] for x in longer]) if longer else np.zeros(0, kind)
                     cols[name] = pa.ListArray.from_arrays(ends, pa.array(values.view(kind))).take(take)
-                cols["p"] = pa.array(p[order].astype(np.int32), mask=~rung[order])
-                cols["_key"] = pa.array(np.repeat(b.column(1).to_numpy(), sizes)[order], mask=~rung[order])
+                cols["p"] = pa.array(p[order].astype(np.int32), mask=none[order])
+                cols["_key"] = pa.array(np.repeat(b.column(1).to_numpy(), sizes)[order], mask=none[order])
+            else:
+                c = np.concatenate(checks) if checks else np.zeros(0, np.uint64)
+                cols["c"] = pa.array(c[order].astype(np.uint16).view(np.int16))
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return keyed(docs).mapInArrow(run, "h long, slot long, _row long, s int, c short, n byte" + (RUNG if step else ""))
+    return keyed(docs).mapInArrow(run, "h long, slot long, _row long, s int, n byte" + (RUNG if step else ", c short"))
 
 
 RUNG = ", hs array<long>, cs array<int>, p int, _key long"
 
 
 def rungs(units: np.ndarray, got: tuple, window: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (two parts) of the longer windows of one anchor after the other; how many each anchor has, -1 where it is no rung."""
+    """Hashes (two parts) of the longer windows of one anchor after the other; how many each anchor has, 0 where it is no rung."""
     _, _, h, p = got
-    size = np.full(len(p), -1, np.int64)
-    own = np.flatnonzero(h % np.uint64(step) == 0)
-    if not len(own):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), size
-    left = (len(units) - p[own]) // window
-    size[own] = np.where(left > 0, np.frexp(left.astype(float))[1], -1)
-    own = own[left > 0]
-    hs, cs, at = [], [], []
-    prefix, other = prefix_sums(units), prefix_sums(units, 1)
-    for k in range(int(size.max(initial=0))):
-        i = own[size[own] > k]
-        hs.append(span_hashes(prefix, p[i], window << k))
-        cs.append((span_hashes(other, p[i], window << k, 1) >> np.uint64(32)).astype(np.uint32))
-        at.append(i)
-    if not hs:
+    left = np.where(h % np.uint64(step) == 0, (len(units) - p) // window, 0)
+    size = np.frexp(left.astype(float))[1].astype(np.int64)  # of the lengths window, 2 * window, 4 * window, ... those that fit
+    n = int(size.sum())
+    if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), size
-    order = np.argsort(np.concatenate(at), kind="stable")
-    return np.concatenate(hs)[order], np.concatenate(cs)[order], size
+    level = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+    at, length = np.repeat(p, size), window << level
+    return spans(units, at, length), (spans(units, at, length, 1) >> np.uint64(32)).astype(np.uint32), size
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -228,7 +215,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, units: Units, window: int, gram: int, step: int = 0) -> DataFrame:
-    """A written table of the pieces whose anchor occurs twice or more: h, _row, s, c, and with a step the columns of RUNG."""
+    """A written table of the pieces whose anchor occurs twice or more: h, _row, s, and c or, with a step, the columns of RUNG."""
     return written(repeated(anchor_rows(docs, units, window, gram, step)), "repeated-pieces")
 
 

@@ -27,7 +27,7 @@ from lodestat.llm.anchors import candidates, chosen, covered, ranges, row_key, w
 from lodestat.llm.common import code_points, discard, key_col, raw_texts, renamed, strings, word_spans, written
 
 WINDOW = 20
-STEP = 4
+STEP = 8
 
 
 def _windows(units: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
