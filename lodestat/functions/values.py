@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,20 +57,38 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     return low, high
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!: the sum of logarithms up to 32, beyond that Stirling's series."""
+    x = n.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(32)), F.lit(1)).cast("long")), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))
+    large = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(n <= 32, small).otherwise(large)
+
+
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: summed up to 32, beyond that from the series with Euler's constant."""
+    x = n.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(32)), F.lit(1)).cast("long")), F.lit(0.0), lambda acc, i: acc + 1 / i)
+    large = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(n < 1, 0.0).when(n <= 32, small).otherwise(large)
+
+
 def binomial_two_sided(b: Column, c: Column) -> Column:
-    """Exact two-sided p of b against c discordant pairs at one half, summed in log space."""
+    """Exact two-sided p of b against c discordant pairs at one half.
+
+    The terms fall from the greatest one, that of the smaller count, so only those are summed that a double can tell: some
+    twelve standard deviations of them, however many pairs there are.
+    """
     n, k = b + c, F.least(b, c)
-    step = lambda i: F.log(n - i + 1) - F.log(i)
+    top = log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * math.log(2)
+    many = F.least(k, F.ceil(12 * F.sqrt(n.cast("double"))) + 50).cast("long")
     terms = F.aggregate(
-        F.sequence(F.lit(0), k),
-        F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum")),
-        lambda acc, i: F.struct(
-            F.when(i == 0, -n * F.log(F.lit(2.0))).otherwise(acc["log"] + step(i)).alias("log"),
-            (acc["sum"] + F.exp(F.when(i == 0, -n * F.log(F.lit(2.0))).otherwise(acc["log"] + step(i)))).alias("sum"),
-        ),
+        F.sequence(F.lit(0).cast("long"), many),
+        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
+        lambda acc, i: F.struct((acc["term"] * (k - i) / (n - k + i + 1)).alias("term"), (acc["sum"] + acc["term"]).alias("sum")),
         lambda acc: acc["sum"],
     )
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * terms))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(top) * terms))
 
 
 def salvaged_json(text: Column) -> Column:

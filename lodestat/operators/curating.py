@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.values import hash_bucket, seeded, shingles, tokens
 
+#: Rows of two longs that are sent to all tasks at most.
+BROADCAST_ROWS = 2_000_000
+
 
 def keep_first(rows: DataFrame, body: Column, order: str) -> DataFrame:
     """order, kept and first: whether a row is the first of those with an equal body, and which one is.
@@ -21,13 +26,17 @@ def keep_first(rows: DataFrame, body: Column, order: str) -> DataFrame:
 def decontaminate(pool: DataFrame, evaluation: DataFrame, n: int = 8, drop: float = 0.5, report: float = 0.2) -> DataFrame:
     """Share of a pool text's distinct word n-grams that occur in any evaluation text, and what follows from it.
 
-    Both are (id, text). Evaluation grams are made distinct before the join; a text of fewer than n words is one
-    gram as it stands.
+    Both are (id, text). Grams are compared by two hashes of 64 bits, those of the evaluation made distinct first; up to
+    BROADCAST_ROWS of them are sent to all tasks, so that no gram of the pool is shuffled, beyond that both sides meet by
+    a shuffle. A text of fewer than n words is one gram as it stands.
     """
     grams = lambda c: F.array_distinct(F.when(F.size(c) < n, F.array(F.array_join(c, " "))).otherwise(shingles(c, n)))
-    own = pool.select("id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0).select("id", F.explode(grams(F.col("w"))).alias("gram"))
-    seen = evaluation.select(tokens(F.col("text")).alias("w")).where(F.size("w") > 0).select(F.explode(grams(F.col("w"))).alias("gram")).distinct()
-    hit = own.join(seen.withColumn("hit", F.lit(1)), "gram", "left")
+    both = lambda g: F.transform(g, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(n), x).alias("b")))
+    of = lambda rows, *keep: rows.select(*keep, tokens(F.col("text")).alias("w")).where(F.size("w") > 0).select(*keep, F.explode(both(grams(F.col("w")))).alias("g")).select(*keep, "g.a", "g.b")
+    seen = of(evaluation).distinct().withColumn("hit", F.lit(1))
+    if seen.count() <= BROADCAST_ROWS:
+        seen = F.broadcast(seen)
+    hit = of(pool, "id").join(seen, ["a", "b"], "left")
     out = hit.groupBy("id").agg(F.count("*").alias("grams"), F.count("hit").alias("hits")).withColumn("share", F.round(F.col("hits") / F.col("grams"), 6))
     return out.withColumn("verdict", F.when(F.col("share") >= drop, "drop").when(F.col("share") >= report, "report").otherwise("keep"))
 
@@ -75,27 +84,39 @@ def one_per_group(rows: DataFrame, group: str, key: str, seed: str) -> DataFrame
     return rows.join(best, [group, key], "left_semi")
 
 
+def in_hash_order(rows: DataFrame, key: str, seed: str, *by: str, weight: str | None = None) -> DataFrame:
+    """rows with rank (place in the order of seeded hashes of key, from 1, within by), size of the cell and before (sum of weight, or of rows, ahead of it).
+
+    The order is cut by the first three digits of the hash: sums of these 4096 parts a cell are added up, and only a
+    part is sorted in one task.
+    """
+    each = rows.withColumn("_h", seeded(seed, F.col(key))).withColumn("_part", F.substring("_h", 1, 3)).withColumn("_w", F.col(weight) if weight else F.lit(1))
+    parts = each.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.sum("_w").alias("_sum"))
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a cell
+    earlier = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    parts = parts.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_part").alias("_p"), earlier("_n").alias("_rows"), earlier("_sum").alias("_ahead"), F.sum("_n").over(Window.partitionBy(*by)).alias("size"))
+    on = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    own = Window.partitionBy(*by, "_part").orderBy("_h", key)
+    met = each.join(parts, on)
+    met = met.withColumn("rank", (F.col("_rows") + F.row_number().over(own)).cast("long"))
+    met = met.withColumn("before", F.col("_ahead") + F.coalesce(F.sum("_w").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return met.select(*rows.columns, "rank", "size", "before")
+
+
 def quota_split(rows: DataFrame, group: str, quotas: list[tuple[str, int]], seed: str) -> DataFrame:
     """Groups in hash order; each goes to the slice whose quota the rows before it have not reached, the rest to reserve."""
-    groups = rows.groupBy(group).agg(F.count("*").alias("n"))
-    order = Window.orderBy(seeded(seed, F.col(group)))  # one row a group
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out, total, slot = groups.withColumn("before", before), 0, F.lit(None).cast("string")
-    for name, quota in reversed(quotas):
-        upto = sum(q for _, q in quotas[: [x for x, _ in quotas].index(name) + 1])
-        slot = F.when(F.col("before") < upto, name).otherwise(slot)
-        total += quota
-    return out.withColumn("slice", F.coalesce(slot, F.lit("reserve")))
+    groups = in_hash_order(rows.groupBy(group).agg(F.count("*").alias("n")), group, seed, weight="n").drop("rank", "size")
+    slot, ends = F.lit(None).cast("string"), itertools.accumulate(q for _, q in quotas)
+    for (name, _), end in reversed(list(zip(quotas, ends, strict=True))):
+        slot = F.when(F.col("before") < end, name).otherwise(slot)
+    return groups.withColumn("slice", F.coalesce(slot, F.lit("reserve")))
 
 
 def ranked_sample(rows: DataFrame, key: str, take: Column, seed: str, *by: str) -> DataFrame:
-    """The rows of each cell with the least seeded hashes, as many as take says; rank and size beside them.
-
-    Only keys are ranked. A cell is sorted whole: for cells of bounded size, or with by that splits them further.
-    """
-    w = Window.partitionBy(*by).orderBy(seeded(seed, F.col(key)), key)
-    out = rows.withColumn("rank", F.row_number().over(w)).withColumn("size", F.count("*").over(Window.partitionBy(*by)))
-    return out.where(F.col("rank") <= take)
+    """The rows of each cell with the least seeded hashes, as many as take says; rank and size beside them."""
+    return in_hash_order(rows, key, seed, *by).drop("before").where(F.col("rank") <= take)
 
 
 def audit_sample(rows: DataFrame, key: str, flag: str, cap: int, share: float, seed: str, *by: str) -> DataFrame:
@@ -134,11 +155,10 @@ def thinned(rows: DataFrame, flag: Column, share: float, key: str, seed: str) ->
 
 
 def fixed_point_free(rows: DataFrame, key: str, seed: str) -> DataFrame:
-    """key and partner: each row is given the next one in hash order, the last the first. Sorts the items once; for control sets of bounded size."""
-    w = Window.orderBy(seeded(seed, F.col(key)))
-    each = rows.select(key).withColumn("i", F.row_number().over(w))
-    n = F.broadcast(each.agg(F.count("*").alias("n")))
-    return each.crossJoin(n).withColumn("j", F.col("i") % F.col("n") + 1).join(each.select(F.col("i").alias("j"), F.col(key).alias("partner")), "j").select(key, "partner")
+    """key and partner: each row is given the next one in hash order, the last the first."""
+    each = in_hash_order(rows.select(key), key, seed)
+    after = each.select(F.col("rank").alias("_j"), F.col(key).alias("partner"))
+    return each.join(after, F.col("rank") % F.col("size") + 1 == F.col("_j")).select(key, "partner")
 
 
 def carried_over(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -201,11 +221,12 @@ def validated(items: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def audit_summary(rows: DataFrame, *by: str) -> DataFrame:
-    """rows(reviewed, wrong): pool, reviewed, wrong and noise rate of each cell, and the cell's share of the pool's noise."""
-    out = rows.groupBy(*by).agg(F.count("*").alias("pool"), F.count_if("reviewed").alias("reviewed"), F.count_if(F.col("reviewed") & F.col("wrong")).alias("wrong"))
+    """rows(reviewed, wrong, ambiguous): pool, reviewed, wrong, ambiguous and noise rate of each cell, and the cell's share of the pool's noise."""
+    seen = lambda c: F.count_if(F.col("reviewed") & F.col(c))
+    out = rows.groupBy(*by).agg(F.count("*").alias("pool"), F.count_if("reviewed").alias("reviewed"), seen("wrong").alias("wrong"), seen("ambiguous").alias("ambiguous"))
     out = out.withColumn("rate", F.when(F.col("reviewed") > 0, F.col("wrong") / F.col("reviewed")))
     total = F.broadcast(out.agg(F.sum("pool").alias("total")))
-    return out.crossJoin(total).select(*by, "pool", "reviewed", "wrong", F.round("rate", 6).alias("rate"), F.round(F.col("rate") * F.col("pool") / F.col("total"), 6).alias("weighted"))
+    return out.crossJoin(total).select(*by, "pool", "reviewed", "wrong", "ambiguous", F.round("rate", 6).alias("rate"), F.round(F.col("rate") * F.col("pool") / F.col("total"), 6).alias("weighted"))
 
 
 def family_summary(rows: DataFrame, family: str, split: str, splits: list[str]) -> DataFrame:

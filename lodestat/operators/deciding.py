@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestat.functions.values import harmonic
 from lodestat.operators.paired import average_rank
 
 
@@ -31,12 +32,13 @@ def risk_curve(rows: DataFrame, *by: str) -> DataFrame:
 def aurc(rows: DataFrame, *by: str) -> DataFrame:
     """Area under the risk-coverage curve with one step a confidence: weighted mean of the risk, and what is above the best possible order.
 
-    The best possible: all right rows first. Its area is a sum over the wrong ones, (n - j + 1)-th terms of a harmonic kind.
+    The best possible: all right rows first. Its area is a sum of j / (right + j) over the wrong ones, a difference of harmonic numbers.
     """
     s = steps(rows, *by)
     area = F.sum(F.col("n") * (1 - F.col("kk") / F.col("nn"))) / F.sum("n")
     out = s.groupBy(*by).agg(area.alias("a"), F.sum("n").alias("rows"), F.sum("k").alias("right"))
-    best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("rows") - F.col("right"), F.lit(1))), F.lit(0.0), lambda acc, j: acc + j / (F.col("right") + j)) / F.col("rows")
+    wrong = F.col("rows") - F.col("right")
+    best = (wrong - F.col("right") * (harmonic(F.col("rows")) - harmonic(F.col("right")))) / F.col("rows")
     best = F.when(F.col("rows") == F.col("right"), 0.0).otherwise(best)
     return out.select(*by, "rows", "right", F.round("a", 6).alias("aurc"), F.round(best, 6).alias("best"), F.round(F.col("a") - best, 6).alias("excess"))
 

@@ -46,7 +46,13 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str, most: int) -> DataF
     return out.select(key, F.col("w.start").alias("start"), "n", (F.col("n") > most).alias("over"))
 
 
-def growth_per_step(samples: DataFrame, step: str, value: str) -> DataFrame:
-    """Greatest value of each step and its growth over the step before."""
-    w = Window.orderBy(step)  # one row a step
-    return samples.groupBy(step).agg(F.max(value).alias("top")).withColumn("growth", F.round(F.col("top") - F.lag("top").over(w), 6))
+def growth_per_step(samples: DataFrame, step: str, value: str, run: int = 1024) -> DataFrame:
+    """Greatest value of each step and its growth over the step before.
+
+    Steps are taken in runs of so many; only the last step of each run is ordered over all of them.
+    """
+    tops = samples.groupBy(step).agg(F.max(value).alias("top")).withColumn("_run", F.floor(F.col(step) / run))
+    ends = tops.groupBy("_run").agg(F.max_by("top", step).alias("_end"))
+    ends = ends.select("_run", F.lag("_end").over(Window.orderBy("_run")).alias("_end"))  # a row for each run of steps
+    before = F.coalesce(F.lag("top").over(Window.partitionBy("_run").orderBy(step)), F.col("_end"))
+    return tops.join(ends, "_run").select(step, "top", F.round(F.col("top") - before, 6).alias("growth"))

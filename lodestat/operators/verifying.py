@@ -66,7 +66,7 @@ def base_units(rows: DataFrame, pattern: str, units: DataFrame) -> DataFrame:
     """rows(id, text): quantities with units, in base units by units(unit, base, factor); unknown units are null."""
     number = F.regexp_extract("text", pattern, 1).try_cast("double")
     each = rows.withColumn("q", number).withColumn("unit", F.lower(F.regexp_extract("text", pattern, 2)))
-    return each.join(F.broadcast(units), "unit", "left").select("id", "base", F.round(F.col("q") * F.col("factor"), 6).alias("quantity"))
+    return each.join(units, "unit", "left").select("id", "base", F.round(F.col("q") * F.col("factor"), 6).alias("quantity"))
 
 
 def chain_losses(items: DataFrame, *by: str) -> DataFrame:

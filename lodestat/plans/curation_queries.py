@@ -86,7 +86,7 @@ def digest_modulo(spark, d):
 
 @query("seeded_rank", "select doc_id, lang, row_number() over (partition by lang order by sha256('s1:' || doc_id), doc_id)::int as rank from documents qualify rank <= 20")
 def seeded_rank(spark, d):
-    return curating.ranked_sample(docs(spark, d).select("doc_id", "lang"), "doc_id", F.lit(20), "s1", "lang").select("doc_id", "lang", "rank")
+    return curating.ranked_sample(docs(spark, d).select("doc_id", "lang"), "doc_id", F.lit(20), "s1", "lang").select("doc_id", "lang", F.col("rank").cast("int").alias("rank"))
 
 
 @query("one_per_group", "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by sha256('g:' || o_orderkey)) = 1")
@@ -227,10 +227,10 @@ def item_validation(spark, d):
     return curating.validated(table(spark, d, "conversations"), checks).select("conv_id", "turn", F.size("errors").alias("n_errors"))
 
 
-@query("audit_summary", f"""with {LAB}, c as (select lang, count(*) as pool, count(*) filter (doc_id % 3 = 0) as reviewed, count(*) filter (doc_id % 3 = 0 and flag) as wrong from lab group by 1)
-select lang, pool, reviewed, wrong, round(wrong / nullif(reviewed, 0), 6)::double as rate, round(wrong / nullif(reviewed, 0) * pool / (select sum(pool) from c), 6)::double as weighted from c""")
+@query("audit_summary", f"""with {LAB}, c as (select lang, count(*) as pool, count(*) filter (doc_id % 3 = 0) as reviewed, count(*) filter (doc_id % 3 = 0 and flag) as wrong, count(*) filter (doc_id % 15 = 0) as ambiguous from lab group by 1)
+select lang, pool, reviewed, wrong, ambiguous, round(wrong / nullif(reviewed, 0), 6)::double as rate, round(wrong / nullif(reviewed, 0) * pool / (select sum(pool) from c), 6)::double as weighted from c""")
 def audit_summary(spark, d):
-    rows = labelled(spark, d).select("lang", (F.col("doc_id") % 3 == 0).alias("reviewed"), (F.col("toxic") == 1).alias("wrong"))
+    rows = labelled(spark, d).select("lang", (F.col("doc_id") % 3 == 0).alias("reviewed"), (F.col("toxic") == 1).alias("wrong"), (F.col("doc_id") % 5 == 0).alias("ambiguous"))
     return curating.audit_summary(rows, "lang")
 
 
@@ -339,10 +339,8 @@ def out_of_fold_candidates(spark, d):
 @query("work_level_split", """with u as (select distinct source || ':' || (doc_id // 3) as unit from documents), r as (select unit, (row_number() over (order by sha256('w:' || unit)) - 1) / ((select count(*) from u) - 1) as p from u)
 select doc_id, case when p < 0.8 then 'train' when p < 0.9 then 'val' else 'test' end as split from documents join r on unit = source || ':' || (doc_id // 3)""")
 def work_level_split(spark, d):
-    from pyspark.sql import Window
-
     rows = docs(spark, d).select("doc_id", F.concat_ws(":", "source", F.floor(F.col("doc_id") / 3).cast("string")).alias("unit"))
-    units = rows.select("unit").distinct().withColumn("p", F.percent_rank().over(Window.orderBy(values.seeded("w", F.col("unit")))))
+    units = curating.in_hash_order(rows.select("unit").distinct(), "unit", "w").select("unit", ((F.col("rank") - 1) / (F.col("size") - 1)).alias("p"))
     cut = F.when(F.col("p") < 0.8, "train").when(F.col("p") < 0.9, "val").otherwise("test")
     return rows.join(units, "unit").select("doc_id", cut.alias("split"))
 

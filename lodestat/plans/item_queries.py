@@ -36,7 +36,7 @@ def poisson_rate(spark, d):
 @query("residual_noise")
 def residual_noise(spark, d):
     cells = labelled(spark, d).groupBy("lang").agg(F.count("*").alias("pool"), F.count_if(F.col("doc_id") % 3 == 0).alias("reviewed"), F.count_if((F.col("doc_id") % 3 == 0) & (F.col("toxic") == 1)).alias("wrong"))
-    return bounds.residual_noise(cells, 500)
+    return bounds.residual_noise(cells)
 
 
 CAND = """cand as (select event_id // 40 as answer, (event_id // 8) % 5 as pos, event_type || (event_id % 3) as token, min(value) as logit from events group by all), gen as (select distinct answer, pos, token from (select *, row_number() over (partition by answer, pos order by logit, token) as rn from cand) where rn = 1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,14 +40,28 @@ def parquet_shard(spark: SparkSession, path: str, columns: list[str], seed: str,
     return spark.read.parquet(path).select(*columns).withColumn("rank_key", F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256))
 
 
-def checked_lines(spark: SparkSession, path: str, sha256: str, schema: str) -> DataFrame:
-    """JSON lines of a (gzip) file after its sha256 is checked."""
-    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("s")).first()
-    if found is None or found["s"] != sha256:
-        raise ValueError(f"{path} is not the file that was frozen")
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """name and sha256 of every file of bytes under a path: the manifest that freezes it."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
+
+
+def checked_lines(spark: SparkSession, path: str, manifest: DataFrame | str, schema: str) -> DataFrame:
+    """JSON lines of the (gzip) files under a path after their sha256 are checked: against a manifest, or one digest for one file."""
+    found = digests(spark, path)
+    if isinstance(manifest, str):
+        manifest = found.select("name").limit(2).withColumn("sha256", F.lit(manifest))
+    other = found.join(manifest, ["name", "sha256"], "full_outer")
+    wrong = other.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").unionAll(found.join(manifest, "name", "left_anti").select("name", F.lit(1))).unionAll(manifest.join(found, "name", "left_anti").select("name", F.lit(1)))
+    if not wrong.isEmpty() or found.isEmpty():
+        raise ValueError(f"{path} is not what was frozen")
     return spark.read.schema(schema).json(path)
 
 
+def rewritten_sheet(sheet: DataFrame, column: str, derived: Column) -> DataFrame:
+    """A score sheet with a derived column worked out anew, and whether each row had another value before."""
+    return sheet.withColumn("rewritten", ~F.col(column).eqNullSafe(derived)).withColumn(column, derived)
+
+
 def repaired(text: Column, pairs: dict[str, str]) -> tuple[Column, Column]:
     """text with wrong letters replaced, and how many were."""
     n = sum((F.length(text) - F.length(F.replace(text, F.lit(a), F.lit("")))) for a in pairs) if pairs else F.lit(0)
@@ -61,10 +77,19 @@ def web_bytes(spark: SparkSession, path: str, encoding: str, pairs: dict[str, st
     return spark.read.format("binaryFile").load(path).select("path", text.alias("text"), n.alias("n_repaired"))
 
 
-def fingerprints(rows: DataFrame, key: str, *by: str) -> DataFrame:
-    """n and a sha256 of each slice's set of keys: keys are hashed in 256 groups, then the groups' hashes in order. No slice has to meet in one task whole."""
+def fingerprints(rows: DataFrame, key: str, *by: str, group: int = 4096) -> DataFrame:
+    """n and a sha256 of each slice's set of keys: keys are hashed in groups by the first digits of their hash, then the groups' hashes in order.
+
+    A slice has as many digits as keep its groups at some `group` keys, two at least, so no list grows with the slice.
+    """
     k = F.col(key).cast("string")
-    groups = rows.groupBy(*by, F.substring(F.sha2(k, 256), 1, 2).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(k)), "\n"), 256).alias("h"), F.count("*").alias("n"))
+    each = rows.select(*by, k.alias("_k"), F.sha2(k, 256).alias("_h"))
+    size = each.groupBy(*by).agg(F.greatest(F.lit(2), F.ceil(F.log(F.count("*") / group) / math.log(16))).cast("int").alias("_digits")).select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_digits")
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    each = each.join(size, on) if by else each.crossJoin(size)
+    groups = each.groupBy(*by, F.expr("substring(_h, 1, _digits)").alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_k")), "\n"), 256).alias("h"), F.count("*").alias("n"))
     return groups.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha"))
 
 
