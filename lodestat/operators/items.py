@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from lodestat.functions.values import seeded
@@ -62,43 +60,90 @@ def readout_faults(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fault", F.when(F.size("probs") == 0, "empty").when(bad, "not finite").when(F.abs(total - 1) > 1e-6, "sum").when(F.col("mass") <= 0, "mass"))
 
 
-@udtf(returnType=T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.DoubleType())]))
+#: Marks of a locale: what groups thousands, what is the decimal mark.
+LOCALES = {"en": (",", "."), "de": (". ", ","), "fr": (" ", ","), "es": (". ", ",")}
+#: Currency markers, as words or signs.
+CURRENCIES = {"$": "USD", "usd": "USD", "dollars": "USD", "€": "EUR", "eur": "EUR", "euro": "EUR", "euros": "EUR", "£": "GBP", "gbp": "GBP"}
+_MARKER = re.compile("|".join(rf"\b{m}\b" if m.isalpha() else re.escape(m) for m in sorted(CURRENCIES, key=len, reverse=True)), re.I)
+
+
+def number_patterns(lang: str | None) -> list[tuple[re.Pattern, str, str]]:
+    """(pattern, thousands, decimal) of the text's own locale first, then of the others."""
+    own = LOCALES.get(lang or "", LOCALES["en"])
+    out = []
+    for groups, mark in dict.fromkeys([own, *LOCALES.values()]):
+        g = f"[{re.escape(groups)}]"
+        out.append((re.compile(rf"(?<![\w.,])[-−]?(?:\d{{1,3}}(?:{g}\d{{3}})+|\d+)(?:{re.escape(mark)}\d+)?(?![\w]|[.,]\d)"), groups, mark))
+    return out
+
+
+def numbers_of(text: str, lang: str | None, within: int = 12) -> list[tuple[int, int, float, str | None]]:
+    """start, end, value and currency of the numbers of a text, none over another.
+
+    The own locale's reading of a place comes before the others'. A minus counts where no word or number ends just
+    before it. The currency is that of the nearest marker within so many characters on either side, the earlier on ties.
+    """
+    taken: list[tuple[int, int, float]] = []
+    for pattern, groups, mark in number_patterns(lang):
+        for m in pattern.finditer(text):
+            if not any(a < m.end() and m.start() < b for a, b, _ in taken):
+                plain = "".join(c for c in m[0] if c not in groups).replace(mark, ".").replace("−", "-")
+                taken.append((*m.span(), float(plain)))
+    out = []
+    markers = [(m.start(), m.end(), CURRENCIES[m[0].lower()]) for m in _MARKER.finditer(text)] if taken else []
+    for a, b, value in sorted(taken):
+        near = [(max(x - b, a - y, 0), x, name) for x, y, name in markers if x - b <= within and a - y <= within]
+        out.append((a, b, value, min(near)[2] if near else None))
+    return out
+
+
+@udtf(returnType="start int, end int, value double, currency string")
 class Numbers:
-    """Numbers of a text with their places: a comma before three digits groups thousands, one before fewer is a decimal mark."""
+    def eval(self, text: str, lang: str):
+        yield from numbers_of(text or "", lang)
 
-    PATTERN = re.compile(r"(?<![\w.,])-?\d{1,3}(?:[ .,]\d{3})+(?:[.,]\d+)?(?!\d)|(?<![\w.,])-?\d+(?:[.,]\d+)?(?!\d)")
+
+@udtf(returnType="pos int, sentence string")
+class Sentences:
+    """Sentences of a text with their places: cut after . ! or ? before white space."""
 
     def eval(self, text: str):
-        for m in self.PATTERN.finditer(text or ""):
-            yield m.start(), m.end(), number_of(m[0])
+        at = 0
+        for part in re.split(r"(?<=[.!?])\s+", text or ""):
+            if part.strip():
+                yield at, part.strip()
+                at += 1
+
 
+@udtf(returnType="pos int, lines int, first string")
+class Stanzas:
+    """Stanzas of a text with their places: lines up to an empty one."""
 
-def number_of(s: str) -> float | None:
-    parts = re.split(r"[ .,]", s.lstrip("-"))
-    decimal = parts.pop() if len(parts) > 1 and len(parts[-1]) != 3 else ""
-    return float(("-" if s[0] == "-" else "") + "".join(parts) + ("." + decimal if decimal else ""))
+    def eval(self, text: str):
+        for i, part in enumerate(p for p in re.split(r"\n[ \t]*\n", text or "") if p.strip()):
+            lines = [x for x in part.split("\n") if x.strip()]
+            yield i, len(lines), lines[0]
 
 
 def number_mentions(rows: DataFrame, key: str) -> DataFrame:
-    """key, start, end, value of every number of a corpus."""
-    from pyspark.sql import functions as f
+    """rows(key, text, lang): key, start, end, value and nearest currency of every number of a corpus; see numbers_of."""
+    return rows.select(key, "text", "lang").lateralJoin(Numbers(F.col("text").outer(), F.col("lang").outer())).select(key, "start", "end", "value", "currency")
 
-    each = rows.select(key, "text")
-    return each.lateralJoin(Numbers(f.col("text").outer())).select(key, "start", "end", "value")
 
+def sentence_rows(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, "text").lateralJoin(Sentences(F.col("text").outer())).select(key, "pos", "sentence")
 
-def schemes(stanzas: DataFrame, key: str) -> DataFrame:
-    """stanzas(key, lines array): greedy rhyme letters by last letters: a line takes the letter of the first earlier line with its ending."""
 
-    @F.pandas_udf(T.StringType())
-    def scheme(lines: pd.Series) -> pd.Series:
-        def of(ls: list[str]) -> str:
-            seen: dict[str, str] = {}
-            return "".join(seen.setdefault(re.sub(r"\W|\d|_", "", x.lower())[-2:], chr(65 + len(seen) % 26)) for x in ls)
+def stanza_rows(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, "text").lateralJoin(Stanzas(F.col("text").outer())).select(key, "pos", "lines", "first")
 
-        return lines.map(of)
 
-    return stanzas.select(key, scheme("lines").alias("scheme"))
+def schemes(stanzas: DataFrame, key: str) -> DataFrame:
+    """stanzas(key, lines array): greedy rhyme letters by last letters: a line takes the letter of the first earlier line with its ending."""
+    ends = F.transform("lines", lambda x: F.right(F.regexp_replace(F.lower(x), r"[^\p{L}]", ""), F.lit(2)))
+    each = stanzas.select(key, ends.alias("_ends")).withColumn("_known", F.array_distinct("_ends"))
+    letter = lambda e: F.chr(65 + (F.array_position("_known", e) - 1) % 26)
+    return each.select(key, F.array_join(F.transform("_ends", letter), "").alias("scheme"))
 
 
 def related_names(pairs: DataFrame) -> DataFrame:
@@ -128,15 +173,9 @@ def blocks_of(rows: DataFrame, key: str, least: int = 8, most: int = 16) -> Data
 
 
 def grouped_statistic(rows: DataFrame, *by: str) -> DataFrame:
-    """Median absolute deviation of each group by an Arrow aggregate: for groups of bounded size."""
-
-    @F.pandas_udf(T.DoubleType())
-    def mad(v: pd.Series) -> float:
-        return float((v - v.median()).abs().median())
-
-    return rows.groupBy(*by).agg(F.round(mad("value"), 6).alias("mad"))
-
-
+    """Median absolute deviation of each group: its median first, then that of the distances from it."""
+    middle = rows.groupBy(*by).agg(F.percentile("value", F.lit(0.5)).alias("_m"))
+    return rows.join(middle, list(by)).groupBy(*by).agg(F.round(F.percentile(F.abs(F.col("value") - F.col("_m")), F.lit(0.5)), 6).alias("mad"))
 
 
 def minimal_pairs(variants: DataFrame, marker: str, least: float = 1 / 3) -> DataFrame:
@@ -165,11 +204,18 @@ def indistinguishable(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     return each.withColumn("kind", kind).drop("_qa", "_qb", "_wa", "_wb")
 
 
+def present(value: Column, text: Column) -> Column:
+    """Whether a text (lower case) has a value: as it stands, or abbreviated by one of its words: three letters or more, the first the value's own, the rest in their order in it."""
+    short = F.filter(F.regexp_extract_all(text, F.lit(r"([\p{L}]{3,})"), F.lit(1)), lambda w: F.substring(w, 1, 1) == F.substring(value, 1, 1))
+    in_order = lambda w: F.regexp_like(value, F.concat(F.lit("^"), F.array_join(F.split(w, ""), ".*")))
+    return text.contains(value) | F.exists(short, in_order)
+
+
 def distinguishing(rows: DataFrame) -> DataFrame:
     """rows(text, gold map, other map): whether the text tells gold from the other option by an attribute in which they differ: yes, contradicts or no."""
     low = F.lower("text")
     differ = lambda m, o: F.map_filter(F.col(m), lambda k, v: ~v.eqNullSafe(F.element_at(F.col(o), k)))
-    has = lambda m: F.size(F.map_filter(m, lambda k, v: low.contains(F.lower(v)))) > 0
+    has = lambda m: F.size(F.map_filter(m, lambda k, v: present(F.lower(v), low))) > 0
     return rows.withColumn("verdict", F.when(has(differ("gold", "other")), "yes").when(has(differ("other", "gold")), "contradicts").otherwise("no"))
 
 

@@ -242,6 +242,24 @@ def run_agreement(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("la") == F.col("lb")).alias("same_label"), F.count_if((F.col("la") == F.col("lb")) & (d == 0)).alias("identical"), F.round(F.max(d), 6).alias("max_change"), F.round(F.avg(d), 6).alias("mean_change"))
 
 
+def agreement_bound(a: DataFrame, b: DataFrame, cluster: str, margin: float, reps: int = 2000, seed: int = 7) -> DataFrame:
+    """(id, label, correct, cluster): agreement of labels less that of the baseline repeats, its one-sided 5 % cluster-bootstrap bound, and whether that is above -margin."""
+    both = a.join(b.select("id", F.col("label").alias("_l"), F.col("correct").alias("_c")), "id")
+    d = (F.col("label") == F.col("_l")).cast("int") - (F.col("correct") == F.col("_c")).cast("int")
+    sums = both.groupBy(F.col(cluster).alias("cluster")).agg(F.sum(d).alias("num"), F.count("*").alias("den"))
+    point = sums.agg(F.round(F.sum("num") / F.sum("den"), 6).alias("beyond"))
+    bound = cluster_bootstrap(sums, reps, seed).agg(F.round(F.percentile("value", F.lit(0.05)), 6).alias("bound"))
+    return point.crossJoin(bound).withColumn("within", F.col("bound") > -margin)  # one row each
+
+
+def effect_correlation(rows: DataFrame, group: str) -> DataFrame:
+    """rows(group, engine 0 or 1, arm, correct): correlation over groups of the effect (tuned less base) that two engines see."""
+    share = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col("correct").cast("double")))
+    each = rows.groupBy(group, "engine").agg((share("tuned") - share("base")).alias("effect")).where("effect is not null")
+    wide = each.groupBy(group).pivot("engine", [0, 1]).agg(F.first("effect")).where("`0` is not null and `1` is not null")
+    return wide.agg(F.count("*").alias("groups"), F.round(F.corr("0", "1"), 6).alias("correlation"))
+
+
 def distinct_outputs(runs: DataFrame, item: str, sha: str, least: int = 2) -> DataFrame:
     """Items with at least so many runs, how many of them gave more than one output, and the verdict."""
     each = runs.groupBy(item).agg(F.count("*").alias("runs"), F.countDistinct(sha).alias("outputs")).where(F.col("runs") >= least)

@@ -11,17 +11,24 @@ from pyspark.sql import functions as F
 
 from lodestat.functions.values import tokens
 
+#: Words that are sent to all tasks at most.
+BROADCAST_ROWS = 1_000_000
+
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, text) against (query, text): the k best documents of each query.
 
-    Term counts of the documents are cut down to the terms that queries use before anything else; the sums of
-    scores are aggregated by query and document before they are ranked.
+    Term counts of the documents are cut down to the terms that queries use before anything else, in the tasks that
+    read the texts where these terms are at most BROADCAST_ROWS; the sums of scores are aggregated by query and
+    document before they are ranked.
     """
     terms = docs.select("id", tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("len"), "w")
     size = F.broadcast(terms.agg(F.count("*").alias("n"), F.avg("len").alias("avg")))  # one row
     asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    tf = terms.select("id", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    few = asked.select("term").distinct()
+    if few.count() <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    tf = terms.select("id", "len", F.explode("w").alias("term")).join(few, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
@@ -48,20 +55,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, exclude: str | None
     rows = vectors.select("id", "v", *fam).withColumn("slab", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(64, -(-vectors.count() // slab)))))
     slabs = rows.groupBy("slab").agg(F.collect_list(F.struct("id", "v", *fam)).alias("x"))
 
-    def unit(structs: list[dict]) -> np.ndarray:
-        m = np.array([s["v"] for s in structs], np.float64)
+    def unit(cells: pa.StructArray) -> np.ndarray:
+        m = cells.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(cells), -1)
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x.sort(key=lambda s: s["id"])  # the stable cut below then leaves the least ids of a tie
+            for i in range(b.num_rows):
+                x, q = b.column(0)[i].values, b.column(1)[i].values
+                x = x.take(pa.array(np.argsort(x.field("id").to_numpy(), kind="stable")))  # the stable cut below then leaves the least ids of a tie
                 sim = np.round(unit(q) @ unit(x).T, 6)
-                ids = np.array([s["id"] for s in x])
-                own = np.array([s["id"] for s in q])
+                ids, own = x.field("id").to_numpy(), q.field("id").to_numpy()
                 sim[own[:, None] == ids[None, :]] = -2
                 if exclude:
-                    sim[np.array([s[exclude] for s in q])[:, None] == np.array([s[exclude] for s in x])[None, :]] = -2
+                    sim[q.field(exclude).to_numpy(zero_copy_only=False)[:, None] == x.field(exclude).to_numpy(zero_copy_only=False)[None, :]] = -2
                 n = min(k, len(ids))
                 at = np.argsort(-sim, axis=1, kind="stable")[:, :n]
                 keep = np.take_along_axis(sim, at, 1)
@@ -87,6 +94,16 @@ def margins(ranked: DataFrame, query: str = "query", score: str = "score") -> Da
     return out.select(query, F.round((F.col("s1") - F.col("s2")) / F.col("s1"), 4).alias("margin"))
 
 
+def difficulty_bands(ranked: DataFrame, split: str, low: float, high: float) -> DataFrame:
+    """ranked(query, split, rank, score, family, own): for each split how often the first candidate is of the query's family, how often more of it are listed, the median margin, and whether that lies inside the band."""
+    first = lambda c: F.max(F.when(F.col("rank") == 1, c))
+    kin = (F.col("family") == F.col("own")).cast("int")
+    second = F.max(F.when(F.col("rank") == 2, F.col("score")))
+    each = ranked.groupBy(split, "query").agg(first(kin).alias("top"), (F.sum(kin) - first(kin)).alias("siblings"), F.round((first(F.col("score")) - second) / first(F.col("score")), 4).alias("margin"))
+    out = each.groupBy(split).agg(F.count("*").alias("queries"), F.round(F.avg("top"), 6).alias("gold_first"), F.round(F.avg((F.col("siblings") > 0).cast("double")), 6).alias("with_siblings"), F.round(F.percentile("margin", F.lit(0.5)), 6).alias("median_margin"))
+    return out.withColumn("in_band", F.col("median_margin").between(low, high))
+
+
 def family_centroids(vectors: DataFrame, family: str, k: int = 10) -> DataFrame:
     """Cosine of the k nearest families of each, by the mean vectors of the families.
 

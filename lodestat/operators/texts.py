@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,11 +139,24 @@ def ending(line: Column, n: int = 3) -> Column:
     return F.right(F.regexp_replace(F.lower(line), r"[^\p{L}]", ""), F.lit(n))
 
 
-def rhyme_score(a: Column, b: Column) -> Column:
-    """1 for three equal last letters, 0.7 for two, 0.4 for one, at most 0.5 for the same last word."""
+def rhyme_score(a: Column, b: Column, repeats: bool = False) -> Column:
+    """1 for three equal last letters, 0.7 for two, 0.4 for one; at most 0.5 for the same last word, unless repeats count."""
     word = lambda c: F.regexp_extract(F.lower(c), r"([\p{L}]+)[^\p{L}]*$", 1)
     s = F.when(ending(a) == ending(b), 1.0).when(ending(a, 2) == ending(b, 2), 0.7).when(ending(a, 1) == ending(b, 1), 0.4).otherwise(0.0)
-    return F.when(word(a) == word(b), F.least(s, F.lit(0.5))).otherwise(s)
+    return s if repeats else F.when(word(a) == word(b), F.least(s, F.lit(0.5))).otherwise(s)
+
+
+def separation(pairs: DataFrame, scorers: dict[str, Column], grid: list[float]) -> DataFrame:
+    """pairs(kind: true or control, ...): for each scorer and threshold the shares at or over it, and what the true pairs have more.
+
+    Counts are kept by score, so the grid multiplies a row for each score, not each pair.
+    """
+    each = pairs.select("kind", F.explode(F.create_map(*(x for n, c in scorers.items() for x in (F.lit(n), c)))).alias("scorer", "s")).groupBy("scorer", "kind", "s").agg(F.count("*").alias("n"))
+    each = each.withColumn("t", F.explode(F.array(*map(F.lit, grid))))
+    n = lambda kind, more: F.sum(F.when((F.col("kind") == kind) & more, F.col("n")).otherwise(0))
+    share = lambda kind: F.round(n(kind, F.col("s") >= F.col("t")) / n(kind, F.lit(True)), 6)
+    out = each.groupBy("scorer", "t").agg(n("true", F.lit(True)).alias("pairs"), share("true").alias("own"), share("control").alias("control"))
+    return out.withColumn("gain", F.round(F.col("own") - F.col("control"), 6))
 
 
 def web_text(html: Column, dropped: tuple[str, ...] = ("script", "style", "nav", "header", "footer")) -> Column:
@@ -165,15 +184,36 @@ def token_classes(rows: DataFrame, classes: dict[str, Column], *by: str) -> Data
 
 
 def nearest_cue(rows: DataFrame, key: str, number: str, cue: str, within: int) -> DataFrame:
-    """For each number of a text its nearest cue word within so many characters; the earlier one on ties.
+    """For each number (word) of a text its nearest cue word that begins within so many characters of where it begins; the earlier one on ties.
 
     Numbers and cues of a text are matched inside its row, so nothing is joined.
     """
-    places = lambda p: F.filter(F.transform(F.split("text", " "), lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: x["word"].rlike(p))
-    each = rows.select(key, places(number).alias("numbers"), places(cue).alias("cues"))
-    out = each.select(key, F.explode("numbers").alias("n"), "cues")
-    near = F.array_min(F.transform(F.filter("cues", lambda c: F.abs(c["pos"] - F.col("n.pos")) <= within), lambda c: F.struct(F.abs(c["pos"] - F.col("n.pos")).alias("d"), c["pos"].alias("pos"), c["word"].alias("word"))))
-    return out.select(key, F.col("n.pos").alias("pos"), near["word"].alias("cue"), near["d"].alias("distance"))
+    numbers, cues = re.compile(number), re.compile(cue)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, out = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                words = (text or "").split(" ")
+                start = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+                at = [start[j] for j, w in enumerate(words) if cues.search(w)]
+                names = [w for w in words if cues.search(w)]
+                for j, w in enumerate(words):
+                    if numbers.search(w):
+                        best = min(((abs(c - start[j]), c, n) for c, n in zip(_near(at, start[j]), _near(names, start[j], at), strict=True)), default=None)
+                        found = best if best and best[0] <= within else (None, None, None)
+                        own.append(i)
+                        out.append((int(start[j]), found[2], None if found[0] is None else int(found[0])))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=[key, "pos", "cue", "distance"])
+
+    return rows.select(key, "text").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, pos int, cue string, distance int")
+
+
+def _near(values: list, place: int, by: list | None = None) -> list:
+    """Of values in order of place (by: their places) the last one before a place and the first one from there on."""
+    i = bisect.bisect_left(values if by is None else by, place)
+    return values[max(0, i - 1) : i + 1]
 
 
 def tagged_entities(rows: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestat.operators import bounds, decoding, deciding, items, models, paired, scoring, texts
 from lodestat.plans.curation_queries import LAB, docs, labelled
-from lodestat.plans.decision_queries import TWO, two_runs
+from lodestat.plans.decision_queries import REPLICAS, REPS, TWO, two_runs, weight_sql
 from lodestat.plans.inputs import DECISIONS, RUN_FIELDS, decisions, run_fields, table
 from lodestat.plans.registry import query
 from lodestat.plans.score_queries import ITEMS, item_pass
@@ -123,6 +123,18 @@ def number_mentions(spark, d):
     return items.number_mentions(docs(spark, d), "doc_id")
 
 
+@query("sentence_rows", r"""with s as (select doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as s from documents), u as (select doc_id, list_filter([trim(x, E' \t\n\r') for x in s], lambda x: x <> '') as s from s)
+select doc_id, unnest(range(0, len(s)))::int as pos, unnest(s) as sentence from u""")
+def sentence_rows(spark, d):
+    return items.sentence_rows(docs(spark, d), "doc_id")
+
+
+@query("stanza_rows", r"""with s as (select doc_id, list_filter(string_split_regex(text, '\n[ \t]*\n'), lambda x: trim(x, ' \t\n\r') <> '') as s from documents), u as (select doc_id, unnest(range(0, len(s)))::int as pos, unnest(s) as p from s), l as (select *, list_filter(string_split(p, chr(10)), lambda x: trim(x) <> '') as l from u)
+select doc_id, pos, len(l)::int as lines, l[1] as first from l""")
+def stanza_rows(spark, d):
+    return items.stanza_rows(docs(spark, d), "doc_id")
+
+
 @query("scheme_distribution")
 def scheme_distribution(spark, d):
     lines = docs(spark, d).select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
@@ -166,12 +178,44 @@ def style_classifier(spark, d):
     return models.style_scores(rows.where("id % 5 <> 0"), rows)
 
 
+def _real_and_synthetic(spark, d):
+    """Benchmark passages as the real texts, generated documents as the synthetic ones."""
+    real = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("key"), "text", F.lit(1.0).alias("label"))
+    return real.unionAll(docs(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")), "text", F.lit(0.0)))
+
+
+@query("real_vs_synthetic")
+def real_vs_synthetic(spark, d):
+    return models.separability(_real_and_synthetic(spark, d), "key")
+
+
+@query("gram_kinds", r"""with t as (select 1.0::double as label, text from benchmark union all select 0.0, text from documents), g as (select label, unnest([substr(text, i, 3) for i in range(1, length(text) - 1)]) as g from t where length(text) >= 3),
+k as (select label, case when regexp_matches(g, '[0-9]') then 'number' when regexp_matches(g, '\s') then 'word edge' when regexp_matches(g, '[^\p{L}]') then 'punctuation' else 'letters' end as kind, count(*) as n from g group by all), z as (select label, unnest(['number', 'word edge', 'punctuation', 'letters']) as kind from (select distinct label from t))
+select z.label, z.kind, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / sum(n) over (partition by z.label), 6)::double as share from z left join k on k.label = z.label and k.kind = z.kind""")
+def gram_kinds(spark, d):
+    return models.gram_kinds(_real_and_synthetic(spark, d), "label")
+
+
 @query("shortcut_audit")
 def shortcut_audit(spark, d):
     rows = labelled(spark, d).select("source", F.col("toxic").cast("double").alias("label"), F.col("n_chars").cast("double").alias("n_chars"))
     return models.shortcut_audit(rows, ["n_chars"], "source")
 
 
+@query("agreement_bound", f"""with {DECISIONS}, {TWO}, {REPLICAS}, x as (select r1.layer as cluster, (r1.label = r2.label)::int - (r1.correct = r2.correct)::int as d from r1 join r2 using (id)), s as (select cluster, sum(d) as num, count(*) as den from x group by 1),
+v as (select r, sum(num * w) / nullif(sum(den * w), 0) as value from (select r, num, den, {weight_sql("'7:' || cluster")} as w from s, replicas) group by 1), b as (select round(quantile_cont(value, 0.05), 6)::double as bound from v)
+select (select round(sum(num) / sum(den), 6)::double from s) as beyond, bound, bound > -0.02 as within from b""")
+def agreement_bound(spark, d):
+    return paired.agreement_bound(*two_runs(spark, d), "layer", margin=0.02, reps=REPS)
+
+
+@query("effect_correlation", f"""with {DECISIONS}, x as (select grp, id // 2 % 2 as engine, avg(correct::int) filter (arm = 'tuned') - avg(correct::int) filter (arm = 'base') as effect from decisions group by all), p as (select a.effect as a, b.effect as b from x a join x b on a.grp = b.grp and a.engine = 0 and b.engine = 1 where a.effect is not null and b.effect is not null)
+select count(*) as groups, round(corr(a, b), 6)::double as correlation from p""")
+def effect_correlation(spark, d):
+    rows = decisions(spark, d).withColumn("engine", F.floor(F.col("id") / 2) % 2)
+    return paired.effect_correlation(rows, "grp")
+
+
 @query("agreement_beyond_noise", f"with {DECISIONS}, {TWO} select round(avg((r1.label = r2.label)::int) - avg((r1.correct = r2.correct)::int), 6)::double as beyond from r1 join r2 using (id)")
 def agreement_beyond_noise(spark, d):
     a, b = two_runs(spark, d)
@@ -242,7 +286,7 @@ def indistinguishable_names(spark, d):
 
 
 @query("distinguishing_attributes", """with p as (select p_partkey, p_name, p_brand, p_type, lead(p_brand) over w as ob, lead(p_type) over w as ot from part window w as (order by p_partkey)), t as (select *, lower(p_name || ' ' || case when p_partkey % 2 = 0 then p_brand else ot end) as t from p where ob is not null)
-select p_partkey, case when (p_brand <> ob and contains(t, lower(p_brand))) or (p_type <> ot and contains(t, lower(p_type))) then 'yes' when (p_brand <> ob and contains(t, lower(ob))) or (p_type <> ot and contains(t, lower(ot))) then 'contradicts' else 'no' end as verdict from t""")
+select p_partkey, case when (p_brand <> ob and (contains(t, lower(p_brand)) or len(list_filter(regexp_extract_all(t, '[\\p{L}]{3,}'), lambda w: w[1] = lower(p_brand)[1] and regexp_matches(lower(p_brand), '^' || array_to_string(string_split(w, ''), '.*')))) > 0)) or (p_type <> ot and (contains(t, lower(p_type)) or len(list_filter(regexp_extract_all(t, '[\\p{L}]{3,}'), lambda w: w[1] = lower(p_type)[1] and regexp_matches(lower(p_type), '^' || array_to_string(string_split(w, ''), '.*')))) > 0)) then 'yes' when (p_brand <> ob and (contains(t, lower(ob)) or len(list_filter(regexp_extract_all(t, '[\\p{L}]{3,}'), lambda w: w[1] = lower(ob)[1] and regexp_matches(lower(ob), '^' || array_to_string(string_split(w, ''), '.*')))) > 0)) or (p_type <> ot and (contains(t, lower(ot)) or len(list_filter(regexp_extract_all(t, '[\\p{L}]{3,}'), lambda w: w[1] = lower(ot)[1] and regexp_matches(lower(ot), '^' || array_to_string(string_split(w, ''), '.*')))) > 0)) then 'contradicts' else 'no' end as verdict from t""")
 def distinguishing_attributes(spark, d):
     p = table(spark, d, "part")
     after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_brand").alias("ob"), F.col("p_type").alias("ot"))

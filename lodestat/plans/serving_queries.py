@@ -58,7 +58,25 @@ def retrieval_margin(spark, d):
     return retrieval.margins(dense_top_k(spark, d).withColumnRenamed("cosine", "score"))
 
 
-@query("candidate_union")
+UNION_LEX = f"""with d as (select doc_id as id, {TOK} as w from documents join ok on ok.id = doc_id), s as (select count(*) as n, avg(len(w)) as avg from d), t as (select id, len(w) as len, unnest(w) as term from d), f as (select id, len, term, count(*) as tf from t group by all), g as (select term, count(*) as df from f group by 1),
+q as (select item_id as query, unnest(list_distinct({TOK})) as term from benchmark join u on u.id = item_id), x as (select query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 4)::double as score from q join f using (term) join g using (term), s group by all)
+select query, id, score from x qualify row_number() over (partition by query order by score desc, id) <= 6"""
+
+
+@query("difficulty_bands", f"""with {UNIT}, c as (select a.id as query, b.id, a.label as own, b.label as family, round(list_dot_product(a.v, b.v), 6)::double as s from u a join u b on a.id <> b.id and a.id % 50 = 0), r as (select *, row_number() over (partition by query order by s desc, id) as rank from c qualify rank <= 10),
+q as (select query // 50 % 3 as split, query, max(s) filter (rank = 1) as s1, max(s) filter (rank = 2) as s2, max((own = family)::int) filter (rank = 1) as top, sum((own = family)::int) as kin from r group by all)
+select split, count(*) as queries, round(avg(top), 6)::double as gold_first, round(avg((kin - top > 0)::int), 6)::double as with_siblings, round(quantile_cont(round((s1 - s2) / s1, 4), 0.5), 6)::double as median_margin, round(quantile_cont(round((s1 - s2) / s1, 4), 0.5), 6) between 0.0 and 0.1 as in_band from q group by 1""")
+def difficulty_bands(spark, d):
+    family = vectors(spark, d).select("id", F.col("label").alias("family"))
+    ranked = dense_top_k(spark, d).withColumnRenamed("cosine", "score").join(family, "id")
+    own = family.select(F.col("id").alias("query"), F.col("family").alias("own"))
+    rows = ranked.join(own, "query").withColumn("split", F.floor(F.col("query") / 50) % 3)
+    return retrieval.difficulty_bands(rows, "split", 0.0, 0.1)
+
+
+@query("candidate_union", f"""with {UNIT}, ok as (select id from u join documents on doc_id = id), lex as ({UNION_LEX}), dense as (select query, id, row_number() over (partition by query order by s desc, id) as rank from (select a.id as query, b.id, round(list_dot_product(a.v, b.v), 6) as s from u a join benchmark m on m.item_id = a.id join u b on b.id <> a.id join ok on ok.id = b.id)),
+l as (select query, id, row_number() over (partition by query order by score desc, id) as rank from lex where query <> id), b as (select query, id, 0 as list, rank from l where rank <= 5 union all select query, id, 1, rank from dense where rank <= 5), f as (select query, id, min(list * 1000 + rank) as place_ from b group by all)
+select query, id, (row_number() over (partition by query order by place_))::int as place from f""")
 def candidate_union(spark, d):
     """Queries are the benchmark items that have a vector; both lists are of the ids with a text and a vector, without the query's own."""
     v, t, q = vectors(spark, d), texts(spark, d), bench(spark, d)

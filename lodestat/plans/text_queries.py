@@ -238,12 +238,28 @@ def rhyme_rate(spark, d):
     return rows.groupBy("source").agg(F.count("*").alias("pairs"), F.round(F.avg((F.col("s") >= 0.6).cast("double")), 6).alias("rate"), F.round(F.avg((F.col("s") >= 0.8).cast("double")), 6).alias("strict"))
 
 
-@query("threshold_separation", f"with {LINES}, {RHYME}, t as (select unnest([0.3, 0.5, 0.6, 0.9])::double as t) select t, round(avg((s >= t)::int) filter (doc_id % 2 = 0), 6)::double as own, round(avg((s >= t)::int) filter (doc_id % 2 = 1), 6)::double as control from rh, t group by 1")
+CONTROL = RHYME.replace("pairs as (", "own as (").replace("ends as (select *,", """o as (select doc_id, row_number() over (order by sha256('v:' || doc_id)) as i, count(*) over () as n from (select distinct doc_id from own where b is not null)),
+partner as (select x.doc_id, y.doc_id as other from o x join o y on x.i % x.n + 1 = y.i),
+pairs as (select 'true' as kind, doc_id, a, b from own where b is not null union all select 'control', x.doc_id, x.a, y.b from own x join partner using (doc_id) join own y on y.doc_id = other and y.pos = x.pos where x.b is not null and y.b is not null),
+ends as (select *,""").replace("sc as (select doc_id,", "sc as (select kind, doc_id,").replace("rh as (select doc_id,", "rh as (select kind, doc_id,")
+
+
+@query("threshold_separation", f"""with {LINES}, {CONTROL}, t as (select unnest([0.3, 0.5, 0.6, 0.9])::double as t), v as (select 'plain' as scorer, kind, s from (select kind, case when right(x, 3) = right(y, 3) then 1.0 when right(x, 2) = right(y, 2) then 0.7 when right(x, 1) = right(y, 1) then 0.4 else 0.0 end as s from ends) union all select 'no repeats', kind, s from rh)
+select scorer, t, count(*) filter (kind = 'true') as pairs, round(avg((s >= t)::int) filter (kind = 'true'), 6)::double as own, round(avg((s >= t)::int) filter (kind = 'control'), 6)::double as control,
+round(round(avg((s >= t)::int) filter (kind = 'true'), 6) - round(avg((s >= t)::int) filter (kind = 'control'), 6), 6)::double as gain from v, t group by all""")
 def threshold_separation(spark, d):
-    rows = rhymes(spark, d).withColumn("t", F.explode(F.array(*map(F.lit, (0.3, 0.5, 0.6, 0.9)))))
-    over = (F.col("s") >= F.col("t")).cast("double")
-    side = lambda r: F.round(F.avg(F.when(F.col("doc_id") % 2 == r, over)), 6)
-    return rows.groupBy("t").agg(side(0).alias("own"), side(1).alias("control"))
+    """Rates over a grid of thresholds of true pairs of lines less those of shuffled ones: a line with the next line of another text, paired by a derangement of the texts."""
+    from pyspark.sql import Window
+
+    from lodestat.operators.curating import fixed_point_free
+
+    own = doc_lines(spark, d).withColumn("b", F.lead("line").over(Window.partitionBy("doc_id").orderBy("pos"))).where("b is not null").select("doc_id", "pos", F.col("line").alias("a"), "b")
+    partner = fixed_point_free(own.select("doc_id").distinct(), "doc_id", "v")
+    other = own.select(F.col("doc_id").alias("partner"), "pos", F.col("b").alias("ob"))
+    control = own.join(partner, "doc_id").join(other, ["partner", "pos"]).select(F.lit("control").alias("kind"), "a", F.col("ob").alias("b"))
+    pairs = own.select(F.lit("true").alias("kind"), "a", "b").unionAll(control)
+    scorers = {"plain": texts.rhyme_score(F.col("a"), F.col("b"), repeats=True), "no repeats": texts.rhyme_score(F.col("a"), F.col("b"))}
+    return texts.separation(pairs, scorers, [0.3, 0.5, 0.6, 0.9])
 
 
 @query("generated_lines", f"with {LINES} select doc_id, count(*) as lines, min(line) as first from lines where not starts_with(line, 'The ') group by 1")
@@ -285,10 +301,11 @@ def token_language_mix(spark, d):
     return texts.token_classes(rows, classes, "lang")
 
 
-@query("nearest_cue", """with w as (select doc_id, unnest(range(0, len(string_split(text, ' '))))::int as pos, unnest(string_split(text, ' ')) as w from documents), n as (select doc_id, pos from w where regexp_matches(w, '^[0-9]+[.,]?$')), c as (select doc_id, pos, w from w where regexp_matches(w, '(?i)^(the|de|der|la)$')),
-j as (select n.doc_id, n.pos, c.w, abs(c.pos - n.pos) as d, c.pos as cp from n left join c on n.doc_id = c.doc_id and abs(c.pos - n.pos) <= 20) select doc_id, pos, w as cue, d::int as distance from j qualify row_number() over (partition by doc_id, pos order by d nulls last, cp) = 1""")
+@query("nearest_cue", """with w as (select doc_id, unnest(range(0, len(string_split(text, ' '))))::int as i, unnest(string_split(text, ' ')) as w from documents), o as (select doc_id, w, (sum(length(w) + 1) over (partition by doc_id order by i) - length(w) - 1)::int as pos from w),
+n as (select doc_id, pos from o where regexp_matches(w, '^[0-9]+[.,]?$')), c as (select doc_id, pos, w from o where regexp_matches(w, '(?i)^(the|de|der|la)$')),
+j as (select n.doc_id, n.pos, c.w, abs(c.pos - n.pos) as d, c.pos as cp from n left join c on n.doc_id = c.doc_id and abs(c.pos - n.pos) <= 80) select doc_id, pos, w as cue, d::int as distance from j qualify row_number() over (partition by doc_id, pos order by d nulls last, cp) = 1""")
 def nearest_cue(spark, d):
-    return texts.nearest_cue(docs(spark, d).select("doc_id", "text"), "doc_id", r"^[0-9]+[.,]?$", r"(?i)^(the|de|der|la)$", 20)
+    return texts.nearest_cue(docs(spark, d).select("doc_id", "text"), "doc_id", r"^[0-9]+[.,]?$", r"(?i)^(the|de|der|la)$", 80)
 
 
 @query("worst_repetition", f"""with w as (select doc_id, lang, {TOK} as w from documents), a as (select doc_id, lang, round(1 - len(list_distinct(w)) / len(w), 6)::double as repetition from w where len(w) > 0)

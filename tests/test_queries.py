@@ -1,4 +1,4 @@
-"""Every registered query of the library against its SQL in DuckDB; those without SQL must run."""
+"""Every registered query of the library against its SQL in DuckDB; those without SQL are checked in test_brute_force."""
 
 import datetime
 import decimal
@@ -14,6 +14,8 @@ D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
+ELSEWHERE = {"block_building", "exact_bounds", "kmin_table", "minimal_pairs", "number_mentions", "platt_calibration", "poisson_rate", "real_vs_synthetic", "residual_noise", "scheme_distribution", "section_items", "shortcut_audit", "style_classifier"}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -39,7 +41,7 @@ def test_query(spark, duck, name):
     got = [tuple(r) for r in df.collect()]
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert df.columns
+        assert name in ELSEWHERE and got  # its values are checked in test_brute_force
         return
     want = duck.sql(sql)
     assert sorted(df.columns) == sorted(want.columns)
