@@ -1,4 +1,8 @@
-"""The exact Jaccard similarity of two texts' sets of word shingles, for pairs that are candidates already."""
+"""The exact Jaccard similarity of two texts' sets of word shingles, for pairs that are candidates already.
+
+Sizes and bitmaps rule out most pairs that are not similar before any text is looked at: a bitmap has the parity of the
+shingles that fall on each bit, so two of them differ in at most as many bits as the sets do in shingles.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.common import raw_texts, word_runs, written
@@ -15,6 +19,9 @@ from lodestat.llm.common import raw_texts, word_runs, written
 SEED = 42
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
+#: Longs of a bitmap.
+WORDS = 32
+FACTS = "n int, bits array<long>"
 
 
 def shingles(raw: bytes, k: int = 5) -> np.ndarray:
@@ -38,6 +45,21 @@ def shingles(raw: bytes, k: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Of each bit whether an odd number of shingles falls on it."""
+    ones = np.bincount((found % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def may_be_similar(a: str, b: str) -> Column:
+    """By the sizes and bitmaps (n, bits) of two rows; true for all sets that are similar."""
+    c = lambda x, y: F.col(f"{x}.{y}")
+    low, high = F.least(c(a, "n"), c(b, "n")), F.greatest(c(a, "n"), c(b, "n"))
+    differ = sum((F.bit_count(c(a, "bits")[i].bitwiseXOR(c(b, "bits")[i])) for i in range(WORDS)), F.lit(0))
+    most = (low + high) * (LEAST[1] - LEAST[0])
+    return (low * LEAST[1] >= high * LEAST[0]) & (differ * (LEAST[0] + LEAST[1]) <= most)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]

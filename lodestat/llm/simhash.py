@@ -14,7 +14,7 @@ across the groups, are discarded without a look at their bits.
 
 Verifying. The survivors' bits are counted (and their texts compared, where a likeness of texts is asked for).
 
-In each bucket all members first meet the least of them only. Buckets whose members lie in one component by then are
+In each bucket all members first meet the least and the greatest of them only. Buckets whose members lie in one component by then are
 done; only in the others members of different components meet each other. So a dense group makes a star, not all
 pairs, and no link between components is lost. Equal fingerprints are one before. Components come from star
 contraction over written tables.
@@ -112,7 +112,7 @@ def distance(fp: Column, pivot: int) -> Column:
 
 
 def distance_table(nodes: DataFrame, groups: int = GROUPS) -> DataFrame:
-    """nodes(node, fp) with g, the relative coordinates of each group, and d, the distances to the scattered pivots.
+    """nodes(node, fp, ...) with g, the relative coordinates of each group, and d, the distances to the scattered pivots.
 
     Both are packed into longs: two bits a relative coordinate, a byte a distance.
     """
@@ -121,7 +121,8 @@ def distance_table(nodes: DataFrame, groups: int = GROUPS) -> DataFrame:
     relative = lambda p: F.shiftright(distance(fp, 0) + 2 - distance(fp, p), 1)
     g = F.array(*(packed(map(relative, own), 2) for own in grouped_pivots(groups)))
     far = [distance(fp, p) for p in scattered_pivots()]
-    return nodes.select("node", "fp", g.alias("g"), F.array(*(packed(far[i : i + 8], 8) for i in range(0, len(far), 8))).alias("d"))
+    others = [c for c in nodes.columns if c not in ("node", "fp")]
+    return nodes.select("node", "fp", *others, g.alias("g"), F.array(*(packed(far[i : i + 8], 8) for i in range(0, len(far), 8))).alias("d"))
 
 
 def buckets(table: DataFrame, groups: int = GROUPS, alike: int = GROUPS - RADIUS) -> DataFrame:
@@ -143,35 +144,38 @@ def verified(a: str, b: str, radius: int) -> Column:
     return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius
 
 
-def near(pairs: DataFrame, table: DataFrame, radius: int) -> DataFrame:
+def near(pairs: DataFrame, table: DataFrame, radius: int, may: Callable[[str, str], Column]) -> DataFrame:
     """The pairs(a, b) of nodes that the pivots don't discard and that are within the radius."""
-    x, y = table.alias("x"), table.alias("y")
+    x, y = table.drop("g").alias("x"), table.drop("g").alias("y")
     met = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-    return met.where(not_discarded("x", "y", radius) & verified("x", "y", radius)).select("a", "b")
+    return met.where(not_discarded("x", "y", radius) & verified("x", "y", radius) & may("x", "y")).select("a", "b")
 
 
-def linked(nodes: DataFrame, radius: int = RADIUS, groups: int = GROUPS, alike: int | None = None, same: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """node, root for every node of nodes(node, fp) that is not alone and not the root (least node) of its component.
+def linked(
+    nodes: DataFrame, radius: int = RADIUS, groups: int = GROUPS, alike: int | None = None,
+    may: Callable[[str, str], Column] = lambda a, b: F.lit(True), same: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+) -> DataFrame:
+    """node, root for every node of nodes(node, fp, ...) that is not alone and not the root (least node) of its component.
 
-    alike: groups in which a pair agrees to become a candidate; by default as many as lose none. same: keeps of
-    pairs(a, b) those that are links; by default all within the radius are.
+    alike: groups in which a pair agrees to become a candidate; by default as many as lose none. may: what two rows of
+    nodes must fulfil besides; same: keeps of pairs(a, b) those that are links. By default all within the radius are.
     """
-    same = same or (lambda pairs: pairs)
     table = written(distance_table(nodes, groups), "simhash-table")
     each = buckets(table, groups, alike or groups - radius)
-    met = each.groupBy("b").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1").select("b", "least")
+    met = each.groupBy("b").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("most")).where("c > 1").drop("c")
     shared = written(each.join(met, "b"), "simhash-buckets")
 
-    stars = shared.where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(same(written(near(stars, table, radius), "simhash-stars")), "simhash-links")
+    pair = lambda u, v: F.struct(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
+    stars = shared.select(F.explode(F.array(pair("least", "node"), pair("node", "most"))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
+    stars = written(same(written(near(stars, table, radius, may), "simhash-stars")), "simhash-links")
     root = components(stars).withColumnRenamed("root", "own")
     at = shared.join(root, "node", "left").select("b", "node", F.coalesce("own", "node").alias("root"))
     at = written(at, "simhash-rooted")
     mixed = at.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
-    rest = written(at.join(mixed, "b", "left_semi").join(table.select("node", "fp", "d"), "node"), "simhash-rest")
+    rest = written(at.join(mixed, "b", "left_semi").join(table.drop("g"), "node"), "simhash-rest")
     x, y = rest.alias("x"), rest.alias("y")
     on = (F.col("x.b") == F.col("y.b")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    pairs = x.join(y, on & not_discarded("x", "y", radius) & verified("x", "y", radius)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = x.join(y, on & not_discarded("x", "y", radius) & verified("x", "y", radius) & may("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = written(same(written(pairs, "simhash-pairs")), "simhash-links")
     return components(stars.unionByName(more))
 
@@ -250,9 +254,18 @@ def one_of_each(docs: DataFrame, radius: int = 10, groups: int = 8, alike: int =
     as empty; empty texts are alike. An empty table gives an empty result.
     """
     texts = docs.select(text_key("text").alias("name"), "text")
-    prints = with_simhash(texts, word_set_simhash, "name").dropDuplicates(["id"])
-    prints = written(prints.select(F.monotonically_increasing_id().alias("node"), F.col("id").alias("name"), "fp"), "simhash")
+
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = raw_texts(b.column(1))
+            sets = [jaccard.shingles(t, k) for t in raw]
+            prints = np.array([word_set_simhash(t) for t in raw], np.uint64).view(np.int64)
+            bits = pa.array([jaccard.bitmap(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints), pa.array(map(len, sets), pa.int32()), bits], names=["name", "fp", "n", "bits"])
+
+    prints = texts.mapInArrow(facts, f"name string, fp long, {jaccard.FACTS}").dropDuplicates(["name"])
+    prints = written(prints.withColumn("node", F.monotonically_increasing_id()), "simhash")
     names = prints.select("node", "name")
-    root = linked(prints.select("node", "fp"), radius, groups, alike, lambda pairs: jaccard.similar_pairs(pairs, texts, names, k))
+    root = linked(prints.drop("name"), radius, groups, alike, jaccard.may_be_similar, lambda pairs: jaccard.similar_pairs(pairs, texts, names, k))
     of = names.select(F.col("node").alias("root"), F.col("name").alias("root_name"))
     return least_rows(docs, root.join(names, "node").join(of, "root").select(F.col("name").alias("node"), F.col("root_name").alias("root")))
