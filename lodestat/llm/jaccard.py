@@ -20,8 +20,8 @@ SEED = 42
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
 #: Longs of a bitmap.
-WORDS = 32
-FACTS = "n int, bits array<long>"
+WORDS = 16
+FACTS = f"n int, bits struct<{', '.join(f'b{i}: long' for i in range(WORDS))}>"
 
 
 def shingles(raw: bytes, k: int = 5) -> np.ndarray:
@@ -51,11 +51,17 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def bitmaps(sets: list[np.ndarray]) -> pa.StructArray:
+    """The bitmap of each set, a field a long: a join's condition then reads plain columns."""
+    rows = np.stack([bitmap(s) for s in sets]) if sets else np.zeros((0, WORDS), "<i8")
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=[f"b{i}" for i in range(WORDS)])
+
+
 def may_be_similar(a: str, b: str) -> Column:
     """By the sizes and bitmaps (n, bits) of two rows; true for all sets that are similar."""
     c = lambda x, y: F.col(f"{x}.{y}")
     low, high = F.least(c(a, "n"), c(b, "n")), F.greatest(c(a, "n"), c(b, "n"))
-    differ = sum((F.bit_count(c(a, "bits")[i].bitwiseXOR(c(b, "bits")[i])) for i in range(WORDS)), F.lit(0))
+    differ = sum((F.bit_count(c(a, f"bits.b{i}").bitwiseXOR(c(b, f"bits.b{i}"))) for i in range(WORDS)), F.lit(0))
     most = (low + high) * (LEAST[1] - LEAST[0])
     return (low * LEAST[1] >= high * LEAST[0]) & (differ * (LEAST[0] + LEAST[1]) <= most)
 

@@ -37,7 +37,9 @@ from lodestat.llm.common import discard, key_col, numbered, raw_texts, renamed,
 SEED = 42
 RADIUS = 4
 GROUPS = 7
-SCATTERED = 16
+SCATTERED = 14
+#: Distances in a long, a byte each, so that all of them are compared at once.
+PACKED = 7
 
 
 def simhash(raw: bytes, k: int = 4) -> int:
@@ -122,7 +124,7 @@ def distance_table(nodes: DataFrame, groups: int = GROUPS) -> DataFrame:
     g = F.array(*(packed(map(relative, own), 2) for own in grouped_pivots(groups)))
     far = [distance(fp, p) for p in scattered_pivots()]
     others = [c for c in nodes.columns if c not in ("node", "fp")]
-    return nodes.select("node", "fp", *others, g.alias("g"), F.array(*(packed(far[i : i + 8], 8) for i in range(0, len(far), 8))).alias("d"))
+    return nodes.select("node", "fp", *others, g.alias("g"), F.struct(*(packed(far[i : i + PACKED], 8).alias(f"d{i // PACKED}") for i in range(0, len(far), PACKED))).alias("d"))
 
 
 def buckets(table: DataFrame, groups: int = GROUPS, alike: int = GROUPS - RADIUS) -> DataFrame:
@@ -132,11 +134,17 @@ def buckets(table: DataFrame, groups: int = GROUPS, alike: int = GROUPS - RADIUS
 
 
 def not_discarded(a: str, b: str, radius: int) -> Column:
-    """No distance to a scattered pivot differs by more than the radius."""
-    at = lambda x, i: F.shiftright(F.col(f"{x}.d")[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(127))
+    """No distance to a scattered pivot differs by more than the radius.
+
+    All bytes of a long at once: 128 + x - y + radius keeps its high bit if and only if x - y is at least -radius.
+    """
+    ones = sum(1 << (8 * i) for i in range(PACKED))
+    high, slack = F.lit(128 * ones), F.lit(radius * ones)
     out = F.lit(True)
-    for i in range(SCATTERED):
-        out = out & (F.abs(at(a, i) - at(b, i)) <= radius)
+    for i in range(-(-SCATTERED // PACKED)):
+        x, y = F.col(f"{a}.d.d{i}"), F.col(f"{b}.d.d{i}")
+        down, up = x.bitwiseOR(high) - y + slack, y.bitwiseOR(high) - x + slack
+        out = out & (down.bitwiseAND(up).bitwiseAND(high) == high)
     return out
 
 
@@ -260,8 +268,7 @@ def one_of_each(docs: DataFrame, radius: int = 10, groups: int = 8, alike: int =
             raw = raw_texts(b.column(1))
             sets = [jaccard.shingles(t, k) for t in raw]
             prints = np.array([word_set_simhash(t) for t in raw], np.uint64).view(np.int64)
-            bits = pa.array([jaccard.bitmap(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints), pa.array(map(len, sets), pa.int32()), bits], names=["name", "fp", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints), pa.array(map(len, sets), pa.int32()), jaccard.bitmaps(sets)], names=["name", "fp", "n", "bits"])
 
     prints = texts.mapInArrow(facts, f"name string, fp long, {jaccard.FACTS}").dropDuplicates(["name"])
     prints = written(prints.withColumn("node", F.monotonically_increasing_id()), "simhash")

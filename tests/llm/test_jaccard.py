@@ -79,9 +79,9 @@ def test_filter_loses_nothing(spark):
         a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 60))).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 5))).astype(np.uint64)]))
         if len(b):
-            rows.append((i, len(a), jaccard.bitmap(a).tolist(), len(b), jaccard.bitmap(b).tolist()))
+            rows.append((i, len(a), tuple(jaccard.bitmap(a).tolist()), len(b), tuple(jaccard.bitmap(b).tolist())))
             want += [i] if jaccard.similar(a, b) else []
-    df = spark.createDataFrame(rows, "i int, n int, bits array<long>, m int, others array<long>")
+    df = spark.createDataFrame(rows, f"i int, {jaccard.FACTS}, {jaccard.FACTS.replace('n int', 'm int').replace('bits', 'others')}")
     both = df.select("i", "n", "bits").alias("x").join(df.selectExpr("i", "m n", "others bits").alias("y"), "i").where(jaccard.may_be_similar("x", "y"))
     assert set(want) <= {r["i"] for r in both.select("i").collect()} and want
 
