@@ -80,15 +80,16 @@ def window_hashes(units: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     return (prefix[size:] - prefix[: n - size + 1]) * _power(which, n - size + 1, True)
 
 
-def pieces(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start of the first window, number of windows, anchor hash and anchor place of each piece of a text."""
-    starts, counts, hashes, places = [], [], [], []
+def pieces(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Start of the first window, number of windows, anchor hash, anchor place and a hash of all units of each piece of a text."""
+    starts, counts, hashes, places, wholes = [], [], [], [], []
     n = len(units)
     for at in range(0, max(1, n - window + 1), BLOCK):
         part = units[at : at + BLOCK + window - 1]
         if len(part) < window:
             break
-        h = mixed(window_hashes(part, gram))
+        prefix, power = prefix_sums(part), _power(0, len(part) + 1, True)
+        h = mixed((prefix[gram:] - prefix[: len(part) - gram + 1]) * power[: len(part) - gram + 1])
         width = window - gram + 1
         # the place in the low bits makes the leftmost of equals the least
         keys = (h & np.uint64(~((1 << 22) - 1) & (2**64 - 1))) | np.arange(len(h), dtype=np.uint64)
@@ -103,12 +104,13 @@ def pieces(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nd
         s = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
         starts.append(s + at)
         counts.append(np.diff(np.append(s, m)))
+        wholes.append((prefix[s + counts[-1] + window - 1] - prefix[s]) * power[s])
         hashes.append(h[place[s]])
         places.append(place[s] + at)
     if not starts:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), none
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(hashes), np.concatenate(places)
+        return none, none, np.zeros(0, np.uint64), none, np.zeros(0, np.uint64)
+    return tuple(map(np.concatenate, (starts, counts, hashes, places, wholes)))
 
 
 def row_key(id_col: str = "doc_id") -> F.Column:
@@ -142,7 +144,7 @@ def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int
                     longer.append((hs, cs))
                     held.append(size)
                 else:
-                    checks.append(mixed(spans(u, got[-1][0], got[-1][1] + window - 1)) >> np.uint64(48))
+                    checks.append(mixed(got[-1][4]) >> np.uint64(48))
             h, s, p = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in ((2, np.uint64), (0, np.int64), (3, np.int64)))
             sizes = [len(g[0]) for g in got]
             row = np.repeat(b.column(0).to_numpy(), sizes)
@@ -176,7 +178,7 @@ RUNG = ", hs array<long>, cs array<int>, p int, _key long"
 
 def rungs(units: np.ndarray, got: tuple, window: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (two parts) of the longer windows of one anchor after the other; how many each anchor has, 0 where it is no rung."""
-    _, _, h, p = got
+    _, _, h, p, _ = got
     left = np.where(h % np.uint64(step) == 0, (len(units) - p) // window, 0)
     size = np.frexp(left.astype(float))[1].astype(np.int64)  # of the lengths window, 2 * window, 4 * window, ... those that fit
     n = int(size.sum())
@@ -221,7 +223,7 @@ def candidates(docs: DataFrame, units: Units, window: int, gram: int, step: int
 
 def chosen(units: np.ndarray, starts: list[int] | np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pieces of a text that are among starts."""
-    s, n, h, _ = pieces(units, window, gram)
+    s, n, h, _, _ = pieces(units, window, gram)
     own = np.isin(s, np.asarray(starts, np.int64))
     return s[own], n[own], h[own]
 

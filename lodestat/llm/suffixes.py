@@ -32,8 +32,8 @@ from lodestat.llm.common import discard, key_col, mixed, raw_texts, written
 
 WINDOW = 100
 GRAM = 32
-COLLECTION = 64 << 10
-HOT = 512
+COLLECTION = 256 << 10
+HOT = 4096
 DEEP = 8
 Run = tuple[int, bytes, int]  # hash by which it is dealt, content, start in the text
 
