@@ -131,7 +131,10 @@ class Mix:
         found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         goal = targets([(r["source"], r["size"]) for r in found], weights, share, most)
         self.sources = [(i, r["source"], r["size"], -(-r["n"] // lane_docs), goal[r["source"]]) for i, r in enumerate(sorted(found, key=lambda r: (r["source"] is None, r["source"] or "")))]
-        kinds = self.spark.createDataFrame(self.sources, "src int, source string, source_size long, lanes long, target double")
+        cols = list(zip(*self.sources, strict=True)) or [[]] * 5
+        fields = {"src": pa.int32(), "source": pa.string(), "source_size": pa.int64(), "lanes": pa.int64(), "target": pa.float64()}
+        # an Arrow table has a known size, by which Spark decides how to join it
+        kinds = self.spark.createDataFrame(pa.table({k: pa.array(c, t) for (k, t), c in zip(fields.items(), cols, strict=True)}))
         rows = rows.join(kinds, rows["source"].eqNullSafe(kinds["source"])).drop(kinds["source"])
         rows = rows.withColumn("lane", F.pmod(F.xxhash64("_mark", F.lit(seed)), F.col("lanes")))
         order = Window.partitionBy("src", "lane").orderBy("doc_id", "_mark").rowsBetween(Window.unboundedPreceding, -1)
