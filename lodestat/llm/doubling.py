@@ -202,3 +202,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([strings(texts) if c == "text" else cols[c] for c in names], names=[f"c{i}" for i in range(len(names))])
 
     return renamed(rows.mapInArrow(run, ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names))), names, "c")
+
+
+#: The same in SQL, for ids that are not repeated: every window of every text at once.
+SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(1, len(w) + 1)) as pos, unnest(w) as word from w),
+g as (select doc_id, i as pos, array_to_string(w[i:i + 19], ' ') as g from w, unnest(range(1, len(w) - 18)) t(i)),
+f as (select doc_id, pos, row_number() over (partition by g order by doc_id, pos) > 1 as later from g),
+c as (select p.doc_id, p.pos, p.word, coalesce(bool_or(later) over (partition by p.doc_id order by p.pos rows between 19 preceding and current row), false) as gone
+      from p left join f on f.doc_id = p.doc_id and f.pos = p.pos),
+k as (select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by pos) filter (not gone) as kept from c group by 1)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k on k.doc_id = w.doc_id
+"""

@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_extendible_shards": sharding.SQL.format(limit=SHARD_BYTES)}
+    return {"op5_substring_dedup": doubling.SQL, "op6_extendible_shards": sharding.SQL.format(limit=SHARD_BYTES)}

@@ -228,6 +228,45 @@ def test_op3_links(spark):
     assert quotes.conversations(spark.createDataFrame([], schema)).count() == 0
 
 
+def plain_links(messages):
+    """(conv, turn) to (parent, number of linked units), each message against all that come before it."""
+    out = {}
+    for conv, turn, text in messages:
+        seen = {}
+        for level, unit in quotes.units(text or ""):
+            if level and (unit not in seen or level < seen[unit]):
+                seen[unit] = level
+        votes, n = {}, 0
+        for unit, level in seen.items():
+            origins = [t for c, t, x in messages if c == conv and (0, unit) in quotes.units(x or "")]
+            if origins and min(origins) < turn:
+                n += 1
+                votes[level, min(origins)] = votes.get((level, min(origins)), 0) + len(unit)
+        if votes:
+            out[conv, turn] = (max(votes, key=lambda v: (-v[0], votes[v], v[1]))[1], n)
+    return out
+
+
+def test_op3_against_all_messages(spark):
+    """Random threads: what each message quotes, at random depth and re-spaced, against a search of all messages before it."""
+    rng = np.random.default_rng(8)
+    messages = []
+    for conv in range(6):
+        said = []
+        for turn in range(25):
+            lines = [" ".join(f"word{int(x)}" for x in rng.integers(0, 40, int(rng.integers(2, 6)))) for _ in range(int(rng.integers(1, 4)))]
+            quoted = []
+            for _ in range(int(rng.integers(0, 3))):
+                if said:
+                    marks = "> " * int(rng.integers(1, 4))
+                    quoted += [marks + x.upper().replace(" ", "  ") for x in said[int(rng.integers(0, len(said)))]] + [""]
+            said.append(lines)
+            messages.append((conv, turn, "\n".join(quoted + lines)))
+    df = spark.createDataFrame([(c, t, "r", x, 1, "y") for c, t, x in messages], "conv_id long, turn long, role string, text string, conv int, level string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_linked"]) for r in quotes.conversations(df).collect() if r["reply_to"] is not None}
+    assert got == plain_links(messages) and len(got) > 50
+
+
 def test_op3_long_chain(spark):
     rows = [(5, i, "r", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(40)]
     got = {r["turn"]: r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -344,6 +383,21 @@ def test_op5_stage_and_messy(docs, empty, messy):
     assert doubling.substring_dedup(empty).count() == 0 and doubling.substring_dedup(messy).count() == 12
 
 
+def test_op5_op6_sql(spark):
+    """The registered SQL in DuckDB."""
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        want = c.sql(sql)
+        got = queries.queries()[name](spark, d)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    assert got.where("depth > 1").count() > 0.5 * got.count()
+
+
 def test_op5_levels(spark, monkeypatch):
     """Runs of 25 to 1300 words that documents share, also with themselves; every level looks only at what is left of the one before."""
     rng = np.random.default_rng(4)
