@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import key_col, mixed, raw_texts, word_runs, written
+from lodestat.llm.common import key_col, mixed, raw_texts, released, word_runs, written
 
 #: Units that are hashed at a time; a longer text is taken in overlapping blocks.
 BLOCK = 1 << 20
@@ -218,7 +218,9 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, units: Units, window: int, gram: int, step: int = 0) -> DataFrame:
     """A written table of the pieces whose anchor occurs twice or more: h, _row, s, and c or, with a step, the columns of RUNG."""
-    return written(repeated(anchor_rows(docs, units, window, gram, step)), "repeated-pieces")
+    out = written(repeated(anchor_rows(docs, units, window, gram, step)), "repeated-pieces")
+    released(docs.sparkSession)
+    return out
 
 
 def chosen(units: np.ndarray, starts: list[int] | np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,16 @@ def discard(*tables: DataFrame) -> None:
         there.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Has the shuffle files of finished jobs removed now.
+
+    They go when the driver's JVM collects what refers to them, which with much free memory is long after the table that
+    they were for is written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_key(name: str) -> F.Column:
     """A hash of a whole text that stands for it; null counts as empty."""
     return F.md5(F.coalesce(F.col(name), F.lit("")).cast("binary"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.anchors import candidates, chosen, covered, ranges, row_key, window_hashes, word_units
-from lodestat.llm.common import code_points, discard, key_col, raw_texts, renamed, strings, word_spans, written
+from lodestat.llm.common import code_points, discard, key_col, raw_texts, released, renamed, strings, word_spans, written
 
 WINDOW = 20
 STEP = 8
@@ -133,6 +133,7 @@ def joined(docs: DataFrame, rest: list, window: int, gram: int, step: int = STEP
     covers = levels(each.where("p is not null").select("_row", "_key", "p", "hs", "cs"), window)
     found = written(each.groupBy("_row").agg(F.collect_list("s").alias("starts")).join(covers, "_row", "left"), "doubling-candidates")
     discard(each)
+    released(docs.sparkSession)
     texts = docs.select(row_key().alias("_row"), key_col("doc_id").alias("_key"), "text", *rest).repartition("_row")
     firsts = first_windows(texts, found, window, gram)
     return texts.join(found.join(firsts, "_row", "left"), "_row", "left")

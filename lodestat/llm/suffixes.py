@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestat.llm import collection_bwt
 from lodestat.llm.anchors import byte_units, candidates, chosen, covered, row_key, window_hashes
-from lodestat.llm.common import discard, key_col, mixed, raw_texts, written
+from lodestat.llm.common import discard, key_col, mixed, raw_texts, released, written
 
 WINDOW = 100
 GRAM = 32
@@ -181,6 +181,7 @@ def byte_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: i
     starts = F.shiftleft(F.col("s").cast("long"), 1).bitwiseOR(F.coalesce("often", F.lit(0)))
     found = written(each.join(often, "h", "left").groupBy("_row").agg(F.collect_list(starts).alias("starts")), "repeated-runs")
     discard(each)
+    released(docs.sparkSession)
     texts = docs.select(row_key().alias("_row"), key_col("doc_id").alias("_key"), "text", F.col("doc_id").alias("_id")).repartition("_row")
     runs = judged_runs(run_rows(texts, found, window, gram), window, limit)
     rows = texts.join(found.join(runs.groupBy("_row").agg(F.collect_list(F.struct("mark", "flags")).alias("runs")), "_row", "left"), "_row", "left")
