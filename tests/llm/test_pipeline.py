@@ -58,7 +58,7 @@ def test_stages_with_awkward_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, _key string, _row long, node int, fp string, k0 int, kept boolean, src int"
     long = [" ".join(f"w{i}x{j * j % 71}" for j in range(90)) for i in range(5)]
     rows = [(i, t, "en", None if i % 2 else "s", None if i == 3 else len(t), "k", 1, 2, "f", 3, True, 4) for i, t in enumerate(long)]
-    rows += [rows[0], rows[0], (None, long[0], None, None, None, None, None, None, None, None, None, None), (None, long[4] + " tail", None, None, None, None, None, None, None, None, None, None)]
+    rows += [rows[0], rows[0], (None, long[0], None, None, None, None, None, None, None, None, None, None), (None, long[4].upper(), None, None, None, None, None, None, None, None, None, None)]
     rows += [(7, None, None, "s", None, None, None, None, None, None, None, None), (8, "", "en", "s", 0, None, None, None, None, None, None, None), (3, long[2], "en", None, 1, "k", 1, 2, "f", 3, False, 4)]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema).repartition(2)
