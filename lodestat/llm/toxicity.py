@@ -39,6 +39,8 @@ UNLABELLED = 32768
 FEATURES, SIGNIFICANT = 4096, 4.5
 #: Lengths in bytes of the pieces of words that are features.
 GRAMS = (4, 6, 9)
+#: Texts whose features are held at a time.
+CHUNK = 256
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -81,10 +83,10 @@ def counted(words: DataFrame, among: np.ndarray | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(w) for w in b.column(0).to_pylist()]
-            f = np.concatenate(got) if got else np.zeros(0, np.int64)
-            f, n = np.unique(f if among is None else f[located(f, among) >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n)], names=["f", "n"])
+            for at in range(0, b.num_rows, CHUNK):
+                f = np.concatenate([features(w) for w in b.column(0).slice(at, CHUNK).to_pylist()])
+                f, n = np.unique(f if among is None else f[located(f, among) >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n)], names=["f", "n"])
 
     return words.select("words").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
@@ -97,6 +99,10 @@ def located(f: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == f, at, -1)
 
 
+def held(at: np.ndarray) -> np.ndarray:
+    return at[at >= 0].astype(np.int32)
+
+
 def telling(sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
     """The features of the classifier, sorted: at most FEATURES."""
     common = counted(sample.where("positive = 1")).where(F.col("n") >= max(4, n_p // 50)).toArrow()  # at most 50 times the features of a text, whatever the corpus
@@ -174,8 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, n_pos: int = POSITIVES, n_unl: int
 
         def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
-                at = [located(features(w), chosen) for w in x.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array([a[a >= 0].astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([zlib.crc32(w) for w in x.column(1).to_pylist()], pa.int64())], names=["positive", "at", "crc"])
+                at = [held(located(features(w), chosen)) for w in x.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(at, pa.list_(pa.int32())), pa.array([zlib.crc32(w) for w in x.column(1).to_pylist()], pa.int64())], names=["positive", "at", "crc"])
 
         got = sample.mapInArrow(picked, "positive int, at array<int>, crc long").orderBy("positive", "crc").toArrow()  # at most n_pos + n_unl rows
     finally:
