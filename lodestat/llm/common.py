@@ -138,3 +138,9 @@ def code_points(raw: bytes) -> int:
 
 
 _CONTINUED = bytes(range(0x80, 0xC0))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text, bit by bit: every byte is followed by eight steps (-1)."""
+    units = f"list_prepend(4294967295, flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({units}, lambda c, b: case when b >= 0 then xor(c, b) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295)"

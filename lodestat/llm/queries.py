@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import doubling, fingerprint, mixing, packing, quality, quotes, sharding, simhash, suffixes, toxicity
+from lodestat.llm import doubling, fingerprint, mixing, packing, periodic, quality, quality_pu, quotes, sharding, simhash, suffixes, toxicity, trie
 from lodestat.llm.common import documents
 
 #: Bytes of a shard of documents: small enough that tables of any size split over several levels.
@@ -60,9 +60,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select(*names)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": doubling.SQL, "op6_extendible_shards": sharding.SQL.format(limit=SHARD_BYTES)}
+    return {"op5_substring_dedup": doubling.SQL, "op6_extendible_shards": sharding.SQL.format(limit=SHARD_BYTES), "op11_periodic_runs": periodic.SQL, "op12_prefix_trie": trie.SQL}

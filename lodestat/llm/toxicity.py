@@ -1,18 +1,11 @@
-"""Toxicity by non-negative positive-unlabelled learning.
+"""Toxicity by non-negative positive-unlabelled learning (see `pu`).
 
-Confirmed toxic texts are the positives; the unlabelled texts are drawn from all training texts, whatever their
-label says, so that they follow the corpus and the class prior holds for them. A linear classifier over the presence
-of features is trained with the non-negative risk estimator
-
-    prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
-
-with the logistic loss l: the unlabelled texts stand for negatives once the share of positives among them, known
-from the class prior, is taken off, and that estimate is not let below zero. The prior is the share of toxic
-labels in all training labels.
-
-Features are hashes of the distinct lower-cased words of a text and of the GRAMS bytes within them, so scripts that
-don't space their words have features too. Those enter that a fiftieth of the positives hold and whose share differs
-significantly between positives and unlabelled texts, either way: weights can have both signs.
+The positives are texts labelled toxic, the class prior is the share of toxic labels in all training labels and one
+more label that is toxic by a twentieth. Features are the distinct lower-cased words of a text, each between spaces, and the pieces of
+GRAMS bytes of these, so scripts that don't space their words have features too. Those enter that a fiftieth of the
+positives, and at least four of them, hold and whose share differs significantly between positives and unlabelled
+texts, either way: weights can have both signs. With three positives or fewer there is no such feature, and every
+text gets the prior.
 
 The classifier is fitted on a bounded sample: at most POSITIVES confirmed and UNLABELLED unlabelled texts, those with
 the least hashes of their ids. Scoring reads every whole text.
@@ -20,187 +13,57 @@ the least hashes of their ids. Scoring reads every whole text.
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.anchors import window_hashes
-from lodestat.llm.common import decoded, mixed
+from lodestat.llm import pu
 
 POSITIVES = 8192
 UNLABELLED = 32768
 #: Most features of the classifier, the most significant first, and the least significance, in standard errors.
 FEATURES, SIGNIFICANT = 4096, 4.5
+#: A feature has one in so many positives.
+COMMON = 50
 #: Lengths in bytes of the pieces of words that are features.
 GRAMS = (4, 6, 9)
-#: Texts whose features are held at a time.
-CHUNK = 256
-WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-
-
-def held_out(doc_id: Column, folds: int = 5) -> Column:
-    """crc32 of the id as text, modulo the folds, is 0. A null id counts as the empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
-
-
-def words_of(text: str) -> bytes:
-    """The distinct lower-cased words of a whole text, each after a space, in order."""
-    return b"".join(b" " + w for w in sorted(set(WORD.findall(text.lower().encode("utf-8", "surrogatepass")))))
-
-
-def features(words: bytes) -> np.ndarray:
-    """Hashes of the words and of the pieces of them; sorted and distinct."""
-    each = words.split()
-    out = [np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(each))]
-    units = np.frombuffer(words, np.uint8)
-    out += [mixed(window_hashes(units, n) + np.uint64(n)) for n in GRAMS]
-    return np.unique(np.concatenate(out)).view(np.int64)
-
-
-def sampled_words(docs: DataFrame, labels: DataFrame, n_pos: int, n_unl: int) -> DataFrame:
-    """positive int, words binary (words_of) of the texts of the sample."""
-    seen = ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
-    order = F.xxhash64("doc_id", F.lit(11))
-    pos = labels.where(seen & (F.col("toxic") == 1)).select("doc_id").distinct().orderBy(order, "doc_id").limit(n_pos).withColumn("positive", F.lit(1))
-    unl = docs.where(seen).select("doc_id").distinct().orderBy(order, "doc_id").limit(n_unl).withColumn("positive", F.lit(0))
-    picked = F.broadcast(pos.unionByName(unl))  # at most n_pos + n_unl ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(words_of, decoded(b.column(1))), pa.binary())], names=["positive", "words"])
-
-    return docs.select("doc_id", "text").join(picked, "doc_id").select("positive", "text").mapInArrow(run, "positive int, words binary")
+_SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+FOLDS, FOLD = 5, 0
 
 
-def counted(words: DataFrame, among: np.ndarray | None = None) -> DataFrame:
-    """f, n: in how many of the texts each feature (of a sorted few) occurs. Counts are summed up in a task first."""
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK):
-                f = np.concatenate([features(w) for w in b.column(0).slice(at, CHUNK).to_pylist()])
-                f, n = np.unique(f if among is None else f[located(f, among) >= 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n)], names=["f", "n"])
 
-    return words.select("words").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+def features(text: str) -> set[bytes]:
+    """The words between spaces, and what is GRAMS bytes long of these."""
+    out = {b" " + w + b" " for w in words_of(text)}
+    for w in list(out):
+        for n in GRAMS:
+            out.update([w[i : i + n] for i in range(len(w) - n + 1)])
+    return out
 
 
-def located(f: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """The place of each feature in a sorted array, -1 if it isn't there."""
-    if not len(among):
-        return np.full(len(f), -1)
-    at = np.minimum(np.searchsorted(among, f), len(among) - 1)
-    return np.where(among[at] == f, at, -1)
+def finder(features: list[bytes]) -> pu.Finder:
+    """An automaton that finds all features in one pass over a text."""
+    if not features:
+        return lambda text: set()
+    found = ahocorasick.Automaton()
+    for i, f in enumerate(features):
+        found.add_word(f.decode("latin-1"), i)
+    found.make_automaton()
+    return lambda text: {i for _, i in found.iter((b" " + b" ".join(words_of(text)) + b" ").decode("latin-1"))}
 
 
-def held(at: np.ndarray) -> np.ndarray:
-    return at[at >= 0].astype(np.int32)
+READING = pu.Reading(features, finder)
 
 
-def telling(sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
-    """The features of the classifier, sorted: at most FEATURES."""
-    common = counted(sample.where("positive = 1")).where(F.col("n") >= max(4, n_p // 50)).toArrow()  # at most 50 times the features of a text, whatever the corpus
-    f, p = common["f"].to_numpy(), common["n"].to_numpy()
-    order = np.argsort(f)
-    f, p, u = f[order], p[order], np.zeros(len(f), np.int64)
-    other = counted(sample.where("positive = 0"), f).toArrow()
-    u[located(other["f"].to_numpy(), f)] = other["n"].to_numpy()
-    share = (p + u) / (n_p + n_u)
-    z = np.abs(p / n_p - u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
-    best = np.lexsort((f, -z))[:FEATURES]
-    return np.sort(f[best[z[best] >= SIGNIFICANT]])
-
-
-class Model:
-    """Weights of features and a bias; score() is the probability that a text is toxic."""
-
-    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float):
-        self.features, self.weights, self.bias = features, weights, bias
-
-    def score(self, text: str) -> float:
-        at = located(features(words_of(text)), self.features)
-        g = self.bias + self.weights[at[at >= 0]].sum()
-        return float(1 / (1 + np.exp(-np.clip(g, -50, 50))))
-
-
-def risk(w: np.ndarray, bias: float, rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray, float]:
-    """The non-negative risk of texts, and the gradient to descend by. rows and cols: the places of ones in the matrix of texts by features.
-
-    Where the negatives' part is below zero it counts as zero, and the gradient is that which raises it again.
-    """
-    n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    g = bias + np.bincount(rows, weights=w[cols], minlength=len(positive))
-    s = 1 / (1 + np.exp(-np.clip(g, -50, 50)))
-    loss = np.logaddexp(0, g)
-    rest = loss[~positive].sum() / n_u - prior * loss[positive].sum() / n_p
-    as_negative = np.where(positive, -s * prior / n_p, s / n_u)
-    d = np.where(positive, (s - 1) * prior / n_p, 0.0) + as_negative if rest >= 0 else -as_negative
-    value = prior * np.logaddexp(0, -g[positive]).sum() / n_p + max(0.0, rest)
-    return float(value), np.bincount(cols, weights=d[rows], minlength=len(w)), float(d.sum())
-
-
-def nn_pu(ends: np.ndarray, cols: np.ndarray, positive: np.ndarray, n: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, batch: int = 512, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Adam over batches of positives and unlabelled texts; the mean of the second half of the way. Text i has the features cols[ends[i]:ends[i + 1]]."""
-    rng = np.random.default_rng(seed)
-    x, mean = np.append(np.zeros(n), np.log(prior / (1 - prior))), np.zeros(n + 1)
-    m, v = np.zeros(n + 1), np.zeros(n + 1)
-    kinds = [np.flatnonzero(positive), np.flatnonzero(~positive)]
-    for t in range(1, steps + 1):
-        take = np.concatenate([rng.choice(k, min(batch, len(k))) for k in kinds])
-        size = ends[take + 1] - ends[take]
-        rows = np.repeat(np.arange(len(take)), size)
-        own = cols[np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ends[take], size)]
-        _, grad, slope = risk(x[:-1], x[-1], rows, own, positive[take], prior)
-        grad = np.append(grad + decay * x[:-1], slope)
-        m = 0.9 * m + 0.1 * grad
-        v = 0.999 * v + 0.001 * grad**2
-        x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        if t > steps // 2:
-            mean += x / (steps - steps // 2)
-    return mean[:-1], float(mean[-1])
-
-
-def train(docs: DataFrame, labels: DataFrame, n_pos: int = POSITIVES, n_unl: int = UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, n_pos: int = POSITIVES, n_unl: int = UNLABELLED) -> pu.Model:
     """Learns from rows that are not held out. Without any positive the model has a bias only."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).agg(F.avg(F.col("toxic").cast("double")).alias("share"), F.count("*").alias("n")).first()
-    prior = min(0.5, max(1e-3, known["share"] if known["n"] else 0.05))
-    sample = sampled_words(docs, labels, n_pos, n_unl).persist()
-    try:
-        sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
-        n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
-        if not n_p or not n_u:
-            return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
-        chosen = telling(sample, n_p, n_u)
-
-        def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                at = [held(located(features(w), chosen)) for w in x.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(at, pa.list_(pa.int32())), pa.array([zlib.crc32(w) for w in x.column(1).to_pylist()], pa.int64())], names=["positive", "at", "crc"])
-
-        got = sample.mapInArrow(picked, "positive int, at array<int>, crc long").orderBy("positive", "crc").toArrow()  # at most n_pos + n_unl rows
-    finally:
-        sample.unpersist()
-    at = got["at"].combine_chunks()
-    w, bias = nn_pu(at.offsets.to_numpy(), at.values.to_numpy(), got["positive"].to_numpy() == 1, len(chosen), prior)
-    return Model(chosen, w, bias)
-
-
-def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; the text alone decides the score."""
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(model.score, decoded(b.column(1))), pa.float64())], names=["doc_id", "score"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    seen = ~pu.held_out(F.col("doc_id"), FOLDS, FOLD)
+    known = labels.where(seen & F.col("toxic").isNotNull()).agg(F.sum(F.col("toxic").cast("double")).alias("toxic"), F.count("*").alias("n")).first()
+    prior = ((known["toxic"] or 0) + 0.05) / (known["n"] + 1)
+    return pu.fitted(pu.sampled(docs, labels, "toxic", seen, n_pos, n_unl), READING, COMMON, False, FEATURES, SIGNIFICANT, prior)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,4 +73,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are scored each. Labels without a document, and null labels, count for nothing but are no error;
     a document with both labels is a positive. An empty table gives an empty result. Other columns are not read.
     """
-    return scored(docs, train(docs, labels))
+    return pu.scored(docs, train(docs, labels), pu.held_out(F.col("doc_id"), FOLDS, FOLD))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestat.llm import doubling, fingerprint, mixing, packing, quality, queries, quotes, sharding, simhash, suffixes, toxicity
+from lodestat.llm import doubling, fingerprint, mixing, packing, pu, quality, queries, quotes, sharding, simhash, suffixes, toxicity
 
 SPACE = " \t\n\r\x0b\x0c"
 spelled = lambda n: chr(97 + n % 26) + (spelled(n // 26) if n >= 26 else "")
@@ -170,7 +170,7 @@ def test_op2_risk_is_the_formula():
                 return prior * mean(positive, 1), mean(~positive, -1) - prior * mean(positive, -1)
 
             first, rest = parts(w, b)
-            value, grad, slope = toxicity.risk(w, b, rows, cols, positive, prior)
+            value, grad, slope = pu.risk(w, b, rows, cols, positive, prior)
             assert abs(value - (first + max(0.0, rest))) < 1e-9
             of = (lambda w, b: sum(parts(w, b))) if rest >= 0 else (lambda w, b: -parts(w, b)[1])
             for j in range(6):
@@ -193,8 +193,11 @@ def test_op2_held_out(spark):
 def test_op2_long_and_clashing(spark, messy):
     none = spark.createDataFrame([(0, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.toxicity(messy, none).count() == 12
-    words = toxicity.words_of("a b " * 300_000 + "最後の言葉は長い文です")
-    assert words.split()[:2] == [b"a", b"b"] and len(toxicity.features(words)) > 10
+    long = "a B " * 300_000 + "最後の言葉は長い文です"
+    found = toxicity.features(long)
+    assert {b" a ", b" b ", "最後".encode()} <= found
+    some = sorted(found)[::3]
+    assert {some[i] for i in toxicity.finder(some)(long)} == set(some) and toxicity.finder([])(long) == set()
 
 
 def test_op2_without_positives(spark, docs, empty):
