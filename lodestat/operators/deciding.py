@@ -1,7 +1,7 @@
 """Selective decisions: risk and coverage, thresholds, calibration, ranking quality.
 
-Curves run down the confidence order of an arm. They are built from counts by distinct confidence, so a window
-sorts as many rows as there are confidence values in an arm, not as many as there are decisions.
+Curves run down the confidence order of an arm. They are built from counts by distinct confidence, summed up over
+ranges of it (`ordered.running`), so no task sorts an arm, however many confidence values it has.
 """
 
 from __future__ import annotations
@@ -12,20 +12,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.values import harmonic
+from lodestat.operators.ordered import kept, running
 from lodestat.operators.paired import average_rank
 
 
 def steps(rows: DataFrame, *by: str) -> DataFrame:
-    """Counts k (right) and n at each confidence and their sums K and N from the top down to it."""
+    """Counts k (right) and n at each confidence, their sums kk and nn from the top down to it, and right and total of the arm."""
     each = rows.groupBy(*by, "conf").agg(F.count_if("correct").alias("k"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumn("kk", F.sum("k").over(w)).withColumn("nn", F.sum("n").over(w))
+    out = running(each, [F.desc("conf")], ["k", "n"], *by)
+    return out.select(*by, "conf", "k", "n", (F.col("k_ahead") + F.col("k")).alias("kk"), (F.col("n_ahead") + F.col("n")).alias("nn"), F.col("n_all").alias("total"), F.col("k_all").alias("right"))
 
 
 def risk_curve(rows: DataFrame, *by: str) -> DataFrame:
     """Coverage, risk and precision at every cut of the confidence."""
-    total = F.sum("n").over(Window.partitionBy(*by))
-    out = steps(rows, *by).withColumn("coverage", F.round(F.col("nn") / total, 6)).withColumn("risk", F.round(1 - F.col("kk") / F.col("nn"), 6))
+    out = steps(rows, *by).withColumn("coverage", F.round(F.col("nn") / F.col("total"), 6)).withColumn("risk", F.round(1 - F.col("kk") / F.col("nn"), 6))
     return out.select(*by, "conf", "kk", "nn", "coverage", "risk")
 
 
@@ -89,15 +89,13 @@ def selective_metrics(rows: DataFrame, tau: Column, *by: str) -> DataFrame:
 
 def precision_at_coverage(rows: DataFrame, share: float, *by: str) -> DataFrame:
     """Precision at the first cut that covers at least the share."""
-    total = F.sum("n").over(Window.partitionBy(*by))
-    out = steps(rows, *by).withColumn("total", total).where(F.col("nn") >= share * F.col("total"))
+    out = steps(rows, *by).where(F.col("nn") >= share * F.col("total"))
     return out.groupBy(*by).agg(F.max_by(F.round(F.col("kk") / F.col("nn"), 6), "conf").alias("precision"))
 
 
 def coverage_at_precision(rows: DataFrame, precision: float, *by: str) -> DataFrame:
     """Greatest coverage of a cut that keeps the precision; 0 if none does."""
-    total = F.sum("n").over(Window.partitionBy(*by))
-    out = steps(rows, *by).withColumn("total", total)
+    out = steps(rows, *by)
     return out.groupBy(*by).agg(F.round(F.coalesce(F.max(F.when(F.col("kk") / F.col("nn") >= precision, F.col("nn") / F.col("total"))), F.lit(0.0)), 6).alias("coverage"))
 
 
@@ -118,23 +116,46 @@ def calibration_error(rows: DataFrame, bins: int, *by: str) -> DataFrame:
 
 
 def equal_mass_bins(rows: DataFrame, bins: int, *by: str) -> DataFrame:
-    """Bins of (nearly) equal numbers by confidence, the first ones taking what is left over; mean confidence and accuracy of each.
-
-    Sorts each group: for arms and layers of bounded size.
-    """
-    w = Window.partitionBy(*by).orderBy("conf", "id")
-    each = rows.withColumn("bin", F.ntile(bins).over(w))
-    return each.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("conf"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"))
+    """Bins of (nearly) equal numbers by confidence and id, the first ones taking what is left over; mean confidence and accuracy of each."""
+    each = running(rows.select(*by, "conf", "id", "correct", F.lit(1).alias("one")), [F.col("conf"), F.col("id")], ["one"], *by)
+    size, more, at = F.floor(F.col("one_all") / bins), F.col("one_all") % bins, F.col("one_ahead")
+    later = more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1)))
+    bin_ = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(later) + 1
+    return each.groupBy(*by, bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("conf"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"))
 
 
 def fpr_at_recall(rows: DataFrame, score: str, positive: Column, recall: float, *by: str) -> DataFrame:
     """Highest cut that keeps the recall, and the share of negatives at or above it."""
     each = rows.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = Window.partitionBy(*by)
-    down = w.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("pp", F.sum("p").over(down)).withColumn("qq", F.sum("q").over(down)).withColumn("tp", F.sum("p").over(w)).withColumn("tq", F.sum("q").over(w))
-    ok = each.where(F.col("pp") >= recall * F.col("tp"))
-    return ok.groupBy(*by).agg(F.max("s").alias("cut"), F.round(F.max_by(F.col("qq") / F.col("tq"), "s"), 6).alias("fpr"))
+    ok = running(each, [F.desc("s")], ["p", "q"], *by).where(F.col("p_ahead") + F.col("p") >= recall * F.col("p_all"))
+    return ok.groupBy(*by).agg(F.max("s").alias("cut"), F.round(F.max_by((F.col("q_ahead") + F.col("q")) / F.col("q_all"), "s"), 6).alias("fpr"))
+
+
+def arm_statistics(rows: DataFrame, target: float, least: int, *by: str, z: float = 1.6448536269514722) -> DataFrame:
+    """All of an arm's numbers from one pass over its curve: rows, accuracy with its Wilson interval, tau (as wilson_threshold), coverage and precision there, AURC and its best possible, AUROC of the confidence.
+
+    Counts by confidence are all that is shuffled, sums of counts all that is summed up.
+    """
+    s = steps(rows, *by)
+    kk, nn, k, n = (F.col(c) for c in ("kk", "nn", "k", "n"))
+    p = kk / nn
+    low = (p + z * z / (2 * nn) - z * F.sqrt(p * (1 - p) / nn + z * z / (4 * nn * nn))) / (1 + z * z / nn)
+    ok = (nn >= least) & (low >= target)
+    below = (F.col("total") - F.col("right")) - (nn - kk)  # wrong rows of less confidence
+    out = s.groupBy(*by).agg(
+        F.max("total").alias("rows"), F.max("right").alias("right"), F.min(F.when(ok, F.col("conf"))).alias("tau"), F.min_by(F.when(ok, nn), F.when(ok, F.col("conf"))).alias("nn"),
+        F.min_by(F.when(ok, kk), F.when(ok, F.col("conf"))).alias("kk"), F.sum(n * (1 - p)).alias("area"), F.sum(k * (below + (n - k) / 2)).alias("wins"),
+    )
+    rows_, right = F.col("rows"), F.col("right")
+    wrong, acc = rows_ - right, right / rows_
+    best = F.when(wrong == 0, 0.0).otherwise((wrong - right * (harmonic(rows_) - harmonic(right))) / rows_)
+    half = z * F.sqrt(acc * (1 - acc) / rows_ + z * z / (4 * rows_ * rows_))
+    r = lambda c: F.round(c, 6)
+    return out.select(
+        *by, "rows", "right", r(acc).alias("accuracy"), r((acc + z * z / (2 * rows_) - half) / (1 + z * z / rows_)).alias("low"), r((acc + z * z / (2 * rows_) + half) / (1 + z * z / rows_)).alias("high"),
+        "tau", r(F.col("nn") / rows_).alias("coverage"), r(kk / nn).alias("precision"), r(F.col("area") / rows_).alias("aurc"), r(best).alias("best"),
+        r(F.when((right > 0) & (wrong > 0), F.col("wins") / (right * wrong))).alias("auroc"),
+    )
 
 
 def ceiling(rows: DataFrame, *by: str) -> DataFrame:
@@ -185,11 +206,32 @@ def position_bias(labels: DataFrame) -> DataFrame:
     return labels.groupBy("position").agg(F.round(F.avg("logp"), 6).alias("bias"), F.count("*").alias("n"))
 
 
-def temperature_grid(labels: DataFrame, grid: list[float]) -> DataFrame:
-    """labels(id, option, logp, gold): mean negative log likelihood of gold at each temperature; the least one is the fit."""
-    each = labels.withColumn("t", F.explode(F.array(*(F.lit(t) for t in grid))))
-    sums = each.groupBy("t", "id").agg(F.max(F.when(F.col("option") == F.col("gold"), F.col("logp") / F.col("t"))).alias("g"), F.sum(F.exp(F.col("logp") / F.col("t"))).alias("z"))
-    return sums.where(F.col("g").isNotNull()).groupBy("t").agg(F.avg(F.log("z") - F.col("g")).alias("nll"))
+def gold_losses(labels: DataFrame, temperatures: list[float]) -> dict[float, float]:
+    """labels(id, option, logp, gold): mean negative log likelihood of gold at each temperature, from one pass; rows whose gold is not among the options are out."""
+    at = range(len(temperatures))
+    x = [F.col("logp") / t for t in temperatures]
+    each = labels.groupBy("id").agg(*(F.max(F.when(F.col("option") == F.col("gold"), x[i])).alias(f"g{i}") for i in at), *(F.sum(F.exp(x[i])).alias(f"z{i}") for i in at))
+    got = each.where("g0 is not null").agg(*(F.avg(F.log(f"z{i}") - F.col(f"g{i}")).alias(f"l{i}") for i in at)).first()
+    return {t: got[f"l{i}"] for i, t in enumerate(temperatures) if got[f"l{i}"] is not None}
+
+
+def fit_temperature(labels: DataFrame, low: float = 0.05, high: float = 20.0, tries: int = 16, close: float = 1e-4) -> DataFrame:
+    """temperature, nll: the temperature of least loss, to the given share of it. No row with its gold: no row.
+
+    The loss has one valley. Each job tries some temperatures between the bounds, and the neighbours of the best one
+    bound the next; so five jobs, whatever the number of rows.
+    """
+    spark, best = labels.sparkSession, None
+    labels = kept(labels.select("id", "option", "logp", "gold"), "temperature")
+    while best is None or high / low > 1 + close:
+        grid = [low * (high / low) ** (i / (tries + 1)) for i in range(tries + 2)]
+        loss = gold_losses(labels, grid)
+        if not loss:
+            return spark.createDataFrame([], "temperature double, nll double")
+        best = min(grid, key=loss.__getitem__)
+        i = grid.index(best)
+        low, high = grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)]
+    return spark.createDataFrame([(best, loss[best])], "temperature double, nll double")
 
 
 def group_balance(rows: DataFrame, group: str, tau: float, *by: str) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from lodestat.functions.values import seeded
+from lodestat.operators.curating import in_hash_order
 
 
 def gold_dropped(items: DataFrame, share: float, seed: str, *by: str) -> DataFrame:
     """items(id, gold, ...): gold taken away from the first rows in hash order until the share of rows without one is met in each stratum."""
     total = items.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(F.col("gold").isNull()).alias("_none"))
-    w = Window.partitionBy(*by, F.col("gold").isNull()).orderBy(seeded(seed, F.col("id")), "id")
-    each = items.join(total, list(by)).withColumn("_rn", F.row_number().over(w))
+    ranked = in_hash_order(items.withColumn("_without", F.col("gold").isNull()), "id", seed, *by, "_without").withColumnRenamed("rank", "_rn").drop("_without", "size", "before")
+    each = ranked.join(total, list(by))
     need = F.floor(F.col("_n") * share) - F.col("_none")
     dropped = F.col("gold").isNotNull() & (F.col("_rn") <= need)
     return each.withColumn("dropped", dropped).withColumn("gold", F.when(~dropped, F.col("gold"))).drop("_n", "_none", "_rn")
@@ -30,12 +31,16 @@ def padded_options(items: DataFrame, pool: DataFrame, want: Column, seed: str) -
     return each.withColumn("options", F.concat("options", more)).drop("pool")
 
 
-def next_line_items(lines: DataFrame, key: str, far: int = 2) -> DataFrame:
-    """lines(key, pos, line): each line with the next one as gold and as distractors lines at least so far away."""
+def next_line_items(lines: DataFrame, key: str, far: int = 2, k: int = 3) -> DataFrame:
+    """lines(key, pos, line): each line with the next one as gold and as distractors the first k lines whose pos is more than `far` away.
+
+    These are among the first k + 2 * far + 1 lines of a text, so only they are held beside its other lines.
+    """
     w = Window.partitionBy(key).orderBy("pos")
-    each = lines.withColumn("gold", F.lead("line").over(w)).withColumn("_all", F.collect_list(F.struct("pos", "line")).over(Window.partitionBy(key)))
-    away = F.filter("_all", lambda x: F.abs(x["pos"] - F.col("pos")) > far)
-    return each.where("gold is not null").select(key, "pos", "line", "gold", F.transform(F.slice(away, 1, 3), lambda x: x["line"]).alias("distractors"))
+    each = lines.select(key, "pos", "line").withColumn("gold", F.lead("line").over(w)).withColumn("_nth", F.row_number().over(w))
+    head = each.where(F.col("_nth") <= k + 2 * far + 1).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_head"))
+    away = F.filter("_head", lambda x: F.abs(x["pos"] - F.col("pos")) > far)
+    return each.where("gold is not null").join(head, key).select(key, "pos", "line", "gold", F.transform(F.slice(away, 1, k), lambda x: x["line"]).alias("distractors"))
 
 
 def common_items(messages: DataFrame) -> DataFrame:
@@ -172,12 +177,6 @@ def blocks_of(rows: DataFrame, key: str, least: int = 8, most: int = 16) -> Data
     return rows.select(key, fold.alias("blocks"))
 
 
-def grouped_statistic(rows: DataFrame, *by: str) -> DataFrame:
-    """Median absolute deviation of each group: its median first, then that of the distances from it."""
-    middle = rows.groupBy(*by).agg(F.percentile("value", F.lit(0.5)).alias("_m"))
-    return rows.join(middle, list(by)).groupBy(*by).agg(F.round(F.percentile(F.abs(F.col("value") - F.col("_m")), F.lit(0.5)), 6).alias("mad"))
-
-
 def minimal_pairs(variants: DataFrame, marker: str, least: float = 1 / 3) -> DataFrame:
     """variants(unit, text, cue): a variant holds if a sentence has the marker and the cue's stems are covered both inside and outside of it; one that fails takes its whole unit along."""
     sentences = F.split("text", r"(?<=[.!?])\s+")
@@ -222,14 +221,12 @@ def distinguishing(rows: DataFrame) -> DataFrame:
 def rebalanced(rows: DataFrame, kind: str, family: str, share: float, seed: str) -> DataFrame:
     """rows(id, kind, family): of each kind at most its share of all rows stays, first in hash order; for what goes, unused rows of the same family without a kind (spare) come in."""
     total = F.broadcast(rows.where(~F.col("spare")).agg(F.count("*").alias("_all")))
-    w = Window.partitionBy(kind).orderBy(seeded(seed, F.col("id")), "id")
     used = rows.where(~F.col("spare"))
-    kinded = used.where(F.col(kind).isNotNull()).crossJoin(total).withColumn("_rn", F.row_number().over(w)).withColumn("_gone", F.col("_rn") > F.floor(F.col("_all") * share))
+    kinded = in_hash_order(used.where(F.col(kind).isNotNull()), "id", seed, kind).crossJoin(total).withColumn("_gone", F.col("rank") > F.floor(F.col("_all") * share))
     plain = used.where(F.col(kind).isNull()).withColumn("_gone", F.lit(False))
     chosen = kinded.select("id", kind, family, "_gone").unionAll(plain.select("id", kind, family, "_gone"))
     need = chosen.where("_gone").groupBy(family).agg(F.count("*").alias("_need"))
-    v = Window.partitionBy(family).orderBy(seeded(seed, F.col("id")), "id")
-    fresh = rows.where(F.col("spare") & F.col(kind).isNull()).join(need, family).withColumn("_rn", F.row_number().over(v)).where("_rn <= _need")
+    fresh = in_hash_order(rows.where(F.col("spare") & F.col(kind).isNull()), "id", seed, family).join(need, family).where("rank <= _need")
     return chosen.where("not _gone").select("id", kind, family).unionAll(fresh.select("id", kind, family))
 
 

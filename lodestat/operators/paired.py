@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.functions.values import binomial_two_sided
+from lodestat.operators.ordered import running
 
 
 def paired(a: DataFrame, b: DataFrame, *keys: str, value: str = "passed") -> DataFrame:
@@ -72,12 +73,11 @@ def sign_test(diffs: DataFrame, *by: str) -> DataFrame:
 def average_rank(rows: DataFrame, value: Column, *by: str) -> DataFrame:
     """rows with rank: that of value within its group, ties sharing the mean of theirs.
 
-    Counts of distinct values are ranked, not rows, so a group is sorted by as many rows as it has values.
+    Counts of distinct values are ranked, not rows, and by ranges of the values.
     """
     keyed = rows.withColumn("_v", value)
     counts = keyed.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("rank", F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = running(counts, [F.col("_v")], ["_n"], *by).withColumn("rank", F.col("_n_ahead") + (F.col("_n") + 1) / 2).select(*by, "_v", "rank")
     return keyed.join(ranks, [*by, "_v"]).drop("_v")
 
 

@@ -10,33 +10,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.values import tokens
+from lodestat.operators.ordered import kept
 
 #: Words that are sent to all tasks at most.
 BROADCAST_ROWS = 1_000_000
+#: Words that are written into the plan at most.
+LITERAL_TERMS = 5_000
+#: Keys of a term where its weights are not sent to all tasks.
+BLOCKS = 64
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, text) against (query, text): the k best documents of each query.
+def fielded_bm25(docs: DataFrame, queries: DataFrame, weights: dict[str, float], k: int = 8, k1: float = 1.2, b: float = 0.75, active: Column | None = None) -> DataFrame:
+    """docs(id, a column for each field) against queries(query, text): the k best documents of each query by their best field.
+
+    A field is an index of its own: its score is Okapi BM25 over the lengths of that field, times its weight. Where
+    active is given, only such documents are in the index. A null field is empty.
 
-    Term counts of the documents are cut down to the terms that queries use before anything else, in the tasks that
-    read the texts where these terms are at most BROADCAST_ROWS; the sums of scores are aggregated by query and
-    document before they are ranked.
+    Texts are split into words once; what is written of a document is the words that queries ask for. The weights of
+    asked terms go to the tasks that hold the counts, where they are at most BROADCAST_ROWS; beyond that a term is met
+    in BLOCKS keys by document, so that a frequent term is no single key. Sums are made by query and document before they are ranked.
     """
-    terms = docs.select("id", tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("len"), "w")
-    size = F.broadcast(terms.agg(F.count("*").alias("n"), F.avg("len").alias("avg")))  # one row
+    rows = docs if active is None else docs.where(active)
     asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    n_asked, n_terms = asked.agg(F.count("*"), F.count_distinct("term")).first()
     few = asked.select("term").distinct()
-    if few.count() <= BROADCAST_ROWS:
-        few = F.broadcast(few)
-    tf = terms.select("id", "len", F.explode("w").alias("term")).join(few, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scored = tf.join(df, "term").crossJoin(size).select("id", "term", weight.alias("s"))
-    sums = asked.join(scored, "term").groupBy("query", "id").agg(F.round(F.sum("s"), 4).alias("score"))
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("w")) for f in weights))
+    words = rows.select("id", F.explode(fields).alias("x")).select("id", "x.field", F.size("x.w").alias("len"), F.col("x.w").alias("w"))
+    if n_terms <= LITERAL_TERMS:
+        terms = [r["term"] for r in few.collect()]
+        words = words.withColumn("w", F.filter("w", lambda t: t.isin(terms)))
+    words = kept(words, "bm25-words")
+    size = F.broadcast(words.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg")))  # a row a field
+    each = words.select("id", "field", "len", F.explode("w").alias("term"))
+    each = each if n_terms <= LITERAL_TERMS else each.join(F.broadcast(few) if n_terms <= BROADCAST_ROWS else few, "term", "left_semi")
+    tf = each.groupBy("id", "field", "len", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
+    own = F.element_at(F.create_map(*(F.lit(x) for f in weights.items() for x in f)), F.col("field"))
+    idf = own * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = asked.join(df, "term").join(size, "field").select("query", "term", "field", "avg", idf.alias("idf"))
+    if n_asked * len(weights) <= BROADCAST_ROWS:
+        met = tf.join(F.broadcast(asked), ["term", "field"])
+    else:
+        blocks = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+        met = tf.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")).join(blocks, ["term", "field", "block"])
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+    best = [F.coalesce(F.sum(F.when(F.col("field") == f, part)), F.lit(0.0)) for f in weights]
+    sums = met.groupBy("query", "id").agg(F.round(F.greatest(*best) if len(best) > 1 else best[0], 4).alias("score"))
     return top_k(sums, "query", "id", k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, text) against (query, text): the k best documents of each query."""
+    return fielded_bm25(docs, queries, {"text": 1.0}, k, k1, b)
+
+
 def top_k(scores: DataFrame, query: str, item: str, k: int, score: str = "score") -> DataFrame:
     """The k best items of each query, ties by item; limited within tasks before the shuffle."""
     w = Window.partitionBy(query).orderBy(F.desc(score), item)
@@ -122,15 +149,21 @@ def stems(name: Column, n: int = 5) -> Column:
     return F.array_distinct(F.transform(tokens(name), lambda w: F.substring(w, 1, n)))
 
 
-def duplicate_pairs(items: DataFrame, family: str) -> DataFrame:
-    """(id, name, family): unordered pairs of other families that share a rare enough stem block and whose numbers are nested.
+def duplicate_pairs(candidates: DataFrame, items: DataFrame, close: float, least: int = 4) -> DataFrame:
+    """Unordered pairs of candidates(query, id) that may name one thing: items(id, name, family, v) of other families, with the numbers of one name among those of the other, and a common stem or a cosine of at least `close`.
 
-    Names are made distinct before they are paired; a block is a name's sorted stems.
+    Words of at least so many letters have a common stem if they begin alike or one ends in the other ("seawater",
+    "water"). Only listed candidates are compared, so a stem that a third of all names have makes no pairs of its own.
     """
-    block = F.array_join(F.array_sort(stems(F.col("name"))), " ")
-    nums = F.array_sort(F.array_distinct(F.regexp_extract_all("name", F.lit(r"([0-9]+)"), F.lit(1))))
-    each = items.groupBy("name", family).agg(F.min("id").alias("id")).withColumn("block", block).withColumn("nums", nums)
-    a, b = each.alias("a"), each.alias("b")
-    nested = (F.size(F.array_except("a.nums", "b.nums")) == 0) | (F.size(F.array_except("b.nums", "a.nums")) == 0)
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col(f"a.{family}") != F.col(f"b.{family}")) & (F.col("a.id") < F.col("b.id")) & nested)
-    return met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    nums = F.array_distinct(F.regexp_extract_all("name", F.lit(r"([0-9]+)"), F.lit(1)))
+    long = F.filter(tokens(F.col("name")), lambda w: F.length(w) >= least)
+    each = items.select("id", "family", nums.alias("nums"), long.alias("words"), "v")
+    side = lambda s: each.select(*(F.col(c).alias(f"{c}_{s}") for c in each.columns))
+    pairs = candidates.where("query <> id").select(F.least("query", "id").alias("id_a"), F.greatest("query", "id").alias("id_b")).distinct()
+    met = pairs.join(side("a"), "id_a").join(side("b"), "id_b").where("family_a <> family_b")
+    nested = (F.size(F.array_except("nums_a", "nums_b")) == 0) | (F.size(F.array_except("nums_b", "nums_a")) == 0)
+    alike = lambda x, y: (F.substring(x, 1, 5) == F.substring(y, 1, 5)) | x.endswith(y) | y.endswith(x)
+    stem = F.exists("words_a", lambda x: F.exists("words_b", lambda y: alike(x, y)))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    cosine = F.round(dot("v_a", "v_b") / F.sqrt(dot("v_a", "v_a") * dot("v_b", "v_b")), 6)
+    return met.where(nested).select("id_a", "id_b", stem.alias("stem"), F.coalesce(cosine, F.lit(0.0)).alias("cosine")).where(F.col("stem") | (F.col("cosine") >= close))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.values import shingles, tokens
+from lodestat.operators.ordered import kept
 
 #: Patterns in the order they are tried. Fixed values.
 PII_PATTERNS = {
@@ -72,16 +73,41 @@ def loops(rows: DataFrame, key: str, n: int = 5, ratio: float = 0.5, most: int =
 
 
 def memorised(rows: DataFrame, reference: DataFrame, key: str, n: int = 8) -> DataFrame:
-    """Longest run of words of each text all of whose n-grams occur in the reference, where there is any.
+    """Length of the longest word n-gram of each text that occurs in one reference text, where there is one of n words or more.
 
-    Runs are found as islands: places of consecutive hits keep their distance to their own row number.
+    A text that shares a gram of some length with a reference shares one of every lesser length. So the length is
+    doubled while any text still does, then searched for by halves; each round joins hashes of grams of the length
+    that a text asks for. Only texts, and after the first round only reference texts, that share n words take part.
     """
-    own = rows.select(key, tokens(F.col("text")).alias("w")).select(key, F.posexplode(shingles(F.col("w"), n)).alias("pos", "gram"))
-    seen = reference.select(tokens(F.col("text")).alias("w")).select(F.explode(shingles(F.col("w"), n)).alias("gram")).distinct()
-    hit = own.join(seen, "gram", "left_semi")
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    runs = hit.withColumn("island", island).groupBy(key, "island").agg((F.count("*") + n - 1).alias("words"))
-    return runs.groupBy(key).agg(F.max("words").alias("longest"))
+    own = kept(rows.select(key, tokens(F.col("text")).alias("w")).where(F.size("w") >= n), "memorised-own")
+    refs = kept(reference.select(tokens(F.col("text")).alias("w")).where(F.size("w") >= n).distinct(), "memorised-reference")
+
+    def grams(texts: DataFrame, *names: str) -> DataFrame:
+        """A row for each gram of `size` words, as two hashes."""
+        at = F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)
+        each = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("w", i, F.col("size"))).alias("h"), F.hash(F.slice("w", i, F.col("size"))).alias("g")))
+        return texts.where(F.size("w") >= F.col("size")).select(*names, "size", F.explode(each).alias("x")).select(*names, "size", "x.h", "x.g")
+
+    def shared(asked: DataFrame) -> DataFrame:
+        """asked(key, size): those whose text shares a gram of that size."""
+        sizes = F.broadcast(asked.select("size").distinct())  # at most two to the number of rounds
+        theirs = grams(refs.crossJoin(sizes)).distinct()
+        return grams(own.join(asked, key), key).join(theirs, ["size", "h", "g"], "left_semi").select(key, "size").distinct()
+
+    best = kept(shared(own.select(key, F.lit(n).alias("size"))).select(key, F.col("size").alias("least")), "memorised")
+    own = kept(own.join(best, key, "left_semi").select(key, "w"), "memorised-own")
+    mine = grams(own.withColumn("size", F.lit(n))).distinct()
+    hit = grams(refs.withColumn("size", F.lit(n)), "w").join(mine, ["size", "h", "g"], "left_semi")
+    refs = kept(hit.select("w").distinct(), "memorised-reference")
+    step, rising = n, True  # best: the size that a text is known to share; while rising, also those that shared the last one
+    while step >= 1 and not best.isEmpty():
+        asked = best.where(F.col("least") == step) if rising else best
+        met = shared(asked.select(key, (F.col("least") + step).cast("int").alias("size"))).select(key, F.lit(1).alias("_met"))
+        best = kept(best.join(met, key, "left").select(key, F.when(F.col("_met").isNotNull(), F.col("least") + step).otherwise(F.col("least")).cast("int").alias("least")), "memorised")
+        if rising and best.where(F.col("least") == 2 * step).isEmpty():
+            rising = False
+        step = 2 * step if rising else step // 2
+    return best.select(key, F.col("least").cast("long").alias("longest"))
 
 
 def pattern_rates(rows: DataFrame, patterns: dict[str, str], *by: str) -> DataFrame:

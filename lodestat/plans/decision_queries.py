@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestat.operators import deciding, paired
@@ -33,7 +34,7 @@ s2 as (select *, sum(k) over w as kk, sum(n) over w as nn from c2 window w as (p
 select arm, round(sum(s2.n * (1 - kk / nn)) / max(a.n), 6)::double as over_all, round((sum(s2.n * (1 - kk / nn)) + max(undecided)) / max(a.n), 6)::double as undecided_wrong from s2 join a using (arm) join u using (arm) group by arm""")
 def aurc_over_all_rows(spark, d):
     rows = decisions(spark, d)
-    s = deciding.steps(rows.where("conf >= 0.2"), "arm")
+    s = deciding.steps(rows.where("conf >= 0.2"), "arm").drop("total", "right")
     total = rows.groupBy("arm").agg(F.count("*").alias("total"), F.count_if(F.col("conf") < 0.2).alias("undecided"))
     area = F.sum(F.col("n") * (1 - F.col("kk") / F.col("nn")))
     return s.join(total, "arm").groupBy("arm").agg(F.round(area / F.max("total"), 6).alias("over_all"), F.round((area + F.max("undecided")) / F.max("total"), 6).alias("undecided_wrong"))
@@ -187,14 +188,19 @@ def label_position_bias(spark, d):
     return deciding.position_bias(labels_of(spark, d))
 
 
-GRID = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
+TEMPERATURE = """losses{n} as (select t, avg(ln(z) - g) as nll from (select t, id, max(case when option = gold then logp / t end) as g, sum(exp(logp / t)) as z from gold, grid{n} group by all) where g is not null group by 1),
+best{n} as (select arg_min(t, nll) as t, min(nll) as nll from losses{n})"""
 
 
-@query("temperature_fit", f"""with {DECISIONS}, {LABELS}, g as (select id, option, avg(logp) as logp, 'o' || (id % 4) as gold from lab group by id, option), t as (select unnest({GRID})::double as t),
-x as (select t, id, max(case when option = gold then logp / t end) as g, sum(exp(logp / t)) as z from g, t group by all) select t, round(avg(ln(z) - g), 6)::double as nll from x where g is not null group by 1""")
+@query("temperature_fit", f"""with {DECISIONS}, {LABELS}, a as (select id, option, avg(logp) as logp from lab group by id, option),
+gold as (select *, case when id % 5 < 3 then first_value(option) over (partition by id order by round(logp, 9) desc, option) else 'o' || (id % 4) end as gold from a),
+grid1 as (select 0.05 * 400 ** (i / 300) as t from range(301) r(i)), {TEMPERATURE.format(n=1)},
+grid2 as (select t * 400 ** ((i - 150) / 45000) as t from best1, range(301) r(i)), {TEMPERATURE.format(n=2)} select round(t, 1)::double as temperature, round(nll, 6)::double as nll from best2""")
 def temperature_fit(spark, d):
-    rows = labels_of(spark, d).groupBy("id", "option").agg(F.avg("logp").alias("logp")).withColumn("gold", F.concat(F.lit("o"), (F.col("id") % 4).cast("string")))
-    return deciding.temperature_grid(rows, GRID).withColumn("nll", F.round("nll", 6))
+    rows = labels_of(spark, d).groupBy("id", "option").agg(F.avg("logp").alias("logp"))
+    first = F.first("option").over(Window.partitionBy("id").orderBy(F.desc(F.round("logp", 9)), "option"))
+    rows = rows.withColumn("gold", F.when(F.col("id") % 5 < 3, first).otherwise(F.concat(F.lit("o"), (F.col("id") % 4).cast("string"))))
+    return deciding.fit_temperature(rows).select(F.round("temperature", 1).alias("temperature"), F.round("nll", 6).alias("nll"))
 
 
 @query("calibration_arm", f"""with {DECISIONS}, b as (select arm, least(floor(conf * 10), 9) as bin, count(*) as n, sum(conf) as c, sum(correct::int) as y from decisions group by all), e as (select arm, -round(sum(abs(c - y)) / sum(n), 6)::double as ece from b group by 1),

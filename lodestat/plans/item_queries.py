@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestat.operators import bounds, decoding, deciding, items, models, paired, scoring, texts
 from lodestat.plans.curation_queries import LAB, docs, labelled
-from lodestat.plans.decision_queries import REPLICAS, REPS, TWO, two_runs, weight_sql
+from lodestat.plans.decision_queries import REPLICAS, REPS, STEPS, TWO, two_runs, weight_sql
 from lodestat.plans.inputs import DECISIONS, RUN_FIELDS, decisions, run_fields, table
 from lodestat.plans.registry import query
 from lodestat.plans.score_queries import ITEMS, item_pass
@@ -100,9 +100,11 @@ def option_padding(spark, d):
     return items.padded_options(rows, pool, (4 + F.col("id") % 3).cast("int"), "o").select("id", F.size("options").alias("n"))
 
 
-@query("next_line_items", f"with {LINES} select doc_id, pos, line, lead(line) over (partition by doc_id order by pos) as gold from lines qualify gold is not null")
+@query("next_line_items", f"""with {LINES}, h as (select doc_id, list({{'pos': pos, 'line': line}} order by pos) as every from lines group by 1),
+g as (select doc_id, pos, line, lead(line) over (partition by doc_id order by pos) as gold from lines qualify gold is not null)
+select doc_id, pos, line, gold, coalesce(array_to_string(list_transform(list_filter(every, lambda x: abs(x.pos - pos) > 2)[1:3], lambda x: x.line), ' / '), '') as distractors from g join h using (doc_id)""")
 def next_line_items(spark, d):
-    return items.next_line_items(doc_lines(spark, d), "doc_id").select("doc_id", "pos", "line", "gold")
+    return items.next_line_items(doc_lines(spark, d), "doc_id").withColumn("distractors", F.array_join("distractors", " / "))
 
 
 @query("common_item_schema", """with l as (select conv_id, max(turn) as at_ from conversations where role = 'user' group by 1) select conv_id, arg_max(text, turn) as request, string_agg(role, ',' order by turn, role) as roles, count(*) as turns from conversations join l using (conv_id) where turn <= at_ group by 1""")
@@ -156,9 +158,19 @@ def block_building(spark, d):
     return items.blocks_of(sizes, "doc_id").select("doc_id", F.size("blocks").alias("n"))
 
 
-@query("grouped_statistic", "with m as (select event_type, quantile_cont(value, 0.5) as m from events group by 1) select event_type, round(quantile_cont(abs(value - m), 0.5), 6)::double as mad from events join m using (event_type) group by 1")
+Z = 1.6448536269514722
+
+
+@query("grouped_statistic", f"""with {DECISIONS}, {STEPS}, t as (select arm, layer, sum(k) as y from c group by all),
+v as (select *, kk / nn as p, nn >= 30 and (kk / nn + {Z} ** 2 / (2 * nn) - {Z} * sqrt(kk / nn * (1 - kk / nn) / nn + {Z} ** 2 / (4 * nn * nn))) / (1 + {Z} ** 2 / nn) >= 0.75 as ok from s join t using (arm, layer)),
+g as (select arm, layer, max(total) as n, max(y) as y, min(conf) filter (ok) as tau, arg_min(nn, conf) filter (ok) as tn, arg_min(kk, conf) filter (ok) as tk, sum(n * (1 - p)) as area from v group by all),
+w as (select arm, layer, avg(case when x.conf > z.conf then 1 when x.conf = z.conf then 0.5 else 0 end) as auroc from decisions x join decisions z using (arm, layer) where x.correct and not z.correct group by all),
+b as (select *, y / n as a, case when n = y then 0 else (select sum(j / (y + j)) from range(1, (n - y)::bigint + 1) r(j)) / n end as best, {Z} * sqrt(y / n * (1 - y / n) / n + {Z} ** 2 / (4 * n * n)) as half from g)
+select arm, layer, n::bigint as rows, y::bigint as "right", round(a, 6)::double as accuracy, round((a + {Z} ** 2 / (2 * n) - half) / (1 + {Z} ** 2 / n), 6)::double as low, round((a + {Z} ** 2 / (2 * n) + half) / (1 + {Z} ** 2 / n), 6)::double as high,
+tau, round(tn / n, 6)::double as coverage, round(tk / tn, 6)::double as precision, round(area / n, 6)::double as aurc, round(best, 6)::double as best, round(auroc, 6)::double as auroc from b left join w using (arm, layer)""")
 def grouped_statistic(spark, d):
-    return items.grouped_statistic(table(spark, d, "events"), "event_type")
+    """Threshold, AURC, AUROC and accuracy of every arm and layer from one curve."""
+    return deciding.arm_statistics(decisions(spark, d), 0.75, 30, "arm", "layer")
 
 
 @query("ordered_output", "select event_id, event_type from events order by event_id")

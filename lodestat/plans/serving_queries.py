@@ -20,6 +20,16 @@ def bm25_top_k(spark, d):
     return retrieval.bm25(texts(spark, d), bench(spark, d).withColumnRenamed("id", "query"))
 
 
+@query("fielded_bm25", f"""with t as (select doc_id as id, unnest(['title', 'text']) as field, unnest([split_part(text, chr(10), 1), text]) as text from documents where lang <> 'de'), d as (select id, field, {TOK} as w from t), s as (select field, count(*) as n, avg(len(w)) as avg from d group by 1),
+f as (select id, field, len, term, count(*) as tf from (select id, field, len(w) as len, unnest(w) as term from d) group by all), g as (select field, term, count(*) as df from f group by all), q as (select item_id as query, unnest(list_distinct({TOK})) as term from benchmark),
+x as (select query, id, field, sum(case field when 'title' then 2 else 1 end * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))) as s from q join f using (term) join g using (field, term) join s using (field) group by all),
+y as (select query, id, round(max(s), 4)::double as score from x group by all) select query, id, score, row_number() over (partition by query order by score desc, id)::int as rank from y qualify rank <= 5""")
+def fielded_bm25(spark, d):
+    """Titles (first lines) count twice, texts once; German documents are not in the index."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", "lang")
+    return retrieval.fielded_bm25(rows, bench(spark, d).withColumnRenamed("id", "query"), {"title": 2.0, "text": 1.0}, 5, active=F.col("lang") != "de")
+
+
 UNIT = """u as (select vec_id as id, label, [x::double / sqrt(list_sum([y::double * y::double for y in embedding])) for x in embedding] as v from embeddings)"""
 
 
@@ -98,11 +108,26 @@ def family_centroids(spark, d):
     return retrieval.family_centroids(vectors(spark, d), "label", 3)
 
 
-@query("duplicate_pairs", f"""with p as (select min(p_partkey) as id, p_name, p_brand from part group by p_name, p_brand), b as (select *, array_to_string(list_sort(list_distinct([substr(t, 1, 5) for t in regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}_]+')])), ' ') as block from p)
-select x.id as id_a, y.id as id_b from b x join b y on x.block = y.block and x.p_brand <> y.p_brand and x.id < y.id""")
+WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+@query("duplicate_pairs", f"""with {UNIT}, i as (select p_partkey as id, p_name as name, p_brand as family, v from part join u on u.id = p_partkey), d as (select id, {WORDS.format('name')} as w from i), s as (select count(*) as n, avg(len(w)) as avg from d),
+f as (select id, len, term, count(*) as tf from (select id, len(w) as len, unnest(w) as term from d) group by all), g as (select term, count(*) as df from f group by 1), q as (select id as query, unnest(list_distinct(w)) as term from d where id % 50 = 0),
+x as (select query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 4) as s from q join f using (term) join g using (term), s group by all),
+c as (select query, id from (select * from x qualify row_number() over (partition by query order by s desc, id) <= 12) union select query, id from (select a.id as query, b.id, round(list_dot_product(a.v, b.v), 6) as s from i a join i b on a.id <> b.id and a.id % 50 = 0 qualify row_number() over (partition by query order by s desc, b.id) <= 8)),
+p as (select distinct least(query, id) as id_a, greatest(query, id) as id_b from c where query <> id),
+m as (select id_a, id_b, regexp_extract_all(a.name, '[0-9]+') as na, regexp_extract_all(b.name, '[0-9]+') as nb, round(list_dot_product(a.v, b.v), 6)::double as cosine,
+  exists (select 1 from (select unnest({WORDS.format('a.name')}) as x), (select unnest({WORDS.format('b.name')}) as y) where length(x) >= 4 and length(y) >= 4 and (left(x, 5) = left(y, 5) or ends_with(x, y) or ends_with(y, x))) as stem
+  from p join i a on a.id = id_a join i b on b.id = id_b where a.family <> b.family)
+select id_a, id_b, stem, cosine from m where (len(list_filter(na, lambda z: not list_contains(nb, z))) = 0 or len(list_filter(nb, lambda z: not list_contains(na, z))) = 0) and (stem or cosine >= 0.6)""")
 def duplicate_pairs(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
-    return retrieval.duplicate_pairs(p, "brand")
+    """Candidates: for each item with an id divisible by 50 the names nearest by BM25 and the nearest vectors."""
+    v = vectors(spark, d).drop("label")
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("family")).join(v, "id")
+    asked = items.where("id % 50 = 0")
+    lexical = retrieval.bm25(items.select("id", F.col("name").alias("text")), asked.select(F.col("id").alias("query"), F.col("name").alias("text")), 12)
+    dense = retrieval.nearest(items, asked, 8)
+    return retrieval.duplicate_pairs(lexical.select("query", "id").unionByName(dense.select("query", "id")), items, 0.6)
 
 
 @query("amount_exclusion", """with s as (select l_orderkey as g, max(l_extendedprice) as full_ from lineitem group by 1), c as (select l_orderkey as g, l_linenumber as id, abs(l_extendedprice - full_) > 5000 as ex from lineitem join s on g = l_orderkey)

@@ -159,9 +159,11 @@ def degenerate_loops(spark, d):
     return texts.loops(docs(spark, d), "doc_id")
 
 
-@query("memorisation", f"""with o as (select doc_id, unnest(range(0, len(w) - 7)) as pos, unnest([array_to_string(w[i:i + 7], ' ') for i in range(1, len(w) - 6)]) as gram from (select doc_id, {TOK} as w from documents) where len(w) >= 8),
-s as (select distinct unnest([array_to_string(w[i:i + 7], ' ') for i in range(1, len(w) - 6)]) as gram from (select {TOK} as w from benchmark) where len(w) >= 8), h as (select doc_id, pos - row_number() over (partition by doc_id order by pos) as island from o where gram in (select gram from s)),
-r as (select doc_id, island, count(*) + 7 as words from h group by all) select doc_id, max(words)::bigint as longest from r group by 1""")
+@query("memorisation", f"""with d as (select doc_id, {TOK} as w from documents), r as (select item_id, {TOK} as w from benchmark),
+o as (select doc_id, unnest(range(1, len(w) - 6)) as i, unnest([array_to_string(w[i:i + 7], ' ') for i in range(1, len(w) - 6)]) as gram from d where len(w) >= 8),
+s as (select item_id, unnest(range(1, len(w) - 6)) as j, unnest([array_to_string(w[j:j + 7], ' ') for j in range(1, len(w) - 6)]) as gram from r where len(w) >= 8),
+m as (select doc_id, item_id, j - i as diagonal, i - row_number() over (partition by doc_id, item_id, j - i order by i) as island from o join s using (gram)),
+c as (select doc_id, count(*) + 7 as words from m group by doc_id, item_id, diagonal, island) select doc_id, max(words)::bigint as longest from c group by 1""")
 def memorisation(spark, d):
     return texts.memorised(docs(spark, d), bench(spark, d), "doc_id")
 
