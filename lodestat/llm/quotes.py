@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.llm.common import decoded, key_col, written
@@ -129,3 +129,32 @@ def conversations(messages: DataFrame) -> DataFrame:
         "conv_id", F.col("own_turn").alias("turn"), "role", "text", turn_of("parent").alias("reply_to"),
         turn_of("root").alias("root_linked"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "n_quoted_lines",
     ).withColumn("root", F.coalesce("root_linked", "turn")).drop("root_linked")
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """Messages as mail programs send them: two of three replies quote the first line of the message before, every third one also that of the one before that, a level deeper.
+
+    conv_id, turn, role, text. A conversation is sorted by turn; only first lines of its messages go with that.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    each = messages.select("conv_id", "turn", "role", "text", F.lag(line, 1).over(w).alias("_one"), F.lag(line, 2).over(w).alias("_two"))
+    deep = F.when((F.col("turn") % 3 == 2) & F.col("_two").isNotNull(), F.concat(F.lit("> > "), "_two", F.lit("\n"))).otherwise("")
+    quote = F.when((F.col("turn") % 3 > 0) & F.col("_one").isNotNull(), F.concat(deep, F.lit("> "), "_one", F.lit("\n\n"))).otherwise("")
+    return each.select("conv_id", "turn", "role", F.concat(quote, "text").alias("text"))
+
+
+#: Of quoting() the quoted lines are known, so only their origins are looked for: the first message with such a line.
+SQL = """
+with m as (select conv_id, turn, role, text, lag(split_part(text, chr(10), 1)) over w as one, lag(split_part(text, chr(10), 1), 2) over w as two from conversations window w as (partition by conv_id order by turn)),
+q as (select *, turn % 3 > 0 and one is not null as quotes, turn % 3 = 2 and two is not null as deep from m),
+own as (select conv_id, turn, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '\\s+', ' ', 'g')) as unit from m),
+first_ as (select conv_id, unit, min(turn) as origin from own where unit <> '' group by all),
+asked as (select conv_id, turn, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) as unit, min(level) as level from (select conv_id, turn, 1 as level, one as line from q where quotes union all select conv_id, turn, 2, two from q where deep) group by all),
+links as (select a.conv_id, a.turn, level, origin, length(unit) as chars from asked a join first_ f using (conv_id, unit) where origin < a.turn),
+votes as (select conv_id, turn, level, origin, sum(chars) as chars, count(*) as n from links group by all),
+replies as (select conv_id, turn, first(origin order by level, chars desc, origin desc) as parent, sum(n) as n from votes group by all),
+up as (with recursive t(conv_id, turn, root, depth) as (select conv_id, turn, parent, 1 from replies union all select t.conv_id, t.turn, r.parent, depth + 1 from t join replies r on r.conv_id = t.conv_id and r.turn = t.root) select conv_id, turn, first(root order by depth desc) as root, max(depth) as depth from t group by all)
+select q.conv_id, q.turn, q.role, trim(q.text, chr(10)) as text, r.parent::bigint as reply_to, coalesce(u.root, q.turn)::bigint as root, coalesce(u.depth, 0)::int as depth, coalesce(r.n, 0)::bigint as n_linked, (quotes::int + deep::int)::int as n_quoted_lines
+from q left join replies r on r.conv_id = q.conv_id and r.turn = q.turn left join up u on u.conv_id = q.conv_id and u.turn = q.turn
+"""

@@ -147,8 +147,8 @@ def test_op12_long_and_empty(spark):
     assert max(r["depth"] for r in got) == 3000 and all(r["n_leaves"] <= 2 for r in got)
 
 
-@pytest.mark.parametrize("name", ["op11_periodic_runs", "op12_prefix_trie"])
-def test_op11_op12_sql(spark, name):
+@pytest.mark.parametrize("name", ["op3_quotation_links", "op11_periodic_runs", "op12_prefix_trie"])
+def test_op3_op11_op12_sql(spark, name):
     d, duck = "/root/testdata/sf0.001", duckdb.connect()
     for t in ("documents", "conversations"):
         duck.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
