@@ -276,20 +276,24 @@ def best_configuration(spark, d):
     return best_of_baseline(v)
 
 
-def _streamed(spark, d, make, complete=False):
-    """Runs a stream over the events table to its end and gives what it wrote, as a table in the shared folder.
+#: Event time after which a silent key is forgotten.
+IDLE_MS = 40 * 86_400_000
 
-    complete: for grouped windows. The result is written whole at the end of each batch, so the windows that are still
-    open at the end of the input are in it as well.
+
+def _streamed(spark, d, make):
+    """Runs a stream over the events table to its end in append mode and gives what it wrote, as a table in the shared folder.
+
+    A second source has one row long after the last event. It moves the watermark past every window and session of
+    the table, so these close and are written; its own stays open.
     """
     path = removed_at_exit(spark, scratch_path(spark, "stream"))
     e = table(spark, d, "events")
-    source = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = make(source).writeStream.option("checkpointLocation", path + "/state").trigger(availableNow=True)
-    if complete:
-        out = out.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path + "/out"))
-    else:
-        out = out.format("parquet").option("path", path + "/out")
+    after = F.max("ts") + F.expr("interval 30 days")
+    closing = e.agg(after.alias("ts")).where("ts is not null")
+    closing.select(*(F.col("ts").cast(t).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in e.dtypes)).write.parquet(path + "/closing")
+    source = spark.readStream.schema(e.schema)
+    rows = source.parquet(f"{d}/events.parquet*").unionByName(source.parquet(path + "/closing")).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = make(rows).writeStream.option("checkpointLocation", path + "/state").trigger(availableNow=True).format("parquet").option("path", path + "/out")
     out.start().awaitTermination()
     return spark.read.parquet(path + "/out")
 
@@ -300,33 +304,33 @@ def _local_start(rows):
 
 @query("stream_gate_monitor", GATE_SQL)
 def stream_gate_monitor(spark, d):
-    return _local_start(_streamed(spark, d, lambda s: jobs.gate_monitor(s, "ts", "1 hour", "1 day", F.col("event_type") == "error", 0.15), complete=True))
+    return _local_start(_streamed(spark, d, lambda s: jobs.gate_monitor(s, "ts", "1 hour", "1 day", F.col("event_type") == "error", 0.15)))
 
 
 @query("stream_load_profile", "select time_bucket(interval 6 hours, ts) as start, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events group by 1")
 def stream_load_profile(spark, d):
-    return _local_start(_streamed(spark, d, lambda s: jobs.load_profile(s, "ts", "1 hour", "6 hours", "value"), complete=True))
+    return _local_start(_streamed(spark, d, lambda s: jobs.load_profile(s, "ts", "1 hour", "6 hours", "value")))
 
 
 @query("stream_sessions", SESSION_SQL)
 def stream_sessions(spark, d):
-    return _local_start(_streamed(spark, d, lambda s: jobs.session_counts(s, "ts", "1 hour", "user_id", "12 hours", 5), complete=True))
+    return _local_start(_streamed(spark, d, lambda s: jobs.session_counts(s, "ts", "1 hour", "user_id", "12 hours", 5)))
 
 
 @query("stream_counter_growth", """with s as (select user_id, value, lag(value) over (partition by user_id order by ts, value) as p from events)
 select user_id::varchar as key, count(*)::bigint as n, round(sum(case when p is null then 0 when value >= p then value - p else value end), 4)::double as growth from s group by 1""")
 def stream_counter_growth(spark, d):
-    each = _streamed(spark, d, lambda s: jobs.counter_growth(s.withColumn("at", F.col("ts")), "user_id", "value"))
+    each = _streamed(spark, d, lambda s: jobs.counter_growth(s.where("event_id is not null").withColumn("at", F.col("ts")), "user_id", "value", "1 hour", IDLE_MS))
     return each.groupBy("key").agg(F.sum("n").alias("n"), F.round(F.sum("growth"), 4).alias("growth"))
 
 
 @query("stream_hash_watch", """with f as (select user_id, event_type, first_value(event_type) over (partition by user_id order by ts, sha256(event_type)) as first from events)
 select user_id::varchar as key, (count(*) filter (event_type <> first))::bigint as changed from f group by 1 having count(*) filter (event_type <> first) > 0""")
 def stream_hash_watch(spark, d):
-    each = _streamed(spark, d, lambda s: jobs.first_hash_watch(s.withColumn("at", F.col("ts")).withColumn("sha", F.sha2("event_type", 256)), "user_id", "sha"))
+    each = _streamed(spark, d, lambda s: jobs.first_hash_watch(s.where("event_id is not null").withColumn("at", F.col("ts")).withColumn("sha", F.sha2("event_type", 256)), "user_id", "sha", "1 hour", IDLE_MS))
     return each.groupBy("key").agg(F.sum("changed").alias("changed"))
 
 
 @query("stream_once_each", "select event_id from events")
 def stream_once_each(spark, d):
-    return _streamed(spark, d, lambda s: jobs.once_each(s, "ts", "40 days", "event_id").select("event_id"))
+    return _streamed(spark, d, lambda s: jobs.once_each(s.where("event_id is not null"), "ts", "40 days", "event_id").select("event_id"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,23 +100,51 @@ def still_to_do(items: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return items.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def append_missing(items: DataFrame, path: str, *keys: str) -> int:
-    """Appends what is not at path yet; returns how many rows that were."""
-    spark = items.sparkSession
+def ledger_of(spark: SparkSession, path: str) -> DataFrame | None:
+    """A row for each append at path: its name, rows, and the range of its keys; None before the first."""
     try:
-        done = spark.read.parquet(path)
-    except Exception as e:
+        return spark.read.parquet(f"{path}/_ledger")
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        items.write.parquet(path)
-        return items.count()
-    todo = still_to_do(items, done, *keys).persist()
+        return None
+
+
+def appended(spark: SparkSession, path: str, among: DataFrame | None = None) -> DataFrame | None:
+    """The rows of all appends (or of those `among` them) that the ledger has; None where there is none."""
+    ledger = among if among is not None else ledger_of(spark, path)
+    names = [r["append"] for r in ledger.select("append").collect()] if ledger is not None else []  # a row an append
+    return spark.read.option("basePath", path).parquet(*(f"{path}/append={x}" for x in names)).drop("append") if names else None
+
+
+def append_missing(items: DataFrame, path: str, *keys: str) -> int:
+    """Appends what is not at path yet; returns how many rows that were.
+
+    A ledger beside the rows has the range of the keys of each append, so only the keys of appends that new rows may
+    collide with are read: for keys that grow with time, the last ones. An append counts from when its ledger row is
+    written; what a lost run left without one is not read by appended(). One writer at a time. Rows that are alike
+    within items are all appended.
+    """
+    spark, key = items.sparkSession, F.struct(*keys)
+    items = items.persist()
     try:
-        n = todo.count()
-        todo.write.mode("append").parquet(path)
+        low, high = items.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+        if low is None:
+            return 0
+        ledger = ledger_of(spark, path)
+        if ledger is not None:
+            new = items.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+            ledger = ledger.join(F.broadcast(new), (F.col("low") <= F.col("_high")) & (F.col("high") >= F.col("_low")))
+        done = appended(spark, path, ledger) if ledger is not None else None
+        name = uuid.uuid4().hex
+        (items if done is None else still_to_do(items, done, *keys)).write.parquet(f"{path}/append={name}")
+        put = spark.read.schema(items.schema).parquet(f"{path}/append={name}").agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+        n = put.first()["n"]
+        if n:
+            put.select(F.lit(name).alias("append"), "n", "low", "high").write.mode("append").parquet(f"{path}/_ledger")
         return n
     finally:
-        todo.unpersist()
+        items.unpersist()
 
 
 def exportable(grouped: DataFrame, count: str, least: int) -> DataFrame:

@@ -43,32 +43,50 @@ def session_counts(rows: DataFrame, ts: str, late: str, key: str, gap: str, most
     return out.select(key, F.col("w.start").alias("start"), "n", (F.col("n") > most).alias("over"))
 
 
-def counter_growth(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Growth of a counter by key and batch against the last value kept in state; a reset counts from zero."""
+def until(state: GroupState, last: pd.Timestamp, idle_ms: int) -> None:
+    """The state goes when the watermark has passed its last row by so much."""
+    state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+
+
+def counter_growth(rows: DataFrame, key: str, value: str, late: str, idle_ms: int) -> DataFrame:
+    """Growth of a counter by key and batch against the last value kept in state; a reset counts from zero.
+
+    rows have an event time `at`. A key that has been silent for idle_ms of event time is forgotten and begins anew.
+    """
 
     def step(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        each = pd.concat(parts).sort_values(["at", "value"])
         last = state.get[0] if state.exists else None
         total, n = 0.0, 0
-        for v in pd.concat(parts).sort_values(["at", "value"])["value"]:
+        for v in each["value"]:
             total += 0.0 if last is None else (v - last if v >= last else v)
             last, n = float(v), n + 1
         state.update((last,))
+        until(state, each["at"].iloc[-1], idle_ms)
         yield pd.DataFrame({"key": [own[0]], "n": [n], "growth": [total]})
 
-    each = rows.select(F.col(key).cast("string").alias("key"), F.col("at"), F.col(value).cast("double").alias("value"))
-    return each.groupBy("key").applyInPandasWithState(step, "key string, n long, growth double", "last double", "append", GroupStateTimeout.NoTimeout)
+    each = rows.withWatermark("at", late).select(F.col(key).cast("string").alias("key"), F.col("at"), F.col(value).cast("double").alias("value"))
+    return each.groupBy("key").applyInPandasWithState(step, "key string, n long, growth double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_hash_watch(rows: DataFrame, key: str, sha: str) -> DataFrame:
-    """Keys whose hash is not the one first seen."""
+def first_hash_watch(rows: DataFrame, key: str, sha: str, late: str, idle_ms: int) -> DataFrame:
+    """Keys whose hash is not the one first seen; rows have an event time `at`, and a key is forgotten as in counter_growth."""
 
     def step(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(parts).sort_values(["at", "sha"])["sha"].tolist()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        each = pd.concat(parts).sort_values(["at", "sha"])
+        seen = each["sha"].tolist()
         first = state.get[0] if state.exists else seen[0]
         state.update((first,))
+        until(state, each["at"].iloc[-1], idle_ms)
         changed = [s for s in seen if s != first]
         if changed:
             yield pd.DataFrame({"key": [own[0]], "changed": [len(changed)]})
 
-    each = rows.select(F.col(key).cast("string").alias("key"), F.col("at"), F.col(sha).alias("sha"))
-    return each.groupBy("key").applyInPandasWithState(step, "key string, changed long", "first string", "append", GroupStateTimeout.NoTimeout)
+    each = rows.withWatermark("at", late).select(F.col(key).cast("string").alias("key"), F.col("at"), F.col(sha).alias("sha"))
+    return each.groupBy("key").applyInPandasWithState(step, "key string, changed long", "first string", "append", GroupStateTimeout.EventTimeTimeout)
