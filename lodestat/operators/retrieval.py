@@ -16,6 +16,8 @@ from lodestat.operators.ordered import kept
 BROADCAST_ROWS = 1_000_000
 #: Words that are written into the plan at most.
 LITERAL_TERMS = 5_000
+#: Cells of vectors at most, and vectors that their centres are fitted to.
+CENTRES, FITTED = 256, 8192
 #: Keys of a term where its weights are not sent to all tasks.
 BLOCKS = 64
 
@@ -70,28 +72,58 @@ def top_k(scores: DataFrame, query: str, item: str, k: int, score: str = "score"
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, exclude: str | None = None, block: int = 2048, slab: int = 4096) -> DataFrame:
-    """(id, v[, family]) the k items of greatest cosine (to six places) for each query, ties by id.
+def unit_rows(cells: pa.Array) -> np.ndarray:
+    """The vectors of a list column as rows of length one."""
+    m = cells.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(cells), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-    Queries are cut into blocks and vectors into slabs of bounded size. Every block meets every slab of vectors as one matrix product,
-    which keeps the k best of the slab; so what is shuffled is k rows a query and slab, never a pair each.
-    """
-    fam = [exclude] if exclude else []
-    packed = queries.select("id", "v", *fam).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block)))))
-    blocks = packed.groupBy("part").agg(F.collect_list(F.struct("id", "v", *fam)).alias("q"))
-    rows = vectors.select("id", "v", *fam).withColumn("slab", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(64, -(-vectors.count() // slab)))))
-    slabs = rows.groupBy("slab").agg(F.collect_list(F.struct("id", "v", *fam)).alias("x"))
 
-    def unit(cells: pa.StructArray) -> np.ndarray:
-        m = cells.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(cells), -1)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+def centres(vectors: DataFrame, most: int = CENTRES, sample: int = FITTED, rounds: int = 8) -> np.ndarray:
+    """Means of k-means by cosine over a bounded sample: the vectors with the least hashes of their ids."""
+    got = vectors.select("id", "v").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).toArrow()  # at most `sample` rows
+    if not got.num_rows:
+        return np.zeros((0, 0))
+    x = unit_rows(got["v"].combine_chunks())
+    c = x[: max(1, min(most, int(len(x) ** 0.5)))]
+    for _ in range(rounds):
+        own = np.argmax(x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-300), c)
+    return c
+
+
+def celled(rows: DataFrame, means: np.ndarray, *more: str) -> DataFrame:
+    """id, v, cell (the centre nearest to v), angle to it."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cos = unit_rows(b.column(1)) @ means.T if b.num_rows else np.zeros((0, len(means)))
+            cell = np.argmax(cos, axis=1) if b.num_rows else np.zeros(0, np.int64)
+            angle = np.arccos(np.clip(cos[np.arange(len(cell)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(angle)], names=[*b.schema.names, "cell", "angle"])
+
+    return rows.select("id", "v", *more).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ("id", "v", *more)) + ", cell int, angle double")
+
+
+def pairs_of(slabs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """x, q: every slab of a cell beside every block of queries of that cell. Slabs stay apart, so a cell that a third of all vectors are in is many keys."""
+    parts = slabs.groupBy("cell").agg(F.max("part").alias("most"))  # a row a cell
+    asked = blocks.drop("part").join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), "most")))
+    return slabs.join(asked, ["cell", "part"]).select("x", "q")
+
+
+def products(slabs: DataFrame, blocks: DataFrame, k: int, exclude: str | None) -> DataFrame:
+    """query, id, cosine of the k best of each slab (cell, x) for each query of the blocks (cell, q) of its cell."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 x, q = b.column(0)[i].values, b.column(1)[i].values
                 x = x.take(pa.array(np.argsort(x.field("id").to_numpy(), kind="stable")))  # the stable cut below then leaves the least ids of a tie
-                sim = np.round(unit(q) @ unit(x).T, 6)
+                sim = np.round(unit_rows(q.field("v")) @ unit_rows(x.field("v")).T, 6)
                 ids, own = x.field("id").to_numpy(), q.field("id").to_numpy()
                 sim[own[:, None] == ids[None, :]] = -2
                 if exclude:
@@ -99,10 +131,52 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, exclude: str | None
                 n = min(k, len(ids))
                 at = np.argsort(-sim, axis=1, kind="stable")[:, :n]
                 keep = np.take_along_axis(sim, at, 1)
-                real = keep > -2
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)[real.ravel()]), pa.array(ids[at].ravel()[real.ravel()]), pa.array(keep.ravel()[real.ravel()])], names=["query", "id", "cosine"])
+                real = (keep > -2).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)[real]), pa.array(ids[at].ravel()[real]), pa.array(keep.ravel()[real])], names=["query", "id", "cosine"])
+
+    return pairs_of(slabs, blocks).mapInArrow(best, "query long, id long, cosine double")
+
+
+def packed(rows: DataFrame, name: str, size: int, *more: str) -> DataFrame:
+    """cell, part and an array of at most some `size` rows of it; a cell that many rows are in is many parts."""
+    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("_parts"))  # a row a cell
+    dealt = rows.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("_parts")).cast("int"))
+    return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v", *more)).alias(name))
+
 
-    met = slabs.crossJoin(blocks).select("x", "q").mapInArrow(best, "query long, id long, cosine double")
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, exclude: str | None = None, block: int = 2048, slab: int = 4096) -> DataFrame:
+    """(id, v[, family]) the k items of greatest cosine (to six places) for each query, ties by id; exact.
+
+    Vectors are dealt to cells by the nearest of a few centres. A query meets its own cell first; the k-th best there
+    is a bound, and of the other cells it meets those only that may hold better: no vector of a cell is nearer to the query
+    than its centre is, less the cell's widest angle. Queries of a cell and its vectors meet in blocks and slabs of
+    bounded size, each pair one matrix product that keeps the k best; so k rows a query and slab are shuffled.
+    """
+    fam = [exclude] if exclude else []
+    means = centres(vectors)
+    if not len(means):
+        return vectors.limit(0).select(F.col("id").alias("query"), "id", F.lit(0.0).alias("cosine"), F.lit(0).alias("rank"))
+    cells = kept(celled(vectors, means, *fam), "cells")
+    widest = np.full(len(means), -1.0)
+    for r in cells.groupBy("cell").agg(F.max("angle").alias("a")).collect():  # a row a cell
+        widest[r["cell"]] = r["a"]
+    asked = kept(celled(queries, means, *fam), "asked")
+    slabs = kept(packed(cells, "x", slab, *fam), "slabs")
+    first = kept(products(slabs, packed(asked, "q", block, *fam), k, exclude), "near")
+    bound = top_k(first, "query", "id", k, "cosine").where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("cosine").alias("least"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            away = np.arccos(np.clip(unit_rows(b.column(1)) @ means.T, -1, 1)) if b.num_rows else np.zeros((0, len(means)))
+            top = np.cos(np.maximum(0.0, away - widest)) + 1e-6  # six places are compared
+            least = np.array([-2.0 if x is None else x for x in b.column("least").to_pylist()])
+            meets = (widest >= 0) & (top >= least[:, None]) & (np.arange(len(means)) != b.column("cell").to_numpy()[:, None])
+            row, cell = np.nonzero(meets)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in ("id", "v", *fam)), pa.array(cell, pa.int32())], names=["id", "v", *fam, "cell"])
+
+    kinds = dict(asked.dtypes)
+    more = asked.join(bound, "id", "left").select("id", "v", *fam, "cell", "least").mapInArrow(others, ", ".join(f"{c} {kinds[c]}" for c in ("id", "v", *fam)) + ", cell int")
+    met = first.unionByName(products(slabs, packed(kept(more, "others"), "q", block, *fam), k, exclude))
     return top_k(met.withColumn("cosine", F.round("cosine", 6)), "query", "id", k, "cosine")
 
 
