@@ -28,7 +28,7 @@ def fielded_bm25(docs: DataFrame, queries: DataFrame, weights: dict[str, float],
     A field is an index of its own: its score is Okapi BM25 over the lengths of that field, times its weight. Where
     active is given, only such documents are in the index. A null field is empty.
 
-    Texts are split into words once; what is written of a document is the words that queries ask for. The weights of
+    Texts are split into words once; what is written of a document is the counts of the words that queries ask for. The weights of
     asked terms go to the tasks that hold the counts, where they are at most BROADCAST_ROWS; beyond that a term is met
     in BLOCKS keys by document, so that a frequent term is no single key. Sums are made by query and document before they are ranked.
     """
@@ -41,11 +41,16 @@ def fielded_bm25(docs: DataFrame, queries: DataFrame, weights: dict[str, float],
     if n_terms <= LITERAL_TERMS:
         terms = [r["term"] for r in few.collect()]
         words = words.withColumn("w", F.filter("w", lambda t: t.isin(terms)))
-    words = kept(words, "bm25-words")
-    size = F.broadcast(words.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg")))  # a row a field
-    each = words.select("id", "field", "len", F.explode("w").alias("term"))
-    each = each if n_terms <= LITERAL_TERMS else each.join(F.broadcast(few) if n_terms <= BROADCAST_ROWS else few, "term", "left_semi")
-    tf = each.groupBy("id", "field", "len", "term").agg(F.count("*").alias("tf"))
+    elif n_terms <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    words = words.repartition("id")  # what is left of a document stays together up to its scores
+    # a row without a term stands for the document itself, so that lengths and counts come from one pass
+    each = words.select("id", "field", "len", F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("term"))
+    if n_terms > LITERAL_TERMS:
+        each = each.where("term is null").unionByName(each.join(few, "term", "left_semi").select(each.columns))
+    counts = kept(each.groupBy("id", "field", "len", "term").agg(F.count("*").alias("tf")), "bm25-counts")
+    size = F.broadcast(counts.where("term is null").groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg")))  # a row a field
+    tf = counts.where("term is not null")
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     own = F.element_at(F.create_map(*(F.lit(x) for f in weights.items() for x in f)), F.col("field"))
     idf = own * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
