@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestat.llm import jaccard
 from lodestat.llm.common import discard, key_col, numbered, raw_texts, renamed, text_key, word_runs, written
+from lodestat.llm.common import mixed as scrambled
 
 SEED = 42
 RADIUS = 4
@@ -67,15 +68,23 @@ def simhash(raw: bytes, k: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def word_set_simhash(raw: bytes) -> int:
-    """Of the distinct words of a whole text, A-Z lowered: changes of a few words move few bits. Without words 0."""
+def word_set_simhashes(raw: bytes) -> tuple[int, int]:
+    """Two of the distinct words of a whole text, A-Z lowered: changes of a few words move few bits. Without words 0.
+
+    The second takes a scramble of the hashes of the first, so that its bits err independently of those.
+    """
     digest = xxhash.xxh64_intdigest
     found: set[bytes] = set()
     for words in word_runs(raw.lower()):
         found.update(words)
     if not found:
-        return 0
+        return 0, 0
     each = np.fromiter((digest(w, SEED) for w in found), "<u8", len(found))
+    return majority(each), majority(scrambled(each))
+
+
+def majority(each: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(each), 1 << 16):
         ones += np.unpackbits(each[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -162,11 +171,13 @@ def near(pairs: DataFrame, table: DataFrame, radius: int, may: Callable[[str, st
 def linked(
     nodes: DataFrame, radius: int = RADIUS, groups: int = GROUPS, alike: int | None = None,
     may: Callable[[str, str], Column] = lambda a, b: F.lit(True), same: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """node, root for every node of nodes(node, fp, ...) that is not alone and not the root (least node) of its component.
 
     alike: groups in which a pair agrees to become a candidate; by default as many as lose none. may: what two rows of
     nodes must fulfil besides; same: keeps of pairs(a, b) those that are links. By default all within the radius are.
+    known: links(a, b) found before; the components are those of old and new ones.
     """
     table = written(distance_table(nodes, groups), "simhash-table")
     each = buckets(table, groups, alike or groups - radius)
@@ -176,6 +187,8 @@ def linked(
     pair = lambda u, v: F.struct(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
     stars = shared.select(F.explode(F.array(pair("least", "node"), pair("node", "most"))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
     stars = written(same(written(near(stars, table, radius, may), "simhash-stars")), "simhash-links")
+    if known is not None:
+        stars = stars.unionByName(known)
     root = components(stars).withColumnRenamed("root", "own")
     at = shared.join(root, "node", "left").select("b", "node", F.coalesce("own", "node").alias("root"))
     at = written(at, "simhash-rooted")
@@ -256,10 +269,10 @@ def one_of_each(docs: DataFrame, radius: int = 10, groups: int = 8, alike: int =
     """One row of every group of texts that are linked, all columns as they were; see least_rows.
 
     Texts are linked whose sets of k-word shingles have a Jaccard similarity of at least jaccard.LEAST, verified on
-    the whole sets, among those whose word_set_simhash lies within the radius and agrees in so many groups. Within
-    groups - alike bits no pair is missed; beyond, a pair agrees in that many groups with a probability that falls with
-    its distance. Texts that are equal up to the case of A-Z and white space are candidates always. A null text counts
-    as empty; empty texts are alike. An empty table gives an empty result.
+    the whole sets, among those of which one of the two word_set_simhashes lies within the radius and agrees in so many
+    groups. Within groups - alike bits no pair is missed; beyond, a pair agrees in that many groups with a probability
+    that falls with its distance, for each of the two anew. Texts that are equal up to the case of A-Z and white space
+    are candidates always. A null text counts as empty; empty texts are alike. An empty table gives an empty result.
     """
     texts = docs.select(text_key("text").alias("name"), "text")
 
@@ -267,12 +280,18 @@ def one_of_each(docs: DataFrame, radius: int = 10, groups: int = 8, alike: int =
         for b in batches:
             raw = raw_texts(b.column(1))
             sets = [jaccard.shingles(t, k) for t in raw]
-            prints = np.array([word_set_simhash(t) for t in raw], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints), pa.array(map(len, sets), pa.int32()), jaccard.bitmaps(sets)], names=["name", "fp", "n", "bits"])
+            prints = np.array([word_set_simhashes(t) for t in raw], np.uint64).reshape(-1, 2).view(np.int64)
+            both = [pa.array(np.ascontiguousarray(c)) for c in prints.T]
+            yield pa.RecordBatch.from_arrays([b.column(0), *both, pa.array(map(len, sets), pa.int32()), jaccard.bitmaps(sets)], names=["name", "fp", "other", "n", "bits"])
 
-    prints = texts.mapInArrow(facts, f"name string, fp long, {jaccard.FACTS}").dropDuplicates(["name"])
+    prints = texts.mapInArrow(facts, f"name string, fp long, other long, {jaccard.FACTS}").dropDuplicates(["name"])
     prints = written(prints.withColumn("node", F.monotonically_increasing_id()), "simhash")
     names = prints.select("node", "name")
-    root = linked(prints.drop("name"), radius, groups, alike, jaccard.may_be_similar, lambda pairs: jaccard.similar_pairs(pairs, texts, names, k))
+    same = lambda pairs: jaccard.similar_pairs(pairs, texts, names, k)
+    first = written(linked(prints.drop("name", "other"), radius, groups, alike, jaccard.may_be_similar, same), "simhash-roots")
+    # by the other fingerprint only what the first left apart is compared
+    own = prints.join(first, "node", "left").select("node", F.col("other").alias("fp"), "n", "bits", F.coalesce("root", "node").alias("own"))
+    may = lambda a, b: (F.col(f"{a}.own") != F.col(f"{b}.own")) & jaccard.may_be_similar(a, b)
+    root = linked(own, radius, groups, alike, may, same, first.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of = names.select(F.col("node").alias("root"), F.col("name").alias("root_name"))
     return least_rows(docs, root.join(names, "node").join(of, "root").select(F.col("name").alias("node"), F.col("root_name").alias("root")))

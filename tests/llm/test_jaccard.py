@@ -35,17 +35,16 @@ def plain_least(texts):
 
 
 def test_stage_against_brute_force(spark):
-    """No document goes that has no link; of those that have one at least nine in ten go."""
+    """On these texts exactly the documents stay that brute force keeps, though the method may lose links beyond five bits."""
     docs = spark.read.parquet(f"{D}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     want = plain_least(texts)
     got = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, D).collect()]
-    assert len(got) == len(set(got)) and want <= set(got)
-    assert len(texts) - len(got) >= 0.9 * (len(texts) - len(want))
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_near_copies_are_found(spark):
-    """Texts of which a few words are changed, at a similarity just above the limit."""
+    """Texts of which a few words are changed, at a similarity just above the limit: 98 in 100 at least."""
     rng = np.random.default_rng(2)
     texts = {}
     for i in range(150):
@@ -57,7 +56,22 @@ def test_near_copies_are_found(spark):
     want = plain_least(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
-    assert want <= got and len(texts) - len(got) >= 0.9 * (len(texts) - len(want))
+    assert want <= got and len(texts) - len(got) >= 0.98 * (len(texts) - len(want))
+
+
+def test_two_fingerprints_err_apart():
+    """Of edited texts, hardly any is beyond reach of both: the distances by the two are not the same."""
+    rng = np.random.default_rng(5)
+    far = []
+    for i in range(300):
+        w = [f"w{x}" for x in rng.integers(0, 3000, 150)]
+        v = list(w)
+        for at in rng.choice(150, 4, replace=False):
+            v[at] = "new"
+        a, b = (simhash.word_set_simhashes(" ".join(t).encode()) for t in (w, v))
+        far.append([(x ^ y).bit_count() for x, y in zip(a, b, strict=True)])
+    far = np.array(far)
+    assert abs(np.corrcoef(far.T)[0, 1]) < 0.3 and (far.min(axis=1) <= 10).all()
 
 
 def test_boundary_and_common_passage(spark):
