@@ -12,6 +12,7 @@ MOST_DOCS, ATTENTION = 6, 0.9 * 1024**2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base filter or the fitted votes reject go; null texts have no words and go with them."""
     return quality.quality_filter(docs)
 
 
@@ -21,10 +22,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of a 20-word window that starts earlier too go; a text of which all goes stays as an empty row."""
     return doubling.without_repeats(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by the weights of their sources, each once for every time that its blocks are taken, twice at most."""
     return mixing.mixed_texts(docs)
 
 
