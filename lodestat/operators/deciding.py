@@ -43,6 +43,19 @@ def aurc(rows: DataFrame, *by: str) -> DataFrame:
     return out.select(*by, "rows", "right", F.round("a", 6).alias("aurc"), F.round(best, 6).alias("best"), F.round(F.col("a") - best, 6).alias("excess"))
 
 
+def risk_by_kind(rows: DataFrame, kind: Column, *by: str, sure: float = 0.8, unsure: float = 0.4) -> DataFrame:
+    """For each kind of proposal: the risk's best possible part and its excess, the wrong decisions by type, AUROC of being right.
+
+    Wrong decisions are sure (from sure on), plain, or unsure (below unsure). AUROC is null where all are right or all wrong.
+    """
+    rows, keys = rows.withColumn("kind", kind), [*by, "kind"]
+    wrong = ~F.col("correct")
+    types = {"sure_wrong": F.col("conf") >= sure, "plain_wrong": (F.col("conf") >= unsure) & (F.col("conf") < sure), "unsure_wrong": F.col("conf") < unsure}
+    counts = rows.groupBy(*keys).agg(*(F.count_if(wrong & c).alias(t) for t, c in types.items()))
+    parts = aurc(rows, *keys).select(*keys, "rows", "best", "excess")
+    return parts.join(counts, keys).join(auroc(rows, "conf", F.col("correct"), *keys).select(*keys, "auroc"), keys)
+
+
 def least_cut(rows: DataFrame, ok: DataFrame, *by: str) -> DataFrame:
     """tau of every group of rows: its least confidence in ok, or null."""
     tau = ok.groupBy(*by).agg(F.min("conf").alias("tau"))

@@ -31,6 +31,32 @@ def claims_in_source(claims: DataFrame, texts: DataFrame) -> DataFrame:
     return each.join(used, ["id", "span"]).select("id", "field", reason.alias("reason"))
 
 
+def gap(text: Column, at: Column, size: Column, cue: str) -> Column:
+    """Characters between a stretch of a text (its first character counts as 1) and the nearest cue beside it; null without one."""
+    before, after = F.substr(text, F.lit(1), at - 1), F.substr(text, at + size)
+    left, right = F.instr(F.reverse(before), cue[::-1]), F.instr(after, cue)
+    return F.least(F.when(left > 0, left - 1), F.when(right > 0, right - 1))
+
+
+def claims_by_role(claims: DataFrame, texts: DataFrame, cues: dict[int, str]) -> DataFrame:
+    """claims(id, field, value, span) with the first reason that a claim is not borne out by its text, or null.
+
+    The first occurrence of the span holds. Of the cue words of all fields that of the claim's own must be the nearest to
+    the value (ties are let pass). A place is taken by the least field that bears out; later ones find it used. A null
+    text has no span. Cues are matched inside the row, so a text meets its own claims only.
+    """
+    each = claims.join(texts, "id").withColumns({"_s": F.instr("text", F.col("span")), "_v": F.instr("span", F.col("value"))})
+    each = each.withColumn("_at", F.col("_s") + F.col("_v") - 1)
+    gaps = {f: F.when((F.col("_s") > 0) & (F.col("_v") > 0), gap(F.col("text"), F.col("_at"), F.length("value"), cue)) for f, cue in cues.items()}
+    each = each.withColumns({f"_g{f}": g for f, g in gaps.items()})
+    own = F.coalesce(*(F.when(F.col("field") == f, F.col(f"_g{f}")) for f in cues))
+    nearest = F.least(*(F.col(f"_g{f}") for f in cues))
+    reason = F.when(F.coalesce("_s", F.lit(0)) == 0, "span not in text").when(F.coalesce("_v", F.lit(0)) == 0, "value not in span")
+    each = each.select("id", "field", "_at", reason.when(own.isNull(), "no role cue").when(own > nearest, "another role is nearer").alias("reason"))
+    order = F.row_number().over(Window.partitionBy("id", "_at", F.col("reason").isNull()).orderBy("field"))
+    return each.select("id", "field", F.when(F.col("reason").isNull() & (order > 1), "used before").otherwise(F.col("reason")).alias("reason"))
+
+
 def calendar(first: Column, last: Column, days: DataFrame, holidays: list[str], moved: list[str]) -> DataFrame:
     """day, working and the running number of the working day over the span of days(one row)."""
     each = days.select(F.explode(F.sequence(first, last)).alias("day"))

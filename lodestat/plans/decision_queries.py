@@ -28,6 +28,19 @@ def aurc(spark, d):
     return deciding.aurc(decisions(spark, d), *BY)
 
 
+KIND = "case when grp % 3 = 0 then 'none fits' when layer = 'purchase' then 'list' else 'option' end"
+
+
+@query("risk_by_kind", f"""with {DECISIONS}, r as (select *, {KIND} as kind from decisions), c as (select arm, kind, conf, count(*) as n, count(*) filter (correct) as k from r group by all),
+s as (select *, sum(n) over w as nn, sum(k) over w as kk from c window w as (partition by arm, kind order by conf desc)), a as (select arm, kind, sum(n) as rows, sum(k) as y, sum(n * (1 - kk / nn)) / sum(n) as area from s group by all),
+b as (select *, case when rows = y then 0 else (select sum(j / (y + j)) from range(1, (rows - y)::bigint + 1) t(j)) / rows end as best from a),
+e as (select arm, kind, count(*) filter (not correct and conf >= 0.8) as sure_wrong, count(*) filter (not correct and conf >= 0.4 and conf < 0.8) as plain_wrong, count(*) filter (not correct and conf < 0.4) as unsure_wrong from r group by all),
+u as (select arm, kind, avg(case when x.conf > z.conf then 1 when x.conf = z.conf then 0.5 else 0 end) as auroc from r x join r z using (arm, kind) where x.correct and not z.correct group by all)
+select arm, kind, rows::bigint as rows, round(best, 6)::double as best, round(area - best, 6)::double as excess, sure_wrong, plain_wrong, unsure_wrong, round(auroc, 6)::double as auroc from b join e using (arm, kind) left join u using (arm, kind)""")
+def risk_by_kind(spark, d):
+    return deciding.risk_by_kind(decisions(spark, d), F.expr(KIND), "arm")
+
+
 @query("aurc_over_all_rows", f"""{W}, u as (select arm, count(*) as undecided from decisions where conf < 0.2 group by 1),
 a as (select arm, count(*) as n from decisions group by 1), c2 as (select arm, conf, count(*) filter (correct) as k, count(*) as n from decisions where conf >= 0.2 group by all),
 s2 as (select *, sum(k) over w as kk, sum(n) over w as nn from c2 window w as (partition by arm order by conf desc rows unbounded preceding))

@@ -159,6 +159,25 @@ def claims_in_source(spark, d):
     return verifying.claims_in_source(claims, texts(spark, d))
 
 
+CUES = {1: " a", 2: " e", 3: " o"}
+_GAP = "least(case when instr(reverse(left(text, pos - 1)), reverse('{0}')) > 0 then instr(reverse(left(text, pos - 1)), reverse('{0}')) - 1 end, case when instr(substr(text, pos + length(value)), '{0}') > 0 then instr(substr(text, pos + length(value)), '{0}') - 1 end)"
+
+
+@query("claims_by_role", f"""with c as (select doc_id as id, f.f as field, case when doc_id % 11 = f.f then 'nowhere at all' else substr(text, 5 + 30 * (f.f // 2)::int, 40) end as span, case when doc_id % 13 = f.f then 'zzzz' else substr(text, 15 + 30 * (f.f // 2)::int, 6) end as value, text from documents, (select unnest([1, 2, 3])::int as f) f),
+v as (select *, instr(text, span) as s, instr(span, value) as v from c), p as (select *, s + v - 1 as pos from v),
+g as (select *, case when s > 0 and v > 0 then {_GAP.format(CUES[1])} end as g1, case when s > 0 and v > 0 then {_GAP.format(CUES[2])} end as g2, case when s > 0 and v > 0 then {_GAP.format(CUES[3])} end as g3 from p),
+o as (select *, case field when 1 then g1 when 2 then g2 else g3 end as own from g),
+r as (select id, field, pos, case when coalesce(s, 0) = 0 then 'span not in text' when coalesce(v, 0) = 0 then 'value not in span' when own is null then 'no role cue' when own > least(g1, g2, g3) then 'another role is nearer' end as reason from o)
+select id, field, case when reason is null and row_number() over (partition by id, pos, reason is null order by field) > 1 then 'used before' else reason end as reason from r""")
+def claims_by_role(spark, d):
+    """Three fields a text; the second and third claim the same place, so that the nearest cue decides between them."""
+    t = table(spark, d, "documents").withColumn("field", F.explode(F.array(*map(F.lit, CUES))))
+    place = (F.col("field") / 2).cast("int") * 30
+    span = F.when(F.col("doc_id") % 11 == F.col("field"), "nowhere at all").otherwise(F.substr("text", place + 5, F.lit(40)))
+    value = F.when(F.col("doc_id") % 13 == F.col("field"), "zzzz").otherwise(F.substr("text", place + 15, F.lit(6)))
+    return verifying.claims_by_role(t.select(F.col("doc_id").alias("id"), "field", span.alias("span"), value.alias("value")), texts(spark, d), CUES)
+
+
 HOLIDAYS, MOVED = ["1998-01-01", "1997-12-25"], ["1998-01-10"]
 
 
