@@ -223,11 +223,11 @@ def candidates(docs: DataFrame, units: Units, window: int, gram: int, step: int
     return out
 
 
-def chosen(units: np.ndarray, starts: list[int] | np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pieces of a text that are among starts."""
-    s, n, h, _, _ = pieces(units, window, gram)
+def chosen(units: np.ndarray, starts: list[int] | np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, counts, anchor hashes and anchor places of the pieces of a text that are among starts."""
+    s, n, h, p, _ = pieces(units, window, gram)
     own = np.isin(s, np.asarray(starts, np.int64))
-    return s[own], n[own], h[own]
+    return s[own], n[own], h[own], p[own]
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:

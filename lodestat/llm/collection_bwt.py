@@ -1,9 +1,11 @@
 """Burrows-Wheeler transform and common prefixes of a collection of strings, built column by column.
 
-Each round inserts one symbol of every string that is long enough, from the right: the suffix that is one longer
-finds its row by counting its symbol above the row of the suffix before (the last-to-first map), and its common
-prefixes with its neighbours follow from the least common prefix between two rows of the round before. No suffix
-is ever compared or sorted.
+A string is cut into a head and a tail. The tails stand for the empty suffixes: they are sorted as wholes, with their
+common prefixes, and each round inserts one symbol of every head that is long enough, from the right: the suffix that is
+one longer finds its row by counting its symbol above the row of the suffix before (the last-to-first map), and its
+common prefixes with its neighbours follow from the least common prefix between two rows of the round before. No
+suffix that reaches into a head is ever compared or sorted. Suffixes with heads of different lengths count as different at the end of the
+shorter head: this suits strings whose equal parts lie at the same distance from the cut.
 """
 
 from __future__ import annotations
@@ -13,16 +15,29 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def build(strings: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bwt, lcp) of all suffixes, the empty ones first in the order of the strings.
+def shared(tails: list[bytes]) -> np.ndarray:
+    """Length of the common prefix of each of the sorted tails with the one before, 0 for the first."""
+    m = len(tails)
+    size = np.fromiter(map(len, tails), np.int64, m)
+    width = int(size.max(initial=0))
+    out = np.zeros(m, np.int64)
+    if m > 1 and width:
+        cells = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in tails), np.uint8).reshape(m, width)
+        differ = cells[1:] != cells[:-1]
+        out[1:] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), width), np.minimum(size[1:], size[:-1]))
+    return out
+
+
+def build(heads: list[bytes], tails: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bwt, lcp) of all suffixes that begin in a head or with a tail, the tails first; these are sorted.
 
     A symbol is a byte plus one; 0 marks the start of a string. lcp is that of a row with the row above, counted up
     to most.
     """
-    m = len(strings)
-    size = np.fromiter(map(len, strings), np.int64, m)
+    m = len(heads)
+    size = np.fromiter(map(len, heads), np.int64, m)
     ends = np.cumsum(size)
-    text = np.frombuffer(b"".join(strings), np.uint8)
+    text = np.frombuffer(b"".join(heads), np.uint8)
     text = text.astype(np.uint16) + 1 if (text == 255).any() else text + np.uint8(1)
     kind = np.min_scalar_type(most + 1)
     padded = np.append(text, np.zeros(1, text.dtype))  # its last is the mark of a start
@@ -31,7 +46,7 @@ def build(strings: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
         return padded[np.where(size[i] > k, ends[i] - 1 - k, len(text))]
 
     active = row = np.arange(m)
-    bwt, lcp = before(active, 0), np.zeros(m, kind)
+    bwt, lcp = before(active, 0), np.minimum(shared(tails), most).astype(kind)
     for k in range(1, int(size.max(initial=0)) + 1):
         more = size[active] >= k
         active, row = active[more], row[more]
@@ -69,7 +84,7 @@ def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def rows_of(bwt: np.ndarray, m: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """String and suffix length of every row, by walking the last-to-first map from the empty suffixes."""
+    """String and length within the head of every row, by walking the last-to-first map from the tails."""
     order = np.argsort(bwt, kind="stable")
     step = np.empty(len(bwt), np.int64)
     step[order] = np.arange(len(bwt))
@@ -83,13 +98,17 @@ def rows_of(bwt: np.ndarray, m: int, rounds: int) -> tuple[np.ndarray, np.ndarra
     return string, length
 
 
-def repeats(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """group, string, offset of every window of a length that occurs twice or more in the collection."""
-    bwt, lcp = build(strings, window)
-    string, length = rows_of(bwt, len(strings), max(map(len, strings), default=0))
+def repeats(strings: list[bytes], cuts: list[int], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """group, string, offset of every window of a length that occurs twice or more in the collection.
+
+    A window begins at its string's cut or before, and windows count as equal only at the same distance from their cuts.
+    """
+    tails = [s[c : c + window] for s, c in zip(strings, cuts, strict=True)]
+    by_tail = sorted(range(len(strings)), key=tails.__getitem__)
+    bwt, lcp = build([strings[i][: cuts[i]] for i in by_tail], [tails[i] for i in by_tail], window)
+    string, length = rows_of(bwt, len(strings), max(cuts, default=0))
     joins = lcp >= window
     inside = joins | np.append(joins[1:], False) if len(joins) else joins
     group = np.cumsum(~joins)[inside]
-    string, length = string[inside], length[inside]
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
-    return group, string, size[string] - length
+    string = np.array(by_tail, np.int64)[string[inside]]
+    return group, string, np.array(cuts, np.int64)[string] - length[inside]

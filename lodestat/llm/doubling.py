@@ -71,7 +71,7 @@ def inside(n: int, covers: np.ndarray | None, window: int) -> np.ndarray:
 
 def around(units: np.ndarray, starts: np.ndarray, covers: np.ndarray | None, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The windows around repeated anchors: those in no cover, and those in one."""
-    s, n, _ = chosen(units, starts, window, gram)
+    s, n, *_ = chosen(units, starts, window, gram)
     at = ranges(s, n)
     known = inside(max(0, len(units) - window + 1), covers, window)[at]
     return at[~known], at[known]

@@ -7,9 +7,16 @@ of one anchor meet in one task; equal runs are one. The task gathers them into c
 builds each collection's Burrows-Wheeler transform and common prefixes column by column, and reads off the strings
 with a common prefix of WINDOW or more. A run that is the only one of its anchor has nothing to be compared with.
 
-An anchor that has HOT different runs or more would gather too much in one task. Its runs are cut finer before they are
-dealt: windows in a row that share their DEEP least grams form a run of their own, dealt by all of these. Equal
-windows share them too, so they still meet, and the same construction judges them.
+Equal windows have their anchor at the same distance from their start. So each run is cut at its anchor, the parts from
+there on (alike in their first bytes at least) are the column from which the construction starts, and only the bytes
+before it are inserted, a round each: at most WINDOW - GRAM rounds, and a row for every window in place of every byte.
+
+An anchor with HOT different runs or more (a template in changing surroundings) would gather too much in one task. Its
+windows are grouped by their distance from the anchor, STEP distances in a row to a group, and dealt by the bytes that
+all of these hold: all but STEP - 1. If such a core still has HOT different runs or more, its windows are compared singly
+by their own bytes, as a grouping and a join, where copies are one before the shuffle and AQE splits a frequent one's rows.
+So no task ever holds more than HOT different runs of an anchor or core; a construction takes what comes in at most
+COLLECTION bytes and those runs.
 
 The collections stand in for the sequential external files of the method: they are read and rewritten in sequence
 each round, but small enough for memory.
@@ -23,46 +30,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm import collection_bwt
-from lodestat.llm.anchors import byte_units, candidates, chosen, covered, row_key, window_hashes
-from lodestat.llm.common import discard, key_col, mixed, raw_texts, released, written
+from lodestat.llm.anchors import byte_units, candidates, chosen, covered, row_key
+from lodestat.llm.common import MASK64, discard, key_col, raw_texts, released, written
 
 WINDOW = 100
 GRAM = 32
 COLLECTION = 256 << 10
 HOT = 4096
-DEEP = 8
-Run = tuple[int, bytes, int]  # hash by which it is dealt, content, start in the text
-
-
-def finer(h: int, content: bytes, start: int, window: int, gram: int) -> list[Run]:
-    """The windows of a run cut wherever their DEEP least grams change."""
-    grams = mixed(window_hashes(byte_units(content), gram))
-    rows = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
-    deep = min(DEEP, rows.shape[1])
-    least = np.sort(np.partition(rows, deep - 1, axis=1)[:, :deep], axis=1)
-    cut = np.append(0, np.flatnonzero((least[1:] != least[:-1]).any(axis=1)) + 1)
-    ends = np.append(cut[1:], len(rows))
-    keys = np.full(len(cut), h, np.uint64)
-    for j in range(deep):
-        keys = mixed(keys * np.uint64(31) + least[cut, j])
-    return [(k, content[a : b - 1 + window], start + a) for k, a, b in zip(keys.tolist(), cut.tolist(), ends.tolist(), strict=True)]
-
-
-def runs_of(raw: bytes, starts: np.ndarray, window: int, gram: int) -> list[Run]:
-    """The runs of a text that may repeat; starts: place << 1, and a bit for those of a hot anchor."""
-    s, n, h = chosen(byte_units(raw), starts >> 1, window, gram)
-    hot = np.isin(s, starts[starts & 1 == 1] >> 1)
+STEP = 8
+Run = tuple[int, bytes, int, int]  # hash by which it is dealt, content, start in the text, place of the anchor in the content
+RUNS = "h long, content binary, _key long, _row long, s int, p int"
+
+
+def finer(h: int, content: bytes, start: int, place: int, window: int) -> list[Run]:
+    """The windows of a run cut wherever their distance from the anchor enters another STEP, dealt by the bytes that all of a STEP hold."""
+    step = min(STEP, window)
+    n = len(content) - window + 1
+    out, a = [], 0
+    while a < n:
+        group = (place - a) // step
+        b = min(n, place - group * step + 1)
+        core = content[place - group * step : place - (group + 1) * step + 1 + window]
+        out.append((xxhash.xxh3_64_intdigest(core, (h + group) & MASK64), content[a : b - 1 + window], start + a, place - a))
+        a = b
+    return out
+
+
+def runs_of(raw: bytes, starts: np.ndarray, window: int, gram: int, hot: bool | None = None) -> list[Run]:
+    """The runs of a text that may repeat; starts: place << 1, and a bit for those of a hot anchor. hot: only those with the bit or without."""
+    s, n, h, p = chosen(byte_units(raw), starts >> 1, window, gram)
+    often = np.isin(s, starts[starts & 1 == 1] >> 1)
     out: list[Run] = []
-    for a, k, x, deep in zip(s.tolist(), n.tolist(), h.tolist(), hot.tolist(), strict=True):
+    for a, k, x, at, deep in zip(s.tolist(), n.tolist(), h.tolist(), p.tolist(), often.tolist(), strict=True):
+        if hot is not None and deep != hot:
+            continue
         content = raw[a : a + k - 1 + window]
-        if deep:
-            out += finer(x, content, a, window, gram)
-        else:
-            out.append((x, content, a))
+        out += finer(x, content, a, at - a, window) if deep else [(x, content, a, at - a)]
     return out
 
 
@@ -71,30 +79,30 @@ def mark_of(s: int, content: bytes) -> int:
     return s << 32 | zlib.crc32(content)
 
 
-def run_rows(texts: DataFrame, found: DataFrame, window: int, gram: int) -> DataFrame:
-    """h, content, _key, _row, s of the runs; equal runs of a batch are one before the shuffle, the first of them."""
+def run_rows(texts: DataFrame, found: DataFrame, window: int, gram: int, hot: bool) -> DataFrame:
+    """h, content, _key, _row, s, p of the runs of hot anchors or of the others; equal runs of a batch are one before the shuffle, the first of them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least: dict[bytes, tuple[int, int, int, int]] = {}
+            least: dict[bytes, tuple[int, int, int, int, int]] = {}
             for key, row, raw, starts in zip(b.column("_key").to_pylist(), b.column("_row").to_pylist(), raw_texts(b.column("text")), b.column("starts"), strict=True):
-                for h, c, at in runs_of(raw, starts.values.to_numpy(), window, gram):
+                for h, c, at, place in runs_of(raw, starts.values.to_numpy(), window, gram, hot):
                     was = least.get(c)
                     if was is None or (key, row, at) < was[:3]:
-                        least[c] = (key, row, at, h)
-            key, row, s, h = zip(*least.values(), strict=True) if least else [()] * 4
+                        least[c] = (key, row, at, place, h)
+            key, row, s, p, h = zip(*least.values(), strict=True) if least else [()] * 5
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(list(least), pa.binary()),
-                pa.array(key, pa.int64()), pa.array(row, pa.int64()), pa.array(s, pa.int32()),
-            ], names=["h", "content", "_key", "_row", "s"])
+                pa.array(key, pa.int64()), pa.array(row, pa.int64()), pa.array(s, pa.int32()), pa.array(p, pa.int32()),
+            ], names=["h", "content", "_key", "_row", "s", "p"])
 
-    return texts.join(found, "_row").mapInArrow(emit, "h long, content binary, _key long, _row long, s int")
+    return texts.join(found, "_row").mapInArrow(emit, RUNS)
 
 
 def judged(runs: list[tuple], window: int) -> pa.RecordBatch:
-    """_row, mark, n and flags of distinct runs (h, content, _key, _row, s): which of their windows come later than an equal one, as bits."""
+    """_row, mark, n and flags of distinct runs (h, content, _key, _row, s, p): which of their windows come later than an equal one, as bits."""
     contents = [r[1] for r in runs]
-    group, string, offset = collection_bwt.repeats(contents, window)
+    group, string, offset = collection_bwt.repeats(contents, [r[5] for r in runs], window)
     keys, rows, starts = (np.array([r[i] for r in runs], np.int64) for i in (2, 3, 4))
     order = np.lexsort((starts[string] + offset, rows[string], keys[string], group))
     group, string, offset = group[order], string[order], offset[order]
@@ -152,13 +160,34 @@ def judged_runs(rows: DataFrame, window: int, limit: int) -> DataFrame:
     return dealt.mapInArrow(build, "_row long, mark long, flags binary")
 
 
+def judged_windows(rows: DataFrame, window: int) -> DataFrame:
+    """As judged_runs, for runs of at most STEP windows: each window is compared with all others by its own bytes."""
+    mark = F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.crc32("content"))
+    each = rows.select("_key", "_row", "s", mark.alias("mark"), "content", F.explode(F.sequence(F.lit(0), F.length("content") - window)).alias("i"))
+    each = each.select("_row", "mark", "i", F.struct("_key", "_row", (F.col("s") + F.col("i")).alias("s")).alias("own"), F.expr(f"substring(content, i + 1, {window})").alias("w"))
+    least = each.groupBy("w").agg(F.min("own").alias("least"))
+    bit = F.when(F.col("own") > F.col("least"), F.expr("shiftleft(1, 7 - i)")).otherwise(0)
+    runs = each.join(least, "w").groupBy("_row", "mark").agg(F.sum(bit).alias("bits"))
+    return runs.select("_row", "mark", F.when(F.col("bits") == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.lpad(F.hex("bits"), 2, "0"))).alias("flags"))
+
+
+def hot_runs(texts: DataFrame, found: DataFrame, window: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of hot anchors, equal ones once: those of cores with fewer than hot of them, and those of the other cores."""
+    some = found.where(F.exists("starts", lambda x: x.bitwiseAND(F.lit(1)) == 1))
+    first = F.min(F.struct("_key", "_row", "s", "p")).alias("first")
+    rows = written(run_rows(texts, some, window, gram, True).groupBy("h", "content").agg(first).select("h", "content", "first.*"), "hot-runs")
+    released(texts.sparkSession)
+    big = rows.groupBy("h").count().where(F.col("count") >= hot).select("h")
+    return rows.join(big, "h", "left_anti"), rows.join(big, "h", "left_semi")
+
+
 def removed_bytes(raw: bytes, starts: np.ndarray | None, known: pa.Scalar, window: int, gram: int) -> np.ndarray | None:
     """Which bytes of a text go; None: no candidates, so none."""
     if starts is None:
         return None
     first = {r["mark"]: r["flags"] for r in known.as_py() or []}
     gone = []
-    for _, content, at in runs_of(raw, starts, window, gram):
+    for _, content, at, _ in runs_of(raw, starts, window, gram):
         flags = first.get(mark_of(at, content))
         k = len(content) - window + 1
         if flags is None:  # an equal run comes earlier
@@ -174,16 +203,22 @@ def byte_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: i
     A null or empty text has no bytes; bytes that are no UTF-8 are bytes like any others. Order is by doc_id, null with
     the least; different rows of one doc_id stand in the order of a hash of them. Rows alike in both id and text are
     one document, none of which removes another. Texts shorter than a window stay whole. An empty table gives an
-    empty result. Other columns are not read. The texts are shuffled once. A window may have any length above gram.
+    empty result. Other columns are not read. The texts are shuffled once, and once more where an anchor is hot. A
+    window may have any length above gram; doc_id is an integer.
     """
     each = candidates(docs, byte_units, window, gram)
-    often = each.groupBy("h").agg(F.countDistinct("c").alias("n")).where(F.col("n") >= hot).select("h", F.lit(1).alias("often"))
+    often = written(each.groupBy("h").agg(F.countDistinct("c").alias("n")).where(F.col("n") >= hot).select("h", F.lit(1).alias("often")), "hot-anchors")
     starts = F.shiftleft(F.col("s").cast("long"), 1).bitwiseOR(F.coalesce("often", F.lit(0)))
     found = written(each.join(often, "h", "left").groupBy("_row").agg(F.collect_list(starts).alias("starts")), "repeated-runs")
     discard(each)
     released(docs.sparkSession)
     texts = docs.select(row_key().alias("_row"), key_col("doc_id").alias("_key"), "text", F.col("doc_id").alias("_id")).repartition("_row")
-    runs = judged_runs(run_rows(texts, found, window, gram), window, limit)
+    cold = run_rows(texts, found, window, gram, False)
+    if often.isEmpty():
+        runs = judged_runs(cold, window, limit)
+    else:
+        few, many = hot_runs(texts, found, window, gram, hot)
+        runs = judged_runs(cold.unionByName(few), window, limit).unionByName(judged_windows(many, window))
     rows = texts.join(found.join(runs.groupBy("_row").agg(F.collect_list(F.struct("mark", "flags")).alias("runs")), "_row", "left"), "_row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

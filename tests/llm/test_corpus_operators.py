@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestat.llm import doubling, fingerprint, mixing, packing, pu, quality, queries, quotes, sharding, simhash, suffixes, toxicity
+from lodestat.llm import collection_bwt, doubling, fingerprint, mixing, packing, pu, quality, queries, quotes, sharding, simhash, suffixes, toxicity
 
 SPACE = " \t\n\r\x0b\x0c"
 spelled = lambda n: chr(97 + n % 26) + (spelled(n // 26) if n >= 26 else "")
@@ -392,12 +392,14 @@ def test_op5_op6_sql(spark):
 
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        c.execute(f"create view {table} as select * from '{d}/{table}.parquet'")
     for name, sql in queries.oracle_sql().items():
         want = c.sql(sql)
         got = queries.queries()[name](spark, d)
         assert sorted(got.columns) == sorted(want.columns)
         assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    got = queries.queries()["op6_extendible_shards"](spark, d)
     assert got.where("depth > 1").count() > 0.5 * got.count()
 
 
@@ -513,6 +515,57 @@ def test_op7_hot_anchors_and_any_bytes(spark):
     assert {r["doc_id"]: r["n_removed"] for r in suffixes.byte_dedup(df).collect()} == {i: sum(g) for i, g in gone.items()}
 
 
+@pytest.mark.parametrize("fixed", [40, 90, 99, 130])
+def test_op7_templates(spark, fixed):
+    """A template in changing surroundings: no key keeps more than hot different runs, with the same outcome."""
+    core = "".join(hashlib.sha512(str(i).encode()).hexdigest() for i in range(2))[:fixed]
+    around = [hashlib.md5(str(i % 350).encode()).hexdigest() * 2 for i in range(400)]
+    texts = [f"{a[: 20 + i % 44]}{core}{around[(i * 7) % 400][: 20 + i % 40]}" for i, a in enumerate(around)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffixes.byte_dedup(df, hot=50).collect()} == plain_bytes(texts)
+
+
+def test_op7_finer_runs_meet():
+    """Equal windows of a hot anchor are dealt alike, whatever surrounds them, and each is in one run."""
+    rng = np.random.default_rng(3)
+    window = 30
+    core = rng.bytes(20)
+    where: dict[bytes, set] = {}
+    for _ in range(200):
+        left, right = (rng.integers(97, 99, int(rng.integers(0, 30))).astype(np.uint8).tobytes() for _ in range(2))
+        content = (left[-20:] + core + right)[: len(left[-20:]) + window]  # the anchor is core[:10]
+        k, place = len(content) - window + 1, len(left[-20:])
+        if k < 1:
+            continue
+        runs = suffixes.finer(5, content, 1000, place, window)
+        assert [s for _, c, at, _ in runs for s in range(at, at + len(c) - window + 1)] == list(range(1000, 1000 + k))
+        for h, c, at, p in runs:
+            assert len(c) - window + 1 <= suffixes.STEP and at + p == 1000 + place
+            for i in range(len(c) - window + 1):
+                where.setdefault((p - i, c[i : i + window]), set()).add(h)
+    assert len(where) > 100 and all(len(x) == 1 for x in where.values())
+
+
+def test_op7_repeats_of_a_collection():
+    """Windows of random strings cut at a common word, against grouping by hand."""
+    rng = np.random.default_rng(4)
+    for window in (3, 6, 12):
+        strings, cuts = [], []
+        for _ in range(60):
+            left = rng.integers(0, 2, int(rng.integers(0, window - 1))).astype(np.uint8).tobytes()
+            strings.append(left + b"\xff\x00" + rng.integers(0, 3, window).astype(np.uint8).tobytes())
+            cuts.append(len(left))
+        plain: dict[tuple, list] = {}
+        for i, (s, c) in enumerate(zip(strings, cuts, strict=True)):
+            for a in range(c + 1):
+                plain.setdefault((c - a, s[a : a + window]), []).append((i, a))
+        got: dict[int, list] = {}
+        for g, i, a in zip(*(x.tolist() for x in collection_bwt.repeats(strings, cuts, window)), strict=True):
+            got.setdefault(g, []).append((i, a))
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in plain.values() if len(x) > 1)
+    assert [len(x) for x in collection_bwt.repeats([], [], 5)] == [0, 0, 0]
+
+
 def test_op7_messy(empty, messy):
     assert suffixes.byte_dedup(empty).count() == 0 and suffixes.byte_dedup(messy).count() == 12
 
