@@ -75,12 +75,14 @@ def build(heads: list[bytes], tails: list[bytes], most: int) -> tuple[np.ndarray
 
 
 def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """min(x[lo:hi]) for each pair, lo < hi. Only these elements are read: rows of one symbol share out the column."""
+    """min(x[lo:hi]) for each pair, lo < hi, pairs of one symbol in ascending order.
+
+    Taken from the last to the first: there a pair ends behind the begin of the next, so nothing between them is read.
+    """
     if not len(lo):
         return np.zeros(0, x.dtype)
-    size = hi - lo
-    start = np.cumsum(size) - size
-    return np.minimum.reduceat(x[np.arange(start[-1] + size[-1]) + np.repeat(lo - start, size)], start)
+    edges = np.column_stack((lo[::-1], hi[::-1])).ravel()
+    return np.minimum.reduceat(np.append(x, x[-1:]), edges)[::2][::-1]
 
 
 def rows_of(bwt: np.ndarray, m: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
