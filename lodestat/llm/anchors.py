@@ -128,14 +128,15 @@ def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int
     Within a batch of documents the rows of one anchor are summed up before they are shuffled: the first stands
     for all (n is 2), the others are known to repeat (n is 0) and need not meet it. So a hot anchor sends a row a batch.
 
-    Without a step there is also c, a check (16 bits) of all units of the piece's windows. With a step, one in so many anchors (by hash, so the same ones in equal texts) is a rung: it also has its place p,
+    Without a step there are also c, a check (16 bits) of all units of the piece's windows, and w, its number of windows << 16
+    and the distance of the anchor from its start << 1. With a step, one in so many anchors (by hash, so the same ones in equal texts) is a rung: it also has its place p,
     the _key and, of the windows from there of one, two, four, ... times the length, as far as the text goes, the hashes
     hs and cs (32 bits more).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got, longer, held, checks = [], [], [], []
+            got, longer, held, checks, wheres = [], [], [], [], []
             for t in raw_texts(b.column(2)):
                 u = units(t)
                 got.append(pieces(u, window, gram))
@@ -145,6 +146,7 @@ def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int
                     held.append(size)
                 else:
                     checks.append(mixed(got[-1][4]) >> np.uint64(48))
+                    wheres.append(got[-1][1] << 16 | (got[-1][3] - got[-1][0]) << 1)
             h, s, p = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in ((2, np.uint64), (0, np.int64), (3, np.int64)))
             sizes = [len(g[0]) for g in got]
             row = np.repeat(b.column(0).to_numpy(), sizes)
@@ -168,9 +170,11 @@ def anchor_rows(docs: DataFrame, units: Units, window: int, gram: int, step: int
             else:
                 c = np.concatenate(checks) if checks else np.zeros(0, np.uint64)
                 cols["c"] = pa.array(c[order].astype(np.uint16).view(np.int16))
+                w = np.concatenate(wheres) if wheres else np.zeros(0, np.int64)
+                cols["w"] = pa.array(w[order].astype(np.int32))
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return keyed(docs).mapInArrow(run, "h long, slot long, _row long, s int, n byte" + (RUNG if step else ", c short"))
+    return keyed(docs).mapInArrow(run, "h long, slot long, _row long, s int, n byte" + (RUNG if step else ", c short, w int"))
 
 
 RUNG = ", hs array<long>, cs array<int>, p int, _key long"
@@ -217,7 +221,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, units: Units, window: int, gram: int, step: int = 0) -> DataFrame:
-    """A written table of the pieces whose anchor occurs twice or more: h, _row, s, and c or, with a step, the columns of RUNG."""
+    """A written table of the pieces whose anchor occurs twice or more: h, _row, s, and c and w or, with a step, the columns of RUNG."""
     out = written(repeated(anchor_rows(docs, units, window, gram, step)), "repeated-pieces")
     released(docs.sparkSession)
     return out

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm import collection_bwt
-from lodestat.llm.anchors import byte_units, candidates, chosen, covered, row_key
+from lodestat.llm.anchors import byte_units, candidates, covered, row_key
 from lodestat.llm.common import MASK64, discard, key_col, raw_texts, released, written
 
 WINDOW = 100
@@ -43,6 +43,7 @@ GRAM = 32
 COLLECTION = 256 << 10
 HOT = 4096
 STEP = 8
+LONGEST = (1 << 15) - 1  # windows of a piece
 Run = tuple[int, bytes, int, int]  # hash by which it is dealt, content, start in the text, place of the anchor in the content
 RUNS = "h long, content binary, _key long, _row long, s int, p int"
 
@@ -61,16 +62,17 @@ def finer(h: int, content: bytes, start: int, place: int, window: int) -> list[R
     return out
 
 
-def runs_of(raw: bytes, starts: np.ndarray, window: int, gram: int, hot: bool | None = None) -> list[Run]:
-    """The runs of a text that may repeat; starts: place << 1, and a bit for those of a hot anchor. hot: only those with the bit or without."""
-    s, n, h, p = chosen(byte_units(raw), starts >> 1, window, gram)
-    often = np.isin(s, starts[starts & 1 == 1] >> 1)
+def runs_of(raw: bytes, pieces: np.ndarray, window: int, gram: int, hot: bool | None = None) -> list[Run]:
+    """The runs of a text that may repeat. pieces: start << 32, windows << 16, distance of the anchor from the start << 1,
+    and a bit for those of a hot anchor. hot: only those with the bit or without."""
     out: list[Run] = []
-    for a, k, x, at, deep in zip(s.tolist(), n.tolist(), h.tolist(), p.tolist(), often.tolist(), strict=True):
+    for x in np.unique(pieces).tolist():
+        a, k, place, deep = x >> 32, x >> 16 & LONGEST, x >> 1 & LONGEST, bool(x & 1)
         if hot is not None and deep != hot:
             continue
         content = raw[a : a + k - 1 + window]
-        out += finer(x, content, a, at - a, window) if deep else [(x, content, a, at - a)]
+        h = xxhash.xxh3_64_intdigest(content[place : place + gram])
+        out += finer(h, content, a, place, window) if deep else [(h, content, a, place)]
     return out
 
 
@@ -173,7 +175,8 @@ def judged_windows(rows: DataFrame, window: int) -> DataFrame:
 
 def hot_runs(texts: DataFrame, found: DataFrame, window: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """Runs of hot anchors, equal ones once: those of cores with fewer than hot of them, and those of the other cores."""
-    some = found.where(F.exists("starts", lambda x: x.bitwiseAND(F.lit(1)) == 1))
+    is_hot = lambda x: x.bitwiseAND(F.lit(1)) == 1
+    some = written(found.where(F.exists("starts", is_hot)).select("_row", F.filter("starts", is_hot).alias("starts")), "hot-starts")
     first = F.min(F.struct("_key", "_row", "s", "p")).alias("first")
     rows = written(run_rows(texts, some, window, gram, True).groupBy("h", "content").agg(first).select("h", "content", "first.*"), "hot-runs")
     released(texts.sparkSession)
@@ -203,21 +206,25 @@ def byte_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: i
     A null or empty text has no bytes; bytes that are no UTF-8 are bytes like any others. Order is by doc_id, null with
     the least; different rows of one doc_id stand in the order of a hash of them. Rows alike in both id and text are
     one document, none of which removes another. Texts shorter than a window stay whole. An empty table gives an
-    empty result. Other columns are not read. The texts are shuffled once, and once more where an anchor is hot. A
-    window may have any length above gram; doc_id is an integer.
+    empty result. Other columns are not read. The texts are shuffled once, and once more where more
+    texts have a hot anchor than Spark broadcasts the places of. A window is less than LONGEST bytes longer than gram; doc_id is
+    an integer.
     """
+    if not 0 <= window - gram < LONGEST:
+        raise ValueError(f"a window is at least a gram and less than {LONGEST} bytes longer")
     each = candidates(docs, byte_units, window, gram)
     often = written(each.groupBy("h").agg(F.countDistinct("c").alias("n")).where(F.col("n") >= hot).select("h", F.lit(1).alias("often")), "hot-anchors")
-    starts = F.shiftleft(F.col("s").cast("long"), 1).bitwiseOR(F.coalesce("often", F.lit(0)))
+    starts = F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("w").cast("long")).bitwiseOR(F.coalesce("often", F.lit(0)).cast("long"))
     found = written(each.join(often, "h", "left").groupBy("_row").agg(F.collect_list(starts).alias("starts")), "repeated-runs")
     discard(each)
     released(docs.sparkSession)
-    texts = docs.select(row_key().alias("_row"), key_col("doc_id").alias("_key"), "text", F.col("doc_id").alias("_id")).repartition("_row")
+    scan = docs.select(row_key().alias("_row"), key_col("doc_id").alias("_key"), "text", F.col("doc_id").alias("_id"))
+    texts = scan.repartition("_row")
     cold = run_rows(texts, found, window, gram, False)
     if often.isEmpty():
         runs = judged_runs(cold, window, limit)
     else:
-        few, many = hot_runs(texts, found, window, gram, hot)
+        few, many = hot_runs(scan, found, window, gram, hot)
         runs = judged_runs(cold.unionByName(few), window, limit).unionByName(judged_windows(many, window))
     rows = texts.join(found.join(runs.groupBy("_row").agg(F.collect_list(F.struct("mark", "flags")).alias("runs")), "_row", "left"), "_row", "left")
 
