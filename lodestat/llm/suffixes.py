@@ -179,8 +179,8 @@ def hot_runs(texts: DataFrame, found: DataFrame, window: int, gram: int, hot: in
     some = written(found.where(F.exists("starts", is_hot)).select("_row", F.filter("starts", is_hot).alias("starts")), "hot-starts")
     first = F.min(F.struct("_key", "_row", "s", "p")).alias("first")
     rows = written(run_rows(texts, some, window, gram, True).groupBy("h", "content").agg(first).select("h", "content", "first.*"), "hot-runs")
-    released(texts.sparkSession)
-    big = rows.groupBy("h").count().where(F.col("count") >= hot).select("h")
+    big = written(rows.groupBy("h").count().where(F.col("count") >= hot).select("h"), "hot-cores")
+    released(texts.sparkSession)  # by now nothing refers to the shuffle of the texts any more, right after its job something may
     return rows.join(big, "h", "left_anti"), rows.join(big, "h", "left_semi")
 
 
