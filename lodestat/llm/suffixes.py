@@ -206,8 +206,8 @@ def byte_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: i
     A null or empty text has no bytes; bytes that are no UTF-8 are bytes like any others. Order is by doc_id, null with
     the least; different rows of one doc_id stand in the order of a hash of them. Rows alike in both id and text are
     one document, none of which removes another. Texts shorter than a window stay whole. An empty table gives an
-    empty result. Other columns are not read. The texts are shuffled once, and once more where more
-    texts have a hot anchor than Spark broadcasts the places of. A window is less than LONGEST bytes longer than gram; doc_id is
+    empty result. Other columns are not read. The texts are shuffled once, and once more
+    where an anchor is hot. A window is less than LONGEST bytes longer than gram; doc_id is
     an integer.
     """
     if not 0 <= window - gram < LONGEST:
@@ -218,13 +218,12 @@ def byte_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: i
     found = written(each.join(often, "h", "left").groupBy("_row").agg(F.collect_list(starts).alias("starts")), "repeated-runs")
     discard(each)
     released(docs.sparkSession)
-    scan = docs.select(row_key().alias("_row"), key_col("doc_id").alias("_key"), "text", F.col("doc_id").alias("_id"))
-    texts = scan.repartition("_row")
+    texts = docs.select(row_key().alias("_row"), key_col("doc_id").alias("_key"), "text", F.col("doc_id").alias("_id")).repartition("_row")
     cold = run_rows(texts, found, window, gram, False)
     if often.isEmpty():
         runs = judged_runs(cold, window, limit)
     else:
-        few, many = hot_runs(scan, found, window, gram, hot)
+        few, many = hot_runs(texts, found, window, gram, hot)
         runs = judged_runs(cold.unionByName(few), window, limit).unionByName(judged_windows(many, window))
     rows = texts.join(found.join(runs.groupBy("_row").agg(F.collect_list(F.struct("mark", "flags")).alias("runs")), "_row", "left"), "_row", "left")
 
