@@ -525,6 +525,30 @@ def test_op7_templates(spark, fixed):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffixes.byte_dedup(df, hot=50).collect()} == plain_bytes(texts)
 
 
+def shuffled_bytes(spark):
+    """Bytes that the session's stages have written for shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_op7_hot_anchors_share_the_shuffle_of_the_texts(spark, tmp_path):
+    """Hot anchors, and cores among them that are compared by windows, cost no further shuffle of whole texts."""
+    rng = np.random.default_rng(8)
+    core, letters = "the passage that many documents share, with some more words to make it as long as a window of bytes is, or longer", np.frombuffer(bytes(range(48, 112)), np.uint8)
+    pad = lambda n: letters[rng.integers(0, 64, n)].tobytes().decode()
+    texts = [pad(4000) + core + pad(4000) for _ in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    wrote, results = [], []
+    for hot in (100_000, 50):
+        before = shuffled_bytes(spark)
+        results.append(sorted(map(tuple, suffixes.byte_dedup(docs, hot=hot).collect())))
+        wrote.append(sum(n for k, n in shuffled_bytes(spark).items() if k not in before))
+    assert results[0] == results[1] and sum(r[2] for r in results[0]) > 0
+    assert wrote[0] > sum(map(len, texts)) / 2 and wrote[1] - wrote[0] < sum(map(len, texts)) / 4
+
+
 def test_op7_finer_runs_meet():
     """Equal windows of a hot anchor are dealt alike, whatever surrounds them, and each is in one run."""
     rng = np.random.default_rng(3)
