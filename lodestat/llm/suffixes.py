@@ -177,15 +177,18 @@ def hot_runs(texts: DataFrame, found: DataFrame, window: int, gram: int, hot: in
     """Runs of hot anchors, equal ones once: those of cores with fewer than hot of them, and those of the other cores.
 
     No run is written before the query that uses it, so that Spark takes one shuffle of the texts for these runs, the others
-    and the outcome, and one shuffle of rows for all its uses. Joins ask for an h that is not null, of some of these uses
-    only; asked for here, it is the same for all.
+    and the outcome, and one shuffle of rows for all its uses. The keys of the other cores, at most one in hot of the runs,
+    are broadcast, so that rows need no shuffle by them. The broadcast is a column, as a semi or anti join would go below
+    the grouping, which then were two; and as one of the joins asks for an h that is not null, all do.
     """
     is_hot = lambda x: x.bitwiseAND(F.lit(1)) == 1
     some = written(found.where(F.exists("starts", is_hot)).select("_row", F.filter("starts", is_hot).alias("starts")), "hot-starts")
     first = F.min(F.struct("_key", "_row", "s", "p")).alias("first")
+    released(texts.sparkSession)  # by now nothing refers to the shuffle for found any more, right after its job something may
     rows = run_rows(texts, some, window, gram, True).where(F.col("h").isNotNull()).groupBy("h", "content").agg(first).select("h", "content", "first.*")
-    big = rows.groupBy("h").agg(F.count("_row").alias("n")).where(F.col("n") >= hot).select("h")  # of a column of first, else rows without it had a shuffle of their own
-    return rows.join(big, "h", "left_anti"), rows.join(big, "h", "left_semi")
+    big = rows.groupBy("h").agg(F.count("_row").alias("n")).where(F.col("n") >= hot)  # counts a column of first, else rows without it had a shuffle of their own
+    told = rows.join(F.broadcast(big), "h", "left")
+    return told.where(F.col("n").isNull()).drop("n"), told.where(F.col("n").isNotNull()).drop("n")
 
 
 def removed_bytes(raw: bytes, starts: np.ndarray | None, known: pa.Scalar, window: int, gram: int) -> np.ndarray | None:
