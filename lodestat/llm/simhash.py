@@ -162,8 +162,11 @@ def verified(a: str, b: str, radius: int) -> Column:
 
 
 def near(pairs: DataFrame, table: DataFrame, radius: int, may: Callable[[str, str], Column]) -> DataFrame:
-    """The pairs(a, b) of nodes that the pivots don't discard and that are within the radius."""
-    x, y = table.drop("g").alias("x"), table.drop("g").alias("y")
+    """The pairs(a, b) of nodes that the pivots don't discard and that are within the radius.
+
+    Pairs come from an explode, whose rows the planner does not count: merge hints keep them from being broadcast.
+    """
+    x, y = table.drop("g").alias("x").hint("merge"), table.drop("g").alias("y").hint("merge")
     met = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
     return met.where(not_discarded("x", "y", radius) & verified("x", "y", radius) & may("x", "y")).select("a", "b")
 
@@ -182,7 +185,8 @@ def linked(
     table = written(distance_table(nodes, groups), "simhash-table")
     each = buckets(table, groups, alike or groups - radius)
     met = each.groupBy("b").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("most")).where("c > 1").drop("c")
-    shared = written(each.join(met, "b"), "simhash-buckets")
+    # the planner takes the exploded rows for as few as there are nodes
+    shared = written(each.join(met.hint("merge"), "b"), "simhash-buckets")
 
     pair = lambda u, v: F.struct(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
     stars = shared.select(F.explode(F.array(pair("least", "node"), pair("node", "most"))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
