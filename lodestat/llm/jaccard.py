@@ -84,7 +84,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, names: DataFrame, k: int =
                 keep.append(similar(held, shingles(t, k)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = names.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    one = written(texts.join(asked, "name").dropDuplicates(["node"]), "jaccard-texts")
+    asked = names.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge"), "node", "left_semi")
+    one = written(texts.join(asked.hint("merge"), "name").dropDuplicates(["node"]), "jaccard-texts")
+    # by the size of compressed files the planner would broadcast texts
     a, b = one.select(F.col("node").alias("a"), F.col("text").alias("ta")), one.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")

@@ -27,3 +27,10 @@ def test_buckets_are_not_broadcast(spark, plans):
     assert simhash.near_groups(spark.createDataFrame(TEXTS, "doc_id long, text string")).count() == len(TEXTS)
     for name in ("simhash-buckets", "simhash-stars"):
         assert "BroadcastHashJoin" not in plans[name], name
+
+
+def test_texts_of_pairs_are_not_broadcast(spark, plans):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    assert 0 < simhash.one_of_each(docs).count() < len(TEXTS)
+    for name in ("simhash-buckets", "simhash-stars", "jaccard-texts", "simhash-links"):
+        assert "BroadcastHashJoin" not in plans[name], name
