@@ -59,7 +59,8 @@ KMIN = "kmin as (select n, ceil(0.8 * n + 1.2 * sqrt(n))::bigint as kmin from ra
 @query("certified_threshold", f"""{W}, {KMIN}, ok as (select arm, layer, min(conf) as tau from s join kmin on s.nn = kmin.n where kk >= kmin group by all)
 select arm, layer, tau from (select distinct arm, layer from decisions) left join ok using (arm, layer)""")
 def certified_threshold(spark, d):
-    return deciding.needed_threshold(decisions(spark, d), lambda n: F.ceil(0.8 * n + 1.2 * F.sqrt(n)), *BY)
+    # 0.8 n as a quotient of whole numbers: 0.8 as a double is a little too much where the sum is a whole number
+    return deciding.needed_threshold(decisions(spark, d), lambda n: F.ceil(4 * n / 5 + 1.2 * F.sqrt(n)), *BY)
 
 
 @query("bound_threshold", f"""{W}, ok as (select arm, layer, min(conf) as tau from s where nn >= 30 and
