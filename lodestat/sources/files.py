@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,20 +83,58 @@ def web_bytes(spark: SparkSession, path: str, encoding: str, pairs: dict[str, st
     return spark.read.format("binaryFile").load(path).select("path", text.alias("text"), n.alias("n_repaired"))
 
 
-def fingerprints(rows: DataFrame, key: str, *by: str, group: int = 4096) -> DataFrame:
-    """n and a sha256 of each slice's set of keys: keys are hashed in groups by the first digits of their hash, then the groups' hashes in order.
+def _run_starts(batch: pa.RecordBatch, n: int) -> list[int]:
+    """Rows at which one of the first n columns differs from the row before; nulls are alike."""
+    if batch.num_rows == 0:
+        return []
+    new = np.zeros(batch.num_rows - 1, bool)
+    for c in batch.columns[:n]:
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new |= other.to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(new) + 1).tolist()]
 
-    A slice has as many digits as keep its groups at some `group` keys, two at least, so no list grows with the slice.
+
+def fingerprints(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """n and a sha256 of each slice's set of keys: keys are hashed in order in 256 groups by the first digits of their hash, then the groups' hashes in order.
+
+    Keys are sorted by the shuffle and hashed as they pass, so no list grows with the slice. A null key counts in n only;
+    a slice of such has no hash.
     """
-    k = F.col(key).cast("string")
-    each = rows.select(*by, k.alias("_k"), F.sha2(k, 256).alias("_h"))
-    size = each.groupBy(*by).agg(F.greatest(F.lit(2), F.ceil(F.log(F.count("*") / group) / math.log(16))).cast("int").alias("_digits")).select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_digits")
-    on = F.lit(True)
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    each = each.join(size, on) if by else each.crossJoin(size)
-    groups = each.groupBy(*by, F.expr("substring(_h, 1, _digits)").alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_k")), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    return groups.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha"))
+    k, kinds = F.col(key).cast("string"), dict(rows.dtypes)
+    names = [f"_by{i}" for i in range(len(by))]
+    each = rows.select(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True)), F.substring(F.sha2(k, 256), 1, 2).alias("_g"), k.alias("_k"))
+    dealt = each.repartition(*names, "_g").sortWithinPartitions(*names, "_g", "_k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sha, n = None, None, 0  # the slice and group whose keys pass
+
+        def done() -> pa.RecordBatch:
+            ends = [pa.array([sha and sha.hexdigest()], pa.string()), pa.array([n], pa.int64())]
+            return pa.RecordBatch.from_arrays([*own.columns, *ends], names=[*names, "g", "h", "n"])
+
+        for b in batches:
+            starts = _run_starts(b, len(names) + 1)
+            for at, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                head = b.select([*names, "_g"]).slice(at, 1)
+                if own is None or at > 0 or len(_run_starts(pa.concat_batches([own, head]), len(names) + 1)) > 1:
+                    if own is not None:
+                        yield done()
+                    own, sha, n = head, None, 0
+                n += end - at
+                if head.column(len(names)).null_count == 0:
+                    text = "\n".join(b.column("_k").slice(at, end - at).to_pylist()).encode()
+                    if sha is None:
+                        sha = hashlib.sha256(text)
+                    else:
+                        sha.update(b"\n" + text)
+        if own is not None:
+            yield done()
+
+    groups = dealt.mapInArrow(run, ", ".join([*(f"{n} {kinds[c]}" for c, n in zip(by, names, strict=True)), "g string, h string, n long"]))
+    met = F.array_sort(F.collect_list(F.when(F.col("h").isNotNull(), F.struct("g", "h"))))  # 256 at most
+    sha = F.when(F.size(met) > 0, F.sha2(F.array_join(F.transform(met, lambda x: x["h"]), "\n"), 256))
+    return groups.groupBy(*names).agg(F.sum("n").alias("n"), sha.alias("sha")).select(*(F.col(n).alias(c) for c, n in zip(by, names, strict=True)), "n", "sha")
 
 
 def still_to_do(items: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
