@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.values import wilson
+from lodestat.operators.ordered import running
 
 
 def benchmark_summary(requests: DataFrame, *by: str, most_cv: float = 0.05) -> DataFrame:
@@ -33,6 +34,14 @@ def load_windows(events: DataFrame, ts: str, width: str, value: str) -> DataFram
     return events.groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("n"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95")).select(F.col("w.start").alias("start"), "n", "p50", "p95")
 
 
+def profile_of(counts: DataFrame) -> DataFrame:
+    """counts(start, value, n) of closed windows: requests, p50 and p95, each the least value that so many per cent do not exceed. A null value counts in n only."""
+    each = running(counts.withColumn("m", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)), [F.col("value")], ["m"], "start")
+    reached = (F.col("m_ahead") + F.col("m")) * 100
+    at = lambda p: F.min(F.when(reached >= F.col("m_all") * p, F.col("value")))
+    return each.groupBy("start").agg(F.sum("n").alias("n"), at(50).alias("p50"), at(95).alias("p95"))
+
+
 def gate_windows(events: DataFrame, ts: str, width: str, flag: Column, baseline: float) -> DataFrame:
     """Share of flagged rows of each window with Wilson bounds; alarm where the lower one passes the baseline."""
     out = events.groupBy(F.window(ts, width).alias("w")).agg(F.count_if(flag).alias("k"), F.count("*").alias("n"))

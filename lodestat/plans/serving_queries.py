@@ -328,7 +328,7 @@ def stream_gate_monitor(spark, d):
 
 @query("stream_load_profile", "select time_bucket(interval 6 hours, ts) as start, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events group by 1")
 def stream_load_profile(spark, d):
-    return _local_start(_streamed(spark, d, lambda s: jobs.load_profile(s, "ts", "1 hour", "6 hours", "value")))
+    return _local_start(serving.profile_of(_streamed(spark, d, lambda s: jobs.load_profile(s, "ts", "1 hour", "6 hours", "value"))))
 
 
 @query("stream_sessions", SESSION_SQL)

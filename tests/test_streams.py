@@ -1,9 +1,11 @@
 """Streams batch by batch: late rows, windows that close, state that goes; appends with a ledger."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
+from lodestat.plans import serving_queries
 from lodestat.sources import files
 from lodestat.streaming import jobs
 
@@ -65,3 +67,17 @@ def test_append_reads_only_ranges_that_meet(spark, tmp_path):
     first = next(r["append"] for r in files.ledger_of(spark, path).collect() if r["low"]["id"] == 0)
     (tmp_path / "rows" / f"append={first}").rename(tmp_path / "gone")
     assert files.append_missing(spark.range(255, 270), path, "id") == 10
+
+
+def test_load_profile_of_a_large_window_is_exact(spark, tmp_path):
+    n = 70_000
+    hours = F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, id % 11)")
+    rows = spark.range(n).select(F.col("id").alias("event_id"), hours.alias("ts"), F.when(F.col("id") % 10 == 3, None).otherwise(F.sqrt("id") * 7).alias("value"))
+    rows.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["start"]: (r["n"], r["p50"], r["p95"]) for r in serving_queries.stream_load_profile(spark, str(tmp_path)).collect()}
+    want = {}
+    for start in (0, 6):
+        own = [i for i in range(n) if i % 11 // 6 * 6 == start]
+        values = sorted(math.sqrt(i) * 7 for i in own if i % 10 != 3)
+        want[DAY + dt.timedelta(hours=start)] = (len(own), values[-(-len(values) * 50 // 100) - 1], values[-(-len(values) * 95 // 100) - 1])
+    assert got == want
