@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.values import shingles, tokens
+from lodestat.operators import letters
 from lodestat.operators.ordered import kept
 
 #: Patterns in the order they are tried. Fixed values.
@@ -155,7 +156,35 @@ def lines_of(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
 
 
-def syllables(line: Column, vowels: str = "aeiouyáéíóöőúüűàèìòùâêîôûäëï") -> Column:
+VOWELS = "aeiouyáéíóöőúüűàèìòùâêîôûäëï"
+
+
+def line_syllables(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, text): key, the lines that are not blank, n, and of their vowels the sum, s, and the sum of squares, q. A row each for rows with such lines."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = letters.syllables_of_letters(VOWELS)
+        for b in batches:
+            out = np.zeros((b.num_rows, 3), np.int64)
+            for i, text in enumerate(letters.texts_of(b.column(1))):
+                if text:
+                    out[i] = _line_sums(text, table)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, np.ascontiguousarray(out.T))], names=[key, "n", "s", "q"])
+
+    return rows.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n long, s long, q long").where("n > 0")
+
+
+def _line_sums(text: str, table: np.ndarray) -> tuple[int, int, int]:
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    if not lines:
+        return 0, 0, 0
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    each = np.add.reduceat(letters.looked_up("".join(lines), table), np.cumsum(size) - size, dtype=np.int64)
+    return len(lines), int(each.sum()), int(each @ each)
+
+
+def syllables(line: Column, vowels: str = VOWELS) -> Column:
     """Vowels of a line."""
     return F.length(F.regexp_replace(F.lower(line), f"[^{vowels}]", ""))
 
