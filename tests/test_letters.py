@@ -22,7 +22,7 @@ def tables(spark, tmp_path):
     return str(tmp_path), c
 
 
-@pytest.mark.parametrize("name", ["form_specification"])
+@pytest.mark.parametrize("name", ["gram_kinds", "form_specification"])
 def test_odd_texts(spark, tables, name):
     d, c = tables
     df, want = registry.queries()[name](spark, d), c.sql(registry.oracle_sql()[name])
@@ -31,7 +31,7 @@ def test_odd_texts(spark, tables, name):
     assert rows(map(tuple, df.collect()), df.columns) == rows(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", ["form_specification"])
+@pytest.mark.parametrize("name", ["gram_kinds", "form_specification"])
 def test_no_expression_for_each_character(spark, tables, name):
     plan = registry.queries()[name](spark, tables[0])._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp" not in plan and "rlike" not in plan and "array_join" not in plan and "mapinarrow" in plan
